@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; only a session without one (as in tests on
+    one machine) gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteloom-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared checkpoint folder, with its lineage cut.
-
-    The folder is the one that spark.checkpoint.dir names; only a session without one (as in
-    tests on one machine) gets a temporary folder. Lost executors lose nothing: the files are shared.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteloom-"))
+    """df, materialised in the shared checkpoint folder, with its lineage cut. Lost executors lose nothing: the files are shared."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
