@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import documents, map_texts
 
 #: Pieces whose encodings one worker keeps; an older generation of as many stays readable.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Pairs of tokens whose adjacency one worker keeps.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 200_000
 
 
 class Vocabulary:
@@ -90,15 +90,15 @@ class Vocabulary:
 
 
 class Pairs(dict):
-    """adjacent() by pair of tokens, as far as it was asked; starts anew when full."""
+    """adjacent() by pair of tokens (left * 2**32 + right), as far as it was asked; starts anew when full."""
 
     def __init__(self, adjacent):
         self.adjacent = adjacent
 
-    def __missing__(self, pair: tuple[int, int]) -> bool:
+    def __missing__(self, pair: int) -> bool:
         if len(self) >= CACHE_PAIRS:
             self.clear()
-        found = self[pair] = self.adjacent(*pair)
+        found = self[pair] = self.adjacent(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
 
@@ -126,7 +126,7 @@ class PrefixEncoder:
                     fits.append((at, node[-1]))
             while fits:
                 at, token = fits.pop()
-                if at < 0 or known[last[at], token]:
+                if at < 0 or known[last[at] << 32 | token]:
                     last.append(token)
                     break
             else:

@@ -11,24 +11,25 @@ from pyspark.sql.types import StructType
 
 from siteloom.session import ship, table
 
-#: Texts are handed to the workers' functions in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+#: Texts are handed to the workers' functions in slices of at most so many rows and about so many characters.
+SLICE_ROWS, SLICE_CHARS = 512, 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts that hold about SLICE_CHARS characters, one text at least."""
-    first = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= SLICE_CHARS:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with their texts (null: empty); a long text is a part of its own. Only a part's texts are Python strings at one time."""
+    for top in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(top, SLICE_ROWS)
+        texts = [t or "" for t in part.column(text_col).to_pylist()]
+        first = held = 0
+        for k, text in enumerate(texts):
+            held += len(text)
+            if held >= SLICE_CHARS or k + 1 == len(texts):
+                yield part.slice(first, k + 1 - first), texts[first : k + 1]
+                first, held = k + 1, 0
 
 
 def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make: Callable[[], Callable[[list[str]], dict[str, list]]]) -> DataFrame:
@@ -49,10 +50,8 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     def run(batches):
         work = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            for first, end in slices(texts):
-                got = work(texts[first:end])
-                part = batch.slice(first, end - first)
+            for part, texts in slices(batch, "__text"):
+                got = work(texts)
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 cols += [pa.array(got[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)

@@ -234,11 +234,9 @@ def kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def run(batches):
         labelling, scorer = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for first, end in slices(texts):
-                part = texts[first:end]
-                z = (1 - SCORER_SHARE) * labelling.log_odds(np.array([votes(t) for t in part])) + SCORER_SHARE * scorer.log_odds(part)
-                yield batch.slice(first, end - first).filter(pa.array(z >= 0))
+            for part, texts in slices(batch, text_col):
+                z = (1 - SCORER_SHARE) * labelling.log_odds(np.array([votes(t) for t in texts])) + SCORER_SHARE * scorer.log_odds(texts)
+                yield part.filter(pa.array(z >= 0))
 
     return df.select(*ids, text_col).mapInArrow(run, df.select(*ids, text_col).schema).select(*df.columns)
 
