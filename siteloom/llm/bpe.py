@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import documents, map_texts
 
 #: Pieces whose encodings one worker keeps; an older generation of as many stays readable.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 #: Pairs of tokens whose adjacency one worker keeps.
 CACHE_PAIRS = 200_000
 
@@ -29,6 +29,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.backward: dict = {}
         self.known = Pairs(self.adjacent)
@@ -155,32 +156,66 @@ class PrefixEncoder:
 
     def tokens(self) -> list[int]:
         """The encoding of all bytes, walked back from the last entry."""
-        out, at, size = [], len(self.data), self.vocabulary.bytes_of
+        out, at, size = [], len(self.data), self.vocabulary.size
         while at:
             out.append(self.last[at - 1])
-            at -= len(size[out[-1]])
+            at -= size[out[-1]]
         return out[::-1]
 
 
+def short_tokens(vocabulary: Vocabulary, data: bytes) -> tuple[int, ...]:
+    """As PrefixEncoder(vocabulary, data).tokens(), for short data: entries are computed from the end, only those that are asked for."""
+    root, known, last = vocabulary.backward, vocabulary.known, [None] * len(data)
+
+    def ask(end: int) -> int:
+        token = last[end]
+        if token is None:
+            node, at, fits = root, end, []
+            while at >= 0:
+                node = node.get(data[at])
+                if node is None:
+                    break
+                at -= 1
+                if -1 in node:
+                    fits.append((at, node[-1]))
+            while fits:
+                at, token = fits.pop()
+                if at < 0 or known[ask(at) << 32 | token]:
+                    break
+            last[end] = token
+        return token
+
+    out, at, size = [], len(data) - 1, vocabulary.size
+    while at >= 0:
+        out.append(ask(at))
+        at -= size[out[-1]]
+    out.reverse()
+    return tuple(out)
+
+
+#: Bytes up to which short_tokens is used; it recurses.
+SHORT = 64
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Cache(dict):
-    """(" id id ...", ids) by piece; forgets the older half when it is full."""
+    """ids by piece; forgets the older half when it is full."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.older = vocabulary, {}
+        self.names = {i: str(i) for i in vocabulary.bytes_of}
 
-    def __missing__(self, piece: str):
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.older.get(piece)
         if found is None:
             data = piece.encode("utf-8", "replace")
             whole = self.vocabulary.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary, data).tokens())
-            found = (" " + " ".join(map(str, ids)), ids)
-        if len(piece) <= 64:
+            found = (whole,) if whole is not None else short_tokens(self.vocabulary, data) if len(data) <= SHORT else tuple(PrefixEncoder(self.vocabulary, data).tokens())
+        if len(piece) <= SHORT:
             if len(self) >= CACHE_PIECES:
                 self.older = dict(self)
                 self.clear()
@@ -193,9 +228,10 @@ _READY: dict[int, Cache] = {}
 
 def encode(texts: Iterable[str], pattern, cache: Cache) -> Iterable[tuple[str, list[int]]]:
     """(decimal ids joined by one space, ids) of each text."""
+    of, name = cache.__getitem__, cache.names.__getitem__
     for text in texts:
-        parts = [cache[p] for p in pattern.findall(text)]
-        yield "".join([p[0] for p in parts])[1:], list(chain.from_iterable([p[1] for p in parts]))
+        ids = list(chain.from_iterable(map(of, pattern.findall(text))))
+        yield " ".join(map(name, ids)), ids
 
 
 def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_cols: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
