@@ -40,8 +40,10 @@ def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits
     similarity of 0.7 is missed with a chance of 1e-4 at 128 values; the limit itself is exact.
     """
     nodes = checkpointed(df.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(id_col).alias("rep")))
-    bands = nodes.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1), lambda b: F.struct(b.alias("b"), F.slice("sig", b * rows + 1, rows).alias("v")))))
-    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.rep < y.rep").select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst"), F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+    bands = nodes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("band"))
+    # names only: a pair that shares many bands meets its signatures once
+    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.rep < y.rep").select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")).distinct()
+    pairs = pairs.join(nodes.select(F.col("rep").alias("src"), F.col("sig").alias("a")), "src").join(nodes.select(F.col("rep").alias("dst"), F.col("sig").alias("b")), "dst")
     far = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     edges = pairs.where(far <= F.size("a") * bits * (1 - hash_sim) / 2).select("src", "dst").distinct()
     named = nodes.join(connected_components(edges).withColumnRenamed("node", "rep"), "rep", "left").select(F.col("sig").alias(sig), F.coalesce("component", "rep").alias("component"))

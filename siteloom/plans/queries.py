@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteloom.operators import annotate, dedup, finalpass, peaks, qc, sites as sites_
+from siteloom.functions.sequences import extract_umi
+from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, mispriming, peaks, qc, reassign, similarity, sites as sites_
 from siteloom.plans import adapters as a
+from siteloom.sources import setup
+from siteloom.streaming.dedup import gap_runs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -190,3 +193,139 @@ def qc_alignment_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     al = a.alignments(spark, sf_dir).withColumns({c: F.lit("N") for c in ("ltr_umi", "linker_umi", "ltr_match", "linker_match")})
     return qc.single_fragments(qc.qc(al)).drop("seq2")
+
+
+@query(f"""WITH RECURSIVE {a.READS}, n AS (SELECT DISTINCT family, seq1 AS s FROM reads),
+e AS (SELECT x.family, x.s AS a, y.s AS b FROM n x JOIN n y ON x.family = y.family AND x.s <> y.s AND abs(length(x.s) - length(y.s)) <= 5 AND 1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)) >= 0.95),
+c(family, a, b) AS (SELECT family, s, s FROM n UNION SELECT c.family, c.a, e.b FROM c JOIN e ON c.family = e.family AND c.b = e.a), m AS (SELECT family, a AS s, min(b) AS seq_group FROM c GROUP BY ALL)
+SELECT read_name, m.seq_group FROM reads JOIN m ON reads.family = m.family AND reads.seq1 = m.s""")
+def sequence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.sequence_groups(a.reads(spark, sf_dir), ["family"], "seq1", 0.95, 5).select("read_name", "seq_group")
+
+
+@query()
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = similarity.minimizers(a.reads(spark, sf_dir), "seq1", 4, 4).withColumn("sig", similarity.minhash(F.col("tokens"), 128))
+    return similarity.signature_groups(signed, "read_name", "sig", similarity.default_hash_similarity(0.95, 4))
+
+
+@query()
+def multi_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.multi_fuzzy(dedup.multi_exact(a.reads(spark, sf_dir)), ["family"])[0].select("read_name", "seq1", "count")
+
+
+@query(f"""WITH {a.READS}, k AS (SELECT read_name, unnest(list_distinct([substr(seq1, i, 4) FOR i IN range(1, length(seq1) - 2)])) AS kmer FROM reads) SELECT kmer, count(*) AS reads FROM k GROUP BY kmer""")
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = a.reads(spark, sf_dir).select(F.explode(F.array_distinct(similarity.kmers(F.col("seq1"), 4))).alias("kmer"))
+    return held.groupBy("kmer").agg(F.count("*").alias("reads"))
+
+
+_INDEX = f"""{a.READS}, u AS (SELECT *, 'chr' || CAST(1 + family % 4 AS VARCHAR) AS chrom, CASE WHEN family % 2 = 0 THEN '+' ELSE '-' END AS strand, family * 1000 + length(read_name) AS pos FROM reads),
+ux AS (SELECT chrom, strand, substr(seq1, 1, 15) AS prefix, pos, seq1, row_number() OVER (PARTITION BY chrom, strand, substr(seq1, 1, 15) ORDER BY pos, length(seq1), seq1, read_name) AS n FROM u)"""
+
+
+def _unique_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = a.reads(spark, sf_dir)
+    pos = F.col("family") * 1000 + F.length("read_name")
+    return r.withColumn("chrom", F.concat(F.lit("chr"), (1 + F.col("family") % 4).cast("string"))).withColumn("strand", F.when(F.col("family") % 2 == 0, "+").otherwise("-")).withColumn("start", pos).withColumn("end", pos)
+
+
+@query(f"WITH {_INDEX} SELECT chrom, strand, prefix, pos, seq1 FROM ux WHERE n = 1")
+def unique_prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reassign.prefix_index(_unique_reads(spark, sf_dir), 15).select("chrom", "strand", "prefix", "pos", "seq1")
+
+
+@query()
+def prefix_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique = _unique_reads(spark, sf_dir)
+    multi = a.reads(spark, sf_dir).withColumn("chrom", F.lit("chrX")).withColumn("strand", F.lit("+")).withColumn("start", F.lit(0).cast("long")).withColumn("end", F.length("seq1").cast("long"))
+    return reassign.relocate(multi, reassign.prefix_index(unique, 15)).select("read_name", "chrom", "strand", "start", "end", "mapping_class")
+
+
+@query()
+def multi_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = a.fragments(spark, sf_dir).join(a.reads(spark, sf_dir).select("read_name", "seq1", "seq2"), "read_name")
+    return reassign.reassign(f.where("map_qual < 4"), f.where("map_qual >= 4")).select("read_name", "chrom", "strand", "start", "end", "mapping_class")
+
+
+_CODES = [("s1", "ACGT"), ("s2", "GGTT"), ("s3", "TACA"), ("s4", "CCGA")]
+_VALUES = ", ".join(f"('{s}', '{b}', {k})" for k, (s, b) in enumerate(_CODES))
+
+
+def _barcodes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, b, k) for k, (s, b) in enumerate(_CODES)], "sample string, barcode string, ord int")
+
+
+@query(f"""WITH {a.READS}, codes(sample, barcode, ord) AS (VALUES {_VALUES}), m AS (SELECT read_name, sample, row_number() OVER (PARTITION BY read_name ORDER BY ord) AS n FROM reads JOIN codes ON hamming(substr(seq1, 1, 4), barcode) <= 1)
+SELECT read_name, sample FROM reads LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (read_name)""")
+def barcode_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demux.index_demux(a.reads(spark, sf_dir), F.substring("seq1", 1, 4), _barcodes(spark), error_rate=0.25).select("read_name", "sample")
+
+
+@query(f"""WITH {a.READS}, codes(sample, barcode, ord) AS (VALUES {_VALUES}),
+m1 AS (SELECT read_name, sample, row_number() OVER (PARTITION BY read_name ORDER BY ord) AS n FROM reads JOIN codes ON hamming(substr(seq1, 1, 4), barcode) <= 1), m2 AS (SELECT read_name, sample, row_number() OVER (PARTITION BY read_name ORDER BY ord) AS n FROM reads JOIN codes ON hamming(substr(seq1, 5, 4), barcode) <= 1)
+SELECT m1.read_name, m1.sample FROM m1 JOIN m2 ON m1.n = 1 AND m2.n = 1 AND m1.read_name = m2.read_name AND m1.sample = m2.sample""")
+def dual_barcode_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = demux.index_demux(a.reads(spark, sf_dir), F.substring("seq1", 1, 4), _barcodes(spark), F.substring("seq1", 5, 4), _barcodes(spark), error_rate=0.25)
+    return got.where("sample is not null").select("read_name", "sample")
+
+
+@query(f"""WITH {a.READS}, t AS (SELECT read_name, concat('NNNNNN', substr(seq1, 1, 1 + CAST(count AS INT))) AS p FROM reads), v AS (SELECT read_name, substr(right(p, 6), 1, 4) AS w FROM t) SELECT read_name, CASE WHEN regexp_matches(w, '[ATGC]{{3}}') THEN w ELSE 'N' END AS umi FROM v""")
+def umi_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.substr(F.col("seq1"), F.lit(1), (1 + F.col("count")).cast("int"))
+    return a.reads(spark, sf_dir).select("read_name", extract_umi(before, 4, 2, "NNN").alias("umi"))
+
+
+@query(f"""WITH {a.READS}, x AS (SELECT i - 1 AS position, substr(rpad(seq1, 40, 'N'), i, 1) AS base FROM reads, (SELECT unnest(range(1, 41)) AS i)), c AS (SELECT position, base, count(*) AS n FROM x GROUP BY ALL),
+r AS (SELECT *, n / sum(n) OVER (PARTITION BY position) AS share, row_number() OVER (PARTITION BY position ORDER BY n DESC, base) AS k FROM c)
+SELECT CAST(position AS INT) AS position, base, round(share, 6) AS share, CASE WHEN share >= 0.3 THEN base ELSE 'N' END AS called FROM r WHERE k = 1""")
+def positional_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.positional_consensus(a.reads(spark, sf_dir), "seq1", 40, 0.3).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {a.READS}, c AS (SELECT substr(seq1, 1, 2) AS matched, count(*) AS n FROM reads GROUP BY 1), t AS (SELECT sum(n) AS t FROM c)
+SELECT CASE WHEN n >= 0.06 * t THEN matched ELSE 'Other' END AS matched, round(sum(n) / any_value(t), 6) AS share FROM c, t GROUP BY 1""")
+def variant_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.shares(a.reads(spark, sf_dir).select(F.substring("seq1", 1, 2).alias("matched")), 0.06).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {a.FRAGMENTS} SELECT chrom, {_PROJECT.split(", CASE")[0]}, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS site_strand, "end" - start AS length, count(*) AS n FROM fragments GROUP BY ALL""")
+def length_location_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abundance.length_matrix(sites_.project_sites(a.fragments(spark, sf_dir), tsd=5, u3=True))
+
+
+@query()
+def mle_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abundance.abundance(sites_.project_sites(a.fragments(spark, sf_dir)).withColumn("sample", F.col("chrom")), "sample")
+
+
+@query()
+def adapter_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = a.reads(spark, sf_dir)
+    tagged = r.select("read_name", F.concat("ltr_umi", F.lit("GTCATTGCAC"), "seq1").alias("seq1"), F.repeat(F.lit("I"), 43).alias("qual1"))
+    return crop.crop(tagged, "GTCATTGCAC", min_frag_len=20, ltr_umi=(1, 0, None))
+
+
+@query()
+def mispriming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _unique_reads(spark, sf_dir)
+    contigs = r.groupBy(F.col("chrom").alias("contig")).agg(F.array_join(F.array_sort(F.collect_set(F.col("seq1"))), "").alias("seq"))
+    placed = r.select("read_name", "chrom", (F.col("start") % 5000).alias("site_start"), (F.col("start") % 5000 + 1).alias("site_end"), F.col("strand").alias("site_strand")).distinct()
+    kept, bad = mispriming.split_misprimed(placed, mispriming.genome_chunks(contigs, 1 << 14), "ACGTTGCACGTACCATGGCA")
+    return kept.withColumn("misprimed", F.lit(False)).unionByName(bad.select(*kept.columns).withColumn("misprimed", F.lit(True)))
+
+
+@query(f"""WITH {a.SITES}, e AS (SELECT event_type, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), l AS (SELECT *, CASE WHEN t - lag(t) OVER w < 3600 THEN 0 ELSE 1 END AS cut FROM e WINDOW w AS (PARTITION BY event_type, user_id ORDER BY t)),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT event_type, user_id, min(t) AS start, max(t) + 3600 AS "end", count(*) AS n FROM g GROUP BY event_type, user_id, g""")
+def event_gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = a.table(spark, sf_dir, "events").select("event_type", "user_id", F.date_trunc("second", "ts").cast("timestamp").alias("ts"))
+    got = gap_runs(e, "ts", "3600 seconds", ["event_type", "user_id"])
+    return got.withColumn("start", F.unix_timestamp("start")).withColumn("end", F.unix_timestamp("end"))
+
+
+@query("""SELECT c_name AS name, coalesce(upper(n_name), c_mktsegment) AS ltr, n_name IS NOT NULL AS ltr_known FROM customer LEFT JOIN nation ON CAST(c_nationkey AS VARCHAR) = CAST(n_nationkey AS VARCHAR) AND n_nationkey < 20""".replace("c_mktsegment)", "CAST(c_nationkey AS VARCHAR))"))
+def primer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = a.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("ltr"), F.lit("x").alias("linker"))
+    primers = a.table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("sequence"))
+    return setup.primer_lookup(sheet, primers).select("name", "ltr", "ltr_known")
