@@ -75,7 +75,12 @@ def hamming_links(fps: DataFrame, radius: int = 2, hot_bucket: int = HOT_BUCKET)
     fps = fps.select("fp").where("fp is not null").distinct()
     reach = (radius // 2, max(0, radius - radius // 2 - 1))
     held = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), seg.alias("seg")) for t, seg in enumerate(_segments(F.col("fp")))])).alias("s")).select("fp", "s.t", "s.seg")
-    probes = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(32, reach[t])]), lambda m, seg=seg: seg.bitwiseXOR(m)).alias("near"), seg.alias("own")) for t, seg in enumerate(_segments(F.col("fp")))])).alias("s"))
+    masks = [F.array(*[F.lit(m).cast("long") for m in _ball(32, r)]) for r in reach]
+
+    def near(t: int, seg: Column) -> Column:
+        return F.struct(F.lit(t).alias("t"), F.transform(masks[t], lambda m: seg.bitwiseXOR(m)).alias("near"), seg.alias("own"))
+
+    probes = fps.select("fp", F.explode(F.array(*[near(t, seg) for t, seg in enumerate(_segments(F.col("fp")))])).alias("s"))
     probes = probes.select("fp", "s.t", "s.own", F.explode("s.near").alias("seg"))
     hot = checkpointed(held.groupBy("t", "seg").count().where(F.col("count") > hot_bucket).select("t", "seg"))
     # each pair of different segments is fetched from its smaller side only
