@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import documents, map_texts
 
 #: Pieces whose encodings one worker keeps; an older generation of as many stays readable.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 150_000
 #: Pairs of tokens whose adjacency one worker keeps.
 CACHE_PAIRS = 100_000
 

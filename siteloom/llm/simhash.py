@@ -87,7 +87,9 @@ def hamming_links(fps: DataFrame, radius: int = 2, hot_bucket: int = HOT_BUCKET)
     cold = probes.where("seg >= own").join(held.withColumnRenamed("fp", "other").join(hot, ["t", "seg"], "left_anti"), ["t", "seg"])
     pairs = cold.where((F.col("own") < F.col("seg")) | (F.col("fp") < F.col("other"))).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
     edges = pairs.select(F.col("fp").alias("src"), F.col("other").alias("dst"))
-    near_hot = probes.join(hot, ["t", "seg"], "left_semi").select("fp").distinct()
+    # the balls around the few hot values, instead of all balls against them: distance is symmetric
+    around = hot.withColumn("seg", F.explode(F.when(F.col("t") == 0, F.transform(masks[0], lambda m: F.col("seg").bitwiseXOR(m))).otherwise(F.transform(masks[1], lambda m: F.col("seg").bitwiseXOR(m))))).distinct()
+    near_hot = held.join(around, ["t", "seg"], "left_semi").select("fp").distinct()
     centres = near_hot.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(64, radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
     least = centres.groupBy("centre").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").select("centre", "dst")
     met = centres.join(least, "centre").where("fp > dst").select(F.col("fp").alias("src"), "dst")
