@@ -48,14 +48,13 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        work, pool = make(), pa.default_memory_pool()
+        work = make()
         for batch in batches:
             for part, texts in slices(batch, "__text"):
                 got = work(texts)
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 cols += [pa.array(got[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-            pool.release_unused()  # workers live on, and so would what a batch of long texts took
 
     return sent.mapInArrow(run, out)
 
