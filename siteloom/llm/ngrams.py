@@ -38,7 +38,9 @@ class Batch:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a penalised logistic regression on soft labels y, by accelerated gradient steps."""
     n, d = x.shape
-    x = np.hstack([x, np.ones((n, 1))]).astype(np.float32)  # all in single precision: else each product copies x
+    with_one = np.ones((n, d + 1), np.float32)  # all in single precision: else each product copies x
+    with_one[:, :d] = x
+    x = with_one
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     v = np.ones(d + 1, np.float32) / np.float32(np.sqrt(d + 1))
     for _ in range(20):  # the largest eigenvalue of the curvature

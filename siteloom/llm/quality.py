@@ -196,6 +196,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> tu
         half = len(r.x) // 2
         x[k, np.frombuffer(r.x[:half], np.int32)] = np.frombuffer(r.x[half:], np.float32)
     y = labelling.posterior(np.array([_unpattern(r.pattern) for r in got]))
+    del got
     w, b = logistic(x, y, np.ones(len(y)), PENALTY, ROUNDS)
     return labelling, Scorer(w[: 1 << BITS] * _SCALE[0], w[1 << BITS :] * _SCALE[1], b)
 
