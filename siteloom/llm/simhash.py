@@ -12,15 +12,15 @@ exactly if they share such a value, so this is exact as well, and makes no pairs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteloom.llm.common import documents, map_texts
-from siteloom.llm.vectors import runs
 from siteloom.operators.graph import connected_components
-from siteloom.session import checkpointed, ship
+from siteloom.session import checkpointed
 
 SEED = 42
 #: Different fingerprints with one table value, above which they meet at centres.
@@ -117,140 +117,90 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 #: similarity J of the shingle sets the expected share is acos(2J / (1 + J)) / pi, 39 bits for J = 0.8,
 #: with a deviation of 6 bits.
 WIDE, NEAR_BITS = 4, 47
-#: Rows of one block of a table value's fingerprints.
+#: Tables that near copies meet in, and smallest hashes that make one key: with BANDS independent tables a pair
+#: of similarity J has no key in common with a chance of (1 - J^BAND_ROWS)^BANDS, 3e-6 for J = 0.8.
+BANDS, BAND_ROWS = 24, 4
+#: Rows of one block of a key's texts.
 BLOCK_ROWS = 1024
 
 
-def wide(features: list[bytes]) -> list[int]:
-    """256 majority bits over different features, as four signed longs."""
-    if not features:
-        return [0] * WIDE
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The sorted XXH64 of the different word shingles; of a shorter text, of all its words; none without words."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if len(parts) < words:
+        parts, words = [b" ".join(parts)], 1
+    n, hashed = len(parts) - words + 1, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(b" ".join(s), SEED) for s in zip(*(parts[k : k + n] for k in range(words)))), np.uint64, n))
+
+
+def name_of(hashes: np.ndarray) -> int:
+    """One signed long for a set of hashes; 0 for none."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+
+
+def wide(h: np.ndarray) -> list[int]:
+    """256 majority bits over different hashes, as four signed longs."""
     counts = np.zeros((WIDE, 64), np.int64)
-    for at in range(0, len(features), CHUNK):
-        h = np.array([xxhash.xxh64_intdigest(f, SEED) for f in features[at : at + CHUNK]], np.uint64)
+    for at in range(0, len(h), CHUNK):
         for k in range(WIDE):
-            g = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k)  # further hashes, from the first one
+            g = h[at : at + CHUNK] * np.uint64(0x9E3779B97F4A7C15 + 2 * k)  # further hashes, from the first one
             g ^= g >> np.uint64(29)
             g *= np.uint64(0xBF58476D1CE4E5B9)
             g ^= g >> np.uint64(32)
             counts[k] += np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(features), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
-
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
-def _wide_pair(text: str, words: int) -> tuple[list[int], list[int]]:
-    """Of the different words, for the tables; and of the different shingles, for the distance."""
-    parts = text.encode().lower().split()
-    shingles = {b" ".join(s) for s in zip(*(parts[k:] for k in range(words)))} if len(parts) >= words else {b" ".join(parts)} - {b""}
-    return wide(list(set(parts))), wide(list(shingles))
-
-
-class _Value:
-    """Fingerprints that share a table value, as far as they are in one block."""
-
-    def __init__(self, batches: list[pa.RecordBatch], most: int):
-        self.node = np.concatenate([b.column("node").to_numpy() for b in batches])
-        self.full = np.concatenate([matrix_of_longs(b.column("full")) for b in batches])
-        self.most, self.root = most, np.arange(len(self.node))
-        for first in range(0, len(self.node), 256):
-            for k, row in enumerate(self._near(self.full[first : first + 256]), first):
-                self._unite(np.flatnonzero(row[: k + 1]))
-
-    def _near(self, full: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(full[:, None, :] ^ self.full[None, :, :]).sum(2, dtype=np.int64) <= self.most
 
-    def _find(self, k: int) -> int:
-        while self.root[k] != k:
-            self.root[k] = self.root[self.root[k]]
-            k = self.root[k]
-        return k
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 
-    def _unite(self, linked: np.ndarray) -> int:
-        roots = {self._find(k) for k in np.unique(self.root[linked])}
-        low = min(roots)
-        for r in roots:
-            self.root[r] = low
-        return low
 
-    def meet(self, batch: pa.RecordBatch) -> list[tuple]:
-        out, node, full = [], batch.column("node").to_numpy(), matrix_of_longs(batch.column("full"))
-        for first in range(0, len(node), 256):
-            for k, row in enumerate(self._near(full[first : first + 256]), first):
-                if len(linked := np.flatnonzero(row)):
-                    out.append((int(node[k]), int(self.node[self._unite(linked)])))
-        return out
+def band_keys(h: np.ndarray) -> list[int]:
+    """One signed long for each table, of the smallest values that BAND_ROWS further hashes take on the set; none for an empty set."""
+    if not len(h):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 512):
+        g = h[at : at + 512] * (_DRAWN[0] * np.uint64(2) + np.uint64(1))
+        g ^= g >> np.uint64(32)
+        g *= _DRAWN[1] | np.uint64(1)
+        least = np.minimum(least, g.min(1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).view(np.int64)) for k, r in enumerate(rows)]
 
-    def end(self) -> list[tuple]:
-        return [(int(self.node[k]), int(self.node[r])) for k in range(len(self.node)) if (r := self._find(k)) != k]
 
+def near_links(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (src, dst) whose connected components are those of all pairs among rows (node, bands) that have
+    a band in common and that `linked` leaves of a table (src, dst).
 
-def matrix_of_longs(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
-
-
-def near_links(rows: DataFrame, most: int = NEAR_BITS) -> DataFrame:
-    """Edges (src, dst) that connect what is linked among rows (node, keys, full): fingerprints `full`
-    that differ in at most `most` bits and of whose `keys` some segment of 32 bits differs in one bit or none.
-
-    Tables hold the segments' values, and each row enumerates the ball of radius 1 around its own
-    ones; of two different values only the smaller looks up the larger. What shares a value is compared
-    within blocks of bounded size, past which the others stream, and leaves spanning edges, no pairs.
+    A band's rows are first held against its smallest node. Rows that this links, also over several bands,
+    need no comparison with each other: what is left are the pairs of a band that lie in different
+    components so far. Only rows outside a band's largest component look up the others, in blocks.
     """
-    ship(rows.sparkSession)
-    masks = F.array(*[F.lit(m).cast("long") for m in _ball(32, 1)])
-    split = F.flatten(F.transform("keys", lambda k: F.array(F.shiftrightunsigned(k, 32), k.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    held = rows.select("node", F.posexplode(split).alias("t", "seg"))
-    looks = held.select("node", "t", F.explode(F.filter(F.transform(masks, lambda m: F.col("seg").bitwiseXOR(m)), lambda s: s > F.col("seg"))).alias("seg"))
-    guests = checkpointed(looks.join(held.select("t", "seg").distinct(), ["t", "seg"], "left_semi"))
-    sizes = held.groupBy("t", "seg").agg(F.count("*").alias("n"))
-    asked = guests.select("t", "seg").distinct().withColumn("asked", F.lit(True))
-    busy = sizes.join(asked, ["t", "seg"], "left").where("n > 1 or asked").select("t", "seg", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    both = held.withColumn("role", F.lit(0)).unionByName(guests.withColumn("role", F.lit(1))).join(busy, ["t", "seg"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # a home row visits one of each two other blocks, so that each two blocks meet once
-    visit = lambda b: (b == own) | ((own < b) == ((own + b) % 2 == 0)) | (F.col("role") == 1)
-    dealt = both.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), visit)))
-    dealt = dealt.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == own), 0).otherwise(1))
-    group = ["t", "seg", "block"]
-    dealt = dealt.select("node", *group, "role").join(rows.select("node", "full"), "node")
-
-    def join(batches):
-        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-        give = lambda found: pa.RecordBatch.from_pylist([{"src": a, "dst": b} for a, b in found], schema=schema)
-        found, homes, value, last = [], [], None, None
-        for key, _, part in runs(batches, [*group, "role"]):
-            if key[:3] != last:
-                if value is None and len(homes) and sum(h.num_rows for h in homes) > 1:
-                    value = _Value(homes, most)
-                if value is not None:
-                    found += value.end()
-                homes, value, last = [], None, key[:3]
-            if key[3] == 0:
-                homes.append(part)
-                continue
-            if value is None:
-                if not homes:
-                    continue
-                value = _Value(homes, most)
-            found += value.meet(part)
-            if len(found) > 10_000:
-                yield give(found)
-                found = []
-        if value is None and len(homes) and sum(h.num_rows for h in homes) > 1:
-            value = _Value(homes, most)
-        if value is not None:
-            found += value.end()
-        yield give(found)
-
-    return dealt.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(join, "src long, dst long").distinct()
+    held = rows.select("node", F.explode("bands").alias("band"))
+    shared = held.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band", "lead")
+    busy = checkpointed(held.join(shared, "band"))
+    stars = checkpointed(busy.where("node > lead").select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct())
+    edges = checkpointed(linked(stars))
+    named = busy.join(connected_components(edges), "node", "left").select("node", "band", F.coalesce("component", "node").alias("part"))
+    sizes = named.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    mixed = checkpointed(named.join(sizes.where("parts > 1").select("band", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "band"))
+    homes = mixed.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("home"), F.col("part").alias("home_part"), "main")
+    guests = mixed.where("part <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "part")
+    met = guests.join(homes, ["band", "block"]).where("part <> home_part and (home_part = main or node < home)")
+    rest = met.select(F.least("node", "home").alias("src"), F.greatest("node", "home").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
+    rest = checkpointed(rest)
+    return edges.unionByName(linked(rest)) if rest.limit(1).count() else edges
 
 
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """df with one row of each group of near copies: one that has the group's smallest id. Columns as they were.
 
     Near copies are texts whose sets of word shingles have a similarity of about 0.8 or more, told by
-    256-bit fingerprints. A radius of 2 of 64 bits would find only nearly equal texts; so the tables
-    hold segments of a fingerprint of the different words, which moves less, and the distance that
-    counts is the one of the shingles' fingerprint. Texts without words are one group. Rows without
+    256-bit fingerprints of these sets. A radius of 2 of 64 bits would find only nearly equal texts, and
+    segments of bits only some of the pairs within 47; so they meet in independent tables of the sets'
+    smallest hashes. Texts without words are one group. Rows without
     id form groups like others, but a row with id goes before them. Of rows with that id and equal
     texts one stays, of different texts one as well. An empty table stays empty.
     """
@@ -258,16 +208,22 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def make():
         def work(texts):
-            made = [_wide_pair(t, words) for t in texts]
-            return {"keys": [a for a, _ in made], "full": [b for _, b in made]}
+            sets = [shingle_hashes(t, words) for t in texts]
+            return {"node": [name_of(s) for s in sets], "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets], "full": [wide(s) for s in sets]}
 
         return work
 
-    docs = checkpointed(map_texts(named, ["id", "h"], "text", "keys array<long>, full array<long>", make))
+    docs = checkpointed(map_texts(named, ["id", "h"], "text", "node long, size int, bands array<long>, full array<long>", make))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    texts = checkpointed(docs.groupBy("keys", "full").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    links = connected_components(near_links(texts.select("node", "keys", "full")))
-    grouped = texts.join(links, "node", "left").select("keys", "full", "first", F.coalesce("component", "node").alias("part"))
+    texts = checkpointed(docs.groupBy("node", "size", "bands", "full").agg(F.min(order).alias("first")))
+
+    def linked(pairs):
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("full").alias(f"{c}_full"))
+        far = F.aggregate(F.zip_with("src_full", "dst_full", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+        return pairs.join(side("src"), "src").join(side("dst"), "dst").where(far <= NEAR_BITS).select("src", "dst")
+
+    links = connected_components(near_links(texts, linked))
+    grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")
     every = docs.groupBy("id", "h").agg(F.count("*").alias("n"))

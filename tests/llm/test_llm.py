@@ -260,6 +260,23 @@ def test_near_copies(spark, monkeypatch):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and simhash.first_of_groups(docs(spark, [])).count() == 0
 
 
+def appended_and_cut(rng, groups, words):
+    """For each group a text, one with words appended and one that is cut, and the 5-word similarity of both to it."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, n = [], words - 4
+    for k in range(groups):
+        w = [word() for _ in range(words)]
+        rows += [(10 * k, " ".join(w), "s"), (10 * k + 1, " ".join(w + [word() for _ in range(words * 16 // 100)]), "s"), (10 * k + 2, " ".join(w[: words * 86 // 100]), "s")]
+    assert n / (n + words * 16 // 100) > 0.8 and (words * 86 // 100 - 4) / n > 0.8
+    return rows
+
+
+def test_near_copies_appended_and_cut(spark):
+    rng = random.Random(16)
+    left = simhash.first_of_groups(docs(spark, appended_and_cut(rng, 40, 200))).collect()
+    assert sum(r.doc_id % 10 > 0 for r in left) <= 6  # of 80
+
+
 # --- classifiers
 
 
