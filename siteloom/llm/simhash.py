@@ -113,10 +113,12 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.join(found, "fp").select(id_col, "fp", "component_id")
 
 
-#: Words of 64 bits in a wide fingerprint, and the bits of 256 in which near copies may differ: at a
-#: similarity J of the shingle sets the expected share is acos(2J / (1 + J)) / pi, 39 bits for J = 0.8,
-#: with a deviation of 6 bits.
-WIDE, NEAR_BITS = 4, 47
+#: Least similarity (Jaccard) of the shingle sets of near copies, as a fraction.
+NEAR = (4, 5)
+#: Words of 64 bits in a wide fingerprint, and the bits of 256 past which a pair isn't compared exactly: at a
+#: similarity J of the shingle sets the expected share is acos(2J / (1 + J)) / pi, 39 bits for J = 0.8 (up to
+#: 48 in sets of a few shingles), with a deviation of 6 bits, so that NEAR_BITS is 6 deviations away.
+WIDE, NEAR_BITS = 4, 88
 #: Tables that near copies meet in, and smallest hashes that make one key: with BANDS independent tables a pair
 #: of similarity J has no key in common with a chance of (1 - J^BAND_ROWS)^BANDS, 3e-6 for J = 0.8.
 BANDS, BAND_ROWS = 24, 4
@@ -197,14 +199,15 @@ def near_links(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> Dat
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """df with one row of each group of near copies: one that has the group's smallest id. Columns as they were.
 
-    Near copies are texts whose sets of word shingles have a similarity of about 0.8 or more, told by
-    256-bit fingerprints of these sets. A radius of 2 of 64 bits would find only nearly equal texts, and
-    segments of bits only some of the pairs within 47; so they meet in independent tables of the sets'
-    smallest hashes. Texts without words are one group. Rows without
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. They meet in
+    independent tables of the sets' smallest hashes; fingerprints of 256 bits that are far apart rule pairs out,
+    and the sets themselves decide. A radius of 2 of 64 bits would find only nearly equal texts, and
+    segments of bits only some of the pairs. Texts without words are one group. Rows without
     id form groups like others, but a row with id goes before them. Of rows with that id and equal
     texts one stays, of different texts one as well. An empty table stays empty.
     """
     named = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    named = named.withColumn("key", F.xxhash64("id", "h"))
 
     def make():
         def work(texts):
@@ -215,12 +218,26 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     docs = checkpointed(map_texts(named, ["id", "h"], "text", "node long, size int, bands array<long>, full array<long>", make))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    texts = checkpointed(docs.groupBy("node", "size", "bands", "full").agg(F.min(order).alias("first")))
+    texts = checkpointed(docs.groupBy("node", "size", "bands", "full").agg(F.min(order).alias("first")).withColumn("key", F.xxhash64("first.id", "first.h")))
+
+    def make_sets():
+        def work(texts):
+            sets = [shingle_hashes(t, words) for t in texts]
+            return {"node": [name_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+
+        return work
 
     def linked(pairs):
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("full").alias(f"{c}_full"))
+        side = lambda c: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "full", "key")])
         far = F.aggregate(F.zip_with("src_full", "dst_full", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-        return pairs.join(side("src"), "src").join(side("dst"), "dst").where(far <= NEAR_BITS).select("src", "dst")
+        alike = NEAR[1] * F.least("src_size", "dst_size").cast("long") >= NEAR[0] * F.greatest("src_size", "dst_size").cast("long")
+        close = checkpointed(pairs.join(side("src"), "src").join(side("dst"), "dst").where(alike & (far <= NEAR_BITS)).select("src", "dst", "src_key", "dst_key"))
+        # only the texts of such pairs are moved, once, and their sets made again
+        asked = close.select(F.explode(F.array("src_key", "dst_key")).alias("key")).distinct()
+        sets = checkpointed(map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, hashes array<long>", make_sets))
+        both = close.select("src", "dst").join(sets.withColumnRenamed("node", "src"), "src").join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("others")), "dst")
+        common = F.size(F.array_intersect("hashes", "others")).cast("long")
+        return both.where(NEAR[1] * common >= NEAR[0] * (F.size("hashes") + F.size("others") - common)).select("src", "dst")
 
     links = connected_components(near_links(texts, linked))
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))

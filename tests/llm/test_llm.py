@@ -277,6 +277,30 @@ def test_near_copies_appended_and_cut(spark):
     assert sum(r.doc_id % 10 > 0 for r in left) <= 6  # of 80
 
 
+def shingle_set(t, words=5):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_copies_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = appended_and_cut(rng, 20, 200)
+    for k in range(30):
+        w = [word() for _ in range(60)]
+        rows += [(1000 + 10 * k, " ".join(w), "s"), (1001 + 10 * k, " ".join(w + [word() for _ in range(16 + k % 10)]), "s")]  # 0.68 to 0.78
+        short = [word() for _ in range(10)]
+        rows += [(2000 + 10 * k, " ".join(short), "s"), (2001 + 10 * k, " ".join(short[:9] + [word()]), "s"), (2002 + 10 * k, " ".join(short[:9]), "s")]  # 5 of 7, 5 of 6
+    frame = [word() for _ in range(120)]
+    rows += [(3000 + k, " ".join(frame[: 60 + k]), "s") for k in range(0, 60, 3)] + [(4000 + k, " ".join(frame[:80] + [word() for _ in range(15)]), "s") for k in range(10)]
+    rows += [(5000, None, "s"), (5001, " ", "s"), (5002, "a b", "s"), (5003, "A  b", "s"), (5004, "a c", "s")]
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sorted(r.doc_id for r in simhash.first_of_groups(docs(spark, rows)).collect()) == sorted(set(components(list(sets), near).values()))
+
+
 # --- classifiers
 
 
