@@ -21,7 +21,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"  # runs of 32 and more, each from its start
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# '=' belongs to a run as trailing padding only: what stands after NAME= is a run of its own
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,6}+(?![A-Za-z0-9+/_=-]))?+"
 #: Level of the false-discovery control, and bits that a reported string must carry at least.
 LEVEL, LEAST_BITS = 0.05, 90
 #: p-values are counted in bins of this many powers of ten, up to LAST_BIN.

@@ -138,6 +138,20 @@ def test_secrets_randomness(spark):
     assert secrets.cleared_from([(5, 0, 10), (5, 200, 10)]) == {5: 27} or 0 < secrets.cleared_from([(5, 0, 10), (5, 200, 10)])[5] <= 200
 
 
+def test_secrets_after_equals_signs(spark):
+    import base64
+
+    rng = random.Random(5)
+    rows, values = [], {}
+    for k in range(60):
+        v = base64.b64encode(rng.randbytes(32)).decode()
+        text = f"AWS_SECRET_ACCESS_KEY={v}\nauth={v} https://x.y/z?sig={v}&a=b"
+        rows.append((k, text, "s"))
+        values[k] = [m.span() for m in re.finditer(re.escape(v), text)]
+    got = {r.doc_id: [(x.start, x.end) for x in r.found if x.kind == "random_base64"] for r in secrets.secret_spans(docs(spark, rows), ["doc_id"]).collect()}
+    assert sum(got[k] == values[k] for k in values) >= 50
+
+
 # --- BPE
 
 
