@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteloom.session import checkpointed, table
 
-#: Shorter normalised passages are too common to tell a message.
+#: Shorter normalised paragraphs and lines are too common to tell a message; whole passages and messages count at any length.
 LEAST_CHARS = 12
 MARKS = r"^(?:[ \t]*>)+ ?"
 #: A line that only announces a quotation.
@@ -23,8 +23,8 @@ LEAD_IN = r"(?i)^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$"
 def _units(body: str) -> str:
     """SQL: hashes and lengths of a passage, its paragraphs and its lines, normalised, each once."""
     norm = "trim(lower(regexp_replace({}, '\\\\s+', ' ')))"
-    parts = f"concat(array({body}), split({body}, '\\\\n[ \\\\t]*\\\\n'), split({body}, '\\\\n'))"
-    said = f"filter(transform({parts}, u -> {norm.format('u')}), u -> length(u) >= {LEAST_CHARS})"
+    parts = f"concat(split({body}, '\\\\n[ \\\\t]*\\\\n'), split({body}, '\\\\n'))"
+    said = f"concat(filter(array({norm.format(body)}), u -> u <> ''), filter(transform({parts}, u -> {norm.format('u')}), u -> length(u) >= {LEAST_CHARS}))"
     return f"transform(array_distinct({said}), u -> struct(md5(u) as h, length(u) as n))"
 
 

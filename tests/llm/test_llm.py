@@ -375,6 +375,12 @@ def test_chat(spark):
     assert {r.turn: (r.depth, r.thread) for r in deep} == {k: (k, 0) for k in range(20)}
 
 
+def test_chat_short_quotes(spark):
+    rows = [(1, 0, "u", "Thanks!"), (1, 1, "a", "> Thanks!\nYou are welcome"), (1, 2, "u", "Yes, do it"), (1, 3, "a", ">  yes,  do it\nDone"), (1, 4, "u", "ok\n\nA longer paragraph of words"), (1, 5, "a", "> \nx")]
+    got = {r.turn: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k].reply_to for k in range(6)] == [None, 0, None, 2, None, None] and [got[k].n_quotes for k in (1, 3, 5)] == [1, 1, 0]
+
+
 # --- PII
 
 
