@@ -33,13 +33,23 @@ def default_hash_similarity(seq_sim: float, token: int) -> float:
     return round(max(0.0, seq_sim**token / (2 - seq_sim**token) - 0.05), 3)
 
 
-def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits: int = 32, rows: int = 4) -> DataFrame:
+#: Chance at which the bands may miss a pair at the limit.
+MISS = 1e-4
+
+
+def band_rows(hash_sim: float, num_perm: int) -> int:
+    """The most values in a band with which two signatures that share a part hash_sim of num_perm values have no band in common with a chance of at most MISS; 1 if none does."""
+    return max((r for r in range(1, num_perm + 1) if (1 - hash_sim**r) ** (num_perm // r) <= MISS), default=1)
+
+
+def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits: int = 32, rows: int | None = None) -> DataFrame:
     """(id_col, component): rows whose signatures differ in at most len * bits * (1 - hash_sim) / 2 bits, and chains of them.
 
-    Pairs come from bands of `rows` values; equal signatures are one node. A pair at the limit of a
-    similarity of 0.7 is missed with a chance of 1e-4 at 128 values; the limit itself is exact.
+    Pairs come from bands of `rows` values, by default as many as miss a pair at the limit with a chance of
+    at most MISS; equal signatures are one node. The limit itself is exact.
     """
     nodes = checkpointed(df.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(id_col).alias("rep")))
+    rows = rows or band_rows(hash_sim, nodes.agg(F.max(F.size("sig"))).first()[0] or 1)
     bands = nodes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("band"))
     # names only: a pair that shares many bands meets its signatures once
     pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.rep < y.rep").select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")).distinct()

@@ -230,3 +230,18 @@ def test_abundance_and_consensus(spark):
     assert consensus.reliable("A" * 20, [1.0] * 10 + [0.2] * 10, 0.5) == "A" * 10 + "N" * 10
     shares = {r.matched: r.share for r in consensus.variant_shares(reads, "ACGTACGGG", error_rate=0.0).collect()}
     assert shares == {"ACGTACGGG": 1.0}
+
+
+def test_signature_groups_at_a_low_limit(spark):
+    import random
+
+    from siteloom.operators import similarity
+
+    rng, rows = random.Random(12), []
+    for k in range(150):  # half of the values equal, at the limit of long reads
+        sig = [rng.getrandbits(32) for _ in range(128)]
+        same = set(rng.sample(range(128), 64))
+        rows += [(f"{k:03}a", sig), (f"{k:03}b", [v if i in same else rng.getrandbits(32) for i, v in enumerate(sig)])]
+    got = {r[0]: r[1] for r in similarity.signature_groups(spark.createDataFrame(rows, "id string, sig array<long>"), "id", "sig", similarity.default_hash_similarity(0.95, 8)).collect()}
+    assert sum(got[f"{k:03}a"] == got[f"{k:03}b"] for k in range(150)) >= 149
+    assert [similarity.band_rows(h, 128) for h in (0.446, 0.637)] == [2, 3]
