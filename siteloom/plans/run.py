@@ -1,4 +1,4 @@
-"""A whole run: alignments to site tables, for all samples of the table in one job."""
+"""A whole run: alignments of one sample to its site tables. A sample column isn't carried through: run each sample by itself."""
 
 from __future__ import annotations
 
