@@ -15,10 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteloom.llm.common import documents, map_texts
+from siteloom.llm.vectors import runs
 from siteloom.operators.graph import connected_components
 from siteloom.session import checkpointed
 
@@ -122,8 +124,10 @@ WIDE, NEAR_BITS = 4, 88
 #: Tables that near copies meet in, and smallest hashes that make one key: with BANDS independent tables a pair
 #: of similarity J has no key in common with a chance of (1 - J^BAND_ROWS)^BANDS, 3e-6 for J = 0.8.
 BANDS, BAND_ROWS = 24, 4
-#: Rows of one block of a key's texts.
-BLOCK_ROWS = 1024
+#: Rows and shingles of one block of a group, about, and guests that are held against a block at once.
+BLOCK_ROWS, BLOCK_SHINGLES, GUESTS = 1024, 1 << 20, 256
+#: Texts of a block that must hold a shingle for it to become a column of a matrix, and columns of one matrix.
+COMMON, COLUMNS = 16, 4096
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -172,37 +176,125 @@ def band_keys(h: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).view(np.int64)) for k, r in enumerate(rows)]
 
 
-def near_links(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (src, dst) whose connected components are those of all pairs among rows (node, bands) that have
-    a band in common and that `linked` leaves of a table (src, dst).
-
-    A band's rows are first held against its smallest node. Rows that this links, also over several bands,
-    need no comparison with each other: what is left are the pairs of a band that lie in different
-    components so far. Only rows outside a band's largest component look up the others, in blocks.
+class SetBlock:
+    """The shingle sets of a block's texts, by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, place, self.held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.values, self.owner = values, owner[np.argsort(place, kind="stable")]
+        self.starts = np.cumsum(self.held) - self.held
+
+    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each of the given sets has in common with each text: rare shingles are
+        counted by their owners, those that COMMON texts or more hold are columns of matrices."""
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        asked = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(self.values, asked), len(self.values) - 1)
+        known = self.values[at] == asked
+        row, at = row[known], at[known]
+        rare = self.held[at] < COMMON
+        many = self.held[at[rare]]
+        first = np.repeat(self.starts[at[rare]], many)
+        owner = self.owner[first + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)]
+        n = len(self.sizes)
+        out = np.bincount(np.repeat(row[rare], many) * n + owner, minlength=len(sets) * n).reshape(-1, n)
+        row, at = row[~rare], at[~rare]
+        common = np.unique(at)
+        place = np.searchsorted(common, at)
+        for low in range(0, len(common), COLUMNS):
+            part = common[low : low + COLUMNS]
+            mine, theirs = np.zeros((len(sets), len(part)), np.float32), np.zeros((n, len(part)), np.float32)
+            here = (place >= low) & (place < low + COLUMNS)
+            mine[row[here], place[here] - low] = 1
+            for k, v in enumerate(part):
+                theirs[self.owner[self.starts[v] : self.starts[v] + self.held[v]], k] = 1
+            out = out + (mine @ theirs.T).astype(np.int64)
+        return out
+
+
+def _met(batches):
+    """(src, dst) from rows (lead, block, role, node, part, hashes) sorted by the first three: a node of a guest (role 1)
+    and one of a text of the block (role 0) that is near it, for each other part which holds such a text."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    block, last, held = None, None, []
+    for key, _, part in runs(batches, ["lead", "block", "role"]):
+        if key[:2] != last:
+            block, last, held = None, key[:2], []
+        if key[2] == 0:
+            held.append(part)
+            continue
+        if block is None:
+            if not held:
+                continue
+            sets = [np.frombuffer(h, np.uint64) for p in held for h in p.column("hashes").to_pylist()]
+            node, own = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("node", "part"))
+            block, held = SetBlock(sets), held[:1]
+        for first in range(0, part.num_rows, GUESTS):
+            some = part.slice(first, GUESTS)
+            guests = [np.frombuffer(h, np.uint64) for h in some.column("hashes").to_pylist()]
+            common = block.shared(guests)
+            near = NEAR[1] * common >= NEAR[0] * (np.array([len(g) for g in guests])[:, None] + block.sizes[None, :] - common)
+            near &= some.column("part").to_numpy()[:, None] != own[None, :]
+            at, of = np.nonzero(near)
+            _, one = np.unique(np.stack([at, own[of]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.column("node").to_numpy()[at[one]]), pa.array(node[of[one]])], schema=schema)
+
+
+def near_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the nodes that are linked to another one, over all pairs of rows (node, size, bands, full,
+    key) that have a band in common and whose shingle sets, sets_of(keys) -> (node, hashes), are similar enough.
+
+    A band is led by the one of its texts that shares bands with most others, so that few texts lead
+    most bands of a family of copies. All texts of a leader's bands are one group. First they are
+    held against the leader only; what this links needs no comparison any more. In groups that are
+    still in several parts the texts outside the largest part then look up all others. Both go block by block,
+    and only edges leave a block: neither pairs nor whole groups are ever in one task.
     """
     held = rows.select("node", F.explode("bands").alias("band"))
-    shared = held.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band", "lead")
+    shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     busy = checkpointed(held.join(shared, "band"))
-    stars = checkpointed(busy.where("node > lead").select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct())
-    edges = checkpointed(linked(stars))
-    named = busy.join(connected_components(edges), "node", "left").select("node", "band", F.coalesce("component", "node").alias("part"))
-    sizes = named.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-    mixed = checkpointed(named.join(sizes.where("parts > 1").select("band", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "band"))
-    homes = mixed.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("home"), F.col("part").alias("home_part"), "main")
-    guests = mixed.where("part <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "part")
-    met = guests.join(homes, ["band", "block"]).where("part <> home_part and (home_part = main or node < home)")
-    rest = met.select(F.least("node", "home").alias("src"), F.greatest("node", "home").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
-    rest = checkpointed(rest)
-    return edges.unionByName(linked(rest)) if rest.limit(1).count() else edges
+    known = busy.groupBy("node").agg(F.sum("n").alias("pop"))
+    leads = busy.select("node", "band").join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", "node")).alias("lead"))
+    members = checkpointed(busy.select("node", "band").join(leads, "band").select("lead", "node").distinct())  # the leader too
+
+    def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
+        """Edges between guests and the homes of their group; both (lead, node, part)."""
+        facts = rows.select("node", "size", "key")
+        homes = checkpointed(homes.join(facts, "node"))
+        blocks = homes.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = homes.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "part")
+        asks = guests.join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "part")
+        keys = homes.select("node", "key").unionByName(guests.join(facts, "node").select("node", "key")).distinct()
+        sent = dealt.unionByName(asks).join(checkpointed(sets_of(keys)), "node").select("lead", "block", "role", "node", "part", "hashes")
+        return checkpointed(sent.repartition("lead", "block").sortWithinPartitions("lead", "block", "role").mapInArrow(_met, "src long, dst long"))
+
+    side = lambda c: rows.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("full").alias(f"{c}_full"))
+    far = F.aggregate(F.zip_with("lead_full", "node_full", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    alike = NEAR[1] * F.least("lead_size", "node_size").cast("long") >= NEAR[0] * F.greatest("lead_size", "node_size").cast("long")
+    close = members.where("lead <> node").join(side("lead"), "lead").join(side("node"), "node").where(alike & (far <= NEAR_BITS)).select("lead", "node", F.col("node").alias("part"))
+    close = checkpointed(close)
+    edges = met(close, close.select("lead", F.col("lead").alias("node"), F.col("lead").alias("part")).distinct())
+    parts = connected_components(edges)
+    named = checkpointed(members.join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("part")))
+    sizes = named.groupBy("lead", "part").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    mixed = named.join(sizes.where("parts > 1"), "lead")
+    # the leader has met the rest of its group
+    rest = met(mixed.select("lead", "node", "part"), mixed.where("part <> main and node <> lead").select("lead", "node", "part"))
+    part = lambda c: named.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")).distinct()
+    joined = connected_components(rest.join(part("src"), "src").join(part("dst"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")))
+    every = parts.select("node", F.col("component").alias("part")).unionByName(joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("part")))
+    return every.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))
 
 
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """df with one row of each group of near copies: one that has the group's smallest id. Columns as they were.
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. They meet in
-    independent tables of the sets' smallest hashes; fingerprints of 256 bits that are far apart rule pairs out,
-    and the sets themselves decide. A radius of 2 of 64 bits would find only nearly equal texts, and
-    segments of bits only some of the pairs. Texts without words are one group. Rows without
+    independent tables of the sets' smallest hashes; fingerprints of 256 bits that are far apart rule out that a text is
+    near the leader of its table value, and the sets themselves decide. A radius of 2 of 64 bits would find only nearly
+    equal texts, and segments of bits only some of the pairs. Texts without words are one group. Rows without
     id form groups like others, but a row with id goes before them. Of rows with that id and equal
     texts one stays, of different texts one as well. An empty table stays empty.
     """
@@ -223,23 +315,16 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def make_sets():
         def work(texts):
             sets = [shingle_hashes(t, words) for t in texts]
-            return {"node": [name_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+            return {"node": [name_of(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
 
         return work
 
-    def linked(pairs):
-        side = lambda c: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "full", "key")])
-        far = F.aggregate(F.zip_with("src_full", "dst_full", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-        alike = NEAR[1] * F.least("src_size", "dst_size").cast("long") >= NEAR[0] * F.greatest("src_size", "dst_size").cast("long")
-        close = checkpointed(pairs.join(side("src"), "src").join(side("dst"), "dst").where(alike & (far <= NEAR_BITS)).select("src", "dst", "src_key", "dst_key"))
-        # only the texts of such pairs are moved, once, and their sets made again
-        asked = close.select(F.explode(F.array("src_key", "dst_key")).alias("key")).distinct()
-        sets = checkpointed(map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, hashes array<long>", make_sets))
-        both = close.select("src", "dst").join(sets.withColumnRenamed("node", "src"), "src").join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("others")), "dst")
-        common = F.size(F.array_intersect("hashes", "others")).cast("long")
-        return both.where(NEAR[1] * common >= NEAR[0] * (F.size("hashes") + F.size("others") - common)).select("src", "dst")
-
-    links = connected_components(near_links(texts, linked))
+    def sets_of(asked):
+        """The sets of these (node, key), made again: only their texts are moved."""
+        made = map_texts(named.join(asked.select("key"), "key", "left_semi"), [], "text", "node long, hashes binary", make_sets)
+        return made.dropDuplicates(["node"])
+
+    links = near_groups(texts, sets_of)
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")

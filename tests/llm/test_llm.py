@@ -315,6 +315,47 @@ def test_near_copies_by_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in simhash.first_of_groups(docs(spark, rows)).collect()) == sorted(set(components(list(sets), near).values()))
 
 
+def family(rng, n, words=100, swaps=9):
+    """Copies of one text with up to `swaps` words replaced: similar to it by 0.4 to 1, to each other less."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    w, out = [word() for _ in range(words)], []
+    for _ in range(n):
+        v = list(w)
+        for x in rng.sample(range(words), rng.randrange(swaps + 1)):
+            v[x] = word()
+        out.append(" ".join(v))
+    return out
+
+
+def test_near_copies_one_family(spark, monkeypatch):
+    """A large family of copies makes no table of pairs, and the groups are those of all pairs."""
+    made, kept = {}, simhash.checkpointed
+    for n in (400, 1600):
+
+        def counted(df):
+            got = kept(df)
+            made[n] = max(made.get(n, 0), got.count())
+            return got
+
+        monkeypatch.setattr(simhash, "checkpointed", counted)
+        rows = [(k, t, "s") for k, t in enumerate(family(random.Random(n), n))]
+        left = sorted(r.doc_id for r in simhash.first_of_groups(docs(spark, rows)).collect())
+        sets = {i: shingle_set(t) for i, t, _ in rows}
+        near = [(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        assert left == sorted(set(components(list(sets), near).values()))
+    assert made[1600] <= 6 * made[400] and made[1600] < 30 * 1600
+
+
+@pytest.mark.parametrize("common", [1, 6, 99])
+def test_shared_shingles(monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 90)).astype(np.uint64)) for _ in range(70)]
+    found = simhash.SetBlock(sets[:50]).shared(sets[50:])
+    assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[:50]] for a in sets[50:]]
+
+
 # --- classifiers
 
 
