@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from siteloom.session import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges from which the aggregate of a step is written before it is joined. Both sides of the join then
+#: come from shuffles of their own, and adaptive execution can split the edges of a node that has very many.
+SPLIT_EDGES = 1_000_000
+
+
+def _large_star(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every node hangs its larger neighbours on the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+    least = keep(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")))
     return both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every node hangs itself and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
+    least = keep(edges.groupBy("src").agg(F.min("dst").alias("low")))
     moved = edges.join(least, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.unionByName(least.select("src", F.col("low").alias("dst")))
 
@@ -25,8 +32,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): for every node that stands in an edge, the smallest node it can reach.
 
     Alternates large-star and small-star steps until nothing moves, a number of rounds that grows
-    with the logarithm of the longest path. Each step is an aggregate with partial sums and a join
-    whose only heavy side can be split, so a node with very many edges doesn't end in one task.
+    with the logarithm of the longest path. Each step is an aggregate with partial results and a join;
+    from SPLIT_EDGES edges on, the join's heavy side can be split, so a node with very many edges doesn't end in one task.
     Null ends and loops are ignored (a node that only has a loop is still returned); an empty input
     gives an empty result.
     """
@@ -36,7 +43,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
     seen = mark(now)
     for _ in range(max_rounds if seen[0] else 0):
-        now = checkpointed(_small_star(_large_star(now).distinct()).distinct())
+        keep = checkpointed if seen[0] >= SPLIT_EDGES else lambda df: df
+        now = checkpointed(_small_star(_large_star(now, keep).distinct(), keep).distinct())
         last, seen = seen, mark(now)
         if last == seen:
             break

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of a side that may be broadcast without looking at its size again.
+#: Most rows of a counted side that is broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; only a session without one (as in tests on
-    one machine) gets a temporary folder."""
+    """The shared folder that spark.checkpoint.dir names; only a session on one machine may be without one
+    and gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteloom-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -25,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, materialised and counted: marked for a broadcast up to BROADCAST_ROWS rows, of a few numbers each; beyond, a shuffle joins it."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
