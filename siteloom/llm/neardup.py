@@ -1,11 +1,11 @@
 """Embedding near-dedup: an exact metric range join.
 
 Cosine >= t between unit vectors is a Euclidean distance of at most r = sqrt(2 - 2t). Pivots, taken
-from a bounded sample of each large label, part its vectors into cells by the nearest pivot. A
-vector x of cell p is copied to cell q only if the triangle inequality leaves room for a partner
-there: d(x,q) <= r + (largest distance from q within its cell), d(x,q) - d(x,p) <= 2r and, as the
-border between two cells is a plane, (d(x,q)^2 - d(x,p)^2) / 2d(p,q) <= r. For each two cells only
-one side is copied. A cell is joined by itself; a large one in blocks of bounded size past which the
+from a bounded sample of each label, part its vectors into cells by the nearest pivot; cells that are
+still large are parted once more by pivots of their own. A vector x of cell p is copied to cell q only
+if the triangle inequality leaves room for a partner there, at both levels: d(x,q) <= r + (largest
+distance from q within its cell), d(x,q) - d(x,p) <= 2r and, as the border between two cells is a plane,
+(d(x,q)^2 - d(x,p)^2) / 2d(p,q) <= r. For each two cells only one side is copied. A cell is joined by itself; a large one in blocks of bounded size past which the
 other rows stream, so no task holds a cell. Only counts and spanning edges leave a block, no pairs.
 Equal vectors of a label are joined once, with their number as weight.
 """
@@ -22,14 +22,16 @@ from siteloom.llm.vectors import bounded_sample, matrix, runs, unit, usable
 from siteloom.operators.graph import connected_components
 from siteloom.session import checkpointed, ship, table
 
-#: Vectors of a label for which one more cell is made.
-CELL_ROWS = 2048
-#: Rows of a block, about.
+#: A label of n vectors has sqrt(n) / ROOT pivots, LABEL_PIVOTS at most.
+ROOT, LABEL_PIVOTS = 2, 512
+#: A cell of more than LARGE_CELL vectors is parted by one pivot for every CELL_ROWS of them, CELL_PIVOTS at most.
+LARGE_CELL, CELL_ROWS, CELL_PIVOTS = 8192, 2048, 64
+#: Pivots of all labels and cells of one level; labels and cells beyond, the smallest ones, are left in one piece.
+ALL_PIVOTS = 16384
+#: Rows of a block, about; cells that stay large are cut in more blocks.
 BLOCK_ROWS = 1024
-#: Pivots of one label and of all labels; cells that stay large for it are cut in more blocks.
-LABEL_PIVOTS, ALL_PIVOTS = 64, 2048
-#: Vectors from which the pivots are chosen.
-SAMPLE_ROWS = 8192
+#: Vectors from which the pivots of one level are chosen.
+SAMPLE_ROWS = 16384
 #: Added to every bound against rounding.
 SLACK = 1e-9
 
@@ -49,25 +51,119 @@ def _spread(rows: np.ndarray, k: int) -> np.ndarray:
     return rows[chosen]
 
 
-def _pivots(distinct: DataFrame, sizes: DataFrame) -> dict[tuple, np.ndarray]:
-    large = sizes.where(F.col("n") > CELL_ROWS).orderBy(F.desc("n"), "label", "dim").limit(ALL_PIVOTS // 2).collect()
-    if not large:
-        return {}
-    of = distinct.join(F.broadcast(distinct.sparkSession.createDataFrame([(r.label, r.dim) for r in large], sizes.select("label", "dim").schema)), ["label", "dim"])
-    groups: dict[tuple, list] = {}
-    for r in bounded_sample(of, ["label", "dim", "embedding"], "embedding", SAMPLE_ROWS):
-        groups.setdefault((r.label, r.dim), []).append(r.embedding)
-    out, left = {}, ALL_PIVOTS
-    for r in large:
-        k = min(math.ceil(r.n / CELL_ROWS), LABEL_PIVOTS, left)
-        if k > 1 and (r.label, r.dim) in groups:
-            out[r.label, r.dim] = _spread(unit(np.array(groups[r.label, r.dim], np.float64)), k)
-            left -= len(out[r.label, r.dim])
+def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (rows @ pivots.T)))
+
+
+class Cells:
+    """The cells of one label: top pivots, and pivots within some of their cells. A cell's number is first[top] + its place."""
+
+    def __init__(self, top: np.ndarray):
+        self.top, self.within = top, {}
+        self.part({})
+
+    def part(self, within: dict[int, np.ndarray]) -> None:
+        self.within = within
+        many = np.array([len(within[p]) if p in within else 1 for p in range(len(self.top))])
+        self.first = np.cumsum(many) - many
+
+    def home(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot, top, distance to it) of unit vectors."""
+        d = _distances(rows, self.top)
+        top, far = d.argmin(1), d.min(1)
+        cell, near = self.first[top], far.copy()
+        for p, pivots in self.within.items():
+            if len(at := np.flatnonzero(top == p)):
+                e = _distances(rows[at], pivots)
+                cell[at] += e.argmin(1)
+                near[at] = e.min(1)
+        return cell, near, top, far
+
+    @staticmethod
+    def _room(d: np.ndarray, pivots: np.ndarray, far: np.ndarray, r: float) -> np.ndarray:
+        """Rows by pivots: whether a vector whose nearest pivot is this one, at most `far` from it, can lie within r of the row."""
+        home = d.argmin(1)
+        least = d.min(1)[:, None]
+        between = _distances(pivots, pivots)[home]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = (d**2 - least**2) / (2 * between) > r
+        return (d - least <= 2 * r) & ~beyond & (d <= r + far[None, :])
+
+    def visits(self, rows: np.ndarray, r: float, far: dict[int, float], top_far: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells in which a partner of the row may be, its own cell among them; far, top_far: largest
+        distances from the pivots of cells and of tops that hold vectors."""
+        reach = np.array([top_far.get(p, -np.inf) for p in range(len(self.top))])
+        row, top = np.nonzero(self._room(_distances(rows, self.top), self.top, reach, r))
+        whole = ~np.isin(top, list(self.within))
+        out = [(row[whole], self.first[top[whole]])]
+        for p, pivots in self.within.items():
+            if len(at := row[top == p]):
+                reach = np.array([far.get(int(self.first[p]) + j, -np.inf) for j in range(len(pivots))])
+                i, j = np.nonzero(self._room(_distances(rows[at], pivots), pivots, reach, r))
+                out.append((at[i], self.first[p] + j))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _asked(sizes: list, wanted) -> list[tuple]:
+    """(key, pivots) of the largest groups, as long as ALL_PIVOTS last."""
+    out, left = [], ALL_PIVOTS
+    for key, n in sizes:
+        k = min(wanted(n), left)
+        if k > 1:
+            out.append((key, k))
+            left -= k
     return out
 
 
-def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * (rows @ pivots.T)))
+def _sampled(rows: DataFrame, keys: list[str], groups: list[tuple]) -> dict[tuple, np.ndarray]:
+    """Pivots of each (key, number), spread over a bounded sample of the groups' rows."""
+    named = rows.sparkSession.createDataFrame([key for key, _ in groups], rows.select(*keys).schema)
+    held: dict[tuple, list] = {}
+    for x in bounded_sample(rows.join(F.broadcast(named), keys), [*keys, "embedding"], "embedding", SAMPLE_ROWS):
+        held.setdefault(tuple(x[c] for c in keys), []).append(x.embedding)
+    return {key: _spread(unit(np.array(held[key], np.float64)), k) for key, k in groups if key in held}
+
+
+def _cells(distinct: DataFrame, sizes: DataFrame, typed: dict[str, str]) -> tuple[dict[tuple, Cells], dict[tuple, tuple[dict, dict, dict]]]:
+    """The cells of each label that has some, and their (blocks, far, far of the tops)."""
+    spark, keys = distinct.sparkSession, ["label", "dim"]
+    large = [((x.label, x.dim), x.n) for x in sizes.where(F.col("n") > ROOT**2).orderBy(F.desc("n"), *keys).limit(ALL_PIVOTS // 2).collect()]
+    groups = _asked(large, lambda n: min(math.ceil(math.sqrt(n) / ROOT), LABEL_PIVOTS))
+    if not groups:
+        return {}, {}
+    cells = {key: Cells(top) for key, top in _sampled(distinct, keys, groups).items()}
+    named = F.broadcast(spark.createDataFrame(list(cells), sizes.select(*keys).schema))
+
+    def homes() -> DataFrame:
+        shared = spark.sparkContext.broadcast(cells)
+
+        def assign(batches):
+            for batch in batches:
+                got = [np.zeros(batch.num_rows, t) for t in (np.int64, float, np.int64, float)]
+                for key, at in _by_label(batch):
+                    for column, found in zip(got, shared.value[key].home(unit(matrix(batch.column("embedding").take(pa.array(at)))))):
+                        column[at] = found
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "embedding")), *map(pa.array, got)], names=[*keys, "embedding", "cell", "near", "top", "far"])
+
+        return distinct.join(named, keys).select(*keys, "embedding").mapInArrow(assign, f"label {typed['label']}, dim int, embedding {typed['embedding']}, cell long, near double, top long, far double")
+
+    def counted() -> list:
+        return homes().groupBy(*keys, "top", "cell").agg(F.count("*").alias("n"), F.max("near").alias("near"), F.max("far").alias("far")).orderBy(F.desc("n"), *keys, "cell").collect()  # 2 * ALL_PIVOTS rows at most
+
+    found = counted()
+    more = _asked([((x.label, x.dim, x.top), x.n) for x in found if x.n > LARGE_CELL], lambda n: min(math.ceil(n / CELL_ROWS), CELL_PIVOTS))
+    if more:
+        within: dict[tuple, dict] = {}
+        for (label, dim, top), pivots in _sampled(homes(), [*keys, "top"], more).items():
+            within.setdefault((label, dim), {})[top] = pivots
+        for key, own in within.items():
+            cells[key].part(own)
+        found = counted()
+    known: dict[tuple, tuple[dict, dict, dict]] = {}
+    for x in found:
+        blocks, far, tops = known.setdefault((x.label, x.dim), ({}, {}, {}))
+        blocks[x.cell], far[x.cell], tops[x.top] = math.ceil(x.n / BLOCK_ROWS), x.near, max(x.far, tops.get(x.top, 0.0))
+    return cells, known
 
 
 def _by_label(batch: pa.RecordBatch):
@@ -142,30 +238,13 @@ def range_join(distinct: DataFrame, sizes: DataFrame, cosine: float) -> DataFram
     spark = distinct.sparkSession
     ship(spark)
     r = math.sqrt(2 - 2 * cosine) + SLACK
-    pivots = _pivots(distinct, sizes)
-    shared = spark.sparkContext.broadcast(pivots)
     fields = "label, dim, embedding, node, m"
     typed = {f.name: f.dataType.simpleString() for f in distinct.schema}
     ddl = ", ".join(f"{c} {typed[c]}" for c in fields.split(", "))
-
-    def assign(batches):
-        for batch in batches:
-            cell, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for key, at in _by_label(batch):
-                if key in shared.value:
-                    d = _distances(unit(matrix(batch.column("embedding").take(pa.array(at)))), shared.value[key])
-                    cell[at], far[at] = d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("dim"), pa.array(cell), pa.array(far)], names=["label", "dim", "cell", "far"])
-
-    cells: dict[tuple, dict[int, tuple[int, float]]] = {}
-    if pivots:
-        homes = distinct.join(F.broadcast(spark.createDataFrame(list(pivots), sizes.select("label", "dim").schema)), ["label", "dim"])
-        homes = homes.select("label", "dim", "embedding").mapInArrow(assign, f"label {typed['label']}, dim int, cell long, far double")
-        for x in homes.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # ALL_PIVOTS rows at most
-            cells.setdefault((x.label, x.dim), {})[x.cell] = (math.ceil(x.n / BLOCK_ROWS), x.far)
-    known = spark.sparkContext.broadcast(cells)
+    shared = spark.sparkContext.broadcast(_cells(distinct, sizes, typed))
 
     def deal(batches):
+        cells, known = shared.value
         for batch in batches:
             take, cell, block, role = [], [], [], []
 
@@ -177,27 +256,22 @@ def range_join(distinct: DataFrame, sizes: DataFrame, cosine: float) -> DataFram
 
             whole, mixed = batch.column("blocks").to_pylist(), batch.column("mixed").to_pylist()
             for key, at in _by_label(batch):
-                if key not in known.value:
-                    for k in at:
-                        own = mixed[k] % whole[k]
-                        for b in range(whole[k]):
-                            if b == own or _visits(own, b):
-                                put(k, 0, b, b == own)
-                    continue
-                points, have = shared.value[key], known.value[key]
-                d = _distances(unit(matrix(batch.column("embedding").take(pa.array(at)))), points)
-                between = _distances(points, points)
-                for k, row, home in zip(at, d, d.argmin(1).tolist()):
-                    own = mixed[k] % have[home][0]
-                    for b in range(have[home][0]):
+                if key not in known:
+                    homes, blocks, reach = [0] * len(at), {0: whole[at[0]]}, []
+                else:
+                    blocks, far, tops = known[key]
+                    rows = unit(matrix(batch.column("embedding").take(pa.array(at))))
+                    homes = cells[key].home(rows)[0].tolist()
+                    reach = zip(*(x.tolist() for x in cells[key].visits(rows, r, far, tops)))
+                for k, home in zip(at, homes):
+                    own = mixed[k] % blocks[home]
+                    for b in range(blocks[home]):
                         if b == own or _visits(own, b):
                             put(k, home, b, b == own)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        near = (row - row[home] <= 2 * r) & ~((row**2 - row[home] ** 2) / (2 * between[home]) > r)
-                    for c in np.flatnonzero(near).tolist():
-                        if c != home and c in have and _visits(home, c) and row[c] <= r + have[c][1]:
-                            for b in range(have[c][0]):
-                                put(k, c, b, False)
+                for k, c in reach:
+                    if c != homes[k] and c in blocks and _visits(homes[k], c):
+                        for b in range(blocks[c]):
+                            put(at[k], c, b, False)
             got = batch.select(fields.split(", ")).take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(role, pa.int32())], names=[*fields.split(", "), "cell", "block", "role"])
 
@@ -266,6 +340,7 @@ def embedding_neardup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of `embeddings`, as embedding_neardup states (nulls, ties, repeated rows, empty tables: see there)."""
     return embedding_neardup(table(spark, sf_dir, "embeddings"))
 
 
