@@ -12,57 +12,48 @@ source, and no text is shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siteloom.llm.common import documents
-from siteloom.session import checkpointed
+from siteloom.session import broadcast_if_small, checkpointed
 
-#: Blocks of a source, and the most sources that are weighed on the driver.
-BLOCKS, MOST_SOURCES = 4096, 100_000
+#: Blocks of a source, and ranges of places within the block that is cut (a power of two).
+BLOCKS, RANGES = 4096, 4096
+#: Exponents that one look at the sources' tokens weighs, and looks; together they halve the interval 40 times.
+EXPONENTS, LOOKS = 31, 8
 SEED = 11
 _NULL = "\x00null"
 
 
-def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
-    total = sum(tokens.values())
-    raised = {s: (t / total) ** exponent if t else 0.0 for s, t in tokens.items()}
-    norm = sum(raised.values())
-    return {s: r / norm for s, r in raised.items()}
-
-
-def entropy(shares: dict[str, float]) -> float:
-    return -sum(w * math.log(w) for w in shares.values() if w > 0)
-
-
-def passes(tokens: dict[str, int], exponent: float, budget: float | None) -> dict[str, float]:
-    """How often each source is read. Without a budget: the least one that reads every source once."""
-    w = weights(tokens, exponent)
-    if budget is None:
-        budget = max(t / w[s] for s, t in tokens.items() if t)
-    return {s: w[s] * budget / t if t else 1.0 for s, t in tokens.items()}
-
-
-def exponent_for(tokens: dict[str, int], target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
+def exponent_for(sums: Callable[[list[float]], list[tuple[float, float]]], total: int, least: int, most: int, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> float:
     """The exponent in [0, 1] that meets the target, by bisection; the nearest end where none does.
 
-    Entropy (in nats) falls as the exponent grows from 0, equal weights. With max_repeats the
-    smallest exponent counts whose largest number of passes stays within it.
+    sums gives for each exponent a, over the shares p of the sources with tokens, the sums of p^a and of
+    p^a ln p. Entropy (in nats) falls as the exponent grows from 0, equal weights. With max_repeats the
+    smallest exponent counts whose largest number of passes, that of the smallest source, stays within it.
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
 
-    def low_enough(a: float) -> bool:
+    def low_enough(exponents: list[float]) -> list[bool]:
         if target_entropy is not None:
-            return entropy(weights(tokens, a)) <= target_entropy
-        return max(passes(tokens, a, budget).values()) <= max_repeats * (1 + 1e-12)
-
-    if low_enough(0.0):
+            return [math.log(z) - a * zl / z <= target_entropy for a, (z, zl) in zip(exponents, sums(exponents))]
+        if budget is None:
+            often = [(most / least) ** (1 - a) for a in exponents]
+        else:
+            often = [(least / total) ** a / z * budget / least for a, (z, _) in zip(exponents, sums(exponents))]
+        return [n <= max_repeats * (1 + 1e-12) for n in often]
+
+    if low_enough([0.0])[0]:
         return 0.0
     low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (low, mid) if low_enough(mid) else (mid, high)
+    for _ in range(LOOKS):
+        grid = [low + (high - low) * k / (EXPONENTS + 1) for k in range(1, EXPONENTS + 1)]
+        met = [*low_enough(grid), True]
+        first = met.index(True)
+        low, high = [low, *grid][first], [*grid, high][first]
     return high
 
 
@@ -71,52 +62,66 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
+def _after(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with up, the sum of t up to each row of a source; few rows of each source at most."""
+    return df.withColumn("up", F.sum("t").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", *, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> DataFrame:
-    """df's rows as often as their source's weight asks for, with __epoch, __block and __place.
+    """df's rows as often as their source's weight asks for, with __epoch, __block and __place (which replace columns of these names).
 
     Ordered by __epoch, __block, __place a source's rows are its block permutations. Tokens are words.
     A null source is a source of its own. Rows without words (null and empty texts) cost nothing and
     come along with their block. Repeated rows with one id share their fate; a null id is an id. The
-    part of a pass ends with the document that reaches its budget. An empty table stays empty.
+    part of a pass ends with the document that reaches its budget. An empty table stays empty. Sources
+    may be as many as there are documents: their tokens stay a table, of which only sums are looked at.
     """
-    spark = df.sparkSession
     key = F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL))
     block = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(BLOCKS))
     base = df.select(key.alias("s"), block.alias("b"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("t"))
     blocks = checkpointed(base.groupBy("s", "b").agg(F.sum("t").alias("t")))
-    totals = blocks.groupBy("s").agg(F.sum("t").alias("t")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    tokens = {r.s: r.t for r in totals}
-    if not any(tokens.values()):
-        often = dict.fromkeys(tokens, 1.0)
-    else:
-        often = passes(tokens, exponent_for(tokens, target_entropy, max_repeats, budget), budget)
-    plan = []
-    for s, n in often.items():
-        whole = math.floor(n + 1e-9)
-        plan.append((s, whole, max(0, round((n - whole) * tokens[s]))))
-    plan_df = spark.createDataFrame(plan, "s string, whole int, part long")
-    order = lambda epoch: F.xxhash64(F.lit(SEED + 1), "s", epoch, "b")
-    place = lambda epoch: F.xxhash64(F.lit(SEED + 2), "id", epoch)
-    part = blocks.join(F.broadcast(plan_df.where("part > 0")), "s").withColumn("h", order(F.col("whole")))
-    part = part.withColumn("up", F.sum("t").over(Window.partitionBy("s").orderBy("h", "b")))  # BLOCKS rows of a source at most
-    cut = part.where("up >= part").groupBy("s").agg(F.min_by(F.struct("h", "b", "whole", (F.col("part") - F.col("up") + F.col("t")).alias("rest")), F.struct("h", "b")).alias("c"))
-    cut = cut.select("s", "c.*")
-    within = base.join(F.broadcast(cut), ["s", "b"]).withColumn("p", place(F.col("whole")))  # the documents of one block of each source
-    within = within.withColumn("before", F.sum("t").over(Window.partitionBy("s").orderBy("p", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t"))
-    ends = within.where("before < rest").groupBy("s").agg(F.max("p").alias("p"))
-    limits = {r.s: (r.h, r.b, r.p) for r in cut.select("s", "h", "b").join(ends, "s", "left").collect()}
-    rule = [(s, whole, *(limits.get(s, (None, None, None)) if share else (None, None, None))) for s, whole, share in plan]
-    rules = spark.createDataFrame(rule, "s string, __whole int, __h long, __b long, __p long")
-    wide = df.withColumn("__s", key).join(F.broadcast(rules.withColumnRenamed("s", "__s")), "__s")
-    at = F.struct(F.xxhash64(F.lit(SEED + 1), "__s", "__whole", block).alias("h"), block.alias("b"))
-    end = F.struct(F.col("__h").alias("h"), F.col("__b").alias("b"))
-    taken = F.col("__h").isNotNull() & ((at < end) | ((at == end) & (F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__whole") <= F.col("__p"))))
-    copies = F.col("__whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
-    out = wide.withColumn("__n", copies).where("__n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    out = out.withColumn("__block", F.xxhash64(F.lit(SEED + 1), "__s", "__epoch", block)).withColumn("__place", F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__epoch"))
-    return out.select(*df.columns, "__epoch", "__block", "__place")
+    sources = checkpointed(blocks.groupBy("s").agg(F.sum("t").alias("t")))
+    filled = sources.where("t > 0")
+    total, least, most = filled.agg(F.sum("t"), F.min("t"), F.max("t")).first()
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        p = F.col("t") / F.lit(float(total))
+        got = filled.agg(*[F.sum(x) for a in exponents for x in (F.pow(p, F.lit(a)), F.pow(p, F.lit(a)) * F.log(p))]).first()
+        return list(zip(got[::2], got[1::2]))
+
+    often = F.lit(1.0)
+    if total:
+        a = exponent_for(sums, total, least, most, target_entropy, max_repeats, budget)
+        norm = sums([a])[0][0]
+        if budget is None:  # the least one that reads every source once
+            budget = total * norm * max((t / total) ** (1 - a) for t in (least, most))
+        share = F.col("t") / F.lit(float(total))
+        often = F.when(F.col("t") > 0, F.pow(share, F.lit(a)) / F.lit(norm) * F.lit(float(budget)) / F.col("t")).otherwise(1.0)
+    plan = sources.withColumn("n", often).withColumn("whole", F.floor(F.col("n") + 1e-9).cast("int"))
+    plan = broadcast_if_small(plan.select("s", "whole", F.greatest(F.lit(0), F.round((F.col("n") - F.col("whole")) * F.col("t"))).cast("long").alias("part")))
+    order = F.xxhash64(F.lit(SEED + 1), "s", "whole", "b")
+    place = F.xxhash64(F.lit(SEED + 2), "id", "whole")
+    # the block that is cut, then the range of places in it, then the document: each ordered within its source
+    up = _after(blocks.join(plan.where("part > 0"), "s").withColumn("h", order), ["s"], ["h", "b"]).where("up >= part")
+    cut = broadcast_if_small(up.groupBy("s").agg(F.min_by(F.struct("h", "b", "whole", (F.col("part") - F.col("up") + F.col("t")).alias("rest")), F.struct("h", "b")).alias("c")).select("s", "c.*"))
+    within = base.join(cut, ["s", "b"]).groupBy("s", "rest", place.alias("p"), "id").agg(F.sum("t").alias("t"))
+    within = checkpointed(within.withColumn("r", F.shiftright("p", 64 - int(math.log2(RANGES)))))
+    up = _after(within.groupBy("s", "r", "rest").agg(F.sum("t").alias("t")), ["s"], ["r"]).where("up >= rest")
+    ranges = broadcast_if_small(up.groupBy("s").agg(F.min_by(F.struct("r", (F.col("rest") - F.col("up") + F.col("t")).alias("left")), "r").alias("c")).select("s", "c.*"))
+    up = _after(within.join(ranges, ["s", "r"]), ["s"], ["p", "id"]).where("up - t < left")
+    ends = up.groupBy("s").agg(F.max("p").alias("p"))
+    ends = cut.select("s", "h", "b").join(ends, "s", "left")
+    rules = plan.join(ends, "s", "left").select(F.col("s").alias("__mix_s"), F.col("whole").alias("__mix_whole"), F.col("h").alias("__mix_h"), F.col("b").alias("__mix_b"), F.col("p").alias("__mix_p"))
+    kept = [c for c in df.columns if c not in ("__epoch", "__block", "__place")]
+    wide = df.withColumn("__mix_s", key).join(broadcast_if_small(rules), "__mix_s")
+    at = F.struct(F.xxhash64(F.lit(SEED + 1), "__mix_s", "__mix_whole", block).alias("h"), block.alias("b"))
+    end = F.struct(F.col("__mix_h").alias("h"), F.col("__mix_b").alias("b"))
+    taken = F.col("__mix_h").isNotNull() & ((at < end) | ((at == end) & (F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__mix_whole") <= F.col("__mix_p"))))
+    copies = F.col("__mix_whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
+    out = wide.withColumn("__mix_n", copies).where("__mix_n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+    return out.select(
+        *kept, "__epoch", F.xxhash64(F.lit(SEED + 1), "__mix_s", "__epoch", block).alias("__block"), F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__epoch").alias("__place")
+    )
 
 
 #: Production setting: every document at least once, no source more than twice as often as another.
@@ -124,5 +129,6 @@ MAX_REPEATS = 2.0
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, epoch and the two keys of the order, for all documents as mix states; no source is read more than MAX_REPEATS times."""
     mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), max_repeats=MAX_REPEATS)
     return mixed.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__block").alias("block_key"), F.col("__place").alias("place_key"))
