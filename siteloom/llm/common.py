@@ -32,6 +32,14 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatc
                 first, held = k + 1, 0
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, longer by so many underscores that no column has it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make: Callable[[], Callable[[list[str]], dict[str, list]]]) -> DataFrame:
     """The columns `keep` of df and those that make()(texts) gives for its texts (null: empty).
 
@@ -40,7 +48,8 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     """
     ship(df.sparkSession)
     added = StructType.fromDDL(schema)
-    sent = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    hidden = fresh(keep, "__text")
+    sent = df.select(*[F.col(c) for c in keep], F.col(text_col).alias(hidden))
     out = StructType([sent.schema[c] for c in keep] + added.fields)
     names = [f.name for f in added.fields]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,7 +59,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     def run(batches):
         work = make()
         for batch in batches:
-            for part, texts in slices(batch, "__text"):
+            for part, texts in slices(batch, hidden):
                 got = work(texts)
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 cols += [pa.array(got[n], type=arrow.field(n).type) for n in names]
