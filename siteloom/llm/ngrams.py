@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of many texts at once."""
+"""Hashed n-grams of the bytes or characters of many texts at once."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ _MIX = np.uint32(0x9E3779B1)
 
 
 class Batch:
-    """Texts joined in one byte array, each between `pad` blanks, so no n-gram holds bytes of two texts."""
+    """Texts joined in one array of units (bytes, or characters as 4 bytes each), each between `pad` blanks, so no n-gram holds units of two texts."""
 
-    def __init__(self, texts: list[bytes], pad: int):
-        fill = b" " * pad
-        self.data = np.frombuffer(fill + (fill + fill).join(texts) + fill, np.uint8)
-        sizes = np.array([len(t) + 2 * pad for t in texts], np.int64)
+    def __init__(self, texts: list[bytes], pad: int, unit: str = "<u1"):
+        kind = np.dtype(unit)
+        fill = np.full(pad, 32, kind).tobytes()
+        self.data = np.frombuffer(fill + (fill + fill).join(texts) + fill, kind)
+        sizes = np.array([len(t) // kind.itemsize + 2 * pad for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.sizes = sizes
 
     def hashed(self, n: int, bits: int) -> np.ndarray:
-        """A bucket of 2**bits for the n-gram at each place (fewer than n bytes before the end: as if blanks followed)."""
-        data = np.concatenate([self.data, np.full(n - 1, 32, np.uint8)]) if n > 1 else self.data
+        """A bucket of 2**bits for the n-gram at each place (fewer than n units before the end: as if blanks followed)."""
+        data = np.concatenate([self.data, np.full(n - 1, 32, self.data.dtype)]) if n > 1 else self.data
         size, h = len(self.data), np.zeros(len(self.data), np.uint32)
         for k in range(n):
             h *= np.uint32(16777619)

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Fitted on at most TRAIN_ROWS labelled rows, the ones with the smallest hash of their id. Byte
+Fitted on at most TRAIN_ROWS labelled ids, the ones with the smallest hash. Character
 n-grams of the lower-cased text fall in buckets; a bucket's ratio is the logarithm of how much more
 often toxic than other training texts hold it. The buckets that tell most are kept, a text's counts
 in them are divided by the root of its length and multiplied by the ratios, and a logistic
@@ -26,7 +26,7 @@ PENALTY = 1e-4
 
 
 def _batch(texts: list[str]) -> Batch:
-    return Batch([t.encode("utf-8", "replace").lower() for t in texts], max(ORDERS) - 1)
+    return Batch([t.lower().encode("utf-32-le", "replace") for t in texts], max(ORDERS) - 1, "<u4")
 
 
 def _buckets(batch: Batch) -> list[np.ndarray]:
@@ -62,13 +62,13 @@ def _held(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled rows (label 0 or 1; other and null labels, null ids are passed over; the
-    larger label counts if an id has several). Without rows of both labels every score is the share
+    larger label counts if an id has several, and the first of its texts). Without rows of both labels every score is the share
     of label 1, or 0.0 without any rows."""
     spark = docs.sparkSession
     ship(spark)
     some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     some = some.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("text", "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
     texts = checkpointed(texts)  # at most `rows` texts
     many = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = many.get(0, 0), many.get(1, 0)
@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def toxicity(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols, score and predicted of every whole text; null texts count as empty. All rows stay."""
+    """id_cols, score and predicted of every whole text, of any length; null texts count as empty. All rows stay, repeated
+    ones with one score; an empty table gives an empty one. Other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -129,6 +130,7 @@ def toxicity(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model that fit learns from the labelled rows outside the held-out fold; a row without id is not held out."""
     docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     model = fit(docs, labels.where(fold != 0), "doc_id", "text", "toxic")
