@@ -3,8 +3,8 @@
 Heuristic labellers look at a text and vote good, bad or not at all. How accurate each of them is
 comes from expectation-maximisation over the counts of all vote patterns of the corpus, without any
 given label. The posteriors of a bounded sample then train a hashed linear scorer on runs of byte
-classes and short byte n-grams, which generalises beyond the votes; a document's quality is the
-scorer's probability, drawn with the posterior of its own votes.
+classes and short byte n-grams, which generalises beyond the votes. A document's score is the mean of the
+scorer's log-odds and those of its own votes, as a probability: not the scorer's alone.
 """
 
 from __future__ import annotations
@@ -201,24 +201,27 @@ def fit(df: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> tu
     return labelling, Scorer(w[: 1 << BITS] * _SCALE[0], w[1 << BITS :] * _SCALE[1], b)
 
 
+def _log_odds(fitted: tuple[Labelling, Scorer], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of good by the votes alone, and by both: a document is kept from 0 on."""
+    labelling, scorer = fitted
+    by_votes = labelling.log_odds(np.array([votes(t) for t in texts]))
+    return by_votes, (1 - SCORER_SHARE) * by_votes + SCORER_SHARE * scorer.log_odds(texts)
+
+
 def quality(df: DataFrame, id_cols: list[str], text_col: str = "text", fitted: tuple[Labelling, Scorer] | None = None) -> DataFrame:
     """id_cols, posterior (of the votes), score (0 to 1) and kept (score >= 0.5) of every row.
 
-    A null text counts as empty; empty texts have the one vote "too short". Repeated rows get the
-    same score. An empty table gives an empty one. All texts vote; TRAIN_ROWS of them train.
+    A null text counts as empty; empty texts have the one vote "too short". Texts of any length are read whole. Repeated rows
+    get the same score. An empty table gives an empty one; other columns are left out. All texts vote; TRAIN_ROWS of them train.
     """
     fitted = fitted or fit(df, id_cols[0], text_col)
     shared = df.sparkSession.sparkContext.broadcast(fitted)
 
     def make():
-        labelling, scorer = shared.value
-
         def work(texts):
-            by_votes = labelling.log_odds(np.array([votes(t) for t in texts]))
-            both = (1 - SCORER_SHARE) * by_votes + SCORER_SHARE * scorer.log_odds(texts)
+            by_votes, both = _log_odds(shared.value, texts)
             odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            score = odds(both)
-            return {"posterior": odds(by_votes), "score": score, "kept": score >= 0.5}
+            return {"posterior": odds(by_votes), "score": odds(both), "kept": both >= 0}
 
         return work
 
@@ -226,21 +229,19 @@ def quality(df: DataFrame, id_cols: list[str], text_col: str = "text", fitted: t
 
 
 def kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that the classifier rejects, columns as they were."""
+    """df without the rows that the classifier rejects, columns as they were. As quality otherwise."""
     ids = [c for c in df.columns if c != text_col]
-    fitted = fit(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col))
     ship(df.sparkSession)
 
     def run(batches):
-        labelling, scorer = shared.value
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                z = (1 - SCORER_SHARE) * labelling.log_odds(np.array([votes(t) for t in texts])) + SCORER_SHARE * scorer.log_odds(texts)
-                yield part.filter(pa.array(z >= 0))
+                yield part.filter(pa.array(_log_odds(shared.value, texts)[1] >= 0))
 
     return df.select(*ids, text_col).mapInArrow(run, df.select(*ids, text_col).schema).select(*df.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, score and verdict of every document, as quality states (nulls, empty and long texts, repeated rows, empty tables: see there)."""
     return quality(documents(spark, sf_dir), ["doc_id"])

@@ -5,8 +5,9 @@ is inferred from the characters, and a battery of randomness tests in that encod
 chi-squared uniformity over the alphabet, runs above and below its middle, and serial correlation
 of neighbours, combined by Fisher's method. A candidate is cleared when randomness can be rejected.
 The false-discovery rate of the clearings is held within each class of lengths (powers of two) over
-the whole corpus: tests of short strings are weak and many, those of long ones strong and few.
-What isn't cleared and carries enough bits for the tests to tell is reported.
+the whole corpus: tests of short strings are weak and many, those of long ones strong and few. So what is bounded
+is the share of random strings among those let go, not the share of ordinary ones among those reported, and a text's
+random spans depend on the rest of the corpus. What isn't cleared and carries enough bits for the tests to tell is reported.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def secret_spans(df: DataFrame, id_cols: list[str], text_col: str = "text", leve
 
     base holds the pattern kinds assign, access and hex (leftmost, not overlapping within a kind,
     failing matches dropped); found holds these and the untested kinds random_<encoding>. A null or
-    empty text has none. Repeated rows stay. An empty table gives an empty one. Offsets are code
-    points, ends exclusive.
+    empty text has none; texts of any length are read whole. Repeated rows stay. An empty table gives an empty one.
+    Offsets are code points, ends exclusive. Other columns are left out.
     """
     text = F.col("__text")
     docs = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -143,6 +144,7 @@ def written(col: str) -> Column:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document, as secret_spans states (nulls, empty and long texts, repeated rows, empty tables: see there)."""
     found = secret_spans(documents(spark, sf_dir), ["doc_id"])
     many = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *many, F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"))
