@@ -3,8 +3,8 @@
 The index is fitted on a bounded sample: list centres (k-means), a random rotation and the number of
 lists to probe, the smallest that finds RECALL of the sample's own neighbours. Every row is indexed.
 Within a list, rotated vectors lie in column blocks. A larger inner product means a smaller distance
-once the norms are known, so as soon as a query holds 20 rows, the 20th best product (of those, or of the
-sample) is for each candidate a bound on the distance. After each column block the partial distance, scaled by D/d, estimates the whole
+once the norms are known, so the 20th best product of a query, with the sample at first, then with the rows it
+holds, is for each candidate a bound on the distance. After each column block the partial distance, scaled by D/d, estimates the whole
 one; as the rotation is random, its error after d dimensions is of the order of 1/sqrt(d), and a
 candidate is abandoned when the hypothesis that it is near enough can be rejected. Survivors are
 scored exactly, on the original vectors in double precision.
@@ -29,8 +29,8 @@ BLOCK_ROWS = 4096
 RECALL = 0.97
 #: Dimensions of a column block, and the width of the test in units of 1/sqrt(dimensions).
 COLUMNS, WIDTH = 16, 2.1
-#: Candidates before the first and between two later updates of a query's bound, and queries scanned at once.
-FIRST, STEP, QUERIES = 64, 1024, 256
+#: Candidates between two updates of a query's bound, and queries scanned at once.
+STEP, QUERIES = 1024, 256
 
 
 def _centres(rows: np.ndarray, k: int, rng) -> np.ndarray:
@@ -114,15 +114,13 @@ class Scan:
         return q, x
 
     def search(self, own: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(query's row number, candidate's row number, its id, score): the k best of this block for each query, fewer if the
-        bounds let go of the others. Nothing is let go before a query holds k rows of the block."""
+        """(query's row number, candidate's row number, its id, score): for each query the k best of this block that reach its bound."""
         turned = rows @ self.rotation
         parts, squares = [turned[:, c] for c in self.columns], (rows * rows).sum(1)
         best, found, which = np.full((len(own), self.k), -np.inf), np.full((len(own), self.k), np.iinfo(np.int64).max), np.full((len(own), self.k), -1)
-        ends = [*range(min(FIRST, len(self.ids)), len(self.ids), STEP), len(self.ids)]
-        for a, b in zip([0, *ends], ends):
-            least = np.where(np.isfinite(best[:, -1]), np.maximum(bound, best[:, -1]), -np.inf)
-            q, x = self._survivors(parts, squares, least, a, b)
+        for a in range(0, len(self.ids), STEP):
+            b = min(a + STEP, len(self.ids))
+            q, x = self._survivors(parts, squares, np.maximum(bound, best[:, -1]), a, b)
             other = self.own[x + a] != own[q]
             q, x = q[other], x[other]
             if not len(q):
@@ -141,7 +139,7 @@ class Scan:
 
 
 def _searched(rows: DataFrame, asked: DataFrame, index, everywhere: bool) -> DataFrame:
-    """(query long, own long, vec_id, score) of the rows found for the asked rows (row, id, embedding); everywhere: all lists are probed."""
+    """(query long, own long, vec_id, score) of the rows found for the asked rows (own, id, embedding); everywhere: in all lists, without the sample's bounds."""
     kind = rows.schema["embedding"].dataType.simpleString()
 
     def deal(asks: bool):
@@ -158,7 +156,7 @@ def _searched(rows: DataFrame, asked: DataFrame, index, everywhere: bool) -> Dat
                         many = ix.blocks[lists]
                         block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                         at, lists = np.repeat(at, many), np.repeat(lists, many)
-                        bound = ix.first_bounds(own, vectors)[at]
+                        bound = np.full(len(at), -np.inf) if everywhere else ix.first_bounds(own, vectors)[at]
                     else:
                         at, lists = np.arange(len(own)), ix.lists(vectors)
                         block, bound = ix.blocks_of(lists, own), np.zeros(len(own))
@@ -199,7 +197,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
     rows of their own, as queries and as candidates. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without id, as no result could name them. Vectors of different
     lengths have no product: each length is searched by itself, with an index of its own. A query that finds
-    fewer than k rows in the lists probed looks into all lists; fewer candidates than k give fewer rows.
+    fewer than k rows in the lists probed looks into all lists, without first bounds; fewer candidates than k give fewer rows.
     Ties go to the smaller id. An empty table gives no rows; other columns are left out.
     """
     spark = df.sparkSession
@@ -214,7 +212,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
         index = spark.sparkContext.broadcast(Index(np.array([r.own for r in sample], np.int64), np.array([r.embedding for r in sample], np.float64), total, k))
         asked = same.where(F.coalesce(is_query(F.col("id")), F.lit(False)))
         found = checkpointed(_searched(same, asked, index, False))
-        if len(index.value.centres) > 1:
+        if total > 1:
             held = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
             short = checkpointed(asked.join(held, F.col("own") == F.col("query"), "left_anti"))
             if short.limit(1).count():

@@ -56,10 +56,11 @@ def clusters(seed=0, n=400, dim=8):
     return [(int(k), [float(x) for x in row], int(k // 8 % 3)) for k, row in enumerate(rows)]
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 1024), (20, 8)])
-def test_neardup_by_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(neardup, "CELL_ROWS", cell)
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("root, large, cell, block", [(2, 8192, 2048, 1024), (1000, 8192, 2048, 1024), (1, 6, 3, 8), (6, 10, 4, 5)])
+def test_neardup_by_brute_force(spark, monkeypatch, root, large, cell, block):
+    """With one level of pivots, none, and two of them."""
+    for name, value in (("ROOT", root), ("LARGE_CELL", large), ("CELL_ROWS", cell), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(neardup, name, value)
     rows = clusters()
     odd = [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] * 8, 1), (1003, [1.0, None] * 4, 1), (1004, rows[0][1], None), (1005, rows[0][1][:4], 0), (1006, [3e38] * 8, 2)]
     got = neardup.embedding_neardup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1)))
@@ -77,31 +78,78 @@ def test_neardup_by_brute_force(spark, monkeypatch, cell, block):
     assert neardup.embedding_neardup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_cells_leave_no_partner_out():
+    """Whatever lies within r of a row is in a cell that the row visits; most other cells aren't visited."""
+    rng = np.random.default_rng(5)
+    rows = neardup.unit(np.repeat(rng.standard_normal((60, 16)), 20, 0) + 0.15 * rng.standard_normal((1200, 16)))
+    cells = neardup.Cells(neardup._spread(rows[::3], 12))
+    top = cells.home(rows)[2]
+    cells.part({int(p): neardup._spread(rows[top == p], 4) for p in range(12) if (top == p).sum() > 60})
+    cell, near, top, far = cells.home(rows)
+    most = lambda keys, d: {int(k): float(d[keys == k].max()) for k in np.unique(keys)}
+    r = math.sqrt(2 - 2 * 0.93)
+    visited = set(zip(*(x.tolist() for x in cells.visits(rows, r + neardup.SLACK, most(cell, near), most(top, far)))))
+    i, j = np.nonzero(np.linalg.norm(rows[:, None] - rows[None], axis=2) <= r)
+    assert all((a, c) in visited for a, c in zip(i.tolist(), cell[j].tolist())) and len(cells.within) > 2
+    assert len(visited) < 0.5 * len(rows) * len(np.unique(cell))
+
+
+def test_neardup_query_uses_pivots(spark, monkeypatch):
+    seen, plain = [], neardup._cells
+    monkeypatch.setattr(neardup, "_cells", lambda *a: seen.append(plain(*a)) or seen[-1])
+    neardup.op1_neardup(spark, "/root/testdata/sf0.01").count()
+    assert seen and all(len(c.top) > 1 for c in seen[0][0].values()) and seen[0][0]
+
+
 def test_neardup_sql(compare):
     compare(QUERIES["op1_neardup"], ORACLE["op1_neardup"])
 
 
-def test_ann_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 100)
+@pytest.mark.parametrize("sample, lists, n", [(8192, 100, 1500), (400, 200, 6000)])
+def test_ann_recall_and_scores(spark, monkeypatch, sample, lists, n):
+    """Also with a sample that is a small part of the table."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(ann, "LIST_ROWS", lists)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(1)
-    e = rng.standard_normal((1500, 32)) * rng.uniform(0.5, 2, (1500, 1))
+    e = rng.standard_normal((n, 32)) * rng.uniform(0.5, 2, (n, 1))
     e[7] = e[8]  # a tie
-    rows = [(k, [float(x) for x in v]) for k, v in enumerate(e)] + [(5000, None), (5020, [0.0] * 32), (None, [1.0] * 32)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
-    hits = 0
-    for q in range(0, 1500, 20):
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(e)] + [(50_000, None), (50_020, [0.0] * 32), (None, [1.0] * 32), (50_040, [float("inf")] * 32)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("own", F.lit(1)), lambda i: i % 20 == 0).collect()
+    by, hits = {}, 0
+    for r in got:
+        by.setdefault(r.query_id, []).append(r)
+    assert sorted(by) == list(range(0, n, 20))
+    for q, own in by.items():
         s = e @ e[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(1500), -s))[:20]
-        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        want = np.lexsort((np.arange(n), -s))[:20]
+        own.sort(key=lambda r: r.rank)
         hits += len({r.vec_id for r in own} & set(want.tolist()))
         assert [r.rank for r in own] == list(range(1, 21)) and all(own[i].score >= own[i + 1].score for i in range(19))
         assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in own)
-    assert hits / (75 * 20) >= 0.9
-    few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()
+    assert hits / (len(by) * 20) >= 0.9
+
+
+def test_ann_odd_rows(spark):
+    kind = "vec_id long, embedding array<double>"
+    few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], kind), lambda i: i == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.rank) for r in few] == [(1, 1), (2, 2)]
-    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), lambda i: i == 0).count() == 0
+    assert ann.nearest(spark.createDataFrame([], kind), lambda i: i == 0).count() == 0
+    mixed = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [5.0, 0.0]), (0, [2.0, 0.0]), (20, [1.0, 1.0, 1.0]), (21, [1.0, 0.0, 0.0]), (40, [1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(mixed, kind), lambda i: i % 20 == 0).collect())
+    assert got == sorted([(0, 1, 1, 5.0), (0, 2, 0, 2.0), (0, 3, 1, 1.0), (0, 1, 1, 10.0), (0, 2, 0, 2.0), (0, 3, 1, 2.0), (20, 1, 21, 1.0)])
+
+
+def test_ann_looks_into_all_lists(spark, monkeypatch):
+    """A query whose probed lists hold too few rows still gets k results."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 3)
+    monkeypatch.setattr(ann, "LIST_SAMPLE", 3)
+    monkeypatch.setattr(ann, "RECALL", 0.0)
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.standard_normal(4)]) for k in range(120)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {k: 20 for k in range(0, 120, 20)}
 
 
 # --- secrets
@@ -152,6 +200,28 @@ def test_secrets_after_equals_signs(spark):
     assert sum(got[k] == values[k] for k in values) >= 50
 
 
+def test_secrets_precision_and_recall(spark):
+    """Planted random values against ordinary long tokens: identifiers, paths, numbers, words run together."""
+    import base64
+
+    rng = random.Random(9)
+    words = "user account session profile handler request response manager config service index table value error message parser buffer stream worker thread".split()
+    plain = [lambda: "_".join(rng.choice(words) for _ in range(5)), lambda: "/".join(rng.choice(words) for _ in range(6)), lambda: "".join(rng.choice(words).title() for _ in range(5)), lambda: "0" * 24 + str(rng.randrange(1000)), lambda: "2024" * 9]
+    rows, planted, at = [], set(), {}
+    for k in range(300):
+        tokens = [rng.choice(plain)() for _ in range(3)]
+        if k % 2:
+            tokens.insert(rng.randrange(4), base64.b64encode(rng.randbytes(32)).decode() if k % 4 == 1 else rng.randbytes(20).hex())
+        rows.append((k, " and ".join(tokens), "s"))
+        planted |= {k} if k % 2 else set()
+    for r in secrets.secret_spans(docs(spark, rows), ["doc_id"]).collect():
+        at[r.doc_id] = [x for x in r.found if x.kind.startswith("random_")]
+    caught = {k for k in planted if at[k]}
+    false = sum(len(v) for k, v in at.items() if k not in planted)
+    assert len(caught) / len(planted) >= 0.9 and false <= 0.1 * len(caught)
+    assert secrets.secret_spans(docs(spark, []), ["doc_id"]).count() == 0
+
+
 # --- BPE
 
 
@@ -169,6 +239,25 @@ def test_bpe_query(spark, tmp_path, vocabulary):
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
 
 
+def test_bpe_empty_table(spark, tmp_path):
+    assert bpe.op4_bpe(spark, held(spark, tmp_path, [])).count() == 0
+
+
+def test_bpe_tables_once_in_each_worker(spark, tmp_path, vocabulary):
+    """Many tasks, few workers: each worker process builds the tables once."""
+    ranks, pattern = bpe.vocabulary_file()
+    name, where = bpe.name_of(ranks), str(tmp_path)
+
+    def build():
+        open(f"{where}/{os.getpid()}-{random.random()}", "w").close()
+        return {bytes([k]): k for k in range(256)}
+
+    df = docs(spark, [(k, "some words", "s") for k in range(64)]).repartition(32)
+    bpe.map_texts(df, ["doc_id"], "text", "n long", lambda: (bpe.ready(name + "test", build), lambda texts: {"n": [0] * len(texts)})[1]).count()
+    built = [f.split("-")[0] for f in os.listdir(where)]
+    assert len(built) == len(set(built)) <= 8
+
+
 def test_bpe_appends_and_edits(vocabulary):
     v, _, enc = vocabulary
     rng, e = random.Random(2), bpe.PrefixEncoder(v, b"hello world this is a test " * 20)
@@ -187,27 +276,56 @@ def test_bpe_appends_and_edits(vocabulary):
 # --- mixing
 
 
-def test_mixing_weights():
+def plain_exponent(tokens, entropy=None, repeats=None, budget=None):
+    """By plain bisection; and how often each source is read."""
+    total = sum(tokens.values())
+
+    def passes(a):
+        z = sum((t / total) ** a for t in tokens.values())
+        w = {s: (t / total) ** a / z for s, t in tokens.items()}
+        own = budget or max(t / w[s] for s, t in tokens.items())
+        return w, {s: w[s] * own / t for s, t in tokens.items()}
+
+    def enough(a):
+        w, often = passes(a)
+        return -sum(x * math.log(x) for x in w.values()) <= entropy if entropy is not None else max(often.values()) <= repeats * (1 + 1e-12)
+
+    low, high = 0.0, 1.0
+    if enough(0.0):
+        return 0.0, passes(0.0)[1]
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return high, passes(high)[1]
+
+
+@pytest.mark.parametrize("asked", [{"target_entropy": 0.9}, {"max_repeats": 4}, {"max_repeats": 3.0, "budget": 1500}, {"target_entropy": 9.0}, {"max_repeats": 0.5}])
+def test_mixing_exponent(asked):
     tokens = {"a": 800, "b": 150, "c": 50}
-    a = mixing.exponent_for(tokens, target_entropy=0.9)
-    assert mixing.entropy(mixing.weights(tokens, a)) == pytest.approx(0.9)
-    a = mixing.exponent_for(tokens, max_repeats=4)
-    assert max(mixing.passes(tokens, a, None).values()) == pytest.approx(4) and min(mixing.passes(tokens, a, None).values()) == pytest.approx(1)
-    assert mixing.exponent_for({"a": 5, "b": 5}, max_repeats=2) == 0.0
+
+    def sums(exponents):
+        return [(sum((t / 1000) ** a for t in tokens.values()), sum((t / 1000) ** a * math.log(t / 1000) for t in tokens.values())) for a in exponents]
+
+    want = plain_exponent(tokens, asked.get("target_entropy"), asked.get("max_repeats"), asked.get("budget"))[0]
+    assert mixing.exponent_for(sums, 1000, 50, 800, **asked) == pytest.approx(want, abs=1e-9)
     with pytest.raises(ValueError):
-        mixing.exponent_for(tokens)
+        mixing.exponent_for(sums, 1000, 50, 800)
 
 
-def test_mixing_rows(spark):
+def mixed_rows():
     rng = random.Random(1)
-    rows = [(k, " ".join(["w"] * rng.randint(1, 9)), "big" if k < 900 else f"s{k % 3}" if k < 990 else None) for k in range(1000)]
+    return [(k, " ".join(["w"] * rng.randint(1, 9)), "big" if k < 900 else f"s{k % 3}" if k < 990 else None) for k in range(1000)]
+
+
+def test_mixing_rows(spark):
+    rows = mixed_rows()
     df = docs(spark, rows)
     out = mixing.mix(df, max_repeats=2.0).collect()
     size = {k: len(t.split()) for k, t, _ in rows}
     tokens = {}
     for k, _, s in rows:
         tokens[s] = tokens.get(s, 0) + size[k]
-    often = mixing.passes(tokens, mixing.exponent_for(tokens, max_repeats=2.0), None)
+    often = plain_exponent(tokens, repeats=2.0)[1]
     got = {}
     for r in out:
         got[r.source] = got.get(r.source, 0) + size[r.doc_id]
@@ -217,6 +335,43 @@ def test_mixing_rows(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(df.repartition(7), max_repeats=2.0).collect()))
     assert mixing.mix(df.limit(0), max_repeats=2.0).count() == 0 and mixing.mix(docs(spark, ODD), max_repeats=2.0).count() >= len(ODD)
     assert sum(size[r.doc_id] for r in mixing.mix(df, target_entropy=1.0, budget=2000).collect()) == pytest.approx(2000, abs=45)
+    again = mixing.mix(mixing.mix(df, max_repeats=2.0), max_repeats=2.0)
+    assert again.columns == [*df.columns, "__epoch", "__block", "__place"]
+
+
+@pytest.mark.parametrize("blocks, ranges", [(4096, 4096), (8, 4)])
+def test_mixing_by_brute_force(spark, monkeypatch, blocks, ranges):
+    """A part of a pass is the first documents in the order of block key, block and place whose tokens reach it."""
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    rows = mixed_rows() + [(5000, "w " * 3000, "big"), (7, "w w", "big")]
+    df = docs(spark, rows)
+    out = mixing.mix(df, max_repeats=3.0).groupBy("source", "doc_id").count().collect()
+    tokens, size = {}, {}
+    for k, t, s in rows:
+        tokens[s] = tokens.get(s, 0) + len(t.split())
+        size[s, k] = size.get((s, k), 0) + len(t.split())
+    often = plain_exponent(tokens, repeats=3.0)[1]
+    block = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(blocks))
+    key = F.coalesce("source", F.lit(mixing._NULL))
+    for s in tokens:
+        whole = math.floor(often[s] + 1e-9)
+        part = round((often[s] - whole) * tokens[s])
+        one = df.where(F.col("source").eqNullSafe(s)).select("doc_id", F.xxhash64(F.lit(mixing.SEED + 1), key, F.lit(whole), block), block, F.xxhash64(F.lit(mixing.SEED + 2), "doc_id", F.lit(whole))).distinct().collect()
+        want, used = set(), 0
+        for k, *_ in sorted(map(tuple, one), key=lambda x: (x[1:], x[0])):
+            if used < part:
+                want.add(k)
+                used += size[s, k]
+        rows_of = {k: sum(1 for i, _, z in rows if (i, z) == (k, s)) for k in {r.doc_id for r in out if r.source == s}}
+        assert {r.doc_id: r["count"] for r in out if r.source == s} == {k: n * (whole + (k in want)) for k, n in rows_of.items()}
+
+
+def test_mixing_many_sources(spark):
+    """More sources than were once allowed on the driver."""
+    df = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 90_000, F.col("id")).otherwise(0).cast("string").alias("source"))
+    got = mixing.mix(df, max_repeats=1.5).groupBy("source").count().orderBy(F.desc("count")).limit(3).collect()
+    assert got[0]["count"] >= 30_001 and got[1]["count"] in (1, 2)
 
 
 # --- SimHash
@@ -367,6 +522,39 @@ def test_toxicity_held_out(spark):
     assert sum(a == b for a, b in own) / len(own) > 0.94
 
 
+def test_toxicity_scores_by_brute_force():
+    """A score is that of the characters' n-grams, one after the other; also in a very long text and beyond ASCII."""
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal(len(toxicity.ORDERS) << toxicity.BITS).astype(np.float32)
+    model = toxicity.Model(table, 0.25)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 16777619 + ord(c)) % 2**32
+        h ^= h >> 15
+        return (h * 0x9E3779B1 % 2**32) >> 32 - toxicity.BITS
+
+    def plain(t):
+        pad = " " * (max(toxicity.ORDERS) - 1)
+        x = pad + t.lower() + pad
+        total = sum(float(table[bucket((x + " " * n)[k : k + n]) + (j << toxicity.BITS)]) for j, n in enumerate(toxicity.ORDERS) for k in range(len(x)))
+        return 1 / (1 + math.exp(-(total / math.sqrt(len(x)) + 0.25)))
+
+    texts = ["", "a", "Straße ÄÖÜ 😀 naïve", "Some words of a text", "très long " * 3000]
+    assert model.scores(texts) == pytest.approx([plain(t) for t in texts], abs=2e-3)
+    assert model.scores(["ÄRGER"]) == pytest.approx(model.scores(["ärger"]))
+
+
+def test_toxicity_bound_on_texts(spark, monkeypatch):
+    """Repeated rows of an id don't make the sample larger."""
+    seen, kept = [], toxicity.checkpointed
+    monkeypatch.setattr(toxicity, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    d = docs(spark, [(k % 4, f"text {k} of some words", "s") for k in range(200)])
+    toxicity.fit(d, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert seen[0].count() == 4
+
+
 def test_toxicity_odd_inputs(spark):
     d = docs(spark, ODD)
     none = toxicity.fit(d, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
@@ -396,6 +584,39 @@ def test_label_model():
     assert ((found.posterior(given) > 0.5) == y).mean() > 0.95
 
 
+def test_label_posterior_by_brute_force():
+    """Naive Bayes over the votes that were given, one labeller after the other."""
+    rng = np.random.default_rng(6)
+    given = rng.integers(0, 3, (500, len(quality.LABELLERS)))
+    found = quality.Labelling([(quality._pattern(g), 1) for g in given.tolist()])
+    for g, p in zip(given[:50].tolist(), found.posterior(given[:50])):
+        good, bad = found.share, 1 - found.share
+        for k, v in enumerate(g):
+            if v != 1:
+                good *= found.table[1, k, v]
+                bad *= found.table[0, k, v]
+        assert p == pytest.approx(good / (good + bad), rel=1e-6)
+
+
+def test_quality_decision_by_brute_force(spark):
+    """kept and score of each text, from its votes and its n-grams counted one by one."""
+    texts = ["", None, "Buy now!!! $$$ " * 20, "The quick brown fox of the river and the old house. " * 30, "a|b|c\t" * 50, "é" * 9000, "the man and the sea " * 4000]
+    df = docs(spark, [(k, t, "s") for k, t in enumerate(texts)] + [(100 + k, f"The answer of question {k} is in the book that was read by many." * (1 + k % 3), "s") for k in range(60)])
+    labelling, scorer = quality.fit(df, "doc_id", "text")
+    got = {r.doc_id: r for r in quality.quality(df, ["doc_id"], fitted=(labelling, scorer)).collect()}
+    for k, t in enumerate(texts):
+        t = t or ""
+        data = b"   " + t.encode() + b"   "
+        g, s = quality._features(quality.Batch([t.encode()], quality._PAD))
+        assert len(g) == len(data)
+        shape = lambda k: sum(int(quality._CLASS[b]) * quality.CLASSES ** (quality.SHAPE - 1 - j) for j, b in enumerate((data + b" " * quality.SHAPE)[k : k + quality.SHAPE]))
+        assert s[: len(data) - 2].tolist() == [shape(k) for k in range(len(data) - 2)]
+        by_grams = sum(float(scorer.grams[x]) + float(scorer.shapes[y]) for x, y in zip(g, s)) / len(data) + scorer.intercept
+        odds = labelling.log_odds(np.array([quality.votes(t)]))[0]
+        z = (1 - quality.SCORER_SHARE) * odds + quality.SCORER_SHARE * by_grams
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=2e-3) and got[k].kept == (got[k].score >= 0.5)
+
+
 # --- chat
 
 
@@ -422,6 +643,91 @@ def test_chat_short_quotes(spark):
     assert [got[k].reply_to for k in range(6)] == [None, 0, None, 2, None, None] and [got[k].n_quotes for k in (1, 3, 5)] == [1, 1, 0]
 
 
+def plain_replies(rows):
+    """Reply, thread, depth, position and number of quotes of each (conv, turn), message by message."""
+    norm = lambda t: " ".join(t.lower().split())
+
+    def units(body):
+        parts = [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]
+        out = {}
+        for k, u in enumerate(map(norm, parts)):
+            if u:
+                out.setdefault(u, k > 0 and len(u) < chat.SHORT_CHARS)
+        return out
+
+    said, quotes, count = {}, {}, {}
+    for conv, turn, text in rows:
+        lines = [(len(re.match(r"(?:[ \t]*>)*", x)[0].replace(" ", "").replace("\t", "")), re.sub(r"^(?:[ \t]*>)+ ?", "", x)) for x in (text or "").split("\n")]
+        passages = []
+        for depth, body in lines:
+            if passages and passages[-1][0] == depth:
+                passages[-1][1] += "\n" + body
+            else:
+                passages.append([depth, body])
+        own = "\n".join(b for d, b in passages if d == 0)
+        if any(d for d, _ in passages):
+            own = "\n".join(x for x in own.split("\n") if not re.search(chat.LEAD_IN, x))
+        said[conv, turn] = units(own.strip())
+        quotes[conv, turn] = [(d, units(b)) for d, b in passages if d and b.strip()]
+        count[conv, turn] = len(quotes[conv, turn])
+    up = {}
+    for (conv, turn), told in quotes.items():
+        score = {}
+        for u, depth in {(u, d) for d, us in told for u in us}:
+            weak = all(us[u] for d, us in told if d == depth and u in us)
+            before = sorted(t for c, t in said if c == conv and t < turn and u in said[c, t])
+            strong = [t for t in before if not said[conv, t][u]]
+            to = strong[0] if strong and not weak else before[0] if len(before) == 1 else None
+            if to is not None:
+                score[depth, to] = score.get((depth, to), 0) + len(u)
+        if score:
+            up[conv, turn] = max(score, key=lambda k: (-k[0], score[k], k[1]))[1]
+    out = {}
+
+    def walk(conv, turn, root, depth):
+        out[conv, turn] = (up.get((conv, turn)), root, depth, sum(1 for k, v in out.items() if k[0] == conv and v[1] == root), count[conv, turn])
+        for child in sorted(t for (c, t), u in up.items() if (c, u) == (conv, turn)):
+            walk(conv, child, root, depth + 1)
+
+    for conv, turn in said:
+        if (conv, turn) not in up:
+            walk(conv, turn, turn, 0)
+    return out
+
+
+@pytest.mark.parametrize("width", [1 << 16, 2])
+def test_chat_by_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(chat, "BIN", width)
+    rng, rows = random.Random(12), []
+    word = lambda: rng.choice(["yes", "no", "spark", "join", "the", "table", "shuffle", "broadcast", "executor"])
+    for conv in range(12):
+        texts = []
+        for turn in range(25):
+            own = "\n".join(" ".join(word() for _ in range(rng.choice([1, 1, 3, 8]))) if rng.random() < 0.9 else "" for _ in range(rng.randint(1, 4)))
+            head = ""
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                if texts:
+                    source = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(source))
+                    head += "".join(f"> {x}\n" for x in source[a : a + rng.randint(1, 6)]) + ("" if rng.random() < 0.5 else "well\n")
+            texts.append(("On Monday Bob wrote:\n" if head and rng.random() < 0.3 else "") + head + own)
+            rows.append((conv, turn, texts[-1]))
+    want = plain_replies(rows)
+    got = chat.reply_order(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth, r.position, r.n_quotes) for r in got} == want
+    assert sum(v[0] is not None for v in want.values()) > 100 and max(v[2] for v in want.values()) > 3
+
+
+def test_chat_odd_rows(spark):
+    long = "\n".join(f"> line number {k} of a long message" for k in range(3000))
+    rows = [(1, 0, "u", "line number 5 of a long message"), (1, 0, "u", "another row of turn 0"), (1, 1, "a", long), (1, 1, "a", "> another row of turn 0"), (1, 2, "a", "> " * 300 + "line number 5 of a long message")]
+    got = chat.reply_order(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, thread int")).collect()
+    assert sorted((r.turn, r.reply_to, r.position) for r in got) == [(0, None, 0), (0, None, 0), (1, 0, 1), (1, 0, 1), (2, 0, 2)]
+    deep = [(1, k, "u", (f"> message number {k - 1} says this\n" if k else "") + f"message number {k} says this") for k in range(300)]
+    got = chat.reply_order(spark.createDataFrame(deep, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.depth, r.position, r.thread) for r in got} == {k: (k, k, 0) for k in range(300)}
+
+
 # --- PII
 
 
@@ -451,10 +757,21 @@ def test_pii_query_and_redaction(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op10_pii(spark, held(spark, tmp_path, rows)).collect()}
     assert len(got) == len(rows) - 1 and [x.split(":")[0] for x in got[9].spans.split(",")] == ["email", "iban", "ssn"] and got[10].spans == ""
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.op10_pii(spark, held(spark, tmp_path / "none", [])).count() == 0
     red = {r.doc_id: r.text for r in pii.redacted(docs(spark, rows)).collect()}
     assert red[9] == "IBAN [IBAN] and mail [EMAIL], ssn [SSN]" and red[1] is None and red[2] == ""
 
 
+def test_pii_context_words():
+    """Whole words count, the nearer ones more."""
+    ssn = lambda t: [x[3] for x in pii.scored(t) if x[0] == "ssn"]
+    assert ssn("the taxpayer department: 123-45-6789") and not ssn("the compartment 123-45-6789") and not ssn("taxpayers: part 123-45-6789")
+    assert ssn("ssn 123-45-6789")[0] > ssn("ssn" + " of the man" * 3 + " 123-45-6789")[0] >= 0.6
+    score = lambda t: pii.scored(t)[0][3]
+    assert score("hotel +49 30 1234567") == 0.7 < score("tel +49 30 1234567") and score("script 1.2.3.4") == 0.6 < score("ip 1.2.3.4")
+    assert score("x" * 60 + "discard 4111111111111111") == 0.8 < score("x" * 60 + " card 4111111111111111")
+
+
 # --- the pipeline
 
 
@@ -478,3 +795,22 @@ def test_pipeline(spark):
     assert len(encoded) == len(mixed) and all(list(r.ids) == enc.encode_ordinary(text[r.doc_id]) for r in encoded)
     assert corpus_pipeline.run(spark, SF).count() == len(encoded)
     assert [f.split("_")[0] for f in QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"] and math.isfinite(len(os.listdir(SF)))
+
+
+def test_pipeline_odd_inputs(spark, tmp_path):
+    """Empty tables, null columns, repeated rows, very long texts and extra columns with clashing names."""
+    assert corpus_pipeline.run(spark, held(spark, tmp_path / "none", [])).count() == 0
+    good = [(20 + k, f"The old house of the family {k} is in the valley, and the river that runs by it was blue. It is not far from the town of {k}.\n" * 3, "a" if k else None) for k in range(12)]
+    rows = [*good, good[0], good[0], (None, good[1][1] + " And so it goes.", "b"), (40, good[2][1] * 400, "b"), (41, None, "a"), (42, "", "a"), (None, None, None)]
+    folder = tmp_path / "odd"
+    named = docs(spark, rows).withColumns({c: F.lit(1) for c in ("node", "__epoch", "key", "h", "s", "__text", "part")})
+    named.write.parquet(f"{folder}/documents.parquet")
+    docs_, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, str(folder))
+        docs_ = spark.createDataFrame(out.collect(), out.schema)
+        seen.append(docs_.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == named.columns
+    assert seen[0] >= len(good) and seen[1] <= seen[0] - 2 and seen[2] == seen[1] <= seen[3] == seen[4]
+    assert {r.doc_id for r in docs_.collect()} >= {r[0] for r in good[3:]}
