@@ -19,10 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siteloom.llm.common import documents, map_texts
+from siteloom.llm.common import documents, fresh, map_texts
 from siteloom.llm.vectors import runs
 from siteloom.operators.graph import connected_components
-from siteloom.session import checkpointed
+from siteloom.session import broadcast_if_small, checkpointed
 
 SEED = 42
 #: Different fingerprints with one table value, above which they meet at centres.
@@ -103,7 +103,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Exact copies share a fingerprint and are linked (also empty texts, whose fingerprint is 0); a
     row whose id is null takes part with its fingerprint but is never a component's name, unless it
-    has only such rows. Repeated rows stay. Documents are reduced to (id, fingerprint) in the one
+    has only such rows. Repeated rows stay; an empty table gives an empty one; other columns are left out. Texts of any
+    length are read whole, CHUNK shingles at a time. Documents are reduced to (id, fingerprint) in the one
     pass over texts; all further steps move only those.
     """
     docs = checkpointed(fingerprints(df, id_col, text_col, words))
@@ -259,15 +260,16 @@ def near_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> D
     leads = busy.select("node", "band").join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", "node")).alias("lead"))
     members = checkpointed(busy.select("node", "band").join(leads, "band").select("lead", "node").distinct())  # the leader too
 
+    facts = rows.select("node", "size", "key").join(members.select("node").distinct(), "node")
+    sets = checkpointed(sets_of(facts.select("key")))
+
     def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
         """Edges between guests and the homes of their group; both (lead, node, part)."""
-        facts = rows.select("node", "size", "key")
-        homes = checkpointed(homes.join(facts, "node"))
-        blocks = homes.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        blocks = homes.join(facts, "node").groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        blocks = checkpointed(blocks)
         dealt = homes.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "part")
         asks = guests.join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "part")
-        keys = homes.select("node", "key").unionByName(guests.join(facts, "node").select("node", "key")).distinct()
-        sent = dealt.unionByName(asks).join(checkpointed(sets_of(keys)), "node").select("lead", "block", "role", "node", "part", "hashes")
+        sent = dealt.unionByName(asks).join(sets, "node").select("lead", "block", "role", "node", "part", "hashes")
         return checkpointed(sent.repartition("lead", "block").sortWithinPartitions("lead", "block", "role").mapInArrow(_met, "src long, dst long"))
 
     side = lambda c: rows.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("full").alias(f"{c}_full"))
@@ -320,8 +322,8 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return work
 
     def sets_of(asked):
-        """The sets of these (node, key), made again: only their texts are moved."""
-        made = map_texts(named.join(asked.select("key"), "key", "left_semi"), [], "text", "node long, hashes binary", make_sets)
+        """The sets of the texts with these keys, made again."""
+        made = map_texts(named.join(broadcast_if_small(asked.distinct()), "key", "left_semi"), [], "text", "node long, hashes binary", make_sets)
         return made.dropDuplicates(["node"])
 
     links = near_groups(texts, sets_of)
@@ -330,15 +332,16 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stays = least.select("stays.id", "stays.h")
     every = docs.groupBy("id", "h").agg(F.count("*").alias("n"))
     marked = checkpointed(every.join(stays.withColumn("stay", F.lit(True)), every["id"].eqNullSafe(stays["id"]) & (every["h"] == stays["h"]), "left").select(every["id"], every["h"], "n", "stay"))
-    gone = marked.where("stay is null").select(F.col("id").alias("__id"), F.col("h").alias("__h"))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    left = df.withColumn("__text_hash", text_hash)
-    left = left.join(gone, left[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_anti")
+    own, name, hashed = (fresh(df.columns, c) for c in ("__own", "__id", "__h"))
+    gone = broadcast_if_small(marked.where("stay is null").select(F.col("id").alias(name), F.col("h").alias(hashed)))
+    left = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    left = left.join(gone, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed)), "left_anti")
     if marked.where("stay and n > 1").limit(1).count():  # repeated rows: only then texts are moved once more
-        left = left.dropDuplicates([id_col, "__text_hash"])
+        left = left.dropDuplicates([id_col, own])
     return left.select(*df.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, as simhash_groups states (nulls, empty and long texts, repeated rows, empty tables: see there)."""
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
