@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import regex
@@ -223,7 +223,21 @@ class Cache(dict):
         return found
 
 
-_READY: dict[int, Cache] = {}
+_READY: dict[str, Cache] = {}
+
+
+def name_of(ranks: dict[bytes, int]) -> str:
+    """A digest of a vocabulary."""
+    return hashlib.sha256(b"".join(b"%d %d " % (v, len(k)) + k for k, v in sorted(ranks.items()))).hexdigest()
+
+
+def ready(name: str, ranks: Callable[[], dict[bytes, int]]) -> Cache:
+    """This process's cache for the vocabulary of that name, built when it is first asked for. Workers find this
+    function by import, so tasks that follow each other in one worker share it; only the last vocabulary is kept."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Cache(Vocabulary(ranks()))
+    return _READY[name]
 
 
 def encode(texts: Iterable[str], pattern, cache: Cache) -> Iterable[tuple[str, list[int]]]:
@@ -240,15 +254,13 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_cols: li
     Returns id_cols, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids (array of int).
     A null or empty text has no ids (both digests are those of the empty string); repeated rows are
     kept; an empty table gives an empty table. The ranks (one vocabulary file, about 1 MB) are
-    broadcast; each worker builds its tables once.
+    broadcast; each worker process builds its tables once.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    key = hash((len(ranks), pattern))
+    name = name_of(ranks)
 
     def make():
-        if key not in _READY:
-            _READY[key] = Cache(Vocabulary(shared.value))
-        cache, rx = _READY[key], regex.compile(pattern)
+        cache, rx = ready(name, lambda: shared.value), regex.compile(pattern)
         bytes_of = cache.vocabulary.bytes_of.__getitem__
 
         def work(texts):
@@ -273,5 +285,6 @@ def vocabulary_file() -> tuple[dict[bytes, int], str]:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and digests of every document, as bpe_encode states; equal to tiktoken's ids. Null, empty and very long texts, repeated rows and an empty table: see there."""
     ranks, pattern = vocabulary_file()
     return bpe_encode(documents(spark, sf_dir), ranks, pattern, ["doc_id"])
