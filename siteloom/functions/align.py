@@ -33,7 +33,7 @@ def find_adapter(seqs: list[str], adapter: str, error_rate: float, *, three_prim
     def offer(aligned: int, ends: np.ndarray):
         limit = max_errors if max_errors is not None else int(aligned * error_rate + 1e-9)
         ok = ends & (cost <= limit)
-        place = np.where(ok, (aligned * 64 - np.minimum(cost, 63).astype(np.int64)) * 100_000 + (-cols if leftmost else cols), np.iinfo(np.int64).min)
+        place = np.where(ok, (aligned * 64 - np.minimum(cost, 63).astype(np.int64)) * (2 * width + 2) + (-cols if leftmost else cols), np.iinfo(np.int64).min)
         at = place.argmax(1)
         top = place[np.arange(rows), at]
         new = top > score

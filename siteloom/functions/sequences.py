@@ -46,7 +46,9 @@ def combined_umi() -> Column:
 
 def error_probability(quals: Column) -> Column:
     """Mean error probability of an array of Phred values."""
-    return F.aggregate(quals, F.lit(0.0), lambda s, q: s + F.pow(F.lit(10.0), -q / 10)) / F.size(quals)
+    known = F.array(*[F.lit(10.0 ** (-q / 10)) for q in range(94)])  # Phred values of printable characters
+    one = lambda q: F.coalesce(F.get(known, q.cast("int")), F.pow(F.lit(10.0), -q / 10))
+    return F.when(F.size(quals) > 0, F.aggregate(quals, F.lit(0.0), lambda s, q: s + one(q)) / F.size(quals))
 
 
 def phred(probability: Column) -> Column:

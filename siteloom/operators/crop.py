@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siteloom.functions.align import find_adapter
@@ -34,6 +36,22 @@ def ladder(seq: str, least: int, error_rate: float, capped: bool = False) -> lis
         out.append(out[-1][:-step])
 
 
+#: Cells (reads times the longest of them) of one alignment matrix.
+CELLS = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, seq: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose reads fill one matrix; a very long read is a part of its own."""
+    first = longest = 0
+    for k, n in enumerate(pc.utf8_length(batch.column(seq)).to_pylist()):
+        longest = max(longest, n or 0)
+        if k > first and longest * (k + 1 - first) > CELLS:
+            yield batch.slice(first, k - first)
+            first, longest = k, n or 0
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 def adapter_match(df: DataFrame, seq: str, adapters: list[str], out: str, **options) -> DataFrame:
     """df with `out` (n_err, start, end, before, matched, after) for the first of the adapters that the read holds; null without a match or sequence."""
     ship(df.sparkSession)
@@ -44,8 +62,7 @@ def adapter_match(df: DataFrame, seq: str, adapters: list[str], out: str, **opti
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for part in _slices(batch, seq):
                 reads = part.column(seq).to_pylist()
                 found: list = [None] * len(reads)
                 for adapter in adapters:

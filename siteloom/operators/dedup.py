@@ -61,34 +61,37 @@ def tolerance_groups(df: DataFrame, tolerance: int, by: list[str] = [], group: s
 
 
 def umi_neighbours(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (u, v, nu, nv) of UMIs of a group at a substitution distance of one: joined on the UMI with one
+    """Pairs (u < v, nu, nv) of UMIs of a group at a substitution distance of one: joined on the UMI with one
     position masked, so each group of the join holds no more rows than the alphabet has letters."""
     masked = nodes.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("umi")))).withColumn("m", F.concat(F.expr("substring(umi, 1, p - 1)"), F.lit("*"), F.expr("substring(umi, p + 1)")))
     a = masked.select(*keys, "p", "m", F.col("umi").alias("u"), F.col("n").alias("nu"))
     b = masked.select(*keys, "p", "m", F.col("umi").alias("v"), F.col("n").alias("nv"))
-    return a.join(b, [*keys, "p", "m"]).where("u <> v").drop("p", "m")
+    return a.join(b, [*keys, "p", "m"]).where("u < v").drop("p", "m")
 
 
-def umi_owners(nodes: DataFrame, keys: list[str], frag_ratio: float, rounds: int = 100) -> DataFrame:
+def umi_owners(nodes: DataFrame, keys: list[str], frag_ratio: float) -> DataFrame:
     """(keys, umi, owner): who claims each UMI.
 
     u reaches v by a step if they are neighbours and n(u) >= frag_ratio * n(v) - 1. Taking the best
     unclaimed UMI with all it reaches, again and again, gives every UMI to the best one that reaches
     it; so labels are handed along the steps until none improves. Best: largest n, then smallest
-    representative read.
+    representative read. A UMI without steps owns itself and takes no part in the rounds; in a round only
+    the UMIs hand on whose label has changed.
     """
     nodes = checkpointed(nodes)
-    steps = checkpointed(umi_neighbours(nodes, keys).where(F.col("nu") >= frag_ratio * F.col("nv") - 1).select(*keys, "u", "v"))
+    near = umi_neighbours(nodes, keys)
+    along = lambda a, b: F.when(F.col(f"n{a}") >= frag_ratio * F.col(f"n{b}") - 1, F.struct(F.col(a).alias("u"), F.col(b).alias("v")))
+    steps = near.select(*keys, F.explode(F.array_compact(F.array(along("u", "v"), along("v", "u")))).alias("s")).select(*keys, "s.u", "s.v")
+    steps = checkpointed(steps)
     rank = F.struct((-F.col("n")).alias("n"), "rep", F.col("umi").alias("owner"))
-    now = checkpointed(nodes.select(*keys, "umi", rank.alias("label")))
-    for _ in range(rounds):
-        handed = now.withColumnRenamed("umi", "u").join(steps, [*keys, "u"]).groupBy(*keys, F.col("v").alias("umi")).agg(F.min("label").alias("new"))
-        better = now.join(handed, [*keys, "umi"], "left").withColumn("moved", F.coalesce(F.col("new") < F.col("label"), F.lit(False)))
+    ends = steps.select(*keys, F.col("u").alias("umi")).union(steps.select(*keys, F.col("v").alias("umi"))).distinct()
+    now = checkpointed(nodes.join(ends, [*keys, "umi"], "left_semi").select(*keys, "umi", rank.alias("label"), F.lit(True).alias("moved")))
+    while now.where("moved").limit(1).count():
+        handed = now.where("moved").select(*keys, F.col("umi").alias("u"), "label").join(steps, [*keys, "u"]).groupBy(*keys, F.col("v").alias("umi")).agg(F.min("label").alias("new"))
+        better = now.drop("moved").join(handed, [*keys, "umi"], "left").withColumn("moved", F.coalesce(F.col("new") < F.col("label"), F.lit(False)))
         now = checkpointed(better.select(*keys, "umi", F.when(F.col("moved"), F.col("new")).otherwise(F.col("label")).alias("label"), "moved"))
-        if not now.where("moved").limit(1).count():
-            return now.select(*keys, "umi", F.col("label.owner").alias("owner"))
-        now = now.drop("moved")
-    raise RuntimeError("umi_owners: no fixpoint")
+    owned = nodes.select(*keys, "umi").join(now.select(*keys, "umi", F.col("label.owner").alias("owner")), [*keys, "umi"], "left")
+    return owned.withColumn("owner", F.coalesce("owner", "umi"))
 
 
 def umi_clusters(df: DataFrame, keys: list[str], frag_ratio: float = 2.0) -> DataFrame:

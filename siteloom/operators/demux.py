@@ -14,11 +14,16 @@ from siteloom.functions.sequences import hamming, revcomp
 MOST_BARCODES = 10_000
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, if there are at most MOST_BARCODES of them."""
+    if rows.limit(MOST_BARCODES + 1).count() > MOST_BARCODES:
+        raise ValueError(f"more than {MOST_BARCODES} barcodes")
+    return rows
+
+
 def check_barcodes(barcodes: DataFrame) -> None:
     """Ids are unique and hold no '-', sequences are unique."""
-    rows = barcodes.select("sample", F.upper("barcode").alias("barcode")).limit(MOST_BARCODES + 1).collect()
-    if len(rows) > MOST_BARCODES:
-        raise ValueError(f"more than {MOST_BARCODES} barcodes")
+    rows = small(barcodes).select("sample", F.upper("barcode").alias("barcode")).collect()
     if any("-" in r.sample for r in rows):
         raise ValueError("barcode ids can't hold '-'")
     for what in ("sample", "barcode"):
@@ -42,7 +47,7 @@ def match(reads: DataFrame, index: Column, barcodes: DataFrame, error_rate: floa
     asked = reads.withColumn("__index", F.upper(index))
     values = asked.select("__index").where("__index is not null").distinct()
     codes = barcodes.select(F.upper("barcode").alias("__code"), F.col("sample").alias("__sample"), F.col("ord").alias("__ord"), F.length("barcode").alias("__len"))
-    met = values.withColumn("__len", F.length("__index")).join(F.broadcast(codes), "__len").where(hamming(F.col("__index"), F.col("__code")) <= F.floor(F.col("__len") * error_rate))
+    met = values.withColumn("__len", F.length("__index")).join(F.broadcast(small(codes)), "__len").where(hamming(F.col("__index"), F.col("__code")) <= F.floor(F.col("__len") * error_rate))
     first = met.groupBy("__index").agg(F.min_by("__sample", "__ord").alias(out))
     return asked.join(first, "__index", "left").drop("__index")
 
@@ -65,7 +70,7 @@ def index_demux(reads: DataFrame, first: Column, codes1: DataFrame, second: Colu
 def anchored(reads: DataFrame, seq: str, barcodes: DataFrame, error_rate: float, out: str, three_prime: bool = False) -> DataFrame:
     """reads with `out` for barcodes at the 5' end of seq, or for their reverse complements at the 3' end; any lengths."""
     codes = barcodes.withColumn("barcode", revcomp(F.col("barcode"))) if three_prime else barcodes
-    lengths = [r[0] for r in codes.select(F.length("barcode")).distinct().limit(MOST_BARCODES).collect()]
+    lengths = [r[0] for r in small(codes).select(F.length("barcode")).distinct().collect()]
     named, cols = reads, []
     for n in sorted(lengths):
         c = f"__{out}_{n}"
@@ -99,4 +104,4 @@ def inline_demux(reads: DataFrame, ltr: DataFrame | None, linker: DataFrame | No
 
 def renamed(reads: DataFrame, names: DataFrame, col: str = "sample") -> DataFrame:
     """Samples by a small table (old, new); others keep their name."""
-    return reads.join(F.broadcast(names.select(F.col("old").alias(col), F.col("new").alias("__new"))), col, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")
+    return reads.join(F.broadcast(small(names).select(F.col("old").alias(col), F.col("new").alias("__new"))), col, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")

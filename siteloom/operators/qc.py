@@ -54,8 +54,8 @@ def tests(p: Limits) -> dict[str, Column]:
     """By name, in the order in which they are read."""
     lead = F.when(_op(1) == 4, F.element_at("cigar", 1)["len"]).otherwise(0)
     md = F.coalesce("md", F.lit(""))
-    # letters before the first number other than zero: mismatches that touch the start
-    early = _count(F.regexp_extract(md, "^((?:0|[A-Z])*)", 1), "ACGTN")
+    # letters before the first number other than zero: what differs from the start on, deleted bases too
+    early = F.length(F.regexp_replace(F.regexp_extract(md, r"^([^1-9]*)", 1), "[^A-Za-z]", ""))
     early_n = _count(F.substring("seq", 1, p.match_after), "Nn")
     starts = early + lead + F.when((early > 0) | (lead > 0), early_n).otherwise(0)
     length, n = _aligned(), _count(F.col("seq"), "N")
@@ -80,11 +80,17 @@ def tests(p: Limits) -> dict[str, Column]:
 
 def qc(alignments: DataFrame, p: Limits = Limits()) -> DataFrame:
     """The alignments that pass every test, with multi, error (mean probability) and read_seq, 5' to 3' of the read. A test that a null leaves open fails."""
+    checks = tests(p)
+    checks.pop("base_quality")
     every = None
-    for test in tests(p).values():
+    for test in checks.values():
         every = test if every is None else every & test
     passed = alignments.where(F.coalesce(every, F.lit(False)))
-    return passed.withColumn("multi", F.coalesce(multimapping(), F.lit(False))).withColumn("error", error_probability(F.col("quals"))).withColumn("read_seq", F.when(F.col("strand") == "-", revcomp(F.col("seq"))).otherwise(F.col("seq")))
+    # an explosion of one value: the mean is computed once, after the cheaper tests, for the filter and the column
+    passed = passed.withColumn("error", F.explode(F.array(error_probability(F.col("quals")))))
+    if not p.raw_quality:
+        passed = passed.where(F.coalesce(F.col("error") <= 10 ** (-p.min_qual / 10), F.lit(False)))
+    return passed.withColumn("multi", F.coalesce(multimapping(), F.lit(False))).withColumn("read_seq", F.when(F.col("strand") == "-", revcomp(F.col("seq"))).otherwise(F.col("seq")))
 
 
 def fragments(passed: DataFrame) -> DataFrame:

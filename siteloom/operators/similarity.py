@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions.sequences import revcomp, similarity
 from siteloom.operators.dedup import _merge, umi_clusters
 from siteloom.operators.graph import connected_components
+from siteloom.operators.neargroups import near_groups
 from siteloom.session import checkpointed
 
 
@@ -17,16 +21,32 @@ def kmers(seq: Column, k: int) -> Column:
 
 def minimizers(df: DataFrame, seq: str, k: int, w: int, out: str = "tokens") -> DataFrame:
     """df with the k-mers that have the smallest hash of some window of w k-mers (the leftmost of equal ones), each place once; all k-mers if there are fewer than w."""
-    at = df.withColumn("__k", kmers(F.col(seq), k)).withColumn("__h", F.transform("__k", lambda t, i: F.struct(F.xxhash64(t).alias("h"), i.alias("i"))))
-    windows = F.transform(F.sequence(F.lit(1), F.size("__k") - w + 1), lambda i: F.array_min(F.slice("__h", i, w))["i"])
-    picked = F.transform(F.array_distinct(windows), lambda i: F.get("__k", i))
-    return at.withColumn(out, F.when(F.size("__k") < w, F.col("__k")).otherwise(picked)).drop("__k", "__h")
+    found = F.transform(kmers(F.col(seq), k), lambda t, i: F.struct(F.md5(t).alias("h"), i.alias("i"), t.alias("t")))
+    # bound by a transformation of an array of one, so that hashes are not made anew for each window
+    windows = lambda at: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(at) - w + 1), lambda i: F.array_min(F.slice(at, i, w))))
+    picked = F.transform(F.array(found), lambda at: F.transform(F.when(F.size(at) < w, at).otherwise(windows(at)), lambda x: x["t"]))
+    return df.withColumn(out, F.get(picked, F.lit(0)))
+
+
+#: A prime above 2^32: (a * x + b) mod PRIME is a family of hashes of 32-bit numbers.
+PRIME = 4_294_967_311
+
+
+def seeds(num_perm: int) -> list[tuple[int, int]]:
+    """A factor and a summand for each hash, from digests of their numbers."""
+    of = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:7], 16)
+    return [(of(f"a{i}") + 1, of(f"b{i}")) for i in range(num_perm)]
 
 
 def minhash(tokens: Column, num_perm: int = 128, bits: int = 32) -> Column:
-    """The low bits of the smallest hash of the tokens for each of num_perm seeds; null without tokens."""
+    """The low bits of the smallest hash of the tokens for each of num_perm hashes; null without tokens."""
     mask = F.lit((1 << bits) - 1).cast("long")
-    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.array_min(F.transform(tokens, lambda t: F.xxhash64(i, t))).bitwiseAND(mask)))
+    factors, summands = zip(*seeds(num_perm))
+    numbers = F.transform(F.array_distinct(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    both = F.arrays_zip(F.array(*map(F.lit, factors)).alias("a"), F.array(*map(F.lit, summands)).alias("b"))
+    # the numbers are bound once, not made anew for each hash
+    bound = F.transform(F.array(numbers), lambda n: F.transform(both, lambda h: F.array_min(F.transform(n, lambda x: F.pmod(h["a"].cast("long") * x + h["b"].cast("long"), F.lit(PRIME)))).bitwiseAND(mask)))
+    return F.when(F.size(tokens) > 0, bound[0])
 
 
 def default_hash_similarity(seq_sim: float, token: int) -> float:
@@ -42,21 +62,40 @@ def band_rows(hash_sim: float, num_perm: int) -> int:
     return max((r for r in range(1, num_perm + 1) if (1 - hash_sim**r) ** (num_perm // r) <= MISS), default=1)
 
 
+def _near_signatures(most: float, width: int):
+    """Signatures (values of `width` bytes) that differ in at most `most` bits for each value."""
+
+    def opened(block: list[bytes]):
+        theirs = np.stack([np.frombuffer(b, f"<u{width}") for b in block])
+
+        def near(others: list[bytes]) -> np.ndarray:
+            mine, far = np.stack([np.frombuffer(b, f"<u{width}") for b in others]), np.zeros((len(others), len(block)), np.int64)
+            for k in range(theirs.shape[1]):
+                far += np.bitwise_count(mine[:, k, None] ^ theirs[None, :, k])
+            return far <= theirs.shape[1] * most
+
+        return near
+
+    return opened
+
+
 def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits: int = 32, rows: int | None = None) -> DataFrame:
-    """(id_col, component): rows whose signatures differ in at most len * bits * (1 - hash_sim) / 2 bits, and chains of them.
+    """(id_col, component): rows whose signatures differ in at most len * bits * (1 - hash_sim) / 2 bits, and chains of them;
+    component is the smallest id. Signatures are of one length; rows without one are left out.
 
-    Pairs come from bands of `rows` values, by default as many as miss a pair at the limit with a chance of
-    at most MISS; equal signatures are one node. The limit itself is exact.
+    Candidates meet in bands of `rows` values, by default as many as miss a pair at the limit with a chance of
+    at most MISS; equal signatures are one node. The limit itself is exact, and no table of pairs is made.
     """
-    nodes = checkpointed(df.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(id_col).alias("rep")))
+    df = checkpointed(df.select(id_col, sig))  # signatures are costly, and the optimiser would make them anew for each use
+    nodes = df.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(id_col).alias("rep"))
+    nodes = checkpointed(nodes.select("sig", "rep", F.monotonically_increasing_id().alias("node")))
     rows = rows or band_rows(hash_sim, nodes.agg(F.max(F.size("sig"))).first()[0] or 1)
-    bands = nodes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("band"))
-    # names only: a pair that shares many bands meets its signatures once
-    pairs = bands.alias("x").join(bands.alias("y"), F.col("x.band") == F.col("y.band")).where("x.rep < y.rep").select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")).distinct()
-    pairs = pairs.join(nodes.select(F.col("rep").alias("src"), F.col("sig").alias("a")), "src").join(nodes.select(F.col("rep").alias("dst"), F.col("sig").alias("b")), "dst")
-    far = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    edges = pairs.where(far <= F.size("a") * bits * (1 - hash_sim) / 2).select("src", "dst").distinct()
-    named = nodes.join(connected_components(edges).withColumnRenamed("node", "rep"), "rep", "left").select(F.col("sig").alias(sig), F.coalesce("component", "rep").alias("component"))
+    held = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("band"))
+    hexed = F.unhex(F.array_join(F.transform("sig", lambda v: F.lpad(F.hex(v), 16, "0")), ""))
+    links = near_groups(held, nodes.select("node", F.size("sig").alias("size")), lambda asked: nodes.join(asked, "node").select("node", hexed.alias("payload")), _near_signatures(bits * (1 - hash_sim) / 2, 8))
+    named = nodes.join(links, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = named.groupBy("part").agg(F.min("rep").alias("component"))
+    named = named.select("sig", "part").join(least, "part").select(F.col("sig").alias(sig), "component")
     return df.join(named, sig).select(id_col, "component")
 
 
@@ -111,6 +150,6 @@ def multi_dedup(df: DataFrame, seq_sim: float = 0.95, token: int = 4, window: in
 def kmer_cosine(a: Column, b: Column, k: int = 4) -> Column:
     """Cosine of the k-mer count vectors of two sequences."""
     dot = lambda x, y: F.aggregate(x, F.lit(0.0), lambda s, t: s + F.size(F.filter(y, lambda u: u == t)))
-    x, y = kmers(a, k), kmers(b, k)
-    norm = F.sqrt(dot(x, x) * dot(y, y))
-    return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
+    cosine = lambda p: F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), dot(p["x"], p["y"]) / F.sqrt(dot(p["x"], p["x"]) * dot(p["y"], p["y"]))).otherwise(0.0)
+    # bound by a transformation of an array of one, so that k-mers aren't cut anew for each other one
+    return F.get(F.transform(F.array(F.struct(kmers(a, k).alias("x"), kmers(b, k).alias("y"))), cosine), F.lit(0))

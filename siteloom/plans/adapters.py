@@ -86,7 +86,27 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(
         F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]).alias("read_name"), F.lit(1).alias("mate"), F.col("l_returnflag").alias("ref"),
         k.alias("start"), (k + size).alias("end"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), (k % 43).cast("int").alias("mapq"), cigar.alias("cigar"),
-        F.when(p % 3 == 0, F.concat(F.lit("0A"), (size - 1).cast("string"))).otherwise(size.cast("string")).alias("md"), (p % 9).cast("int").alias("nm"), F.when(k % 2 == 0, (p % 7).cast("int")).alias("xm"),
+        F.when(p % 3 == 0, F.concat(F.lit("0A"), (size - 1).cast("string"))).when(p % 6 == 1, F.concat(F.lit("0^GT0C"), (size - 1).cast("string"))).otherwise(size.cast("string")).alias("md"), (p % 9).cast("int").alias("nm"), F.when(k % 2 == 0, (p % 7).cast("int")).alias("xm"),
         (p % 50).cast("int").alias("score"), F.when(k % 3 == 0, (p % 50 - 1 + k % 3 + p % 2).cast("int")).alias("second"), seq.alias("seq"),
-        F.transform(F.sequence(F.lit(1), size), lambda i: ((i + k) % 30 + 5).cast("int")).alias("quals"), (200 + p % 100).cast("int").alias("tlen"),
+        F.transform(F.sequence(F.lit(1), size), lambda i: ((i + k) % (8 + k % 30) + 3).cast("int")).alias("quals"), (k % 2200 - 100).cast("int").alias("tlen"),
     )
+
+
+ALIGNMENTS = r"""lines AS (SELECT *, concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS read_name, l_orderkey AS k, l_partkey AS p, CAST(30 + l_partkey % 60 AS INT) AS size FROM lineitem),
+al AS (SELECT read_name, l_returnflag AS ref, k AS start, k + size AS "end", CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, CAST(k % 43 AS INT) AS mapq, p % 11 = 0 AS clipped, size,
+    CASE WHEN p % 3 = 0 THEN concat('0A', size - 1) WHEN p % 6 = 1 THEN concat('0^GT0C', size - 1) ELSE CAST(size AS VARCHAR) END AS md, CAST(p % 9 AS INT) AS nm, CASE WHEN k % 2 = 0 THEN CAST(p % 7 AS INT) END AS xm, p % 50 AS score,
+    CASE WHEN k % 3 = 0 THEN p % 50 - 1 + p % 2 END AS second, substr(repeat(CASE WHEN k % 7 = 0 THEN 'NACGT' ELSE 'GACGT' END, 20), 1, size) AS seq, list_avg([pow(10, -((i + k) % (8 + k % 30) + 3) / 10.0) FOR i IN range(1, size + 1)]) AS error, CAST(k % 2200 - 100 AS INT) AS tlen FROM lines),
+counted AS (SELECT *, length(regexp_replace(regexp_extract(md, '^([^1-9]*)', 1), '[^A-Za-z]', '', 'g')) AS early, length(replace(seq, 'N', '')) AS known, (substr(seq, 1, 1) = 'N')::INT + (substr(seq, 2, 1) = 'N')::INT AS n2, CASE WHEN clipped THEN 3 ELSE 0 END AS clips,
+    coalesce(second = score AND mapq <= 1, false) AS multi, floor(size * 0.1) AS most, floor(size * 0.02) AS gaps FROM al),
+mism AS (SELECT *, CASE WHEN xm IS NOT NULL THEN xm + clips ELSE length(regexp_replace(regexp_replace(md, '\^[A-Z]+', '', 'g'), '[^ACGT]', '', 'g')) + length(seq) - known + clips END AS mm FROM counted),
+tested AS (SELECT *, true AS t_first_operation, NOT clipped AS t_no_clips, early + clips + CASE WHEN early > 0 OR clips > 0 THEN n2 ELSE 0 END <= 2 AS t_start_matches, second IS NULL OR second <= score AS t_not_beaten, true AS t_multi_allowed,
+    multi OR mapq >= 2 AS t_mapping_quality, error <= 0.1 AS t_base_quality, abs(tlen) BETWEEN 25 AND 2000 AS t_length, nm <= most + gaps AS t_edits, mm <= most AS t_mismatches, nm - mm <= gaps AS t_indels FROM mism)"""
+
+
+def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pairs: some mates are missing, some stand on one strand or on two references."""
+    a = alignments(spark, sf_dir).withColumns({c: F.lit("N") for c in ("ltr_umi", "linker_umi", "ltr_match", "linker_match")})
+    a = a.select("read_name", "mate", "ref", "start", "end", "strand", "mapq", "seq", "ltr_umi", "linker_umi", "ltr_match", "linker_match", F.lit(False).alias("multi"), (F.lit(1.0) / (2 + F.col("mapq"))).alias("error"), F.col("seq").alias("read_seq"))
+    other = F.when(F.col("start") % 13 == 0, F.col("strand")).when(F.col("strand") == "-", "+").otherwise("-")
+    b = a.where("start % 17 <> 0").withColumn("mate", F.lit(2)).withColumn("strand", other).withColumn("ref", F.when(F.col("end") % 19 == 0, "X").otherwise(F.col("ref"))).withColumn("start", F.col("start") + 40).withColumn("end", F.col("end") + 40)
+    return a.unionByName(b.withColumn("mapq", F.col("mapq") % 7).withColumn("error", F.lit(0.05)))

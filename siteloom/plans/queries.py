@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
 
-from siteloom.functions.sequences import extract_umi
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from siteloom.functions.sequences import error_probability, extract_umi, natural_key, phred, revcomp
 from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, mispriming, peaks, qc, reassign, similarity, sites as sites_
 from siteloom.plans import adapters as a
-from siteloom.sources import setup
+from siteloom.session import checkpoint_dir
+from siteloom.sources import files, setup
 from siteloom.streaming.dedup import gap_runs
 
 QUERIES: dict = {}
@@ -106,7 +109,15 @@ def position_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalpass.position_counts(a.fragments(spark, sf_dir))
 
 
-@query()
+_COLLAPSE = f"""{_POS}, ab AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 5 THEN 0 ELSE 1 END AS cut FROM pc WHERE fragments >= 2 WINDOW w AS (PARTITION BY chrom, strand ORDER BY pos)),
+il AS (SELECT *, sum(cut) OVER (PARTITION BY chrom, strand ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM ab), ls AS (SELECT chrom, strand, island, array_agg({{'pos': pos, 'f': fragments, 't': total}} ORDER BY fragments DESC, pos DESC) AS l FROM il GROUP BY ALL),
+wk(chrom, strand, island, i, alive) AS (SELECT chrom, strand, island, CAST(0 AS BIGINT), l[1:0] FROM ls UNION ALL SELECT w.chrom, w.strand, w.island, w.i + 1, CASE WHEN len(n) > 0 AND (list_max([q.f FOR q IN n]) >= 2 * x.f OR list_max([q.t FOR q IN n]) >= 2 * x.t) THEN w.alive ELSE list_append(w.alive, x) END
+  FROM wk w JOIN ls USING (chrom, strand, island), LATERAL (SELECT ls.l[w.i + 1] AS x), LATERAL (SELECT [q FOR q IN w.alive IF abs(q.pos - x.pos) <= 5] AS n) WHERE w.i < len(ls.l)),
+kp AS (SELECT chrom, strand, unnest(alive) AS k FROM wk JOIN ls USING (chrom, strand, island) WHERE i = len(l)), tg AS (SELECT pc.chrom, pc.strand, pc.pos, (array_agg(k.pos ORDER BY k.f, k.pos))[1] AS target FROM pc JOIN kp ON pc.chrom = kp.chrom AND pc.strand = kp.strand AND abs(pc.pos - k.pos) <= 5 GROUP BY pc.chrom, pc.strand, pc.pos),
+moved AS (SELECT read_name, chrom, strand, CASE WHEN strand = '-' THEN start ELSE coalesce(target, pos) END AS start, CASE WHEN strand = '-' THEN coalesce(target, pos) ELSE "end" END AS "end", count, ltr_umi, linker_umi, map_qual, mean_qual FROM ps LEFT JOIN tg USING (chrom, strand, pos))"""
+
+
+@query(f"WITH RECURSIVE {_COLLAPSE} SELECT * FROM moved")
 def abundant_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalpass.collapse(a.fragments(spark, sf_dir), window=5, min_count=2, fold=2.0).select(*_COLS)
 
@@ -129,7 +140,12 @@ def low_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalpass.low_confidence(a.fragments(spark, sf_dir), fold=2.0).select("read_name")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COLLAPSE}, rn AS (SELECT *, {_SUM.format(k='chrom, strand, start, "end", ltr_umi, linker_umi', o='count DESC, map_qual DESC, mean_qual DESC')} FROM moved),
+on_ AS (SELECT {_KEPT}, CASE WHEN strand = '-' THEN "end" ELSE start END AS pos, concat(ltr_umi, linker_umi) AS umi FROM rn WHERE n = 1),
+us AS (SELECT umi, chrom, strand, pos, sum(count) AS c, max((map_qual, mean_qual)) AS q FROM on_ GROUP BY ALL), uw AS (SELECT *, row_number() OVER (PARTITION BY umi ORDER BY c DESC, q DESC, chrom, strand, pos) AS w FROM us),
+un AS (SELECT on_.* FROM on_ JOIN uw ON w = 1 AND on_.umi = uw.umi AND on_.chrom = uw.chrom AND on_.strand = uw.strand AND on_.pos = uw.pos), pt AS (SELECT chrom, strand, pos, sum(count) AS total FROM un GROUP BY ALL),
+fi AS (SELECT {_LIST} FROM un JOIN pt USING (chrom, strand, pos) WHERE total >= (SELECT floor(avg(total) / 100) FROM pt))
+SELECT *, true AS kept FROM fi UNION ALL SELECT *, false FROM moved WHERE read_name NOT IN (SELECT read_name FROM fi)""")
 def final_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, removed = finalpass.final_pass(a.fragments(spark, sf_dir), min_count=2, umi_dedup=True)
     return kept.select(*_COLS).withColumn("kept", F.lit(True)).unionByName(removed.select(*_COLS).withColumn("kept", F.lit(False)))
@@ -175,24 +191,30 @@ def annotation_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.nearest(a.sites(spark, sf_dir), a.features(spark, sf_dir)).select("site_id", "distance", "feature")
 
 
-_FLAGS = ["first_operation", "no_clips", "not_beaten", "mapping_quality", "length", "edits"]
+_TESTS = ["first_operation", "no_clips", "start_matches", "not_beaten", "multi_allowed", "mapping_quality", "base_quality", "length", "edits", "mismatches", "indels"]
 
 
-@query("""WITH al AS (SELECT *, 30 + l_partkey % 60 AS size, l_partkey % 50 AS score, CASE WHEN l_orderkey % 3 = 0 THEN l_partkey % 50 - 1 + l_orderkey % 3 + l_partkey % 2 END AS second, l_orderkey % 43 AS mapq FROM lineitem)
-SELECT l_returnflag AS ref, count(*) AS n, CAST(count(*) FILTER (l_partkey % 11 <> 0 AND (second IS NULL OR second <= score) AND (mapq >= 2 OR (second IS NOT NULL AND second = score AND mapq <= 1)) AND l_partkey % 9 <= floor(size * 0.1) + floor(size * 0.02)) AS BIGINT) AS passed
-FROM al GROUP BY 1""")
+@query(f"""WITH {a.ALIGNMENTS} SELECT ref, count(*) AS n, {", ".join(f"CAST(count(*) FILTER (t_{t}) AS BIGINT) AS {t}" for t in _TESTS if t not in ("first_operation",))}, CAST(count(*) FILTER (t_first_operation) AS BIGINT) AS first_operation FROM tested GROUP BY ref""")
 def qc_alignment_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = qc.tests(qc.Limits())
-    every = None
-    for name in _FLAGS:
-        every = checks[name] if every is None else every & checks[name]
-    return a.alignments(spark, sf_dir).groupBy("ref").agg(F.count("*").alias("n"), F.count_if(every).alias("passed"))
+    return a.alignments(spark, sf_dir).groupBy("ref").agg(F.count("*").alias("n"), *[F.count_if(checks[t]).alias(t) for t in _TESTS])
 
 
-@query()
+@query(f"""WITH {a.ALIGNMENTS} SELECT read_name, ref AS chrom, start, "end", CAST(1 AS BIGINT) AS count, strand, 'N' AS ltr_umi, 'N' AS linker_umi, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq1, multi, round(-10 * log10(error), 6) AS mean_qual, mapq AS map_qual, 'N' AS ltr_match, 'N' AS linker_match
+FROM tested WHERE {" AND ".join(f"t_{t}" for t in _TESTS)}""")
 def qc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     al = a.alignments(spark, sf_dir).withColumns({c: F.lit("N") for c in ("ltr_umi", "linker_umi", "ltr_match", "linker_match")})
-    return qc.single_fragments(qc.qc(al)).drop("seq2")
+    return qc.single_fragments(qc.qc(al)).drop("seq2").withColumn("mean_qual", F.round("mean_qual", 6))
+
+
+@query(f"""WITH {a.ALIGNMENTS}, m AS (SELECT read_name, 1 AS mate, ref, start, "end", strand, mapq, 1.0 / (2 + mapq) AS error, seq FROM al
+  UNION ALL SELECT read_name, 2, CASE WHEN "end" % 19 = 0 THEN 'X' ELSE ref END, start + 40, "end" + 40, CASE WHEN start % 13 = 0 THEN strand WHEN strand = '-' THEN '+' ELSE '-' END, mapq % 7, 0.05, seq FROM al WHERE start % 17 <> 0),
+g AS (SELECT read_name FROM m GROUP BY read_name HAVING count(*) FILTER (mate = 1) = 1 AND count(*) FILTER (mate = 2) = 1 AND count(DISTINCT ref) = 1 AND count(DISTINCT strand) = 2 AND NOT bool_or(ref = 'R'))
+SELECT x.read_name, x.ref AS chrom, CASE WHEN x.strand = '-' THEN y.start ELSE x.start END AS start, CASE WHEN x.strand = '-' THEN x."end" ELSE y."end" END AS "end", x.strand, x.seq AS seq1, y.seq AS seq2, round(-10 * log10((x.error + y.error) / 2), 6) AS mean_qual, least(x.mapq, y.mapq) AS map_qual
+FROM g JOIN m x ON x.read_name = g.read_name AND x.mate = 1 JOIN m y ON y.read_name = g.read_name AND y.mate = 2""")
+def fragments_from_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = qc.fragments(qc.proper_pairs(a.mates(spark, sf_dir), ["R"]))
+    return got.select("read_name", "chrom", "start", "end", "strand", "seq1", "seq2", F.round("mean_qual", 6).alias("mean_qual"), "map_qual")
 
 
 @query(f"""WITH RECURSIVE {a.READS}, n AS (SELECT DISTINCT family, seq1 AS s FROM reads),
@@ -203,13 +225,28 @@ def sequence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.sequence_groups(a.reads(spark, sf_dir), ["family"], "seq1", 0.95, 5).select("read_name", "seq_group")
 
 
-@query()
+_SIGNATURES = f"""{a.READS}, sq AS (SELECT DISTINCT family, seq1 AS s FROM reads), km AS (SELECT family, s, i, md5(substr(s, i, 4)) AS h FROM sq, range(1, 30) AS r(i) WHERE i <= length(s) - 3),
+tk AS (SELECT DISTINCT family, s, h FROM (SELECT family, s, min(h) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS h, i FROM km) WHERE i <= length(s) - 6),
+nu AS (SELECT family, s, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS x FROM tk), pm AS (SELECT i, CAST(concat('0x', substr(md5(concat('a', i)), 1, 7)) AS BIGINT) + 1 AS a, CAST(concat('0x', substr(md5(concat('b', i)), 1, 7)) AS BIGINT) AS b FROM range(128) AS r(i)),
+sg AS (SELECT family, s, i, min((a * x + b) % 4294967311) & 4294967295 AS v FROM nu, pm GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_SIGNATURES}, ed AS (SELECT x.family, x.s AS a, y.s AS b FROM sg x JOIN sg y ON x.family = y.family AND x.i = y.i AND x.s <> y.s GROUP BY ALL HAVING sum(bit_count(xor(x.v, y.v))) <= 128 * 32 * (1 - 0.637) / 2),
+rc(family, a, b) AS (SELECT family, s, s FROM sq UNION SELECT rc.family, rc.a, ed.b FROM rc JOIN ed ON rc.family = ed.family AND rc.b = ed.a), lo AS (SELECT rc.family, rc.a AS s, min(r.read_name) AS component FROM rc JOIN reads r ON r.family = rc.family AND r.seq1 = rc.b GROUP BY ALL)
+SELECT read_name, component FROM reads JOIN lo ON reads.family = lo.family AND reads.seq1 = lo.s""")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = similarity.minimizers(a.reads(spark, sf_dir), "seq1", 4, 4).withColumn("sig", similarity.minhash(F.col("tokens"), 128))
     return similarity.signature_groups(signed, "read_name", "sig", similarity.default_hash_similarity(0.95, 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {a.READS}, rk AS (SELECT *, {_SUM.format(k="ltr_umi, linker_umi, seq1, seq2", o='map_qual DESC, mean_qual DESC')} FROM reads), ex AS (SELECT * EXCLUDE (count, total, n), total AS count FROM rk WHERE n = 1),
+n AS (SELECT DISTINCT family, seq1 AS s FROM ex), e AS (SELECT x.family, x.s AS a, y.s AS b FROM n x JOIN n y ON x.family = y.family AND x.s <> y.s AND abs(length(x.s) - length(y.s)) <= 5 AND 1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)) >= 0.95),
+c(family, a, b) AS (SELECT family, s, s FROM n UNION SELECT c.family, c.a, e.b FROM c JOIN e ON c.family = e.family AND c.b = e.a), m AS (SELECT family, a AS s, min(b) AS grp FROM c GROUP BY ALL),
+um AS (SELECT ex.*, m.grp, concat(ltr_umi, linker_umi) AS umi FROM ex JOIN m ON ex.family = m.family AND ex.seq1 = m.s), nd AS (SELECT family, grp, umi, sum(count) AS n, (array_agg(read_name ORDER BY count DESC, map_qual DESC, mean_qual DESC, read_name))[1] AS rep FROM um GROUP BY family, grp, umi),
+st AS (SELECT u.family, u.grp, u.umi AS u, v.umi AS v FROM nd u JOIN nd v ON u.family = v.family AND u.grp = v.grp AND hamming(u.umi, v.umi) = 1 AND u.n >= 2 * v.n - 1),
+rc(family, grp, u, v) AS (SELECT family, grp, umi, umi FROM nd UNION SELECT rc.family, rc.grp, rc.u, st.v FROM rc JOIN st ON rc.family = st.family AND rc.grp = st.grp AND rc.v = st.u),
+ow AS (SELECT rc.family, rc.grp, rc.v AS umi, (array_agg(nd.umi ORDER BY nd.n DESC, nd.rep))[1] AS owner FROM rc JOIN nd ON rc.family = nd.family AND rc.grp = nd.grp AND rc.u = nd.umi GROUP BY rc.family, rc.grp, rc.v),
+r AS (SELECT um.*, {_SUM.format(k="um.family, um.grp, ow.owner", o='count DESC, map_qual DESC, mean_qual DESC')} FROM um JOIN ow USING (family, grp, umi)) SELECT read_name, seq1, total AS count FROM r WHERE n = 1""")
 def multi_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.multi_fuzzy(dedup.multi_exact(a.reads(spark, sf_dir)), ["family"])[0].select("read_name", "seq1", "count")
 
@@ -235,7 +272,15 @@ def unique_prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassign.prefix_index(_unique_reads(spark, sf_dir), 15).select("chrom", "strand", "prefix", "pos", "seq1")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_INDEX}, fr AS (SELECT chrom, strand, pos, count(*) AS fragments FROM u GROUP BY ALL), ix AS (SELECT ux.*, fr.fragments FROM ux JOIN fr USING (chrom, strand, pos) WHERE n = 1 AND length(seq1) >= 15),
+cd AS (SELECT r.read_name, x.chrom, x.strand, x.pos, x.fragments, CASE WHEN length(r.seq1) = 0 THEN 1.0 ELSE 1 - levenshtein(r.seq1, substr(x.seq1, 1, length(r.seq1))) / length(r.seq1) END AS sim,
+  row_number() OVER (PARTITION BY r.read_name ORDER BY x.chrom, x.strand, x.pos, length(x.seq1), x.seq1) AS i FROM reads r JOIN ix x ON substr(r.seq1, 1, 15) = x.prefix AND length(x.seq1) >= length(r.seq1)),
+fo(read_name, i, chrom, strand, pos, fragments, sim) AS (SELECT read_name, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS DOUBLE) FROM reads
+  UNION ALL SELECT f.read_name, c.i, CASE WHEN z THEN c.chrom ELSE f.chrom END, CASE WHEN z THEN c.strand ELSE f.strand END, CASE WHEN z THEN c.pos ELSE f.pos END, CASE WHEN z THEN c.fragments ELSE f.fragments END, CASE WHEN z THEN c.sim ELSE f.sim END
+  FROM fo f JOIN (SELECT * FROM cd) c ON c.read_name = f.read_name AND c.i = f.i + 1, LATERAL (SELECT c.sim > f.sim + 0.05 OR (abs(c.sim - f.sim) <= 0.05 AND c.fragments > 2 * f.fragments) AS z)),
+la AS (SELECT * FROM fo QUALIFY row_number() OVER (PARTITION BY read_name ORDER BY i DESC) = 1)
+SELECT r.read_name, CASE WHEN g THEN la.chrom ELSE 'chrX' END AS chrom, CASE WHEN g THEN la.strand ELSE '+' END AS strand, CASE WHEN NOT g THEN 0 WHEN la.strand = '-' THEN la.pos - length(r.seq1) ELSE la.pos END AS start, CASE WHEN NOT g THEN length(r.seq1) WHEN la.strand = '-' THEN la.pos ELSE la.pos + length(r.seq1) END AS "end",
+  CASE WHEN g THEN 'multi_relocated' ELSE 'multi' END AS mapping_class FROM reads r JOIN la ON la.read_name = r.read_name, LATERAL (SELECT la.sim >= 0.95 AS g)""")
 def prefix_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     unique = _unique_reads(spark, sf_dir)
     multi = a.reads(spark, sf_dir).withColumn("chrom", F.lit("chrX")).withColumn("strand", F.lit("+")).withColumn("start", F.lit(0).cast("long")).withColumn("end", F.length("seq1").cast("long"))
@@ -299,10 +344,10 @@ def mle_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abundance.abundance(sites_.project_sites(a.fragments(spark, sf_dir)).withColumn("sample", F.col("chrom")), "sample")
 
 
-@query()
+@query(f"WITH {a.READS} SELECT read_name, seq1, repeat('I', 31) AS qual1, substr(ltr_umi, 2, 1) AS ltr_umi, 'N' AS linker_umi, 'GTCATTGCAC' AS ltr_match, CAST(NULL AS VARCHAR) AS linker_match FROM (SELECT * REPLACE (concat(ltr_umi, ltr_umi) AS ltr_umi) FROM reads)")
 def adapter_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = a.reads(spark, sf_dir)
-    tagged = r.select("read_name", F.concat("ltr_umi", F.lit("GTCATTGCAC"), "seq1").alias("seq1"), F.repeat(F.lit("I"), 43).alias("qual1"))
+    tagged = r.select("read_name", F.concat("ltr_umi", "ltr_umi", F.lit("GTCATTGCAC"), "seq1").alias("seq1"), F.repeat(F.lit("I"), 43).alias("qual1"))
     return crop.crop(tagged, "GTCATTGCAC", min_frag_len=20, ltr_umi=(1, 0, None))
 
 
@@ -329,3 +374,150 @@ def primer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = a.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("ltr"), F.lit("x").alias("linker"))
     primers = a.table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("sequence"))
     return setup.primer_lookup(sheet, primers).select("name", "ltr", "ltr_known")
+
+
+# --- scalar functions and small operators
+
+
+@query(f"""WITH {a.READS} SELECT read_name, reverse(translate(s, 'ACGTRYSWKMBDHVNacgt', 'TGCAYRSWMKVHDBNTGCA')) AS other FROM (SELECT read_name, translate(md5(read_name), '0123456789abcdef', 'ACGTRYSWKMBDHVNa') AS s FROM reads)""")
+def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.translate(F.md5("read_name"), "0123456789abcdef", "ACGTRYSWKMBDHVNa")
+    return a.reads(spark, sf_dir).select("read_name", revcomp(s).alias("other"))
+
+
+@query("""SELECT p_partkey, dense_rank() OVER (ORDER BY CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END, p_size) AS place FROM part""")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of names such as chr2, chr10, contig7 in natural order."""
+    p = a.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 7 == 0, "contig").otherwise("chr"), F.col("p_size").cast("string")).alias("name"))
+    places = p.select("name").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(natural_key(F.col("name")))))
+    return p.join(places, "name").select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {a.ALIGNMENTS} SELECT read_name, round(error, 9) AS error, round(-10 * log10(error), 6) AS phred FROM al""")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = a.alignments(spark, sf_dir).select("read_name", error_probability(F.col("quals")).alias("error"))
+    return e.select("read_name", F.round("error", 9).alias("error"), F.round(phred(F.col("error")), 6).alias("phred"))
+
+
+@query(f"""WITH {a.READS}, m AS (SELECT read_name, seq1, CASE WHEN k % 3 = 0 THEN r WHEN k % 3 = 1 THEN concat('GG', substr(r, 3)) END AS seq2, r FROM (SELECT *, CAST(substr(read_name, 2) AS BIGINT) AS k, reverse(translate(seq1, 'ACGT', 'TGCA')) AS r FROM reads))
+SELECT read_name, CASE WHEN seq2 IS NULL OR 1 - levenshtein(seq1, reverse(translate(seq2, 'ACGT', 'TGCA'))) / greatest(length(seq1), length(seq2)) >= 0.95 THEN seq1 ELSE concat(seq1, seq2) END AS compared FROM m""")
+def compared_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other, k = revcomp(F.col("seq1")), F.substring("read_name", 2, 20).cast("long")
+    r = a.reads(spark, sf_dir).withColumn("seq2", F.when(k % 3 == 0, other).when(k % 3 == 1, F.concat(F.lit("GG"), F.substring(other, 3, 100))))
+    return r.select("read_name", similarity.compare_sequence(0.95).alias("compared"))
+
+
+@query(f"""WITH {a.READS}, k AS (SELECT read_name, [substr(seq1, i, 4) FOR i IN range(1, length(seq1) - 2)] AS x, [substr(b, i, 4) FOR i IN range(1, length(b) - 2)] AS y FROM (SELECT read_name, seq1, translate(md5(CAST(family AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b FROM reads)),
+d AS (SELECT read_name, list_sum([len([u FOR u IN y IF u = t]) FOR t IN x]) AS xy, list_sum([len([u FOR u IN x IF u = t]) FOR t IN x]) AS xx, list_sum([len([u FOR u IN y IF u = t]) FOR t IN y]) AS yy FROM k) SELECT read_name, round(xy / sqrt(xx * yy), 6) AS cosine FROM d""")
+def kmer_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.translate(F.md5(F.col("family").cast("string")), "0123456789abcdef", "ACGT" * 4)
+    return a.reads(spark, sf_dir).select("read_name", F.round(similarity.kmer_cosine(F.col("seq1"), base, 4), 6).alias("cosine"))
+
+
+@query(f"""WITH {a.READS} SELECT read_name, substr(seq1, 1, 4) AS first, CASE WHEN k % 2 = 0 THEN substr(seq1, 5, 4) END AS second FROM (SELECT *, CAST(substr(read_name, 2) AS BIGINT) AS k FROM reads)""")
+def header_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("read_name", 2, 20).cast("long")
+    header = F.concat("read_name", F.lit(" 1:N:0:"), F.substring("seq1", 1, 4), F.when(k % 2 == 0, F.concat(F.lit("+"), F.substring("seq1", 5, 4))).otherwise(""))
+    first, second = demux.header_index(header)
+    return a.reads(spark, sf_dir).select("read_name", first.alias("first"), second.alias("second"))
+
+
+def _inline(read: str, code: str, out: str) -> str:
+    return f"{out} AS (SELECT read_name, sample, row_number() OVER (PARTITION BY read_name ORDER BY ord) AS n FROM rd JOIN codes ON hamming({read}, {code}) <= 1)"
+
+
+@query(f"""WITH {a.READS}, codes(sample, barcode, ord) AS (VALUES {_VALUES}), rd AS (SELECT read_name, seq1, substr(seq1, 5) AS seq2 FROM reads), {_inline("substr(seq1, 1, 4)", "barcode", "f")}, {_inline("substr(seq2, 1, 4)", "barcode", "s")}, {_inline("right(seq1, 4)", "reverse(translate(barcode, 'ACGT', 'TGCA'))", "t")},
+p AS (SELECT f.read_name, f.sample AS a, s.sample AS b FROM f JOIN s ON f.read_name = s.read_name AND f.n = 1 AND s.n = 1), l AS (SELECT f.read_name, f.sample AS a, t.sample AS b FROM f JOIN t ON f.read_name = t.read_name AND f.n = 1 AND t.n = 1)
+SELECT read_name, 'both' AS mode, a AS sample FROM p WHERE a = b UNION ALL SELECT read_name, 'all', concat(a, '-', b) FROM p UNION ALL SELECT read_name, 'linked', a FROM l WHERE a = b
+UNION ALL SELECT rd.read_name, 'first', coalesce(f.sample, 'unknown') FROM rd LEFT JOIN f ON f.read_name = rd.read_name AND f.n = 1 UNION ALL SELECT rd.read_name, 'three', CASE WHEN t.sample = 's1' THEN 'renamed' ELSE coalesce(t.sample, 'unknown') END FROM rd LEFT JOIN t ON t.read_name = rd.read_name AND t.n = 1""")
+def inline_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline barcodes at both ends (paired, all combinations, linked in one read), at the first end, and at the 3' end with a renamed sample."""
+    r = a.reads(spark, sf_dir).select("read_name", "seq1", F.substring("seq1", 5, 100).alias("seq2"))
+    codes = _barcodes(spark)
+    demux.check_barcodes(codes)
+    demux.check_same_ids(codes, codes)
+    got = {
+        "both": demux.inline_demux(r, codes, codes, 0.25), "all": demux.inline_demux(r, codes, codes, 0.25, keep_all=True), "linked": demux.inline_demux(r, codes, codes, 0.25, seq2=None), "first": demux.inline_demux(r, codes, None, 0.25),
+        "three": demux.renamed(demux.inline_demux(r, None, codes, 0.25, seq2=None), spark.createDataFrame([("s1", "renamed")], "old string, new string")),
+    }
+    out = None
+    for mode, df in got.items():
+        one = df.select("read_name", F.lit(mode).alias("mode"), "sample")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {a.FRAGMENTS}, e AS (SELECT sum(count) AS count FROM fragments GROUP BY chrom, strand, start, "end", ltr_umi, linker_umi), t AS (SELECT 'all' AS stage, count(*) AS rows, CAST(sum(count) AS BIGINT) AS reads FROM fragments UNION ALL SELECT 'exact', count(*), CAST(sum(count) AS BIGINT) FROM e UNION ALL SELECT 'plus', count(*), CAST(sum(count) AS BIGINT) FROM fragments WHERE strand = '+' UNION ALL SELECT 'none', 0, 0)
+SELECT stage, rows, reads, round(100 * reads / (SELECT reads FROM t WHERE stage = 'all'), 6) AS percent FROM t""")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = a.fragments(spark, sf_dir)
+    return sites_.statistics({"all": f, "exact": dedup.unique_exact(f), "plus": f.where("strand = '+'"), "none": f.where("false")}).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""WITH {a.FRAGMENTS} SELECT chrom, CASE WHEN strand = '-' THEN "end" - 1 ELSE start END AS site_start, CASE WHEN strand = '-' THEN "end" ELSE start + 1 END AS site_end, read_name, count, strand AS site_strand, start, "end", ltr_umi, linker_umi, map_qual, mean_qual, CAST(NULL AS VARCHAR) AS seq1, CAST(NULL AS VARCHAR) AS multi FROM fragments""")
+def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites_.summary(sites_.project_sites(a.fragments(spark, sf_dir)))
+
+
+@query(f"""WITH {a.SITES}, {a.FEATURES}, n AS (SELECT s.chrom, s.site_start, s.site_strand, count(DISTINCT s.site_id) AS w, bool_or(f.name IS NOT NULL) AS hit FROM sites s LEFT JOIN features f ON s.chrom = f.chrom AND s.site_start < f."end" AND f.start < s.site_end GROUP BY ALL)
+SELECT unit, round(sum(CASE WHEN hit THEN v ELSE 0 END) / sum(v), 6) AS share FROM (SELECT 'fragments' AS unit, w AS v, hit FROM n UNION ALL SELECT 'sites', 1, hit FROM n) GROUP BY unit""")
+def annotation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that overlaps a feature, counted by fragments and by unique sites."""
+    one = a.sites(spark, sf_dir).groupBy("chrom", "site_start", "site_end", "site_strand").agg(F.min("site_id").alias("site_id"), F.count("*").alias("w"))
+    counted = annotate.overlaps(one, a.features(spark, sf_dir))
+    share = lambda unit, weight: annotate.overlap_share(counted, weight).select(F.lit(unit).alias("unit"), F.round("share", 6).alias("share"))
+    return share("fragments", "w").unionByName(share("sites", None))
+
+
+@query(f"""WITH {a.READS}, c AS (SELECT CAST(family AS VARCHAR) AS contig, string_agg(seq1, '' ORDER BY read_name) AS g FROM reads GROUP BY family), s AS (SELECT read_name, CAST(family AS VARCHAR) AS contig, CAST(substr(read_name, 2) AS BIGINT) % 400 AS place, CASE WHEN count % 2 = 0 THEN '+' ELSE '-' END AS strand FROM reads),
+w AS (SELECT read_name, strand, substr(g, greatest(0, place - 25) + 1, place + 26 - greatest(0, place - 25)) AS x FROM s JOIN c USING (contig)) SELECT read_name, CASE WHEN strand = '-' THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS window_seq FROM w""")
+def site_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genome windows around sites, from contigs cut in chunks of 64 bases."""
+    r = a.reads(spark, sf_dir)
+    contigs = r.groupBy(F.col("family").cast("string").alias("contig")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("read_name", "seq1"))), lambda x: x["seq1"]), "").alias("seq"))
+    at = F.substring("read_name", 2, 20).cast("long") % 400
+    placed = r.select("read_name", F.col("family").cast("string").alias("chrom"), at.alias("site_start"), (at + 1).alias("site_end"), F.when(F.col("count") % 2 == 0, "+").otherwise("-").alias("site_strand"))
+    return mispriming.site_windows(placed, mispriming.genome_chunks(contigs, 64), size=64).select("read_name", F.coalesce("window_seq", F.lit("")).alias("window_seq"))
+
+
+# --- files: written in the shared folder and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {a.READS} SELECT read_name, concat('RX:Z:', ltr_umi, '-N') AS comment, seq1 AS seq, repeat('I', length(seq1)) AS qual FROM reads")
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    r = a.reads(spark, sf_dir).select("read_name", "seq1", F.expr("repeat('I', length(seq1))").alias("qual1"), F.concat("read_name", F.lit(" RX:Z:"), "ltr_umi", F.lit("-N")).alias("header"))
+    files.write_fastq(r.unionByName(r.withColumn("seq1", F.concat(F.lit("Z"), "seq1"))), path, F.col("header"))  # of two records of a name the first
+    return files.read_fastq(spark, path).select("read_name", "comment", "seq", "qual")
+
+
+@query(f"""WITH {a.READS} SELECT CAST(family AS VARCHAR) AS contig, string_agg(seq1, '' ORDER BY read_name) AS seq FROM reads GROUP BY family""")
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    lines = a.reads(spark, sf_dir).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("read_name", "seq1"))).alias("l"))
+    files.write_text(lines.select(F.concat(F.lit(">"), "family", F.lit(" a comment\n"), F.array_join(F.transform("l", lambda x: F.lower(x["seq1"])), "\n")).alias("value")), path)
+    return files.read_fasta(spark, path).select("contig", "seq")
+
+
+@query(f"""WITH {a.FRAGMENTS} SELECT chrom, start, "end", read_name AS name, CAST(count AS DOUBLE) AS score, strand FROM fragments""")
+def bed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    files.write_bed(a.fragments(spark, sf_dir), path, ["chrom", "start", "end", "read_name", "count", "strand"])
+    return files.read_bed(spark, path)
+
+
+@query(f"""WITH {a.ALIGNMENTS} SELECT read_name, 1 AS mate, ref, start, start + size - CASE WHEN clipped THEN 3 ELSE 0 END AS "end", strand, mapq, CASE WHEN clipped THEN 2 ELSE 1 END AS operations, md, nm, xm, CAST(score AS INT) AS score, CAST(second AS INT) AS second, seq, tlen, strand <> '-' AS primary FROM al WHERE start % 5 <> 0""")
+def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments as SAM text, with a header and unmapped records, read again."""
+    path, al = _folder(spark), a.alignments(spark, sf_dir)
+    flag = F.when(F.col("start") % 5 == 0, 4).otherwise(0) + F.when(F.col("strand") == "-", 16 + 256).otherwise(0)
+    cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.substr(F.lit("MIDNSHP=X"), c["op"] + 1, F.lit(1)))), "")
+    tag = lambda name, c: F.concat(F.lit(f"{name}:i:"), F.col(c).cast("string"))
+    line = F.concat_ws("\t", "read_name", flag.cast("string"), "ref", (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), cigar, F.lit("="), F.lit("0"), F.col("tlen").cast("string"), "seq",
+                       F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.concat(F.lit("MD:Z:"), "md"), tag("NM", "nm"), tag("XM", "xm"), tag("AS", "score"), tag("XS", "second"))
+    files.write_text(spark.createDataFrame([("@HD\tVN:1.6",)], "value string").unionByName(al.select(line.alias("value"))), path)
+    return files.read_sam(spark, path).select("read_name", "mate", "ref", "start", "end", "strand", "mapq", F.size("cigar").alias("operations"), "md", "nm", "xm", "score", "second", "seq", "tlen", "primary")

@@ -8,6 +8,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from siteloom.session import broadcast_if_small
+
 #: Options whose values are split at ';'.
 MULTI_VALUE = ("contam", "remove_chr", "annotations")
 
@@ -71,5 +73,5 @@ def primer_lookup(sheet: DataFrame, primers: DataFrame, columns: tuple[str, str]
     out = sheet
     for c in columns:
         p = primers.select(F.col("id").alias(c), F.upper("sequence").alias("__seq"))
-        out = out.join(F.broadcast(p), c, "left").withColumn(f"{c}_known", F.col("__seq").isNotNull()).withColumn(c, F.coalesce("__seq", c)).drop("__seq")
+        out = out.join(broadcast_if_small(p), c, "left").withColumn(f"{c}_known", F.col("__seq").isNotNull()).withColumn(c, F.coalesce("__seq", c)).drop("__seq")
     return out

@@ -245,3 +245,51 @@ def test_signature_groups_at_a_low_limit(spark):
     got = {r[0]: r[1] for r in similarity.signature_groups(spark.createDataFrame(rows, "id string, sig array<long>"), "id", "sig", similarity.default_hash_similarity(0.95, 8)).collect()}
     assert sum(got[f"{k:03}a"] == got[f"{k:03}b"] for k in range(150)) >= 149
     assert [similarity.band_rows(h, 128) for h in (0.446, 0.637)] == [2, 3]
+
+
+def test_choice_of_a_place_is_even_and_seeded_by_valid_ones():
+    from siteloom.functions.sequences import choice_seed
+
+    rows = [("chr1", 100, 130, "+", 50), ("chr2", 5, 60, "-", 45), ("chr3", 9, 40, "+", 1)]
+    import random
+
+    want = random.Random(choice_seed("chr1_100_+,chr2_60_-")).choices([("chr1", 100, 130, "+"), ("chr2", 5, 60, "-")], k=1)[0]
+    assert reassign.choose_position(rows) == want == reassign.choose_position(rows[::-1])
+    assert reassign.choose_position([]) is None and reassign.choose_position(rows[:1]) == ("chr1", 100, 130, "+")
+
+
+def test_leaders_of_equal_similarity():
+    """The shortest, then smallest leader counts; the first ones are the longest, then largest."""
+    got = reassign.refined(["AAAATTTT", "AAAACCCC", "AAAA"], 0.9)
+    assert got == [("AAAATTTT", "AAAATTTT"), ("AAAACCCC", "AAAACCCC"), ("AAAA", "AAAACCCC")]
+
+
+def test_deleted_bases_at_the_start(spark):
+    al = spark.createDataFrame([(1, "0^GT0C30", "ACGT"), (1, "0A30", "ACGT"), (2, "0^GT0C30", "ACGT")], "mate int, md string, seq string").withColumn("cigar", F.expr("array(struct(0 as op, 30 as len))"))
+    assert [r[0] for r in al.select(qc.tests(qc.Limits())["start_matches"]).collect()] == [False, True, True]
+
+
+def test_long_reads_in_adapter_places():
+    from siteloom.functions.align import find_adapter
+
+    read = "C" * 150_000 + "ACGTACGTAC" + "C" * 5
+    assert find_adapter([read], "ACGTACGTAC", 0.1).tolist() == [[0, 150_000, 150_010]]
+
+
+def test_too_many_barcodes(spark, monkeypatch):
+    monkeypatch.setattr(demux, "MOST_BARCODES", 2)
+    codes = spark.createDataFrame([(f"s{k}", "ACG" + "ACGT"[k], k) for k in range(3)], "sample string, barcode string, ord int")
+    reads = spark.createDataFrame([("r", "ACGTACGT")], "read_name string, seq1 string")
+    with pytest.raises(ValueError):
+        demux.anchored(reads, "seq1", codes, 0.1, "sample")
+
+
+def test_umi_chain_beyond_a_hundred_steps(spark):
+    """A chain of UMIs with one read each, each a neighbour of the next."""
+    chain, umi = [], ["A"] * 120
+    for k in range(121):
+        chain.append("".join(umi))
+        if k < 120:
+            umi[k] = "C"
+    nodes = spark.createDataFrame([(1, u, 2 if k == 0 else 1, f"r{k:03d}") for k, u in enumerate(chain)], "g int, umi string, n long, rep string")
+    assert {r.owner for r in dedup.umi_owners(nodes, ["g"], 2.0).collect()} == {chain[0]}
