@@ -138,10 +138,10 @@ def multi_fuzzy(df: DataFrame, group: list[str], seq_sim: float = 0.95, len_diff
     return _merge(clustered, [*group, "__seq_group", "umi_owner"], df.columns)
 
 
-def multi_dedup(df: DataFrame, seq_sim: float = 0.95, token: int = 4, window: int | None = None, num_perm: int = 128, len_diff: int = 5, frag_ratio: float = 2.0, hash_sim: float | None = None) -> tuple[DataFrame, DataFrame]:
+def multi_dedup(df: DataFrame, seq_sim: float = 0.95, token: int = 4, window: int | None = None, num_perm: int = 128, len_diff: int = 5, frag_ratio: float = 2.0, hash_sim: float | None = None, bits: int = 32) -> tuple[DataFrame, DataFrame]:
     """multi_fuzzy within groups of MinHash signatures."""
-    named = checkpointed(minimizers(df.withColumn("__compare", compare_sequence(seq_sim)), "__compare", token, window or token, "__tokens").withColumn("__sig", minhash(F.col("__tokens"), num_perm)).drop("__tokens", "__compare"))
-    parts = signature_groups(named, "read_name", "__sig", default_hash_similarity(seq_sim, token) if hash_sim is None else hash_sim)
+    named = checkpointed(minimizers(df.withColumn("__compare", compare_sequence(seq_sim)), "__compare", token, window or token, "__tokens").withColumn("__sig", minhash(F.col("__tokens"), num_perm, bits)).drop("__tokens", "__compare"))
+    parts = signature_groups(named, "read_name", "__sig", default_hash_similarity(seq_sim, token) if hash_sim is None else hash_sim, bits)
     grouped = named.join(parts, "read_name", "left").withColumn("__coarse", F.coalesce("component", "read_name")).select(*df.columns, "__coarse")
     kept, dup = multi_fuzzy(grouped, ["__coarse"], seq_sim, len_diff, frag_ratio)
     return kept.select(*df.columns), dup

@@ -231,7 +231,7 @@ nu AS (SELECT family, s, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS x FROM
 sg AS (SELECT family, s, i, min((a * x + b) % 4294967311) & 4294967295 AS v FROM nu, pm GROUP BY ALL)"""
 
 
-@query(f"""WITH RECURSIVE {_SIGNATURES}, ed AS (SELECT x.family, x.s AS a, y.s AS b FROM sg x JOIN sg y ON x.family = y.family AND x.i = y.i AND x.s <> y.s GROUP BY ALL HAVING sum(bit_count(xor(x.v, y.v))) <= 128 * 32 * (1 - 0.637) / 2),
+@query(f"""WITH RECURSIVE {_SIGNATURES}, e1 AS MATERIALIZED (SELECT x.family, x.s AS a, y.s AS b FROM sg x JOIN sg y ON x.family = y.family AND x.i = y.i AND x.s < y.s GROUP BY ALL HAVING sum(bit_count(xor(x.v, y.v))) <= 128 * 32 * (1 - 0.637) / 2), ed AS (SELECT * FROM e1 UNION ALL SELECT family, b, a FROM e1),
 rc(family, a, b) AS (SELECT family, s, s FROM sq UNION SELECT rc.family, rc.a, ed.b FROM rc JOIN ed ON rc.family = ed.family AND rc.b = ed.a), lo AS (SELECT rc.family, rc.a AS s, min(r.read_name) AS component FROM rc JOIN reads r ON r.family = rc.family AND r.seq1 = rc.b GROUP BY ALL)
 SELECT read_name, component FROM reads JOIN lo ON reads.family = lo.family AND reads.seq1 = lo.s""")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,7 +510,7 @@ def bed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_bed(spark, path)
 
 
-@query(f"""WITH {a.ALIGNMENTS} SELECT read_name, 1 AS mate, ref, start, start + size - CASE WHEN clipped THEN 3 ELSE 0 END AS "end", strand, mapq, CASE WHEN clipped THEN 2 ELSE 1 END AS operations, md, nm, xm, CAST(score AS INT) AS score, CAST(second AS INT) AS second, seq, tlen, strand <> '-' AS primary FROM al WHERE start % 5 <> 0""")
+@query(f"""WITH {a.ALIGNMENTS} SELECT read_name, 1 AS mate, ref, start, start + size - CASE WHEN clipped THEN 3 ELSE 0 END AS "end", strand, mapq, CASE WHEN clipped THEN 2 ELSE 1 END AS operations, md, nm, coalesce(xm, -1) AS xm, CAST(score AS INT) AS score, CAST(coalesce(second, -99) AS INT) AS second, seq, tlen, strand <> '-' AS primary FROM al WHERE start % 5 <> 0""")
 def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments as SAM text, with a header and unmapped records, read again."""
     path, al = _folder(spark), a.alignments(spark, sf_dir)
@@ -520,4 +520,4 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("\t", "read_name", flag.cast("string"), "ref", (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), cigar, F.lit("="), F.lit("0"), F.col("tlen").cast("string"), "seq",
                        F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.concat(F.lit("MD:Z:"), "md"), tag("NM", "nm"), tag("XM", "xm"), tag("AS", "score"), tag("XS", "second"))
     files.write_text(spark.createDataFrame([("@HD\tVN:1.6",)], "value string").unionByName(al.select(line.alias("value"))), path)
-    return files.read_sam(spark, path).select("read_name", "mate", "ref", "start", "end", "strand", "mapq", F.size("cigar").alias("operations"), "md", "nm", "xm", "score", "second", "seq", "tlen", "primary")
+    return files.read_sam(spark, path).select("read_name", "mate", "ref", "start", "end", "strand", "mapq", F.size("cigar").alias("operations"), "md", "nm", F.coalesce("xm", F.lit(-1)).alias("xm"), "score", F.coalesce("second", F.lit(-99)).alias("second"), "seq", "tlen", "primary")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import gzip
+import itertools
+import struct
+from collections.abc import Iterator
 
-BED = "chrom string, start long, end long, name string, score double, strand string"
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from siteloom.session import broadcast_if_small, ship
 
-def is_gzip(head: bytes, path: str = "") -> bool:
-    """By the two magic bytes, else by extension."""
-    return head[:2] == b"\x1f\x8b" if head else path.endswith((".gz", ".bgz"))
+BED = "chrom string, start long, end long, name string, score double, strand string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +24,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     per = per.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return raw.join(F.broadcast(per.select("file", "block", "first", "up")), ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value")  # a row for each split
+    return raw.join(broadcast_if_small(per.select("file", "block", "first", "up")), ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value")  # a row for each split
 
 
 def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -76,8 +79,13 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text: the columns that the QC operators read, and ord, primary, proper. Unmapped records are left out."""
-    raw = _lines(spark, path).where(~F.col("value").startswith("@"))
+    """Alignments of SAM text, as parse_sam gives them."""
+    return parse_sam(_lines(spark, path))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """Alignments of lines (at, value) of SAM text: the columns that the QC operators read, and ord, primary, proper. Headers and unmapped records are left out."""
+    raw = lines.where(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
     tag = lambda t: F.regexp_extract("value", rf"\t{t}:[A-Za-z]:([^\t]*)", 1)
     number = lambda t: F.when(tag(t) != "", tag(t).cast("int"))
@@ -95,6 +103,79 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Fixed letters of number types in BAM, as struct names them.
+_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+
+
+def bam_lines(data: bytes) -> Iterator[str]:
+    """The records of a BAM file as lines of SAM text."""
+    raw = gzip.decompress(data)  # blocks of BGZF are members of a gzip file
+    if raw[:4] != b"BAM\1":
+        raise ValueError("not a BAM file")
+    at = 8 + struct.unpack_from("<i", raw, 4)[0]
+    many, at = struct.unpack_from("<i", raw, at)[0], at + 4
+    names = []
+    for _ in range(many):
+        n = struct.unpack_from("<i", raw, at)[0]
+        names.append(raw[at + 4 : at + 3 + n].decode())
+        at += 8 + n
+    name = lambda k: "*" if k < 0 else names[k]
+    while at < len(raw):
+        size, ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiiBBHHHiiii", raw, at)
+        end, here = at + 4 + size, at + 36
+        read = raw[here : here + n_name - 1].decode()
+        here += n_name
+        cigar = "".join(f"{v >> 4}{'MIDNSHP=X'[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", raw, here)) or "*"
+        here += 4 * n_ops
+        seq = "".join("=ACMGRSVTWYHKDBN"[b >> 4] + "=ACMGRSVTWYHKDBN"[b & 15] for b in raw[here : here + (n_seq + 1) // 2])[:n_seq] or "*"
+        here += (n_seq + 1) // 2
+        qual = "*" if n_seq == 0 or raw[here] == 255 else "".join(chr(q + 33) for q in raw[here : here + n_seq])
+        here += n_seq
+        tags = []
+        while here < end:
+            tag, kind = raw[here : here + 2].decode(), chr(raw[here + 2])
+            here += 3
+            if kind in "ZH":
+                stop = raw.index(0, here)
+                tags.append(f"{tag}:{kind}:{raw[here:stop].decode()}")
+                here = stop + 1
+            elif kind == "A":
+                tags.append(f"{tag}:A:{chr(raw[here])}")
+                here += 1
+            elif kind == "B":
+                sub, n = chr(raw[here]), struct.unpack_from("<i", raw, here + 1)[0]
+                values = struct.unpack_from(f"<{n}{_NUMBERS[sub]}", raw, here + 5)
+                tags.append(f"{tag}:B:{','.join(map(str, (sub, *values)))}")
+                here += 5 + struct.calcsize(f"<{n}{_NUMBERS[sub]}")
+            else:
+                tags.append(f"{tag}:{'f' if kind == 'f' else 'i'}:{struct.unpack_from('<' + _NUMBERS[kind], raw, here)[0]}")
+                here += struct.calcsize(_NUMBERS[kind])
+        yield "\t".join([read, str(flag), name(ref), str(pos + 1), str(mapq), cigar, "=" if mate == ref and mate >= 0 else name(mate), str(mate_pos + 1), str(tlen), seq, qual, *tags])
+        at = end
+
+
+def read_bam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of BAM files, as parse_sam gives them. A file is read by one task, so large inputs should be many files
+    (of less than 2 GB each, Spark's limit for a binary file)."""
+    ship(spark)
+
+    def lines(batches):
+        for pdf in batches:
+            for file, data in zip(pdf["path"], pdf["content"]):
+                rows = bam_lines(data)
+                at = 0
+                while some := list(itertools.islice(rows, 4096)):
+                    yield pd.DataFrame({"file": file, "at": range(at, at + len(some)), "value": some})
+                    at += len(some)
+
+    return parse_sam(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, at long, value string"))
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """SAM text or BAM, by the name of the path."""
+    return read_bam(spark, path) if path.endswith(".bam") else read_sam(spark, path)
+
+
 def write_bed(df: DataFrame, path: str, columns: list[str], header: bool = False, single: bool = False) -> None:
     """Tab-separated and compressed, in the order of the rows; single: one file."""
     out = df.select(*columns)

@@ -1,10 +1,16 @@
+import gzip
 import json
+import os
+import struct
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 
+from siteloom.plans import adapters
 from siteloom.plans.params import Params
-from siteloom.plans.run import run
-from siteloom.sources import files, setup
+from siteloom.plans.run import run, run_samples, write_result
+from siteloom.sources import aligner, files, setup
 
 
 def test_fastq(spark, tmp_path):
@@ -14,7 +20,6 @@ def test_fastq(spark, tmp_path):
     (tmp_path / "b.fastq").write_text("@r\nACGT\n+\n")
     with pytest.raises(Exception, match="four"):
         files.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
-    assert files.is_gzip(b"\x1f\x8b\x08") and not files.is_gzip(b"@r")
 
 
 def test_fasta_bed_sam(spark, tmp_path):
@@ -58,3 +63,81 @@ def test_whole_run(spark):
     assert [(r.site_start, r.fragments) for r in got.counts.collect()] == [(1000, 1), (1040, 1), (1080, 1)]
     assert [r.reads for r in got.statistics.where("stage = 'final'").collect()] == [12]
     assert run(df.limit(0), Params()).counts.count() == 0
+
+
+def test_samples_run_together_as_alone(spark, tmp_path):
+    al = adapters.alignments(spark, "/root/testdata/sf0.001").withColumns({c: F.lit("N") for c in ("ltr_umi", "linker_umi", "ltr_match", "linker_match")}).withColumn("start", F.col("start") % 300).withColumn("end", F.col("start") + F.length("seq")).withColumn("ord", F.monotonically_increasing_id())
+    al = al.where("mapq > 10")
+    both = al.withColumn("sample", F.lit("a")).unionByName(al.where("start % 3 > 0").withColumn("sample", F.lit("b")))
+    params = {"a": Params(single_end=True, write_peaks=True, mle=True), "b": Params(single_end=True, cluster_win=0)}
+    features = spark.createDataFrame([("A", 10, 90, "f")], "chrom string, start long, end long, name string")
+    got = run_samples(both, params, features=features)
+    for name, p in params.items():
+        alone = run(both.where(F.col("sample") == name).drop("sample"), p, features=features)
+        for table in ("fragments", "counts", "diversity", "removed", "statistics"):
+            rows = lambda df: sorted(map(str, df.collect()))
+            assert rows(getattr(got, table).where(F.col("sample") == name).drop("sample")) == rows(getattr(alone, table)), table
+    assert got.peaks is not None and {r[0] for r in got.abundance.select("sample").distinct().collect()} == {"a"} and got.overlaps.count() > 0
+    with pytest.raises(ValueError):
+        run_samples(both, {"a": Params()})
+    write_result(got, f"{tmp_path}/out")
+    assert {d: sorted(os.listdir(f"{tmp_path}/out/{d}")) for d in os.listdir(f"{tmp_path}/out")} == {
+        "fragments": ["fragments"], "sites": ["abundance", "diversity", "sites", "statistics", "summary", "unique_sites"], "removed": ["duplicates", "final_pass"], "peaks": ["peaks"], "comparisons": ["nearest", "overlaps"],
+    }
+    assert spark.read.option("sep", "\t").csv(f"{tmp_path}/out/sites/unique_sites").count() == got.counts.count()
+    write_result(run(al, Params(no_dedup=True)), f"{tmp_path}/plain")
+    assert os.listdir(f"{tmp_path}/plain") == ["alignments"] and spark.read.option("sep", "\t").csv(f"{tmp_path}/plain/alignments/fragments").count() == al.select("read_name").distinct().count()
+
+
+TOY = """
+import sys
+genome = {"chr1": "ACGTTGCAAGGCTTACCGATCCATGGTACGATTTGACCAGT"}
+turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+print("@HD\tVN:1.6")
+lines = [x.rstrip() for x in sys.stdin]
+for name, seq, _, qual in zip(*(lines[k::4] for k in range(4))):
+    for contig, text in genome.items():
+        for flag, s, q in ((0, seq, qual), (16, turn(seq), qual[::-1])):
+            at = text.find(s)
+            if at >= 0:
+                print(name[1:], flag, contig, at + 1, 40, f"{len(s)}M", "*", 0, 0, s, q, f"MD:Z:{len(s)}", "NM:i:0", "AS:i:0", sep="\t")
+"""
+
+
+def test_aligner(spark, tmp_path):
+    """A toy program that finds exact places on both strands."""
+    (tmp_path / "toy.py").write_text(TOY)
+    rows = [("r1", "TTGCAAGGCT", "IIIIIIIIII", "AC"), ("r2", "ACTGGTCAAA", "ABCDEFGHIJ", "GG"), ("r3", "GGGGGGGGGG", "IIIIIIIIII", "TT")]
+    reads = spark.createDataFrame(rows, "read_name string, seq1 string, qual1 string, ltr_umi string")
+    command = [sys.executable, f"{tmp_path}/toy.py"]
+    got = {r.read_name: r for r in aligner.align(reads, command).collect()}
+    assert {k: (r.ref, r.start, r.end, r.strand, r.ltr_umi, r.seq) for k, r in got.items()} == {"r1": ("chr1", 3, 13, "+", "AC", "TTGCAAGGCT"), "r2": ("chr1", 31, 41, "-", "GG", "TTTGACCAGT")}
+    assert got["r2"].quals == [ord(c) - 33 for c in "JIHGFEDCBA"]
+    assert [r.read_name for r in aligner.contaminants_removed(reads, command).collect()] == ["r3"]
+    with pytest.raises(FileNotFoundError):
+        aligner.check_aligner(["no-such-program"])
+    with pytest.raises(FileNotFoundError):
+        aligner.check_aligner(command, [f"{tmp_path}/none.idx"])
+    with pytest.raises(Exception, match="failed"):
+        aligner.align(reads, [sys.executable, "-c", "import sys; sys.exit(3)"]).count()
+
+
+def test_bam(spark, tmp_path):
+    """Records written byte by byte, in two blocks."""
+    codes = "=ACMGRSVTWYHKDBN"
+
+    def record(name, flag, pos, cigar, seq, tags):
+        n = len(seq)
+        packed = bytes(codes.index(seq[k]) << 4 | (codes.index(seq[k + 1]) if k + 1 < n else 0) for k in range(0, n, 2))
+        body = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, 37, 0, len(cigar), flag, n, -1, -1, 0) + name.encode() + b"\0" + b"".join(struct.pack("<I", v << 4 | "MIDNSHP=X".index(o)) for v, o in cigar) + packed + bytes([30] * n) + tags
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr7\0" + struct.pack("<i", 1000)
+    tags = b"MDZ7\0" + b"NMC\0" + b"ASi" + struct.pack("<i", -5) + b"XAA!" + b"XBBs" + struct.pack("<ihh", 2, 1, -2) + b"RXZAC-GT\0"
+    one, two = record("a", 0, 9, [(7, "M")], "ACGTNAC", tags), record("b", 16, 99, [(2, "S"), (5, "M"), (1, "D"), (1, "M")], "ACGTACGT", tags)
+    (tmp_path / "x.bam").write_bytes(gzip.compress(head + one[:20]) + gzip.compress(one[20:] + two + record("c", 4, -1, [], "A", b"")))
+    got = files.read_alignments(spark, f"{tmp_path}/x.bam").orderBy("ord").collect()
+    assert [(r.read_name, r.ref, r.start, r.end, r.strand, r.mapq, r.seq, r.md, r.nm, r.score, r.ltr_umi, r.linker_umi) for r in got] == [
+        ("a", "chr7", 9, 16, "+", 37, "ACGTNAC", "7", 0, -5, "AC", "GT"), ("b", "chr7", 99, 106, "-", 37, "ACGTACGT", "7", 0, -5, "AC", "GT"),
+    ]
+    assert [(c.op, c.len) for c in got[1].cigar] == [(4, 2), (0, 5), (2, 1), (0, 1)] and got[0].quals == [30] * 7
