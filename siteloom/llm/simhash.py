@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteloom.llm.common import documents, fresh, map_texts
-from siteloom.llm.vectors import runs
 from siteloom.operators.graph import connected_components
+from siteloom.operators.neargroups import near_groups
 from siteloom.session import broadcast_if_small, checkpointed
 
 SEED = 42
@@ -125,8 +124,6 @@ WIDE, NEAR_BITS = 4, 88
 #: Tables that near copies meet in, and smallest hashes that make one key: with BANDS independent tables a pair
 #: of similarity J has no key in common with a chance of (1 - J^BAND_ROWS)^BANDS, 3e-6 for J = 0.8.
 BANDS, BAND_ROWS = 24, 4
-#: Rows and shingles of one block of a group, about, and guests that are held against a block at once.
-BLOCK_ROWS, BLOCK_SHINGLES, GUESTS = 1024, 1 << 20, 256
 #: Texts of a block that must hold a shingle for it to become a column of a matrix, and columns of one matrix.
 COMMON, COLUMNS = 16, 4096
 
@@ -215,79 +212,24 @@ class SetBlock:
         return out
 
 
-def _met(batches):
-    """(src, dst) from rows (lead, block, role, node, part, hashes) sorted by the first three: a node of a guest (role 1)
-    and one of a text of the block (role 0) that is near it, for each other part which holds such a text."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    block, last, held = None, None, []
-    for key, _, part in runs(batches, ["lead", "block", "role"]):
-        if key[:2] != last:
-            block, last, held = None, key[:2], []
-        if key[2] == 0:
-            held.append(part)
-            continue
-        if block is None:
-            if not held:
-                continue
-            sets = [np.frombuffer(h, np.uint64) for p in held for h in p.column("hashes").to_pylist()]
-            node, own = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("node", "part"))
-            block, held = SetBlock(sets), held[:1]
-        for first in range(0, part.num_rows, GUESTS):
-            some = part.slice(first, GUESTS)
-            guests = [np.frombuffer(h, np.uint64) for h in some.column("hashes").to_pylist()]
-            common = block.shared(guests)
-            near = NEAR[1] * common >= NEAR[0] * (np.array([len(g) for g in guests])[:, None] + block.sizes[None, :] - common)
-            near &= some.column("part").to_numpy()[:, None] != own[None, :]
-            at, of = np.nonzero(near)
-            _, one = np.unique(np.stack([at, own[of]]), axis=1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some.column("node").to_numpy()[at[one]]), pa.array(node[of[one]])], schema=schema)
-
-
-def near_groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the nodes that are linked to another one, over all pairs of rows (node, size, bands, full,
-    key) that have a band in common and whose shingle sets, sets_of(keys) -> (node, hashes), are similar enough.
-
-    A band is led by the one of its texts that shares bands with most others, so that few texts lead
-    most bands of a family of copies. All texts of a leader's bands are one group. First they are
-    held against the leader only; what this links needs no comparison any more. In groups that are
-    still in several parts the texts outside the largest part then look up all others. Both go block by block,
-    and only edges leave a block: neither pairs nor whole groups are ever in one task.
-    """
-    held = rows.select("node", F.explode("bands").alias("band"))
-    shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    busy = checkpointed(held.join(shared, "band"))
-    known = busy.groupBy("node").agg(F.sum("n").alias("pop"))
-    leads = busy.select("node", "band").join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", "node")).alias("lead"))
-    members = checkpointed(busy.select("node", "band").join(leads, "band").select("lead", "node").distinct())  # the leader too
-
-    facts = rows.select("node", "size", "key").join(members.select("node").distinct(), "node")
-    sets = checkpointed(sets_of(facts.select("key")))
-
-    def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
-        """Edges between guests and the homes of their group; both (lead, node, part)."""
-        blocks = homes.join(facts, "node").groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        blocks = checkpointed(blocks)
-        dealt = homes.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "part")
-        asks = guests.join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "part")
-        sent = dealt.unionByName(asks).join(sets, "node").select("lead", "block", "role", "node", "part", "hashes")
-        return checkpointed(sent.repartition("lead", "block").sortWithinPartitions("lead", "block", "role").mapInArrow(_met, "src long, dst long"))
+def near_sets(block: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
+    """Whether the sets of shingle hashes are similar enough, for other sets against those of a block."""
+    held = SetBlock([np.frombuffer(b, np.uint64) for b in block])
+
+    def near(others: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(b, np.uint64) for b in others]
+        common = held.shared(sets)
+        return NEAR[1] * common >= NEAR[0] * (np.array([len(s) for s in sets])[:, None] + held.sizes[None, :] - common)
+
+    return near
+
 
+def within_reach(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Leaves of pairs (lead, node) those whose sizes and fingerprints in rows (node, size, full) don't rule out that they are near."""
     side = lambda c: rows.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("full").alias(f"{c}_full"))
     far = F.aggregate(F.zip_with("lead_full", "node_full", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     alike = NEAR[1] * F.least("lead_size", "node_size").cast("long") >= NEAR[0] * F.greatest("lead_size", "node_size").cast("long")
-    close = members.where("lead <> node").join(side("lead"), "lead").join(side("node"), "node").where(alike & (far <= NEAR_BITS)).select("lead", "node", F.col("node").alias("part"))
-    close = checkpointed(close)
-    edges = met(close, close.select("lead", F.col("lead").alias("node"), F.col("lead").alias("part")).distinct())
-    parts = connected_components(edges)
-    named = checkpointed(members.join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("part")))
-    sizes = named.groupBy("lead", "part").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-    mixed = named.join(sizes.where("parts > 1"), "lead")
-    # the leader has met the rest of its group
-    rest = met(mixed.select("lead", "node", "part"), mixed.where("part <> main and node <> lead").select("lead", "node", "part"))
-    part = lambda c: named.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")).distinct()
-    joined = connected_components(rest.join(part("src"), "src").join(part("dst"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")))
-    every = parts.select("node", F.col("component").alias("part")).unionByName(joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("part")))
-    return every.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    return lambda pairs: pairs.join(side("lead"), "lead").join(side("node"), "node").where(alike & (far <= NEAR_BITS)).select("lead", "node")
 
 
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -317,16 +259,17 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def make_sets():
         def work(texts):
             sets = [shingle_hashes(t, words) for t in texts]
-            return {"node": [name_of(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
+            return {"node": [name_of(s) for s in sets], "payload": [s.tobytes() for s in sets]}
 
         return work
 
-    def sets_of(asked):
-        """The sets of the texts with these keys, made again."""
-        made = map_texts(named.join(broadcast_if_small(asked.distinct()), "key", "left_semi"), [], "text", "node long, hashes binary", make_sets)
+    def sets_of(nodes):
+        """The sets of these nodes, made again from their first texts."""
+        asked = broadcast_if_small(texts.join(nodes, "node").select("key").distinct())
+        made = map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, payload binary", make_sets)
         return made.dropDuplicates(["node"])
 
-    links = near_groups(texts, sets_of)
+    links = near_groups(texts.select("node", F.explode("bands").alias("band")), texts.select("node", "size"), sets_of, near_sets, within_reach(texts))
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siteloom.llm import ann, bpe, chat, mixing, neardup, pii, quality, secrets, simhash, toxicity
 from siteloom.llm.queries import ORACLE, QUERIES
+from siteloom.operators import neargroups
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -415,7 +416,7 @@ def test_hamming_links(spark, hot):
 
 
 def test_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(neargroups, "BLOCK_ROWS", 4)
     rng, rows, word = random.Random(6), [], lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     for k in range(12):
         w = [word() for _ in range(200)]
@@ -453,7 +454,7 @@ def shingle_set(t, words=5):
 
 @pytest.mark.parametrize("block", [1024, 4])
 def test_near_copies_by_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neargroups, "BLOCK_ROWS", block)
     rng = random.Random(26)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows = appended_and_cut(rng, 20, 200)
@@ -484,7 +485,7 @@ def family(rng, n, words=100, swaps=9):
 
 def test_near_copies_one_family(spark, monkeypatch):
     """A large family of copies makes no table of pairs, and the groups are those of all pairs."""
-    made, kept = {}, simhash.checkpointed
+    made, kept = {}, neargroups.checkpointed
     for n in (400, 1600):
 
         def counted(df):
@@ -492,7 +493,7 @@ def test_near_copies_one_family(spark, monkeypatch):
             made[n] = max(made.get(n, 0), got.count())
             return got
 
-        monkeypatch.setattr(simhash, "checkpointed", counted)
+        monkeypatch.setattr(neargroups, "checkpointed", counted)
         rows = [(k, t, "s") for k, t in enumerate(family(random.Random(n), n))]
         left = sorted(r.doc_id for r in simhash.first_of_groups(docs(spark, rows)).collect())
         sets = {i: shingle_set(t) for i, t, _ in rows}
