@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,15 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """What this worker process has freed goes back to the system. Workers outlive their tasks and stages, and
+    Arrow and the C library would otherwise hold on to what the batches of an earlier one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make: Callable[[], Callable[[list[str]], dict[str, list]]]) -> DataFrame:
     """The columns `keep` of df and those that make()(texts) gives for its texts (null: empty).
 
@@ -57,6 +67,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     arrow = to_arrow_schema(out)
 
     def run(batches):
+        give_back()
         work = make()
         for batch in batches:
             for part, texts in slices(batch, hidden):
@@ -64,6 +75,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 cols += [pa.array(got[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        give_back()
 
     return sent.mapInArrow(run, out)
 

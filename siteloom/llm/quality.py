@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteloom.llm.common import documents, map_texts, slices
+from siteloom.llm.common import documents, give_back, map_texts, slices
 from siteloom.llm.ngrams import Batch, logistic
 from siteloom.session import checkpointed, ship
 
@@ -235,9 +235,11 @@ def kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     ship(df.sparkSession)
 
     def run(batches):
+        give_back()
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 yield part.filter(pa.array(_log_odds(shared.value, texts)[1] >= 0))
+        give_back()
 
     return df.select(*ids, text_col).mapInArrow(run, df.select(*ids, text_col).schema).select(*df.columns)
 
