@@ -51,21 +51,24 @@ def smooth(y: np.ndarray) -> np.ndarray:
     return y
 
 
-def estimate(x: np.ndarray, rounds: int = 2000, least_rounds: int = 3) -> np.ndarray:
-    """theta of each column of the 0/1 matrix of lengths by sites."""
-    x = (x > 0).astype(float)
-    phi = x.sum(1) / x.sum()
-    theta = x.sum(0).astype(float)
+def estimate(row: np.ndarray, site: np.ndarray, rounds: int = 2000, least_rounds: int = 3) -> np.ndarray:
+    """theta of each site, from the different pairs of a length (row) and a site it was seen at, both numbered from 0.
+
+    Only these pairs are held: phi sums to 1, so what all other lengths of a site add to the gradient and to the
+    likelihood follows from theta alone, and no matrix of lengths by sites is made.
+    """
+    phi = np.bincount(row) / len(row)
+    theta = np.bincount(site).astype(float)
     before = -np.inf
     for k in range(rounds):
-        rate = np.maximum(phi[:, None] * theta[None, :], 1e-300)
+        rate = np.maximum(phi[row] * theta[site], 1e-300)
         hit = -np.expm1(-rate)
-        y = x * rate / hit
-        likely = -(rate * (1 - x)).sum() + (x * np.log(hit)).sum()
-        grad = (y - rate).sum(0) / theta
-        theta = np.maximum(theta + grad * theta**2 / np.maximum(y.sum(0), 1e-12), 1e-9)  # one Newton step
-        fitted = smooth(y.sum(1))
-        phi = np.maximum(fitted, 1e-12)
+        y = rate / hit
+        likely = rate.sum() - phi.sum() * theta.sum() + np.log(hit).sum()
+        seen = np.bincount(site, y)
+        grad = seen / theta - phi.sum()
+        theta = np.maximum(theta + grad * theta**2 / np.maximum(seen, 1e-12), 1e-9)  # one Newton step
+        phi = np.maximum(smooth(np.bincount(row, y)), 1e-12)
         phi = phi / phi.sum()
         if k + 1 >= least_rounds and np.abs(grad).max() <= 0.01 and abs(likely - before) <= 1e-6 * abs(likely):
             break
@@ -81,7 +84,7 @@ def length_matrix(sites: DataFrame, by: list[str] = []) -> DataFrame:
 def abundance(sites: DataFrame, by: str, min_length: int = 25) -> DataFrame:
     """(by, chrom, site_start, site_strand, fragments, theta) for each value of `by` (such as a sample).
 
-    A sample's distinct (site, length) pairs are estimated together, as phi is common to its sites.
+    A sample's distinct (site, length) pairs are estimated together, as phi is common to its sites: one task holds those pairs.
     """
     ship(sites.sparkSession)
     cells = length_matrix(sites, [by])
@@ -89,11 +92,9 @@ def abundance(sites: DataFrame, by: str, min_length: int = 25) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         site, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[["chrom", "site_start", "site_strand"]]))
         length = pdf["length"].to_numpy() - min_length
-        used, row = np.unique(length, return_inverse=True)
-        x = np.zeros((len(used), len(keys)))
-        x[row, site] = 1
+        row = np.unique(length, return_inverse=True)[1]
         out = pd.DataFrame(list(keys), columns=["chrom", "site_start", "site_strand"])
-        return out.assign(**{by: pdf[by].iloc[0]}, fragments=np.bincount(site, pdf["n"], len(keys)).astype(int), theta=estimate(x))[[by, "chrom", "site_start", "site_strand", "fragments", "theta"]]
+        return out.assign(**{by: pdf[by].iloc[0]}, fragments=np.bincount(site, pdf["n"], len(keys)).astype(int), theta=estimate(row, site))[[by, "chrom", "site_start", "site_strand", "fragments", "theta"]]
 
     kind = sites.schema[by].dataType.simpleString()
     return cells.groupBy(by).applyInPandas(run, f"{by} {kind}, chrom string, site_start long, site_strand string, fragments long, theta double")

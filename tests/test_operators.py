@@ -221,7 +221,7 @@ def test_abundance_and_consensus(spark):
     phi /= phi.sum()
     true = np.array([2.0, 15.0, 60.0, 120.0])
     x = rng.random((60, 4)) < 1 - np.exp(-phi[:, None] * true)
-    theta = abundance.estimate(x[x.any(1)])
+    theta = abundance.estimate(*np.nonzero(x[x.any(1)]))
     assert np.all(np.diff(theta) > 0) and theta[3] > x[:, 3].sum()
     reads = spark.createDataFrame([(f"r{k}", "ACGTAC" + "ACGT"[k % 4] * 3) for k in range(40)], "read_name string, seq1 string")
     got = consensus.positional_consensus(reads, "seq1", 9).collect()
@@ -232,6 +232,26 @@ def test_abundance_and_consensus(spark):
     assert shares == {"ACGTACGGG": 1.0}
 
 
+@pytest.mark.parametrize("lengths,sites", [(1, 1), (30, 7), (120, 40)])
+def test_abundance_against_the_whole_matrix(lengths, sites):
+    rng = np.random.default_rng(lengths)
+    x = (rng.random((lengths, sites)) < rng.random(sites) ** 2 + 0.02).astype(float)
+    x[0, :], x[:, 0] = 1, 1  # each length and each site is seen
+    phi, theta, before = x.sum(1) / x.sum(), x.sum(0), -np.inf
+    for k in range(2000):
+        rate = np.outer(phi, theta)
+        y = np.where(x > 0, rate / (1 - np.exp(-rate)), 0)  # expected fragments; none where none was seen
+        likely = np.where(x > 0, np.log(1 - np.exp(-rate)), -rate).sum()
+        grad = (y - rate).sum(0) / theta
+        theta = np.maximum(theta + grad * theta**2 / y.sum(0), 1e-9)
+        phi = np.maximum(abundance.smooth(y.sum(1)), 1e-12)
+        phi /= phi.sum()
+        if k >= 2 and np.abs(grad).max() <= 0.01 and abs(likely - before) <= 1e-6 * abs(likely):
+            break
+        before = likely
+    assert np.allclose(abundance.estimate(*np.nonzero(x)), theta, rtol=1e-6)
+
+
 def test_signature_groups_at_a_low_limit(spark):
     import random
 
