@@ -19,6 +19,8 @@ from siteloom.llm.common import documents, map_texts
 
 #: Pieces whose encodings one worker keeps; an older generation of as many stays readable.
 CACHE_PIECES = 150_000
+#: Characters from which a text's pieces are taken one by one instead of as a list.
+LONG = 1_000_000
 #: Pairs of tokens whose adjacency one worker keeps.
 CACHE_PAIRS = 100_000
 
@@ -244,7 +246,8 @@ def encode(texts: Iterable[str], pattern, cache: Cache) -> Iterable[tuple[str, l
     """(decimal ids joined by one space, ids) of each text."""
     of, name = cache.__getitem__, cache.names.__getitem__
     for text in texts:
-        ids = list(chain.from_iterable(map(of, pattern.findall(text))))
+        pieces = pattern.findall(text) if len(text) < LONG else (m[0] for m in pattern.finditer(text))
+        ids = list(chain.from_iterable(map(of, pieces)))
         yield " ".join(map(name, ids)), ids
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -240,6 +241,14 @@ def test_bpe_query(spark, tmp_path, vocabulary):
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
 
 
+def test_bpe_very_long_text(vocabulary):
+    """Past LONG characters pieces are taken one by one; the ids are the same."""
+    text = "Der 12th über-word's\n\n  end 日本語; " * 40_000
+    assert len(text) > bpe.LONG
+    (written, ids), = bpe.encode([text], regex.compile(vocabulary[1]), bpe.Cache(vocabulary[0]))
+    assert ids == vocabulary[2].encode_ordinary(text) and written == " ".join(map(str, ids))
+
+
 def test_bpe_empty_table(spark, tmp_path):
     assert bpe.op4_bpe(spark, held(spark, tmp_path, [])).count() == 0
 
