@@ -12,16 +12,19 @@ exactly if they share such a value, so this is exact as well, and makes no pairs
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from siteloom.llm.common import documents, fresh, map_texts
 from siteloom.operators.graph import connected_components
 from siteloom.operators.neargroups import near_groups
-from siteloom.session import broadcast_if_small, checkpointed
+from siteloom.session import broadcast_if_small, checkpointed, ship
 
 SEED = 42
 #: Different fingerprints with one table value, above which they meet at centres.
@@ -121,9 +124,13 @@ NEAR = (4, 5)
 #: similarity J of the shingle sets the expected share is acos(2J / (1 + J)) / pi, 39 bits for J = 0.8 (up to
 #: 48 in sets of a few shingles), with a deviation of 6 bits, so that NEAR_BITS is 6 deviations away.
 WIDE, NEAR_BITS = 4, 88
-#: Tables that near copies meet in, and smallest hashes that make one key: with BANDS independent tables a pair
-#: of similarity J has no key in common with a chance of (1 - J^BAND_ROWS)^BANDS, 3e-6 for J = 0.8.
-BANDS, BAND_ROWS = 24, 4
+#: Least bits of a segment of the wide fingerprint, the rows that a table value should hold on average (more rows make
+#: longer segments), and the chance that a pair of similarity 0.8 has no segment in common, which sets the number of tables.
+SEGMENT_BITS, VALUE_ROWS, MISS = 6, 4096, 3e-6
+#: Shingles below which a set is near to no other set: one of n shingles shares at most n of n + 1.
+LEAST_SET = NEAR[0] // (NEAR[1] - NEAR[0])
+#: Fingerprints that are held against a table value's at once.
+ROWS_AT_ONCE = 256
 #: Texts of a block that must hold a shingle for it to become a column of a matrix, and columns of one matrix.
 COMMON, COLUMNS = 16, 4096
 
@@ -157,21 +164,154 @@ def wide(h: np.ndarray) -> list[int]:
     return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
-
-
-def band_keys(h: np.ndarray) -> list[int]:
-    """One signed long for each table, of the smallest values that BAND_ROWS further hashes take on the set; none for an empty set."""
-    if not len(h):
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(h), 512):
-        g = h[at : at + 512] * (_DRAWN[0] * np.uint64(2) + np.uint64(1))
-        g ^= g >> np.uint64(32)
-        g *= _DRAWN[1] | np.uint64(1)
-        least = np.minimum(least, g.min(1))
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).view(np.int64)) for k, r in enumerate(rows)]
+def segments(rows: int) -> np.ndarray:
+    """The bits of each table's segment, one table a line. Tables are cut from random orders of all bits, so those
+    of one order have no bit in common: the 42 tables of 6 bits hold every pair of at most 41 differing bits."""
+    bits, width = 64 * WIDE, max(SEGMENT_BITS, math.ceil(math.log2(max(rows, 1) / VALUE_ROWS)))
+    share = math.acos(2 * NEAR[0] / (NEAR[0] + NEAR[1])) / math.pi
+    chance = np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)])
+    equal = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)])
+    tables = bits // width
+    while (chance * (1 - equal) ** tables).sum() > MISS:
+        tables += 1
+    rng, lines = np.random.default_rng(SEED), []
+    while len(lines) < tables:
+        lines += rng.permutation(bits)[: bits // width * width].reshape(-1, width).tolist()
+    return np.array(lines[:tables])
+
+
+def fulls(column: pa.Array) -> np.ndarray:
+    """The wide fingerprints of an Arrow column, a line each."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+
+
+def in_reach(size: np.ndarray, full: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the held fingerprints differ in at most NEAR_BITS bits from each given one, with sets of sizes that can be near."""
+    far = np.zeros((len(full), len(held)), np.uint16)
+    for k in range(WIDE):
+        far += np.bitwise_count(full[:, k, None] ^ held[None, :, k])
+    small, large = np.minimum(size[:, None], sizes[None, :]), np.maximum(size[:, None], sizes[None, :])
+    return (far <= NEAR_BITS) & (NEAR[1] * small >= NEAR[0] * large)
+
+
+class TableValue:
+    """The fingerprints that share a table's value (or a block of them), with the groups that hold every pair in reach:
+    a fingerprint with all that are in its reach, the ones that reach most others first, less the pairs that stand in a group already."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, full: np.ndarray):
+        order = np.lexsort((node, size))
+        self.node, self.size, self.full = node[order], size[order].astype(np.int64), full[order]
+        n = len(node)
+        near = np.zeros((n, n), bool)
+        for first in range(0, n, ROWS_AT_ONCE):
+            last = min(first + ROWS_AT_ONCE, n)
+            end = np.searchsorted(self.size, self.size[last - 1] * NEAR[1] // NEAR[0], "right")
+            near[first:last, first:end] = in_reach(self.size[first:last], self.full[first:last], self.size[first:end], self.full[first:end])
+        np.fill_diagonal(near, False)
+        near |= near.T
+        reached = near.sum(1)
+        self.groups, self.first = [], np.full(n, -1)
+        for a in np.lexsort((self.node, -reached))[: np.count_nonzero(reached)]:
+            others = np.flatnonzero(near[a])
+            if len(others):
+                group = np.append(others, a)
+                near[np.ix_(group, group)] = False
+                self.first[group[self.first[group] < 0]] = len(self.groups)
+                self.groups.append(group)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, lead) of the groups, leads with themselves too."""
+        if not self.groups:
+            return self.node[:0], self.node[:0]
+        leads = self.node[[g[-1] for g in self.groups]]
+        return self.node[np.concatenate(self.groups)], np.repeat(leads, [len(g) for g in self.groups])
+
+    def guests(self, node: np.ndarray, size: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node, lead) of groups that hold each pair in reach of a guest and one of these."""
+        out = []
+        for first in range(0, len(node), ROWS_AT_ONCE):
+            part = slice(first, first + ROWS_AT_ONCE)
+            near = in_reach(size[part].astype(np.int64), full[part], self.size, self.full)
+            for guest, line in zip(node[part].tolist(), near):
+                while line.any():
+                    x = int(line.argmax())
+                    if self.first[x] < 0:
+                        out += [(guest, self.node[x]), (self.node[x], self.node[x])]
+                        line[x] = False
+                    else:
+                        group = self.groups[self.first[x]]
+                        out.append((guest, self.node[group[-1]]))
+                        line[group] = False
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return got[:, 0], got[:, 1]
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, band) from rows (place, role, node, size, full) sorted by the first two: the groups of each place's rows (role 0) and of its guests (role 1)."""
+    schema = pa.schema([("node", pa.int64()), ("band", pa.int64())])
+    now, held, value = None, [], None
+
+    def close():
+        return TableValue(*[np.concatenate(c) for c in zip(*held)])
+
+    def sent(got):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in got], schema=schema)
+
+    for batch in batches:
+        mark = batch.column("place").to_numpy() * 2 + batch.column("role").to_numpy()
+        rows = [batch.column("node").to_numpy(), batch.column("size").to_numpy(), fulls(batch.column("full"))]
+        cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
+        for first, last in zip(cuts, cuts[1:]):
+            if first == last:
+                continue
+            place, role = divmod(int(mark[first]), 2)
+            if place != now:
+                if held and value is None:
+                    yield sent(close().pairs())
+                now, held, value = place, [], None
+            some = [c[first:last] for c in rows]
+            if not role:
+                held.append(some)
+            elif held:
+                if value is None:
+                    value = close()
+                    yield sent(value.pairs())
+                yield sent(value.guests(*some))
+    if held and value is None:
+        yield sent(close().pairs())
+
+
+def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
+    """(node, band) from rows (node, size, full), different nodes: a band holds fingerprints that the one it is named by
+    reaches. Every two which have a segment in common, at most NEAR_BITS different bits and sizes that can be near stand in one band.
+
+    Multi-index hashing of the wide fingerprints: each segment has a table, the fingerprints of one table value meet,
+    and the whole distance decides. A value of more than value_rows fingerprints is dealt to blocks, and each
+    fingerprint also looks up the blocks after its own, so no task holds it whole.
+    """
+    ship(rows.sparkSession)
+    rows = checkpointed(rows.where(F.col("size") >= LEAST_SET).select("node", "size", "full"))
+    bits = segments(rows.count())
+    kinds = rows.schema
+
+    def keys(batches):
+        powers = 1 << np.arange(bits.shape[1], dtype=np.int64)
+        for batch in batches:
+            ones = np.unpackbits(fulls(batch.column("full")).view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+            values = np.stack([ones[:, line] @ powers for line in bits], axis=1) if batch.num_rows else np.zeros((0, len(bits)), np.int64)
+            value = pa.ListArray.from_arrays(pa.array(np.arange(len(ones) + 1, dtype=np.int32) * len(bits)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "size", "full")], value], names=["node", "size", "full", "values"])
+
+    keyed = checkpointed(rows.mapInArrow(keys, StructType(kinds.fields + StructType.fromDDL("values array<long>").fields)))
+    dealt = keyed.select("node", "size", "full", F.posexplode("values").alias("t", "value"))
+    full_ones = dealt.groupBy("t", "value").count().where(F.col("count") > value_rows)
+    blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
+    dealt = dealt.join(blocks, ["t", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    place = F.shiftleft(F.col("t").cast("long"), 48) + F.shiftleft(F.col("value"), 24) + F.col("block")
+    sent = dealt.select(place.alias("place"), (F.col("block") > F.col("own")).cast("int").alias("role"), "node", "size", "full")
+    return sent.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_values, "node long, band long").distinct()
 
 
 class SetBlock:
@@ -235,10 +375,10 @@ def within_reach(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """df with one row of each group of near copies: one that has the group's smallest id. Columns as they were.
 
-    Near copies are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. They meet in
-    independent tables of the sets' smallest hashes; fingerprints of 256 bits that are far apart rule out that a text is
-    near the leader of its table value, and the sets themselves decide. A radius of 2 of 64 bits would find only nearly
-    equal texts, and segments of bits only some of the pairs. Texts without words are one group. Rows without
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. They meet by SimHash and
+    multi-index hashing (wide_bands): the segments of fingerprints of 256 bits have tables, the whole distance decides
+    which of a table value's texts are candidates, and of those the sets themselves. A radius of 2 of 64 bits would
+    find only nearly equal texts. Texts without words are one group. Rows without
     id form groups like others, but a row with id goes before them. Of rows with that id and equal
     texts one stays, of different texts one as well. An empty table stays empty.
     """
@@ -248,13 +388,13 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def make():
         def work(texts):
             sets = [shingle_hashes(t, words) for t in texts]
-            return {"node": [name_of(s) for s in sets], "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets], "full": [wide(s) for s in sets]}
+            return {"node": [name_of(s) for s in sets], "size": [len(s) for s in sets], "full": [wide(s) for s in sets]}
 
         return work
 
-    docs = checkpointed(map_texts(named, ["id", "h"], "text", "node long, size int, bands array<long>, full array<long>", make))
+    docs = checkpointed(map_texts(named, ["id", "h"], "text", "node long, size int, full array<long>", make))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    texts = checkpointed(docs.groupBy("node", "size", "bands", "full").agg(F.min(order).alias("first")).withColumn("key", F.xxhash64("first.id", "first.h")))
+    texts = checkpointed(docs.groupBy("node", "size", "full").agg(F.min(order).alias("first")).withColumn("key", F.xxhash64("first.id", "first.h")))
 
     def make_sets():
         def work(texts):
@@ -269,7 +409,7 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made = map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, payload binary", make_sets)
         return made.dropDuplicates(["node"])
 
-    links = near_groups(texts.select("node", F.explode("bands").alias("band")), texts.select("node", "size"), sets_of, near_sets, within_reach(texts))
+    links = near_groups(checkpointed(wide_bands(texts)), texts.select("node", "size"), sets_of, near_sets, within_reach(texts))
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")

@@ -511,6 +511,44 @@ def test_near_copies_one_family(spark, monkeypatch):
     assert made[1600] <= 6 * made[400] and made[1600] < 30 * 1600
 
 
+@pytest.mark.parametrize("value_rows", [4096, 3])
+def test_wide_bands(spark, value_rows):
+    """The pipeline's candidates: fingerprints of 256 bits meet by segments, as a plain comparison of all pairs says."""
+    rng = np.random.default_rng(12)
+    rows, full = [], rng.integers(0, 2, (60, 256), np.uint8)
+    for f in full:
+        for flips in (0, 10, 20, 41, 70, 87, 88, 89, 95):
+            g = f.copy()
+            g[rng.choice(256, flips, False)] ^= 1
+            rows.append((int(rng.integers(-(2**62), 2**62)), int(rng.choice([3, 4, 5, 80, 90, 100])), g))
+    table = [(n, s, np.packbits(g, bitorder="little").view(np.int64).tolist()) for n, s, g in rows]
+    bands = {}
+    for r in simhash.wide_bands(spark.createDataFrame(table, "node long, size int, full array<long>"), value_rows).collect():
+        bands.setdefault(r.node, set()).add(r.band)
+    cut = simhash.segments(len(rows))
+    assert cut.shape == (42, 6) and len(set(cut.ravel().tolist())) == 252
+    meet = sure = 0
+    for k, (a, s, f) in enumerate(rows):
+        for b, t, g in rows[:k]:
+            far = int((f != g).sum())
+            if far <= 88 and min(s, t) >= 4 and 5 * min(s, t) >= 4 * max(s, t):
+                common = (f[cut] == g[cut]).all(1).any()
+                assert common or far > 41
+                meet, sure = meet + common, sure + (far <= 41)
+                assert not common or bands[a] & bands[b]
+    assert meet > sure > 50
+    assert not any(s == 3 and n in bands for n, s, _ in rows)
+
+
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """The near-dedup stage takes its candidates from the tables of fingerprints: none from them, none at all."""
+    w = [f"w{k}" for k in range(200)]
+    rows = docs(spark, [(1, " ".join(w), "s"), (2, " ".join(w[:190]), "s"), (3, " ".join(w), "s")])
+    assert [r.doc_id for r in corpus_pipeline.dedup_stage(spark, rows, None).collect()] == [1]
+    monkeypatch.setattr(simhash, "wide_bands", lambda rows: spark.createDataFrame([], "node long, band long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, rows, None).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("common", [1, 6, 99])
 def test_shared_shingles(monkeypatch, common):
     monkeypatch.setattr(simhash, "COMMON", common)
