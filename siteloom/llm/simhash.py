@@ -194,100 +194,149 @@ def in_reach(size: np.ndarray, full: np.ndarray, sizes: np.ndarray, held: np.nda
     return (far <= NEAR_BITS) & (NEAR[1] * small >= NEAR[0] * large)
 
 
-class TableValue:
-    """The fingerprints that share a table's value (or a block of them), with the groups that hold every pair in reach:
-    a fingerprint with all that are in its reach, the ones that reach most others first, less the pairs that stand in a group already."""
-
-    def __init__(self, node: np.ndarray, size: np.ndarray, full: np.ndarray):
-        order = np.lexsort((node, size))
-        self.node, self.size, self.full = node[order], size[order].astype(np.int64), full[order]
-        n = len(node)
-        near = np.zeros((n, n), bool)
-        for first in range(0, n, ROWS_AT_ONCE):
-            last = min(first + ROWS_AT_ONCE, n)
-            end = np.searchsorted(self.size, self.size[last - 1] * NEAR[1] // NEAR[0], "right")
-            near[first:last, first:end] = in_reach(self.size[first:last], self.full[first:last], self.size[first:end], self.full[first:end])
-        np.fill_diagonal(near, False)
-        near |= near.T
-        reached = near.sum(1)
-        self.groups, self.first = [], np.full(n, -1)
-        for a in np.lexsort((self.node, -reached))[: np.count_nonzero(reached)]:
-            others = np.flatnonzero(near[a])
-            if len(others):
-                group = np.append(others, a)
-                near[np.ix_(group, group)] = False
-                self.first[group[self.first[group] < 0]] = len(self.groups)
-                self.groups.append(group)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(node, lead) of the groups, leads with themselves too."""
-        if not self.groups:
-            return self.node[:0], self.node[:0]
-        leads = self.node[[g[-1] for g in self.groups]]
-        return self.node[np.concatenate(self.groups)], np.repeat(leads, [len(g) for g in self.groups])
-
-    def guests(self, node: np.ndarray, size: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, lead) of groups that hold each pair in reach of a guest and one of these."""
-        out = []
-        for first in range(0, len(node), ROWS_AT_ONCE):
-            part = slice(first, first + ROWS_AT_ONCE)
-            near = in_reach(size[part].astype(np.int64), full[part], self.size, self.full)
-            for guest, line in zip(node[part].tolist(), near):
-                while line.any():
-                    x = int(line.argmax())
-                    if self.first[x] < 0:
-                        out += [(guest, self.node[x]), (self.node[x], self.node[x])]
-                        line[x] = False
-                    else:
-                        group = self.groups[self.first[x]]
-                        out.append((guest, self.node[group[-1]]))
-                        line[group] = False
-        got = np.array(out, np.int64).reshape(-1, 2)
-        return got[:, 0], got[:, 1]
-
-
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, band) from rows (place, role, node, size, full) sorted by the first two: the groups of each place's rows (role 0) and of its guests (role 1)."""
-    schema = pa.schema([("node", pa.int64()), ("band", pa.int64())])
-    now, held, value = None, [], None
+class Side:
+    """Rows of one place (a table's value, or a block of it) by size, which are told what each of them has in reach."""
+
+    marks: list[str] = []  # what it needs besides (node, size, full)
+    gives: list[str] = []  # the columns of out(), longs
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        order = np.argsort(rows["size"], kind="stable")
+        self.rows = {c: v[order] for c, v in rows.items()}
+        self.node, self.size, self.full = self.rows["node"], self.rows["size"].astype(np.int64), self.rows["full"]
+
+    def meet(self, at: np.ndarray, other: Side, of: np.ndarray) -> None:
+        """The rows `at` have the other's rows `of` in reach."""
+        raise NotImplementedError
+
+    def out(self) -> list[np.ndarray]:
+        raise NotImplementedError
+
+
+class Reached(Side):
+    """How many each row has in reach."""
+
+    gives = ["node", "n"]
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.n = np.zeros(len(self.node), np.int64)
+
+    def meet(self, at, other, of):
+        self.n += np.bincount(at, minlength=len(self.n))
+
+    def out(self):
+        return [c[self.n > 0] for c in (self.node, self.n)]
+
+
+class Leads(Side):
+    """The row of highest rank that each row has in reach, if that is higher than its own."""
+
+    marks, gives = ["rank"], ["node", "lead", "high"]
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.rank, self.lead, self.high = self.rows["rank"], self.node.copy(), self.rows["rank"].copy()
+
+    def meet(self, at, other, of):
+        order, best = np.argsort(other.rank[of], kind="stable"), np.full(len(self.node), -1)
+        best[at[order]] = of[order]  # the last one stays
+        more = np.flatnonzero(best >= 0)
+        more = more[other.rank[best[more]] > self.high[more]]
+        self.high[more], self.lead[more] = other.rank[best[more]], other.node[best[more]]
+
+    def out(self):
+        return [c[self.lead != self.node] for c in (self.node, self.lead, self.high)]
+
+
+class Guests(Side):
+    """For each pair in reach with different homes, the one whose home ranks lower as a guest of the other's home (with equal ranks: both)."""
+
+    marks, gives = ["rank", "home"], ["node", "band"]
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.rank, self.home = self.rows["rank"], self.rows["home"]
+        self.at, self.band = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def meet(self, at, other, of):
+        asks = (other.home[of] != self.home[at]) & (other.rank[of] >= self.rank[at])
+        at, band = np.append(self.at, at[asks]), np.append(self.band, other.home[of[asks]])
+        homes, place = np.unique(band, return_inverse=True)
+        once = np.unique(at * len(homes) + place)
+        if len(once):
+            self.at, self.band = once // len(homes), homes[once % len(homes)]
+
+    def out(self):
+        return [self.node[self.at], self.band]
+
+
+def pairs_in_reach(mine: Side, held: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (in mine, in held) of all pairs in reach, in parts; those of a side with itself once."""
+    for first in range(0, len(mine.node), ROWS_AT_ONCE):
+        part = slice(first, first + ROWS_AT_ONCE)
+        size = mine.size[part]
+        low = first if mine is held else np.searchsorted(held.size, -(-size[0] * NEAR[0] // NEAR[1]))
+        high = np.searchsorted(held.size, size[-1] * NEAR[1] // NEAR[0], "right")
+        at, of = np.nonzero(in_reach(size, mine.full[part], held.size[low:high], held.full[low:high]))
+        at, of = at + first, of + low
+        once = at < of if mine is held else slice(None)
+        yield at[once], of[once]
+
+
+def _told(batches: Iterator[pa.RecordBatch], kind: type[Side]) -> Iterator[pa.RecordBatch]:
+    """What `kind` gives for rows (place, role, node, size, full, its marks) sorted by the first two: each place's rows (role 0) among themselves and with its guests (role 1)."""
+    now, parts, held = None, [], None
+
+    def met(mine, other):
+        for at, of in pairs_in_reach(mine, other):
+            mine.meet(at, other, of)
+            other.meet(of, mine, at)
 
     def close():
-        return TableValue(*[np.concatenate(c) for c in zip(*held)])
+        side = kind({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+        met(side, side)
+        return side
 
-    def sent(got):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in got], schema=schema)
+    def sent(side):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in side.out()], names=kind.gives)
 
     for batch in batches:
         mark = batch.column("place").to_numpy() * 2 + batch.column("role").to_numpy()
-        rows = [batch.column("node").to_numpy(), batch.column("size").to_numpy(), fulls(batch.column("full"))]
+        rows = {c: batch.column(c).to_numpy() for c in ("node", "size", *kind.marks)} | {"full": fulls(batch.column("full"))}
         cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
         for first, last in zip(cuts, cuts[1:]):
             if first == last:
                 continue
             place, role = divmod(int(mark[first]), 2)
             if place != now:
-                if held and value is None:
-                    yield sent(close().pairs())
-                now, held, value = place, [], None
-            some = [c[first:last] for c in rows]
+                if parts:
+                    yield sent(held or close())
+                now, parts, held = place, [], None
+            some = {c: v[first:last] for c, v in rows.items()}
             if not role:
-                held.append(some)
-            elif held:
-                if value is None:
-                    value = close()
-                    yield sent(value.pairs())
-                yield sent(value.guests(*some))
-    if held and value is None:
-        yield sent(close().pairs())
+                parts.append(some)
+            elif parts:
+                held = held or close()
+                guests = kind(some)
+                met(guests, held)
+                yield sent(guests)
+    if parts:
+        yield sent(held or close())
 
 
 def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
-    """(node, band) from rows (node, size, full), different nodes: a band holds fingerprints that the one it is named by
-    reaches. Every two which have a segment in common, at most NEAR_BITS different bits and sizes that can be near stand in one band.
+    """(node, band) from rows (node, size, full), different nodes. Every two which have a segment in common, at most
+    NEAR_BITS different bits and sizes that can be near stand in one band, which is named by one of the nodes.
 
     Multi-index hashing of the wide fingerprints: each segment has a table, the fingerprints of one table value meet,
     and the whole distance decides. A value of more than value_rows fingerprints is dealt to blocks, and each
     fingerprint also looks up the blocks after its own, so no task holds it whole.
+
+    A family of near fingerprints meets in many values of all tables. So that it has the same few bands in all of them, they
+    meet three times. First each fingerprint's partners are counted; those without any leave. Then each gets a home: of all that it
+    has met, itself too, the one with most partners. A band is a home with its fingerprints, and so holds most pairs of a family.
+    Last, pairs of different homes make one of the two a guest of the other's home.
     """
     ship(rows.sparkSession)
     rows = checkpointed(rows.where(F.col("size") >= LEAST_SET).select("node", "size", "full"))
@@ -302,16 +351,25 @@ def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
             value = pa.ListArray.from_arrays(pa.array(np.arange(len(ones) + 1, dtype=np.int32) * len(bits)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "size", "full")], value], names=["node", "size", "full", "values"])
 
+    def met(keyed: DataFrame, kind: type[Side]) -> DataFrame:
+        dealt = keyed.select("node", "size", "full", *kind.marks, F.posexplode("values").alias("t", "value"))
+        full_ones = dealt.groupBy("t", "value").count().where(F.col("count") > value_rows)
+        blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
+        dealt = dealt.join(blocks, ["t", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+        place = F.shiftleft(F.col("t").cast("long"), 48) + F.shiftleft(F.col("value"), 24) + F.col("block")
+        sent = dealt.select(place.alias("place"), (F.col("block") > F.col("own")).cast("int").alias("role"), "node", "size", "full", *kind.marks)
+        return sent.repartition("place").sortWithinPartitions("place", "role").mapInArrow(lambda b: _told(b, kind), ", ".join(f"{c} long" for c in kind.gives))
+
     keyed = checkpointed(rows.mapInArrow(keys, StructType(kinds.fields + StructType.fromDDL("values array<long>").fields)))
-    dealt = keyed.select("node", "size", "full", F.posexplode("values").alias("t", "value"))
-    full_ones = dealt.groupBy("t", "value").count().where(F.col("count") > value_rows)
-    blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
-    dealt = dealt.join(blocks, ["t", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-    place = F.shiftleft(F.col("t").cast("long"), 48) + F.shiftleft(F.col("value"), 24) + F.col("block")
-    sent = dealt.select(place.alias("place"), (F.col("block") > F.col("own")).cast("int").alias("role"), "node", "size", "full")
-    return sent.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_values, "node long, band long").distinct()
+    known = met(keyed, Reached).groupBy("node").agg(F.sum("n").alias("pop"))
+    rank = F.shiftleft(F.least("pop", F.lit(1 << 38)), 24).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 24) - 1)))
+    ranked = checkpointed(keyed.join(known, "node").withColumn("rank", rank).drop("pop"))
+    leads = met(ranked, Leads).groupBy("node").agg(F.max_by("lead", F.struct("high", "lead")).alias("home"), F.max("high").alias("high"))
+    homes = ranked.join(leads, "node", "left").select("node", "size", "full", "values", F.coalesce("home", "node").alias("home"), F.coalesce("high", "rank").alias("rank"))
+    homes = checkpointed(homes)
+    return homes.select("node", F.col("home").alias("band")).unionByName(met(homes, Guests)).distinct()
 
 
 class SetBlock:
@@ -409,7 +467,7 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made = map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, payload binary", make_sets)
         return made.dropDuplicates(["node"])
 
-    links = near_groups(checkpointed(wide_bands(texts)), texts.select("node", "size"), sets_of, near_sets, within_reach(texts))
+    links = near_groups(checkpointed(wide_bands(texts)), texts.select("node", "size"), sets_of, near_sets, within_reach(texts), named=True)
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")

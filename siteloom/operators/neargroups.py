@@ -31,7 +31,8 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
 
 def _met(batches, opener: Opener):
     """(src, dst) from rows (lead, block, role, node, part, payload) sorted by the first three: a node of a guest (role 1)
-    and one of a row of the block (role 0) that is near it, for each other part which holds such a row."""
+    and one of a row of the block (role 0) that is near it, for each other part which holds such a row. Parts that an
+    earlier guest has joined count as one, so a block gives one edge for each guest, and one for each of its parts at most."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
     near, last, held = None, None, []
     for key, part in stretches(batches, ["lead", "block", "role"]):
@@ -45,23 +46,29 @@ def _met(batches, opener: Opener):
                 continue
             near = opener([h for p in held for h in p.column("payload").to_pylist()])
             node, own = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("node", "part"))
-            held = held[:1]
+            joined, held = own.copy(), held[:1]
         for first in range(0, part.num_rows, GUESTS):
             some = part.slice(first, GUESTS)
             found = near(some.column("payload").to_pylist()) & (some.column("part").to_numpy()[:, None] != own[None, :])
-            at, of = np.nonzero(found)
-            _, one = np.unique(np.stack([at, own[of]]), axis=1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some.column("node").to_numpy()[at[one]]), pa.array(node[of[one]])], schema=schema)
-
-
-def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame], DataFrame], opener: Opener, close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            src, dst = [], []
+            for at in np.flatnonzero(found.any(1)):
+                of = np.flatnonzero(found[at])
+                parts, one = np.unique(joined[of], return_index=True)
+                if len(parts) > 1:
+                    joined[np.isin(joined, parts)] = parts[0]
+                src += [some.column("node")[int(at)].as_py()] * len(one)
+                dst += node[of[one]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
+
+
+def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame], DataFrame], opener: Opener, close: Callable[[DataFrame], DataFrame] | None = None, named: bool = False) -> DataFrame:
     """(node, component) of the nodes (longs) that are linked to another one, over all pairs that have a band in common.
 
     held: (node, band). sizes: (node, size), how much of a block a node fills. payloads(nodes): (node, payload
     binary) of the given ones. opener: the test, on payloads. close: may leave out pairs of a table (lead, node)
-    which can't pass it.
+    which can't pass it. named: a band's name is a node, which leads it whether it is held by it or not.
 
-    A band is led by the node that shares bands with most others, so that few nodes lead most bands of a
+    Other bands are led by the node that shares bands with most others, so that few nodes lead most bands of a
     family. All nodes of a leader's bands are one group. First they are held against the leader only; what this
     links needs no comparison any more. In groups that are still in several parts the nodes outside the largest
     part then look up all others. Both go block by block, and only edges leave a block: neither pairs nor
@@ -70,9 +77,14 @@ def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame
     ship(held.sparkSession)
     shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     busy = checkpointed(held.join(shared, "band"))
-    known = busy.groupBy("node").agg(F.sum("n").alias("pop"))
-    leads = busy.select("node", "band").join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", "node")).alias("lead"))
-    members = checkpointed(busy.select("node", "band").join(leads, "band").select("lead", "node").distinct())  # the leader too
+    if named:
+        members = busy.select(F.col("band").alias("lead"), "node")
+        members = members.unionByName(members.select("lead", F.col("lead").alias("node")))
+    else:
+        known = busy.groupBy("node").agg(F.sum("n").alias("pop"))
+        leads = busy.select("node", "band").join(known, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", "node")).alias("lead"))
+        members = busy.select("node", "band").join(leads, "band").select("lead", "node")
+    members = checkpointed(members.distinct())  # the leader too
     payload = checkpointed(payloads(members.select("node").distinct()))
 
     def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
@@ -88,12 +100,12 @@ def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame
     pairs = checkpointed((close(pairs) if close else pairs).select("lead", "node", F.col("node").alias("part")))
     edges = met(pairs, pairs.select("lead", F.col("lead").alias("node"), F.col("lead").alias("part")).distinct())
     parts = connected_components(edges)
-    named = checkpointed(members.join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("part")))
-    many = named.groupBy("lead", "part").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-    mixed = named.join(many.where("parts > 1"), "lead")
+    placed = checkpointed(members.join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("part")))
+    many = placed.groupBy("lead", "part").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    mixed = placed.join(many.where("parts > 1"), "lead")
     # the leader has met the rest of its group
     rest = met(mixed.select("lead", "node", "part"), mixed.where("part <> main and node <> lead").select("lead", "node", "part"))
-    part = lambda c: named.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")).distinct()
+    part = lambda c: placed.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part")).distinct()
     joined = connected_components(rest.join(part("src"), "src").join(part("dst"), "dst").select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")))
     every = parts.select("node", F.col("component").alias("part")).unionByName(joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("part")))
     return every.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))

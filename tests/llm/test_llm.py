@@ -540,6 +540,41 @@ def test_wide_bands(spark, value_rows):
     assert not any(s == 3 and n in bands for n, s, _ in rows)
 
 
+def test_wide_bands_one_family(spark, monkeypatch):
+    """A large family of texts near to each other has few bands over all tables, and makes few edges; no pair is lost for it."""
+    made, kept = {}, neargroups.checkpointed
+
+    def counted(df):
+        got = kept(df)
+        made[tuple(df.columns)] = max(made.get(tuple(df.columns), 0), got.count())
+        return got
+
+    texts = sorted(set(family(random.Random(31), 1200, 150, 40)))
+    n = len(texts)
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    table = [(simhash.name_of(h), len(h), simhash.wide(h)) for h in sets]
+    held = simhash.wide_bands(spark.createDataFrame(table, "node long, size int, full array<long>")).collect()
+    assert len(held) < 2 * n
+    order = {node: k for k, (node, _, _) in enumerate(table)}
+    names, rows = {b: k for k, b in enumerate({r.band for r in held})}, np.zeros((n, len({r.band for r in held})), np.float32)
+    rows[[order[r.node] for r in held], [names[r.band] for r in held]] = 1
+    full, size = np.array([f for _, _, f in table]).view(np.uint64), np.array([s for _, s, _ in table])
+    ones = np.unpackbits(full.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    met = np.zeros((n, n), bool)
+    for line in simhash.segments(n):
+        value = ones[:, line] @ (1 << np.arange(len(line)))
+        met |= value[:, None] == value[None, :]
+    far = (ones[:, None, :] != ones[None, :, :]).sum(2)
+    pairs = met & (far <= simhash.NEAR_BITS) & (5 * np.minimum.outer(size, size) >= 4 * np.maximum.outer(size, size)) & ~np.eye(n, dtype=bool)
+    assert pairs.sum() > 100 * n and not (pairs & (rows @ rows.T == 0)).any()
+    monkeypatch.setattr(neargroups, "checkpointed", counted)
+    left = sorted(r.doc_id for r in simhash.first_of_groups(docs(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect())
+    assert made["src", "dst"] < n and made["lead", "node"] < 2 * n
+    plain = [shingle_set(t) for t in texts]
+    near = [(a, b) for a in range(n) for b in range(a) if pairs[a, b] and 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])]
+    assert left == sorted(set(components(list(range(n)), near).values())) and 1 < len(left) < n
+
+
 def test_near_copies_meet_by_simhash(spark, monkeypatch):
     """The near-dedup stage takes its candidates from the tables of fingerprints: none from them, none at all."""
     w = [f"w{k}" for k in range(200)]
