@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from siteloom.llm.common import documents, fresh, map_texts
 from siteloom.operators.graph import connected_components
 from siteloom.operators.neargroups import near_groups
-from siteloom.session import broadcast_if_small, checkpointed, ship
+from siteloom.session import broadcast_if_small, checkpointed, release, ship
 
 SEED = 42
 #: Different fingerprints with one table value, above which they meet at centres.
@@ -351,10 +351,12 @@ def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
             value = pa.ListArray.from_arrays(pa.array(np.arange(len(ones) + 1, dtype=np.int32) * len(bits)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "size", "full")], value], names=["node", "size", "full", "values"])
 
-    def met(keyed: DataFrame, kind: type[Side]) -> DataFrame:
-        dealt = keyed.select("node", "size", "full", *kind.marks, F.posexplode("values").alias("t", "value"))
-        full_ones = dealt.groupBy("t", "value").count().where(F.col("count") > value_rows)
-        blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
+    keyed = checkpointed(rows.mapInArrow(keys, StructType(kinds.fields + StructType.fromDDL("values array<long>").fields)))
+    full_ones = keyed.select(F.posexplode("values").alias("t", "value")).groupBy("t", "value").count().where(F.col("count") > value_rows)
+    blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
+
+    def met(some: DataFrame, kind: type[Side]) -> DataFrame:
+        dealt = some.select("node", "size", "full", *kind.marks, F.posexplode("values").alias("t", "value"))
         dealt = dealt.join(blocks, ["t", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
@@ -362,13 +364,13 @@ def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
         sent = dealt.select(place.alias("place"), (F.col("block") > F.col("own")).cast("int").alias("role"), "node", "size", "full", *kind.marks)
         return sent.repartition("place").sortWithinPartitions("place", "role").mapInArrow(lambda b: _told(b, kind), ", ".join(f"{c} long" for c in kind.gives))
 
-    keyed = checkpointed(rows.mapInArrow(keys, StructType(kinds.fields + StructType.fromDDL("values array<long>").fields)))
     known = met(keyed, Reached).groupBy("node").agg(F.sum("n").alias("pop"))
     rank = F.shiftleft(F.least("pop", F.lit(1 << 38)), 24).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 24) - 1)))
     ranked = checkpointed(keyed.join(known, "node").withColumn("rank", rank).drop("pop"))
     leads = met(ranked, Leads).groupBy("node").agg(F.max_by("lead", F.struct("high", "lead")).alias("home"), F.max("high").alias("high"))
     homes = ranked.join(leads, "node", "left").select("node", "size", "full", "values", F.coalesce("home", "node").alias("home"), F.coalesce("high", "rank").alias("rank"))
     homes = checkpointed(homes)
+    release(rows.sparkSession)
     return homes.select("node", F.col("home").alias("band")).unionByName(met(homes, Guests)).distinct()
 
 
@@ -467,12 +469,15 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made = map_texts(named.join(asked, "key", "left_semi"), [], "text", "node long, payload binary", make_sets)
         return made.dropDuplicates(["node"])
 
-    links = near_groups(checkpointed(wide_bands(texts)), texts.select("node", "size"), sets_of, near_sets, within_reach(texts), named=True)
+    held = checkpointed(wide_bands(texts))
+    release(df.sparkSession)
+    links = near_groups(held, texts.select("node", "size"), sets_of, near_sets, within_reach(texts), named=True)
     grouped = texts.join(links, "node", "left").select("first", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first").alias("stays"))
     stays = least.select("stays.id", "stays.h")
     every = docs.groupBy("id", "h").agg(F.count("*").alias("n"))
     marked = checkpointed(every.join(stays.withColumn("stay", F.lit(True)), every["id"].eqNullSafe(stays["id"]) & (every["h"] == stays["h"]), "left").select(every["id"], every["h"], "n", "stay"))
+    release(df.sparkSession)
     own, name, hashed = (fresh(df.columns, c) for c in ("__own", "__id", "__h"))
     gone = broadcast_if_small(marked.where("stay is null").select(F.col("id").alias(name), F.col("h").alias(hashed)))
     left = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

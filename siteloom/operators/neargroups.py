@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.operators.graph import connected_components
-from siteloom.session import checkpointed, ship
+from siteloom.session import checkpointed, release, ship
 
 #: Rows of one block of a group, about, sum of sizes in it, and guests that are held against a block at once.
 BLOCK_ROWS, BLOCK_SIZE, GUESTS = 1024, 1 << 20, 256
@@ -101,6 +101,7 @@ def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame
     edges = met(pairs, pairs.select("lead", F.col("lead").alias("node"), F.col("lead").alias("part")).distinct())
     parts = connected_components(edges)
     placed = checkpointed(members.join(parts, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("part")))
+    release(held.sparkSession)
     many = placed.groupBy("lead", "part").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
     mixed = placed.join(many.where("parts > 1"), "lead")
     # the leader has met the rest of its group

@@ -27,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark removes the shuffle files and checkpoints of tables that nothing
+    refers to any more. Else those of a long chain of checkpoints lie on disk until the driver happens to collect."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """df, materialised and counted: marked for a broadcast up to BROADCAST_ROWS rows, of a few numbers each; beyond, a shuffle joins it."""
     df = checkpointed(df)
