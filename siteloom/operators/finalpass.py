@@ -5,12 +5,12 @@ A position is end on '-' and start on '+'. Kept rows have all columns of fragmen
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from siteloom.functions.sequences import combined_umi
 from siteloom.operators.dedup import survivors
-from siteloom.operators.intervals import near_positions, runs
+from siteloom.operators.graph import overruled
+from siteloom.operators.intervals import near_positions
 from siteloom.session import checkpointed
 
 
@@ -24,30 +24,22 @@ def position_counts(df: DataFrame, by: list[str] = []) -> DataFrame:
 
 
 def suppress(abundant: DataFrame, keys: list[str], window: int, fold: float) -> DataFrame:
-    """abundant with `kept` and its rank within the island.
+    """abundant without the positions that more abundant ones suppress.
 
     From the most to the least fragments (ties: the higher position first) a position is dropped if
     among the positions within the window that weren't dropped so far the most fragments or the
-    largest total is at least fold times its own. What lies farther apart than the window can't
-    matter, so islands are walked on their own.
+    largest total is at least fold times its own. So only neighbours that go before it and reach fold times one of its
+    two numbers matter to it; all positions decide side by side, as soon as those have (graph.overruled).
+    With a fold of 2 or more a chain of such neighbours has no more links than the product of the two numbers' logarithms.
     """
-    order = [c for c in ("pos", "fragments", "total")]
-    islands = runs(abundant.select(*keys, *order), keys, "pos", order, lambda p: F.col("pos") - p["pos"] > window, "island")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fragments", "pos"], ascending=False).reset_index(drop=True)
-        alive: dict[int, tuple[int, int]] = {}  # by position; at most 2 * window + 1 of them are near one
-        kept = []
-        for pos, n, t in zip(pdf["pos"], pdf["fragments"], pdf["total"]):
-            near = [alive[p] for p in range(pos - window, pos + window + 1) if p in alive]
-            drop = bool(near) and (max(f for f, _ in near) >= fold * n or max(s for _, s in near) >= fold * t)
-            kept.append(not drop)
-            if not drop:
-                alive[pos] = (n, t)
-        return pdf.assign(kept=kept, rank=range(len(pdf)))
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in islands.schema.fields) + ", kept boolean, rank long"
-    return islands.groupBy(*keys, "island").applyInPandas(walk, ddl).drop("island")
+    own = abundant.select(*keys, "pos", "fragments", "total")
+    above = own.select(*keys, F.col("pos").alias("above"), F.col("fragments").alias("f"), F.col("total").alias("t"))
+    first = (F.col("f") > F.col("fragments")) | ((F.col("f") == F.col("fragments")) & (F.col("above") > F.col("pos")))
+    beats = (F.col("f") >= fold * F.col("fragments")) | (F.col("t") >= fold * F.col("total"))
+    place = lambda c: F.struct(*keys, F.col(c).alias("pos"))
+    edges = near_positions(own, above, keys, "pos", "above", window).where(first & beats)
+    gone = overruled(edges.select(place("pos").alias("node"), place("above").alias("over")))
+    return abundant.join(gone.select("node.*"), [*keys, "pos"], "left_anti")
 
 
 def snap_targets(counts: DataFrame, keys: list[str], window: int = 5, min_count: int = 1, fold: float = 2.0, keep_distinct: bool = False) -> DataFrame:
@@ -57,7 +49,7 @@ def snap_targets(counts: DataFrame, keys: list[str], window: int = 5, min_count:
     keep_distinct kept positions stay where they are and the others go to the most abundant one.
     """
     abundant = counts.where(F.col("fragments") >= min_count)
-    kept = checkpointed(suppress(abundant, keys, window, fold).where("kept").select(*keys, F.col("pos").alias("target"), "fragments", "rank"))
+    kept = checkpointed(suppress(abundant, keys, window, fold).select(*keys, F.col("pos").alias("target"), "fragments"))
     near = near_positions(counts.select(*keys, "pos"), kept, keys, "pos", "target", window)
     write = F.struct("fragments", "target")  # the order of the walk: fragments, then position, both falling
     pick = F.max_by("target", write) if keep_distinct else F.min_by("target", write)

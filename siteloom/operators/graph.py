@@ -54,3 +54,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     found = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     found = found.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def overruled(edges: DataFrame, node: str = "node", over: str = "over") -> DataFrame:
+    """(node): those that give way, from edges of a node to one that goes before it and would overrule it.
+
+    In order, a node gives way if one that overrules it didn't give way itself. Who comes first in the whole order doesn't matter to
+    that: a node decides as soon as all of its own edges have been decided. In each round the nodes without edges left stand,
+    those with an edge to one that stands give way, and edges of or to nodes that give way are dropped. Edges must not form circles;
+    there are half as many rounds as the longest chain of edges that matter has nodes.
+    """
+    left = checkpointed(edges.select(F.col(node).alias("node"), F.col(over).alias("over")).distinct())
+    out = None
+    while left.limit(1).count():
+        stand = left.select("over").distinct().join(left.select(F.col("node").alias("over")).distinct(), "over", "left_anti")
+        gone = checkpointed(left.join(stand, "over").select("node").distinct())
+        out = gone if out is None else out.unionByName(gone)
+        left = checkpointed(left.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("over")), "over", "left_anti"))
+    return left.select("node") if out is None else out

@@ -30,15 +30,15 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
 
 
 def _met(batches, opener: Opener):
-    """(src, dst) from rows (lead, block, role, node, part, payload) sorted by the first three: a node of a guest (role 1)
+    """(src, dst) from rows (lead, block, tile, role, node, part, payload) sorted by the first four: a node of a guest (role 1)
     and one of a row of the block (role 0) that is near it, for each other part which holds such a row. Parts that an
     earlier guest has joined count as one, so a block gives one edge for each guest, and one for each of its parts at most."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
     near, last, held = None, None, []
-    for key, part in stretches(batches, ["lead", "block", "role"]):
-        if key[:2] != last:
-            near, last, held = None, key[:2], []
-        if key[2] == 0:
+    for key, part in stretches(batches, ["lead", "block", "tile", "role"]):
+        if key[:3] != last:
+            near, last, held = None, key[:3], []
+        if key[3] == 0:
             held.append(part)
             continue
         if near is None:
@@ -71,8 +71,8 @@ def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame
     Other bands are led by the node that shares bands with most others, so that few nodes lead most bands of a
     family. All nodes of a leader's bands are one group. First they are held against the leader only; what this
     links needs no comparison any more. In groups that are still in several parts the nodes outside the largest
-    part then look up all others. Both go block by block, and only edges leave a block: neither pairs nor
-    whole groups are ever in one task.
+    part then look up all others. Both go in tiles, a block of the group against a block of those that look it up, and
+    only edges leave a tile: neither pairs nor a whole group, nor all its guests, are ever in one task.
     """
     ship(held.sparkSession)
     shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -90,11 +90,15 @@ def near_groups(held: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame
     def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
         """Edges between guests and the homes of their group; both (lead, node, part)."""
         enough: Column = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("int")
-        blocks = checkpointed(homes.join(sizes, "node").groupBy("lead").agg(enough.alias("blocks")))
-        dealt = homes.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "part")
-        asks = guests.join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "part")
-        sent = dealt.unionByName(asks).join(payload, "node").select("lead", "block", "role", "node", "part", "payload")
-        return checkpointed(sent.repartition("lead", "block").sortWithinPartitions("lead", "block", "role").mapInArrow(lambda b: _met(b, opener), "src long, dst long"))
+        blocks = homes.join(sizes, "node").groupBy("lead").agg(enough.alias("blocks"))
+        tiles = guests.join(sizes, "node").groupBy("lead").agg(enough.alias("tiles"))
+        cut = checkpointed(blocks.join(tiles, "lead"))
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = homes.join(cut, "lead").select("lead", own("blocks").alias("block"), each("tiles").alias("tile"), F.lit(0).alias("role"), "node", "part")
+        asks = guests.join(cut, "lead").select("lead", each("blocks").alias("block"), own("tiles").alias("tile"), F.lit(1).alias("role"), "node", "part")
+        sent = dealt.unionByName(asks).join(payload, "node").select("lead", "block", "tile", "role", "node", "part", "payload")
+        return checkpointed(sent.repartition("lead", "block", "tile").sortWithinPartitions("lead", "block", "tile", "role").mapInArrow(lambda b: _met(b, opener), "src long, dst long"))
 
     pairs = members.where("lead <> node")
     pairs = checkpointed((close(pairs) if close else pairs).select("lead", "node", F.col("node").alias("part")))

@@ -313,3 +313,18 @@ def test_umi_chain_beyond_a_hundred_steps(spark):
             umi[k] = "C"
     nodes = spark.createDataFrame([(1, u, 2 if k == 0 else 1, f"r{k:03d}") for k, u in enumerate(chain)], "g int, umi string, n long, rep string")
     assert {r.owner for r in dedup.umi_owners(nodes, ["g"], 2.0).collect()} == {chain[0]}
+
+
+@pytest.mark.parametrize("fold, seed", [(2.0, 1), (1.0, 2), (1.3, 3)])
+def test_suppression_as_the_walk(spark, fold, seed):
+    rng = random.Random(seed)
+    rows = [(c, s, p, rng.choice([1, 2, 3, 5, 9, 30]), rng.randint(1, 200)) for c in ("chr1", "chr2") for s in "+-" for p in rng.sample(range(300), 150)]
+    kept = []
+    for c, s, p, n, t in sorted(rows, key=lambda r: (r[3], r[2]), reverse=True):
+        near = [k for k in kept if k[:2] == (c, s) and abs(k[2] - p) <= 5]
+        if not near or (max(k[3] for k in near) < fold * n and max(k[4] for k in near) < fold * t):
+            kept.append((c, s, p, n, t))
+    df = spark.createDataFrame(rows, "chrom string, strand string, pos long, fragments long, total long")
+    got = finalpass.suppress(df, ["chrom", "strand"], 5, fold)
+    assert sorted(map(tuple, got.collect())) == sorted(kept)
+    assert finalpass.suppress(df.limit(0), ["chrom", "strand"], 5, fold).collect() == []
