@@ -127,6 +127,8 @@ WIDE, NEAR_BITS = 4, 88
 #: Least bits of a segment of the wide fingerprint, the rows that a table value should hold on average (more rows make
 #: longer segments), and the chance that a pair of similarity 0.8 has no segment in common, which sets the number of tables.
 SEGMENT_BITS, VALUE_ROWS, MISS = 6, 4096, 3e-6
+#: Blocks of a table value at most (they get larger beyond), so that the number of a pair of blocks has 24 bits.
+MOST_BLOCKS = 4095
 #: Shingles below which a set is near to no other set: one of n shingles shares at most n of n + 1.
 LEAST_SET = NEAR[0] // (NEAR[1] - NEAR[0])
 #: Fingerprints that are held against a table value's at once.
@@ -285,8 +287,8 @@ def pairs_in_reach(mine: Side, held: Side) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _told(batches: Iterator[pa.RecordBatch], kind: type[Side]) -> Iterator[pa.RecordBatch]:
-    """What `kind` gives for rows (place, role, node, size, full, its marks) sorted by the first two: each place's rows (role 0) among themselves and with its guests (role 1)."""
-    now, parts, held = None, [], None
+    """What `kind` gives for rows (place, role, node, size, full, its marks) sorted by the first two: a place's rows of role 0 among themselves, those of role 1 with those of role 2."""
+    now, parts, held, across = None, [], None, False
 
     def met(mine, other):
         for at, of in pairs_in_reach(mine, other):
@@ -295,26 +297,27 @@ def _told(batches: Iterator[pa.RecordBatch], kind: type[Side]) -> Iterator[pa.Re
 
     def close():
         side = kind({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
-        met(side, side)
+        if not across:
+            met(side, side)
         return side
 
     def sent(side):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in side.out()], names=kind.gives)
 
     for batch in batches:
-        mark = batch.column("place").to_numpy() * 2 + batch.column("role").to_numpy()
+        mark = batch.column("place").to_numpy() * 4 + batch.column("role").to_numpy()
         rows = {c: batch.column(c).to_numpy() for c in ("node", "size", *kind.marks)} | {"full": fulls(batch.column("full"))}
         cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
         for first, last in zip(cuts, cuts[1:]):
             if first == last:
                 continue
-            place, role = divmod(int(mark[first]), 2)
+            place, role = divmod(int(mark[first]), 4)
             if place != now:
                 if parts:
                     yield sent(held or close())
-                now, parts, held = place, [], None
+                now, parts, held, across = place, [], None, role > 0
             some = {c: v[first:last] for c, v in rows.items()}
-            if not role:
+            if role < 2:
                 parts.append(some)
             elif parts:
                 held = held or close()
@@ -330,8 +333,8 @@ def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
     NEAR_BITS different bits and sizes that can be near stand in one band, which is named by one of the nodes.
 
     Multi-index hashing of the wide fingerprints: each segment has a table, the fingerprints of one table value meet,
-    and the whole distance decides. A value of more than value_rows fingerprints is dealt to blocks, and each
-    fingerprint also looks up the blocks after its own, so no task holds it whole.
+    and the whole distance decides. A value of more than value_rows fingerprints is dealt to blocks, and each two
+    blocks meet in a place of their own, so no task holds more than two of them.
 
     A family of near fingerprints meets in many values of all tables. So that it has the same few bands in all of them, they
     meet three times. First each fingerprint's partners are counted; those without any leave. Then each gets a home: of all that it
@@ -353,15 +356,17 @@ def wide_bands(rows: DataFrame, value_rows: int = VALUE_ROWS) -> DataFrame:
 
     keyed = checkpointed(rows.mapInArrow(keys, StructType(kinds.fields + StructType.fromDDL("values array<long>").fields)))
     full_ones = keyed.select(F.posexplode("values").alias("t", "value")).groupBy("t", "value").count().where(F.col("count") > value_rows)
-    blocks = broadcast_if_small(full_ones.select("t", "value", F.ceil(F.col("count") / value_rows).cast("int").alias("blocks")))
+    blocks = broadcast_if_small(full_ones.select("t", "value", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("count") / value_rows)).cast("int").alias("blocks")))
 
     def met(some: DataFrame, kind: type[Side]) -> DataFrame:
         dealt = some.select("node", "size", "full", *kind.marks, F.posexplode("values").alias("t", "value"))
         dealt = dealt.join(blocks, ["t", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-        place = F.shiftleft(F.col("t").cast("long"), 48) + F.shiftleft(F.col("value"), 24) + F.col("block")
-        sent = dealt.select(place.alias("place"), (F.col("block") > F.col("own")).cast("int").alias("role"), "node", "size", "full", *kind.marks)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        place = F.shiftleft(F.col("t").cast("long"), 48) + F.shiftleft(F.col("value"), 24) + low * F.col("blocks") + high
+        role = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        sent = dealt.select(place.alias("place"), role.alias("role"), "node", "size", "full", *kind.marks)
         return sent.repartition("place").sortWithinPartitions("place", "role").mapInArrow(lambda b: _told(b, kind), ", ".join(f"{c} long" for c in kind.gives))
 
     known = met(keyed, Reached).groupBy("node").agg(F.sum("n").alias("pop"))
