@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than their parts foretell, by hierarchical naming of pairs.
 
-Texts become blocks of local word codes once. A level then knows its units (words, later k-grams) by global ids:
-frequent ones are named by a join over all blocks, each pair of adjacent frequent units is a unit of the next level,
+Texts become blocks of codes of their frequent words. A level then knows its units (words, later k-grams) by global ids:
+pairs of adjacent units are counted over all blocks, frequent ones get an id and are the units of the next level,
 and everything else leaves the blocks, which so get shorter and shorter. A phrase is frequent only if
 both phrases that lack its last or its first word are, so none is lost. The two ids of a named pair point to these two, its parents:
 the counts of a phrase's first and last k words, for any cut, are handed down through them, and a
@@ -11,6 +11,7 @@ phrase tells them whether it occurs as often as they do.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ LEAST_COUNT, MOST_WORDS, SHARE = 100, 5, 100
 TOP = 2000
 #: Words of a block, about (it ends with a piece), and characters of a text that are split at once.
 BLOCK_WORDS, SPLIT_CHARS = 1 << 18, 1 << 20
+#: Pairs that a task counts at once, words of the corpus for which pairs are counted in one more part, and names up to which a pair is one number.
+HELD_PAIRS, PART_WORDS, PACKED_IDS = 4_000_000, 4_000_000, (1 << 31) - 1
 #: Named units of a level up to which they are broadcast; beyond, a join brings each block the names of its own.
 BROADCAST_NAMES = 400_000
 #: The language of texts that have none.
@@ -76,140 +79,283 @@ def squeezed(codes: np.ndarray) -> np.ndarray:
     return codes[~(end & np.concatenate([[True], end[:-1]]))]
 
 
-def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(codes binary, langs, words, counts) of blocks of whole pieces: local codes of their words in order (int32), END between pieces, and what each code stands for."""
-    schema = pa.schema([("codes", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+def packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
 
-    def run(batches):
-        keys, dicts, held, size = [], {}, [], 0
 
-        def block():
-            codes = squeezed(np.concatenate(held)) if held else np.zeros(0, np.int32)
-            counts = np.bincount(codes[codes >= 0], minlength=len(keys))
-            cols = [[codes.tobytes()], [[k[0] for k in keys]], [[k[1] for k in keys]], [counts]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
 
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                for lang, text in zip(part.column("lang").to_pylist(), texts):
-                    for some in parts_of(text):
-                        got = coded(some, dicts[lang] if lang in dicts else dicts.setdefault(lang, Codes(lang, keys)))
-                        held.append(got)
-                        size += len(got)
-                        if size >= BLOCK_WORDS:
-                            yield block()
-                            keys, dicts, held, size = [], {}, [], 0
-        if size:
-            yield block()
-        give_back()
 
-    sent = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    return sent.mapInArrow(run, "codes binary, langs array<string>, words array<string>, counts array<bigint>")
+def coded_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[str, str]]]]:
+    """(codes, keys) of blocks of whole pieces from rows (lang, text): local codes of their words in order, END between pieces, and the (language, word) of each code."""
+    keys, dicts, held, size = [], {}, [], 0
+    for batch in batches:
+        for part, texts in slices(batch, "text"):
+            for lang, text in zip(part.column("lang").to_pylist(), texts):
+                for some in parts_of(text):
+                    got = coded(some, dicts[lang] if lang in dicts else dicts.setdefault(lang, Codes(lang, keys)))
+                    held.append(got)
+                    size += len(got)
+                    if size >= BLOCK_WORDS:
+                        yield squeezed(np.concatenate(held)), keys
+                        keys, dicts, held, size = [], {}, [], 0
+    if size:
+        yield squeezed(np.concatenate(held)), keys
 
 
-def paired(codes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, left, right, counts) of the next level: names has the global id of each local code, END if it isn't frequent.
+def kept(codes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, names) without the units that have no name: these are ends, and the others are numbered anew."""
+    named = names >= 0
+    new = np.append(np.where(named, np.cumsum(named) - 1, _END), _END).astype(np.int32)  # the last one is for END itself
+    return squeezed(new[codes]), names[named]
 
-    The unit at a place and the one at the next place are a pair, a unit of one more word that begins at the place. New codes number
-    the different pairs; left and right are the ids of their parts.
-    """
-    place = np.where(codes >= 0, np.where(names[codes] >= 0, codes, _END), _END) if len(names) else np.full(len(codes), _END, np.int32)
-    whole = (place[:-1] >= 0) & (place[1:] >= 0)
-    key = place[:-1][whole].astype(np.int64) * len(names) + place[1:][whole]
+
+def paired(codes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, left, right, counts) of the next level: the unit at a place and the one at the next place are a pair, a unit
+    of one more word that begins at the place. New codes number the different pairs; left and right are the ids of their parts."""
+    whole = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    key = codes[:-1][whole].astype(np.int64) * len(names) + codes[1:][whole]
     pairs, new, counts = np.unique(key, return_inverse=True, return_counts=True)
     out = np.full(max(0, len(codes) - 1), _END, np.int32)
     out[whole] = new
-    return squeezed(out), names[pairs // max(1, len(names))], names[pairs % max(1, len(names))], counts
+    return out, names[pairs // max(1, len(names))], names[pairs % max(1, len(names))], counts
+
+
+BLOCK = "codes binary, names binary"
+
+
+def block_row(codes: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([packed(codes.astype(np.int32))], pa.binary()), pa.array([packed(names.astype(np.int64))], pa.binary())], names=["codes", "names"])
 
 
-Lookup = Callable[[dict], np.ndarray]
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(its row, codes, names) of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            yield row, unpacked(row.column("codes")[0].as_py(), np.int32), unpacked(row.column("names")[0].as_py(), np.int64)
 
 
-def pair_blocks(blocks: DataFrame, lookup: Lookup) -> DataFrame:
-    """(codes, lefts, rights, counts) of the next level's units from blocks of this level's; lookup: the id of each local code of a block."""
+# --- counts
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, f) of the words of rows (lang, text), added up block by block before they leave a task."""
 
     def run(batches):
-        schema = pa.schema([("codes", pa.binary()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        for codes, keys in coded_blocks(batches):
+            counts = np.bincount(codes[codes >= 0], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts)], names=["lang", "word", "f"])
+        give_back()
+
+    return texts.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+
+
+def pair_counts(blocks: DataFrame, least: int, parts: int, ids: int) -> DataFrame:
+    """(left, right, f) of the pairs of all blocks that occur at least `least` times.
+
+    While ids have 31 bits, a task sends its pairs as sorted numbers, one compressed list for each of `parts` parts of all pairs, and the lists of a part are
+    merged; beyond, they are rows of an aggregate.
+    """
+    if ids > PACKED_IDS:
+
+        def rows(batches):
+            for _, codes, names in blocks_of(batches):
+                _, left, right, counts = paired(codes, names)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(counts)], names=["left", "right", "f"])
+
+        return blocks.mapInArrow(rows, "left long, right long, f long").groupBy("left", "right").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+    def merged(held):
+        key, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return key, np.bincount(place, np.concatenate([h[1] for h in held]), len(key)).astype(np.int64)
+
+    def send(batches):
+        def lists(key, counts):
+            part = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in range(parts):
+                own = order[ends[p] : ends[p + 1]]
+                if len(own):
+                    cols = [pa.array([p], pa.int32()), *(pa.array([packed(v)], pa.binary()) for v in (np.diff(key[own], prepend=0), counts[own]))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["part", "steps", "counts"])
+
+        held, size = [], 0
+        for _, codes, names in blocks_of(batches):
+            _, left, right, counts = paired(codes, names)
+            held.append(((left << 31) | right, counts))
+            size += len(counts)
+            if size > HELD_PAIRS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HELD_PAIRS // 2:
+                    yield from lists(*held[0])
+                    held, size = [], 0
+        if size:
+            yield from lists(*merged(held))
+        give_back()
+
+    def merge(batches):
+        def out(held):
+            key, counts = merged(held)
+            often = counts >= least
+            key = key[often]
+            return pa.RecordBatch.from_arrays([pa.array(key >> 31), pa.array(key & ((1 << 31) - 1)), pa.array(counts[often])], names=["left", "right", "f"])
+
+        now, held = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                codes, *units = paired(codes, lookup(row))
-                yield pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), *(pa.array([u], pa.list_(pa.int64())) for u in units)], schema=schema)
+            for part, steps, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "steps", "counts"))):
+                if part != now and held:
+                    yield out(held)
+                    held = []
+                now = part
+                held.append((np.cumsum(unpacked(steps, np.int64)), unpacked(counts, np.int64)))
+                if sum(len(h[0]) for h in held[1:]) > HELD_PAIRS:
+                    held = [merged(held)]
+        if held:
+            yield out(held)
         give_back()
 
-    return blocks.mapInArrow(run, "codes binary, lefts array<bigint>, rights array<bigint>, counts array<bigint>").where(F.size("counts") > 0)
+    sent = blocks.mapInArrow(send, "part int, steps binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "left long, right long, f long")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """(df with id, its number of rows): ids are 0, 1, 2, ...; only the sizes of partitions are collected."""
+    df = checkpointed(df.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    sizes = sorted((r.part, r.n) for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    total, first = 0, []
+    for p, n in sizes:
+        first.append((p, total))
+        total += n
+    if not total:
+        return df, 0
+    starts = df.sparkSession.createDataFrame(first, "part long, first long")
+    return df.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("id", F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first"), total
 
 
 # --- names
 
 
-def broadcast_lookup(spark: SparkSession, named: DataFrame, unit: list[str]) -> Lookup:
-    """Names from a table of (id, unit columns) that is broadcast."""
-    rows = named.select("id", *unit).toArrow()
-    if unit == ["lang", "word"]:
-        tables: dict[str, dict[str, int]] = {}
-        for i, lang, word in zip(*(rows.column(c).to_pylist() for c in ("id", *unit))):
-            tables.setdefault(lang, {})[word] = i
-        shared = spark.sparkContext.broadcast(tables)
+def word_names(spark: SparkSession, named: DataFrame) -> Callable[[list[tuple[str, str]]], np.ndarray]:
+    """The ids of (language, word) keys, END for those without, from the table of names (id, lang, word), which is broadcast."""
+    rows = named.select("id", "lang", "word").toArrow()
+    tables: dict[str, dict[str, int]] = {}
+    for i, lang, word in zip(*(rows.column(c).to_pylist() for c in ("id", "lang", "word"))):
+        tables.setdefault(lang, {})[word] = i
+    shared = spark.sparkContext.broadcast(tables)
+    return lambda keys: np.fromiter((shared.value.get(g, {}).get(w, _END) for g, w in keys), np.int64, len(keys))
 
-        def words(row: pa.RecordBatch) -> np.ndarray:
-            tables = shared.value
-            langs, words = (row.column(c).flatten().to_pylist() for c in ("langs", "words"))
-            return np.fromiter((tables.get(g, {}).get(w, _END) for g, w in zip(langs, words)), np.int64, len(words))
 
-        return words
-    ids, left, right = (rows.column(c).to_numpy() for c in ("id", *unit))
+def pair_names(spark: SparkSession, named: DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The ids of pairs (left, right), END for those without, from the table of names (id, left, right), which is broadcast."""
+    rows = named.select("id", "left", "right").toArrow()
+    ids, left, right = (rows.column(c).to_numpy() for c in ("id", "left", "right"))
     order = np.lexsort((right, left))
     lefts, rights = np.unique(left), np.unique(right)
     # A pair is one number: the places of its parts among all left and all right ones.
     shared = spark.sparkContext.broadcast((lefts, rights, np.searchsorted(lefts, left[order]) * len(rights) + np.searchsorted(rights, right[order]), ids[order]))
 
-    def pairs(row: pa.RecordBatch) -> np.ndarray:
+    def names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         lefts, rights, known, ids = shared.value
-        left, right = (row.column(c).flatten().to_numpy() for c in ("lefts", "rights"))
         if not len(known):
-            return np.full(len(left), _END)
+            return np.full(len(left), _END, np.int64)
         a, b = (np.minimum(np.searchsorted(t, v), len(t) - 1) for t, v in ((lefts, left), (rights, right)))
-        key = a * len(rights) + b
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        return np.where((lefts[a] == left) & (rights[b] == right) & (known[at] == key), ids[at], _END)
+        at = np.minimum(np.searchsorted(known, a * len(rights) + b), len(known) - 1)
+        return np.where((lefts[a] == left) & (rights[b] == right) & (known[at] == a * len(rights) + b), ids[at], _END)
 
-    return pairs
+    return names
 
 
-def joined_names(blocks: DataFrame, named: DataFrame, unit: list[str], lists: list[str]) -> tuple[DataFrame, Lookup]:
-    """blocks with the names of their own units, found by a join on the units of all blocks, and the lookup that reads them."""
-    blocks = checkpointed(blocks.withColumn("block", F.monotonically_increasing_id()))
-    asked = blocks.select("block", F.posexplode(F.arrays_zip(*lists))).select("block", "pos", *(F.col(f"col.{c}").alias(u) for c, u in zip(lists, unit)))
+def joined_names(blocks: DataFrame, asked: DataFrame, named: DataFrame, unit: list[str]) -> DataFrame:
+    """blocks with at and ids, the places and ids of those of their own units that have a name. asked: (block, pos, unit columns). A join over all blocks; a list has a block's units at most."""
     known = asked.join(named.select("id", *unit), unit).groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("known"))
-    out = blocks.join(known.select("block", F.col("known.pos").alias("at"), F.col("known.id").alias("ids")), "block", "left")
+    return blocks.join(known.select("block", F.col("known.pos").alias("at"), F.col("known.id").alias("ids")), "block", "left")
+
+
+def placed_names(row: pa.RecordBatch, size: int) -> np.ndarray:
+    got = np.full(size, _END, np.int64)
+    at, ids = (row.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "ids"))
+    got[at] = ids
+    return got
+
+
+def word_blocks(texts: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """The blocks of level 1: words of (lang, text) by the names (id, lang, word)."""
+    if total <= BROADCAST_NAMES:
+        names = word_names(texts.sparkSession, named)
+
+        def run(batches):
+            for codes, keys in coded_blocks(batches):
+                yield block_row(*kept(codes, names(keys)))
+            give_back()
+
+        return texts.mapInArrow(run, BLOCK)
+
+    def raw(batches):
+        for codes, keys in coded_blocks(batches):
+            cols = [pa.array([packed(codes)], pa.binary()), *(pa.array([[k[c] for k in keys]], pa.list_(pa.string())) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["codes", "langs", "words"])
+        give_back()
 
-    def names(row: pa.RecordBatch) -> np.ndarray:
-        got = np.full(len(row.column(lists[0])[0]), _END, np.int64)
-        got[row.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = row.column("ids").flatten().to_numpy(zero_copy_only=False)
-        return got
+    blocks = checkpointed(texts.mapInArrow(raw, "codes binary, langs array<string>, words array<string>").withColumn("block", F.monotonically_increasing_id()))
+    asked = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words"))).select("block", "pos", F.col("col.langs").alias("lang"), F.col("col.words").alias("word"))
 
-    return out, names
+    def read(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                yield block_row(*kept(unpacked(row.column("codes")[0].as_py(), np.int32), placed_names(row, row.column("size")[0].as_py())))
+
+    return joined_names(blocks.select("block", "codes", F.size("words").alias("size")), asked, named, ["lang", "word"]).mapInArrow(read, BLOCK)
+
+
+def pair_blocks(blocks: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """The blocks of the next level: pairs by the names (id, left, right)."""
+    if total <= BROADCAST_NAMES:
+        names = pair_names(blocks.sparkSession, named)
+
+        def run(batches):
+            for _, codes, own in blocks_of(batches):
+                codes, left, right, _ = paired(codes, own)
+                codes, own = kept(codes, names(left, right))
+                if len(own):
+                    yield block_row(codes, own)
+            give_back()
+
+        return blocks.mapInArrow(run, BLOCK)
+    blocks = checkpointed(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+    def ask(batches):
+        for row, codes, own in blocks_of(batches):
+            _, left, right, _ = paired(codes, own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), row.column("block")[0].as_py())), pa.array(np.arange(len(left))), pa.array(left), pa.array(right)], names=["block", "pos", "left", "right"])
+
+    def read(batches):
+        for row, codes, own in blocks_of(batches):
+            codes, left, _, _ = paired(codes, own)
+            yield block_row(*kept(codes, placed_names(row, len(left))))
+
+    return joined_names(blocks, blocks.mapInArrow(ask, "block long, pos long, left long, right long"), named, ["left", "right"]).mapInArrow(read, BLOCK)
 
 
 def phrase_table(docs: DataFrame, text_col: str, lang_col: str, least: int, most_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) and, for k = 1, 2, ..., the frequent phrases of k words: (id, f) with lang and word, or left and right."""
     ship(docs.sparkSession)
-    blocks = checkpointed(word_blocks(docs, text_col, lang_col))
-    every = checkpointed(blocks.select(F.explode(F.arrays_zip("langs", "words", "counts")).alias("u")).groupBy(F.col("u.langs").alias("lang"), F.col("u.words").alias("word")).agg(F.sum("u.counts").alias("f")))
-    totals, levels, unit, lists = every.groupBy("lang").agg(F.sum("f").alias("n")), [], ["lang", "word"], ["langs", "words"]
-    for k in range(1, most_words + 1):
-        if k > 1:
-            every = blocks.select(F.explode(F.arrays_zip("lefts", "rights", "counts")).alias("u")).groupBy(F.col("u.lefts").alias("left"), F.col("u.rights").alias("right")).agg(F.sum("u.counts").alias("f"))
-        levels.append(checkpointed(every.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())))
-        if k < most_words:
-            if (total := levels[-1].count()) <= BROADCAST_NAMES:
-                lookup = broadcast_lookup(docs.sparkSession, levels[-1], unit)
-            else:
-                blocks, lookup = joined_names(blocks, levels[-1], unit, lists)
-            blocks = checkpointed(pair_blocks(blocks, lookup)) if total else pair_blocks(blocks, lookup).limit(0)
-            unit, lists = ["left", "right"], ["lefts", "rights"]
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    words = checkpointed(word_counts(texts).groupBy("lang", F.when(F.col("f") >= least, F.col("word")).alias("word")).agg(F.sum("f").alias("f")))  # the others only count for n
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    parts = max(1, -(-(words.agg(F.sum("f")).first()[0] or 0) // PART_WORDS))
+    level, total = numbered(words.where("word is not null"))
+    levels, blocks = [level], None
+    while len(levels) < most_words:
+        made = word_blocks(texts, level, total) if blocks is None else pair_blocks(blocks, level, total)
+        blocks = checkpointed(made if total else made.limit(0))
+        level, total = numbered(pair_counts(blocks, least, parts, total))
+        levels.append(level)
     return totals, levels
 
 

@@ -172,9 +172,11 @@ def plain_phrases(rows, least, most_words, share, top):
     return {(lang, r, p.decode(), -a, x, y, n[lang], -s) for lang, got in found.items() for r, (s, a, p, x, y) in enumerate(sorted(got)[:top], 1)}
 
 
-@pytest.mark.parametrize("names, share, most_words, top", [(10**6, 100, 5, 2000), (0, 60, 4, 20), (10**6, 100, 2, 5)])
-def test_collocations_by_brute_force(spark, monkeypatch, names, share, most_words, top):
+@pytest.mark.parametrize("names, ids, share, most_words, top", [(10**6, 10**6, 100, 5, 2000), (0, 10**6, 60, 4, 20), (10**6, 0, 100, 3, 5)])
+def test_collocations_by_brute_force(spark, monkeypatch, names, ids, share, most_words, top):
     monkeypatch.setattr(collocations, "BROADCAST_NAMES", names)
+    monkeypatch.setattr(collocations, "PACKED_IDS", ids)
+    monkeypatch.setattr(collocations, "PART_WORDS", 100)
     rng = random.Random(7)
     line = lambda: " ".join(rng.choice(["the cat", "sat", "on the mat", "the", "a a", "é x", "ZÄ", "zÄ"]) for _ in range(rng.randint(0, 9)))
     texts = [rng.choice([", ", ".", "\n", "\t", "\r\n \v"]).join(line() for _ in range(rng.randint(0, 8))) for _ in range(150)]
