@@ -101,5 +101,26 @@ def levenshtein(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distances of sequences of one length, a line each, most + 1 where there are more. Of the table only the diagonals within `most` are made."""
+    pairs, n = a.shape
+    most = min(most, n)
+    width = 2 * most + 1
+    over = most + 1
+    slope = np.arange(width, dtype=np.int32)
+    padded = np.zeros((pairs, n + 2 * most), b.dtype)  # column j of b stands at j + most
+    padded[:, most : most + n] = b
+    cost = np.broadcast_to(np.abs(slope - most).astype(np.int32), (pairs, width)).copy()
+    for i in range(n):
+        inside = (slope + i - most >= 0) & (slope + i - most < n)  # the diagonals that have a letter of b here
+        step = np.where(inside, cost + (padded[:, i : i + width] != a[:, i : i + 1]), over + n)
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+        edge = most - i - 1
+        if edge >= 0:
+            step[:, edge] = i + 1  # nothing of b so far
+        cost = np.minimum.accumulate(step - slope, axis=1) + slope
+    return np.minimum(cost[:, most], over)
+
+
 def similar(a: str, b: str) -> float:
     return 1.0 if not a and not b else 1 - levenshtein(a, b) / max(len(a), len(b))

@@ -278,10 +278,72 @@ def test_choice_of_a_place_is_even_and_seeded_by_valid_ones():
     assert reassign.choose_position([]) is None and reassign.choose_position(rows[:1]) == ("chr1", 100, 130, "+")
 
 
+def walked_leaders(members, seq_sim):
+    out = {}
+    for s in sorted(members, key=lambda s: (len(s), s), reverse=True):
+        known = sorted({v for v in out.values()}, key=lambda c: (len(c), c))
+        best = max(known, key=lambda c: align.similar(s, c[: len(s)]), default=None)
+        out[s] = best if best is not None and align.similar(s, best[: len(s)]) >= seq_sim else s
+    return out
+
+
+def mutated(rng, s, n):
+    for _ in range(n):
+        k = rng.randrange(len(s))
+        s = s[:k] + rng.choice(["", "A", "C", "GT"]) + s[k + rng.randint(0, 1) :]
+    return s
+
+
+@pytest.mark.parametrize("heads, tile, seq_sim", [(512, 4096, 0.8), (3, 5, 0.8), (2, 1000, 0.93)])
+def test_similar_leaders_as_the_walk(spark, monkeypatch, heads, tile, seq_sim):
+    from siteloom.operators import leaders
+
+    monkeypatch.setattr(leaders, "HEADS", heads)
+    monkeypatch.setattr(leaders, "TILE_ROWS", tile)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACGT") for _ in range(rng.randint(20, 40))) for _ in range(4)]
+    members = {k: {mutated(rng, rng.choice(base), rng.randint(0, 6))[: rng.randint(15, 40)] for _ in range(n)} for k, n in (("a", 60), ("b", 7), ("c", 1))}
+    seen = set()
+    members = {k: {s for s in v if not (s in seen or seen.add(s))} for k, v in members.items()}
+    df = spark.createDataFrame([(s, k) for k, v in members.items() for s in v], "seq string, cluster string")
+    want = {s: x for v in members.values() for s, x in walked_leaders(v, seq_sim).items()}
+    assert {r.seq: r.leader for r in leaders.similar_leaders(df, seq_sim).collect()} == want
+    assert leaders.similar_leaders(df.limit(0), seq_sim).collect() == []
+
+
 def test_leaders_of_equal_similarity():
     """The shortest, then smallest leader counts; the first ones are the longest, then largest."""
-    got = reassign.refined(["AAAATTTT", "AAAACCCC", "AAAA"], 0.9)
-    assert got == [("AAAATTTT", "AAAATTTT"), ("AAAACCCC", "AAAACCCC"), ("AAAA", "AAAACCCC")]
+    from siteloom.operators import leaders
+
+    assert walked_leaders(["AAAATTTT", "AAAACCCC", "AAAA"], 0.9) == {"AAAATTTT": "AAAATTTT", "AAAACCCC": "AAAACCCC", "AAAA": "AAAACCCC"}
+    assert [x.tolist() for x in leaders.nearest_leaders(["AAAA", "TTTT"], ["AAAATTTT", "AAAACCCC"], 0.9)] == [[0, -1], [1, -1]]
+
+
+def test_banded_leaders_as_the_walk(spark):
+    from siteloom.operators import leaders
+
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("ACGT") for _ in range(rng.randint(4, 9))), [rng.randrange(4) for _ in range(6)]) for _ in range(250)]
+    rows = list({s: v for s, v in rows}.items()) + [("A", []), ("C", [])]
+    bands = lambda v: {(b, tuple(v[2 * b : 2 * b + 2])) for b in range(3)} if v else set()
+    led, want = [], {}
+    for s, v in sorted(rows, key=lambda x: (len(x[0]), x[0]), reverse=True):
+        near = [(len(c), sum(x == y for x, y in zip(v, w)), c) for c, w in led if bands(v) & bands(w)]
+        want[s] = max(near)[2] if near else s
+        if not near:
+            led.append((s, v))
+    got = leaders.banded_leaders(spark.createDataFrame(rows, "seq string, sig array<bigint>"), 3, 2)
+    assert {r.seq: r.leader for r in got.collect()} == want and len(led) > 5
+    assert leaders.band_shape(0.5, 128)[0] * leaders.band_shape(0.5, 128)[1] <= 128
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 8, 20])
+def test_edits_within(most):
+    rng = random.Random(most)
+    a = ["".join(rng.choice("ACG") for _ in range(12)) for _ in range(200)]
+    b = [(mutated(rng, s, rng.randint(0, 5)) + "GATTACAGATTACA")[:12] for s in a]
+    code = lambda x: np.array([[ord(c) for c in s] for s in x], np.uint32)
+    assert align.edits_within(code(a), code(b), most).tolist() == [min(align.levenshtein(x, y), min(most, 12) + 1) for x, y in zip(a, b)]
 
 
 def test_deleted_bases_at_the_start(spark):
