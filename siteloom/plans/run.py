@@ -78,7 +78,7 @@ def run(alignments: DataFrame, p: Params, genome: DataFrame | None = None, featu
     placed = sites.project_sites(final, p.tsd, p.U3)
     counts = checkpointed(sites.site_counts(placed))
     found = peaks.peaks(peaks.peak_sites(counts, p.stranded_peaks, p.peak_alpha), p.peak_win, p.stranded_peaks) if p.write_peaks else None
-    theta = checkpointed(abundance.abundance(placed.withColumn("__one", F.lit("all")), "__one", p.min_frag_len).drop("__one")) if p.mle else None
+    theta = checkpointed(abundance.abundance(placed)) if p.mle else None
     units = annotated_units(counts, placed, found, theta) if features is not None else None
     return Result(
         fragments=final, sites=sites.ordered(placed), counts=sites.ordered(counts), diversity=sites.diversity(counts), removed=sites.project_sites(removed, p.tsd, p.U3), duplicates=dup1.unionByName(dup2),

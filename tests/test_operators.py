@@ -221,8 +221,10 @@ def test_abundance_and_consensus(spark):
     phi /= phi.sum()
     true = np.array([2.0, 15.0, 60.0, 120.0])
     x = rng.random((60, 4)) < 1 - np.exp(-phi[:, None] * true)
-    theta = abundance.estimate(*np.nonzero(x[x.any(1)]))
-    assert np.all(np.diff(theta) > 0) and theta[3] > x[:, 3].sum()
+    row, site = np.nonzero(x[x.any(1)])
+    sample = abundance.Held(row, site, np.ones(len(row)))
+    abundance.maximise(sample)
+    assert np.all(np.diff(sample.theta) > 0) and sample.theta[3] > x[:, 3].sum()
     reads = spark.createDataFrame([(f"r{k}", "ACGTAC" + "ACGT"[k % 4] * 3) for k in range(40)], "read_name string, seq1 string")
     got = consensus.positional_consensus(reads, "seq1", 9).collect()
     assert "".join(r.called for r in got) == "ACGTACNNN"
@@ -232,24 +234,96 @@ def test_abundance_and_consensus(spark):
     assert shares == {"ACGTACGGG": 1.0}
 
 
-@pytest.mark.parametrize("lengths,sites", [(1, 1), (30, 7), (120, 40)])
-def test_abundance_against_the_whole_matrix(lengths, sites):
-    rng = np.random.default_rng(lengths)
-    x = (rng.random((lengths, sites)) < rng.random(sites) ** 2 + 0.02).astype(float)
-    x[0, :], x[:, 0] = 1, 1  # each length and each site is seen
-    phi, theta, before = x.sum(1) / x.sum(), x.sum(0), -np.inf
-    for k in range(2000):
+def whole_matrix_abundance(x, most=2000):
+    """The rules of abundance.maximise on the whole matrix of lengths by sites."""
+    norm = lambda v: np.maximum(v, np.finfo(float).eps) / np.maximum(v, np.finfo(float).eps).sum()
+
+    def e_step(theta, phi):
+        rate = np.outer(phi, theta)
+        y = x * rate / np.maximum(1 - np.exp(-rate), np.finfo(float).eps)
+        return y, -rate[x == 0].sum() + np.log(1 - np.exp(-rate[x == 1])).sum()
+
+    theta, _ = x.sum(0).astype(float), None
+    y, _ = e_step(theta, norm(x.sum(1)))
+    theta, phi, best = y.sum(0), norm(abundance.smooth(y.sum(1))[0]), -np.inf
+    for k in range(1, most + 1):
         rate = np.outer(phi, theta)
-        y = np.where(x > 0, rate / (1 - np.exp(-rate)), 0)  # expected fragments; none where none was seen
-        likely = np.where(x > 0, np.log(1 - np.exp(-rate)), -rate).sum()
-        grad = (y - rate).sum(0) / theta
-        theta = np.maximum(theta + grad * theta**2 / y.sum(0), 1e-9)
-        phi = np.maximum(abundance.smooth(y.sum(1)), 1e-12)
-        phi /= phi.sum()
-        if k >= 2 and np.abs(grad).max() <= 0.01 and abs(likely - before) <= 1e-6 * abs(likely):
+        odds = 1 / np.expm1(rate)
+        grad = (-(1 - x) * phi[:, None] + x * phi[:, None] * odds).sum(0)
+        new = np.maximum(theta + grad / (phi[:, None] ** 2 * odds).sum(0), np.finfo(float).eps)
+        y, likely = e_step(new, phi)
+        failed = int(not likely > best)
+        if not failed:
+            theta, best = new, likely
+        y, _ = e_step(theta, phi)
+        other = norm(abundance.smooth(y.sum(1))[0])
+        likely = e_step(theta, other)[1]
+        if likely > best:
+            phi, best = other, likely
+        else:
+            failed += 1
+        if failed == 2 or (k >= 3 and np.abs(grad).max() <= 0.01 and np.abs(grad / theta).max() <= 1e-6):
             break
-        before = likely
-    assert np.allclose(abundance.estimate(*np.nonzero(x)), theta, rtol=1e-6)
+    return theta, phi
+
+
+def seen_pairs(lengths, sites, more):
+    rng = np.random.default_rng(lengths)
+    x = (rng.random((lengths, sites)) < rng.random(sites) ** 2 + 0.02).astype(int)
+    x[0, :], x[:, 0] = 1, 1  # each length and each site is seen
+    return x * rng.choice([1, 2], x.shape, p=[1 - more, more])
+
+
+@pytest.mark.parametrize("lengths,sites,more", [(1, 1, 0), (30, 7, 0), (120, 40, 0.1)])
+def test_abundance_against_the_whole_matrix(lengths, sites, more):
+    x = seen_pairs(lengths, sites, more)
+    row, site = np.nonzero(x)
+    sample = abundance.Held(row, site, x[row, site])
+    phi, _, _ = abundance.maximise(sample, 60)
+    theta, want = whole_matrix_abundance(x, 60)
+    assert np.allclose(sample.theta, theta, rtol=1e-6) and np.allclose(phi, want, rtol=1e-6)
+
+
+def test_abundance_over_many_tasks(spark, monkeypatch):
+    x = seen_pairs(25, 12, 0.1)
+    rows = [(f"chr{s % 3}", int(s), "+", 100, 130 + int(k), "a" if s < 9 else None) for k, s in zip(*np.nonzero(x)) for _ in range(x[k, s])]
+    df = spark.createDataFrame(rows, "chrom string, site_start long, site_strand string, start long, end long, sample string").repartition(5)
+    table = lambda: {(r.sample, r.site_start): (r.fragments, r.theta) for r in abundance.abundance(df, "sample", rounds=3).collect()}
+    one = table()
+    monkeypatch.setattr(abundance, "TOGETHER", 40)
+    many = table()
+    assert many.keys() == one.keys() and len(one) == 12 and all(many[k] == pytest.approx(one[k], rel=1e-6) for k in one)
+    y = x[:, :9][x[:, :9].any(1)]
+    row, site = np.nonzero(y)
+    sample = abundance.Held(row, site, y[row, site])
+    abundance.maximise(sample, 3)
+    assert np.allclose([one["a", s][1] for s in range(9)], sample.theta, rtol=1e-6)
+    assert abundance.abundance(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_smoothing_against_a_plain_fit(seed):
+    """The same curve from another basis of the same splines, truncated powers, by plain Newton steps."""
+    rng = np.random.default_rng(seed)
+    n = [2, 3, 5, 9, 12, 18, 25, 40, 80, 200][seed]
+    sums = rng.gamma(2, 20, n) * np.exp(-np.arange(n) / n)
+    sums[rng.random(n) < 0.1] = 0
+    sums[0] = 5
+    y = np.concatenate([sums, np.zeros(abundance.PADDING)]) + 1e-10
+    x = np.arange(len(y), dtype=float)
+    knots, degree = abundance.splines(x, x[y > 1e-5])[0]
+    u = x / x.max()
+    b = np.linalg.qr(np.stack([u**d for d in range(degree + 1)] + [np.maximum(0, u - k / x.max()) ** degree for k in knots], 1))[0]
+    beta = np.linalg.lstsq(b, np.log((y + y.mean()) / 2), rcond=None)[0]
+    for _ in range(400):
+        mu = np.exp(b @ beta)
+        step = np.linalg.solve(b.T @ (mu[:, None] * b) + 1e-13 * np.eye(b.shape[1]), b.T @ (y - mu))
+        loss = lambda v: (np.exp(b @ v) - y * (b @ v)).sum()
+        while loss(beta + step) > loss(beta) + 1e-9:
+            step /= 2
+        beta = beta + step
+    fit = np.maximum(np.exp(b @ beta), abundance.LEAST_FIT)[:n]
+    assert np.allclose(abundance.smooth(sums)[0], fit / fit.sum(), rtol=1e-6, atol=1e-9)
 
 
 def test_signature_groups_at_a_low_limit(spark):
