@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siteloom.functions.sequences import error_probability, extract_umi, natural_key, phred, revcomp
-from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, mispriming, peaks, qc, reassign, similarity, sites as sites_
+from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, leaders, mispriming, peaks, qc, reassign, similarity, sites as sites_
 from siteloom.plans import adapters as a
 from siteloom.session import checkpoint_dir
 from siteloom.sources import files, setup
@@ -287,6 +287,27 @@ def prefix_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassign.relocate(multi, reassign.prefix_index(unique, 15)).select("read_name", "chrom", "strand", "start", "end", "mapping_class")
 
 
+_BANDS, _VALUES_OF_BAND = leaders.band_shape(0.5, 32)
+
+
+@query(f"""WITH RECURSIVE {a.READS}, sq AS (SELECT seq1 AS s, row_number() OVER (ORDER BY length(seq1) DESC, seq1 DESC) AS o FROM (SELECT DISTINCT seq1 FROM reads)), tk AS (SELECT DISTINCT s, md5(substr(s, i, 4)) AS h FROM sq, range(1, 23) AS r(i)),
+nu AS (SELECT s, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS x FROM tk), pm AS (SELECT i, CAST(concat('0x', substr(md5(concat('a', i)), 1, 7)) AS BIGINT) + 1 AS a, CAST(concat('0x', substr(md5(concat('b', i)), 1, 7)) AS BIGINT) AS b FROM range(32) AS r(i)),
+sg AS MATERIALIZED (SELECT s, i, min((a * x + b) % 4294967311) & 4294967295 AS v FROM nu, pm GROUP BY ALL), bn AS MATERIALIZED (SELECT s, sq.o, i // {_VALUES_OF_BAND} AS b, string_agg(v, ' ' ORDER BY i) AS v FROM sg JOIN sq USING (s) WHERE i < {_BANDS * _VALUES_OF_BAND} GROUP BY ALL),
+ro(s, o, leads) AS (SELECT s, o, false FROM sq UNION ALL (WITH op AS (SELECT s, o FROM ro WHERE NOT leads), bo AS (SELECT bn.*, min(bn.o) OVER (PARTITION BY b, v) AS head FROM bn JOIN op USING (s)), ld AS (SELECT s FROM bo GROUP BY s HAVING bool_and(o = head)),
+  tk2 AS (SELECT DISTINCT b, v FROM bo JOIN ld USING (s)), gone AS (SELECT DISTINCT bo.s FROM bo JOIN tk2 USING (b, v)) SELECT op.s, op.o, ld.s IS NOT NULL FROM op LEFT JOIN ld USING (s) LEFT JOIN gone USING (s) WHERE ld.s IS NOT NULL OR gone.s IS NULL)),
+ct AS (SELECT m.s, l.s AS c, l.o FROM bn m JOIN bn l ON m.b = l.b AND m.v = l.v AND l.o <= m.o WHERE l.s IN (SELECT s FROM ro WHERE leads) GROUP BY ALL), cs AS (SELECT ct.s, ct.c, sum((x.v = y.v)::INT) AS same FROM ct JOIN sg x ON x.s = ct.s JOIN sg y ON y.s = ct.c AND y.i = x.i GROUP BY ALL),
+co AS MATERIALIZED (SELECT s, (array_agg(c ORDER BY length(c) DESC, same DESC, c DESC))[1] AS c FROM cs GROUP BY s), pr AS MATERIALIZED (SELECT x.s, y.s AS t, levenshtein(x.s, substr(y.s, 1, length(x.s))) AS d FROM co x JOIN co y ON x.c = y.c JOIN sq p ON p.s = x.s JOIN sq q ON q.s = y.s AND q.o < p.o WHERE 1 - levenshtein(x.s, substr(y.s, 1, length(x.s))) / length(x.s) >= 0.95),
+rf(s, leads) AS (SELECT s, false FROM sq UNION ALL (WITH op AS (SELECT s FROM rf WHERE NOT leads), po AS (SELECT pr.s, pr.t FROM pr JOIN op USING (s) JOIN op o2 ON o2.s = pr.t), ld AS (SELECT op.s FROM op LEFT JOIN (SELECT DISTINCT s FROM po) x USING (s) WHERE x.s IS NULL), gone AS (SELECT DISTINCT po.s FROM po JOIN ld ON ld.s = po.t)
+  SELECT op.s, ld.s IS NOT NULL FROM op LEFT JOIN (SELECT s FROM ld) ld ON ld.s = op.s LEFT JOIN gone ON gone.s = op.s WHERE gone.s IS NULL)),
+bt AS (SELECT pr.s, (array_agg(t ORDER BY d, length(t), t))[1] AS g FROM pr WHERE t IN (SELECT s FROM rf WHERE leads) AND s NOT IN (SELECT s FROM rf WHERE leads) GROUP BY pr.s)
+SELECT sq.s AS seq1, co.c AS coarse, coalesce(bt.g, sq.s) AS mm_group FROM sq JOIN co USING (s) LEFT JOIN bt USING (s)""")
+def sequence_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = a.reads(spark, sf_dir).select("seq1").distinct()
+    coarse = reassign.coarse_clusters(seqs, 25, 32, 4, 0.5)
+    fine = reassign.sequence_clusters(seqs, 0.95, 25, 32, 4, 0.5)
+    return fine.join(coarse.select(F.col("seq").alias("seq1"), F.col("cluster").alias("coarse")), "seq1").select("seq1", "coarse", "mm_group")
+
+
 @query()
 def multi_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.fragments(spark, sf_dir).join(a.reads(spark, sf_dir).select("read_name", "seq1", "seq2"), "read_name")
@@ -339,6 +360,16 @@ def length_location_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abundance.length_matrix(sites_.project_sites(a.fragments(spark, sf_dir), tsd=5, u3=True))
 
 
+@query(f"""WITH {a.FRAGMENTS}, c AS (SELECT chrom, {_PROJECT.split(", CASE")[0]}, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS site_strand, "end" - start AS length, count(*) AS n FROM fragments GROUP BY ALL),
+ph AS (SELECT chrom, length, sum(n) / sum(sum(n)) OVER (PARTITION BY chrom) AS phi FROM c GROUP BY chrom, length), h AS (SELECT c.*, phi, sum(n) OVER (PARTITION BY chrom, site_start, site_strand) AS t FROM c JOIN ph USING (chrom, length)),
+st AS (SELECT chrom, site_start, site_strand, sum(n * phi * t / (1 - exp(-phi * t))) AS theta FROM h GROUP BY ALL), g AS (SELECT chrom, site_start, site_strand, theta, sum(n * phi / (1 - exp(-phi * theta))) - 1 AS grad FROM h JOIN st USING (chrom, site_start, site_strand) GROUP BY ALL),
+b AS (SELECT chrom, site_start, site_strand, sum(phi * phi / (exp(phi * theta) - 1)) AS bend FROM g JOIN ph USING (chrom) GROUP BY ALL)
+SELECT chrom, site_start, site_strand, round(theta, 5) AS theta, round(grad, 5) AS grad, round(greatest(theta + grad / bend, 2.220446049250313e-16), 5) AS next FROM g JOIN b USING (chrom, site_start, site_strand)""")
+def abundance_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = abundance.first_round(abundance.length_matrix(sites_.project_sites(a.fragments(spark, sf_dir), tsd=5, u3=True)), ["chrom"])
+    return got.select("chrom", "site_start", "site_strand", *(F.round(c, 5).alias(c) for c in ("theta", "grad", "next")))
+
+
 @query()
 def mle_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abundance.abundance(sites_.project_sites(a.fragments(spark, sf_dir)).withColumn("sample", F.col("chrom")), "sample")
