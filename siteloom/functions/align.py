@@ -60,34 +60,47 @@ def find_adapter(seqs: list[str], adapter: str, error_rate: float, *, three_prim
     return best
 
 
-def smith_waterman(a: str, b: str, match: int = 5, mismatch: int = -4, gap_open: int = 10, gap_extend: int = 2) -> tuple[int, list[tuple[int, int]]]:
-    """(score, aligned pairs of positions) of the best local alignment with affine gaps."""
-    n, m = len(a), len(b)
-    low = -(10**9)
-    h, e, f = ([[0 if k == 0 else low] * 1 + [0 if k == 0 else low] * m for _ in range(n + 1)] for k in range(3))
-    best, at = 0, (0, 0)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i][j] = max(e[i][j - 1] - gap_extend, h[i][j - 1] - gap_open)
-            f[i][j] = max(f[i - 1][j] - gap_extend, h[i - 1][j] - gap_open)
-            h[i][j] = max(0, h[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), e[i][j], f[i][j])
-            if h[i][j] > best:
-                best, at = h[i][j], (i, j)
-    pairs, (i, j), state = [], at, "h"
-    while i and j and (state != "h" or h[i][j] > 0):
-        if state == "h":
-            if h[i][j] == h[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-            else:
-                state = "e" if h[i][j] == e[i][j] else "f"
-        elif state == "e":
-            state = "h" if e[i][j] == h[i][j - 1] - gap_open else "e"
-            j -= 1
-        else:
-            state = "h" if f[i][j] == h[i - 1][j] - gap_open else "f"
-            i -= 1
-    return best, pairs[::-1]
+def local_alignments(query: str, seqs: list[str], match: int = 5, mismatch: int = -4, gap_open: int = 10, gap_extend: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, same, inserted) of the best local alignment of the query with each sequence, gaps affine.
+
+    same[k, i]: letter i of the query stands opposite an equal letter; inserted[k, i]: letters of sequence k that stand opposite no letter, right before letter i.
+    All sequences go through the table together, row by row, and back together step by step. Of equally good ends the first in the query, then in the sequence, counts;
+    a letter pair goes before a gap in the query, that before one in the sequence.
+    """
+    text, _ = encoded(seqs)
+    rows, width, n = len(seqs), text.shape[1], len(query)
+    low = -(10**6)
+    h, e, f = np.zeros((n + 1, rows, width + 1), np.int32), np.full((n + 1, rows, width + 1), low, np.int32), np.full((n + 1, rows, width + 1), low, np.int32)
+    cols = np.arange(width + 1, dtype=np.int32) * gap_extend
+    for i, letter in enumerate(query.encode(), 1):
+        f[i] = np.maximum(f[i - 1] - gap_extend, h[i - 1] - gap_open)
+        f[i][:, 0] = low
+        best = np.maximum(f[i], 0)
+        best[:, 1:] = np.maximum(best[:, 1:], h[i - 1][:, :-1] + np.where(text == letter, match, mismatch))
+        # a gap opened at any column before, each further one costs gap_extend; one that follows a gap of the same kind only extends it
+        e[i][:, 1:] = np.maximum.accumulate(best + cols, axis=1)[:, :-1] - cols[1:] + (gap_extend - gap_open)
+        h[i] = np.maximum(best, e[i])
+    flat = h.transpose(1, 0, 2).reshape(rows, -1)
+    end = flat.argmax(1)
+    score, every = flat[np.arange(rows), end], np.arange(rows)
+    i, j = end // (width + 1), end % (width + 1)
+    same, inserted = np.zeros((rows, n), bool), np.zeros((rows, n + 1), np.int32)
+    letters, state = np.frombuffer(query.encode(), np.uint8), np.zeros(rows, np.int8)  # 0: at a pair, 1: in a gap of the query, 2: in one of the sequence
+    open_ = score > 0
+    while open_.any():
+        k = every[open_]
+        a, b, s = i[k], j[k], state[k]
+        here = text[k, b - 1] == letters[a - 1]
+        pair = (s == 0) & (h[a, k, b] == h[a - 1, k, b - 1] + np.where(here, match, mismatch))
+        s = np.where((s == 0) & ~pair, np.where(h[a, k, b] == e[a, k, b], 1, 2), s)
+        across, down = s == 1, s == 2
+        same[k[pair], a[pair] - 1] = here[pair]
+        np.add.at(inserted, (k[across], a[across]), 1)
+        last = np.where(across, e[a, k, b] == h[a, k, b - 1] - gap_open, f[a, k, b] == h[a - 1, k, b] - gap_open)
+        state[k] = np.where(pair | last, 0, s)
+        i[k], j[k] = a - (pair | down), b - (pair | across)
+        open_[k] = (i[k] > 0) & (j[k] > 0) & ((state[k] != 0) | (h[i[k], k, j[k]] > 0))
+    return score, same, inserted
 
 
 def levenshtein(a: str, b: str) -> int:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-from siteloom.functions.align import smith_waterman
+from siteloom.functions.align import local_alignments
 from siteloom.functions.sequences import revcomp, revcomp_text
 from siteloom.session import ship
 
@@ -32,22 +34,29 @@ def site_windows(sites: DataFrame, chunks: DataFrame, window: int = 25, size: in
     return joined.withColumn("window_seq", F.upper(F.when(F.col("site_strand") == "-", revcomp(F.col("__seq"))).otherwise(F.col("__seq")))).select(*sites.columns, "window_seq")
 
 
-def is_misprimed(seq: str, primer: str, seed_len: int = 6, max_seed_error: float = 0.2, min_match: float = 0.7) -> bool:
-    """Whether primer or its reverse complement aligns: enough matches, and few errors in the seed, the
-    primer's last bases (of the reverse complement the first ones)."""
-    for text, seed in ((primer, range(len(primer) - seed_len, len(primer))), (revcomp_text(primer), range(seed_len))):
-        _, pairs = smith_waterman(text, seq)
-        same = {i for i, j in pairs if text[i] == seq[j]}
-        if len(same) >= min_match * len(primer) and sum(i not in same for i in seed) / seed_len <= max_seed_error:
-            return True
-    return False
+#: Windows that are aligned together.
+WINDOWS = 2048
+
+
+def are_misprimed(seqs: list[str], primer: str, seed_len: int = 6, max_seed_error: float = 0.2, min_match: float = 0.7) -> np.ndarray:
+    """Whether primer or its reverse complement aligns with each sequence: enough matches, and few errors in the seed, the
+    primer's last bases (of the reverse complement the first ones). Bases of the seed without an equal one are errors, and so are
+    bases of the sequence that stand before a base of the seed, opposite none."""
+    n, out = len(primer), np.zeros(len(seqs), bool)
+    for first in range(0, len(seqs), WINDOWS):
+        part = seqs[first : first + WINDOWS]
+        for text, seed in ((primer, slice(max(0, n - seed_len), n)), (revcomp_text(primer), slice(0, seed_len))):
+            score, same, inserted = local_alignments(text, part)
+            errors = (~same[:, seed]).sum(1) + inserted[:, seed].sum(1)
+            out[first : first + WINDOWS] |= (score > 0) & (same.sum(1) >= min_match * n) & (errors / seed_len <= max_seed_error)
+    return out
 
 
 def split_misprimed(sites: DataFrame, chunks: DataFrame, primer: str, window: int = 25) -> tuple[DataFrame, DataFrame]:
     """(kept, misprimed with window_seq). Distinct windows are aligned once; sites without genome stay."""
     ship(sites.sparkSession)
     seen = site_windows(sites, chunks, window)
-    test = F.pandas_udf(lambda s: s.map(lambda x: bool(x) and is_misprimed(x, primer)), BooleanType())
+    test = F.pandas_udf(lambda s: pd.Series(are_misprimed(s.tolist(), primer)), BooleanType())
     judged = seen.select("window_seq").where("window_seq is not null").distinct().withColumn("__bad", test("window_seq"))
     both = seen.join(judged, "window_seq", "left")
     return both.where("not coalesce(__bad, false)").select(*sites.columns), both.where("__bad").select(*sites.columns, "window_seq")

@@ -205,10 +205,53 @@ def test_qc(spark):
     assert (f.start, f.end, f.strand, f.map_qual, round(f.mean_qual)) == (10, 150, "+", 30, 40)
 
 
+def plain_local_alignment(a: str, b: str, match: int = 5, mismatch: int = -4, gap_open: int = 10, gap_extend: int = 2) -> tuple[int, list[tuple[int, int]]]:
+    """(score, aligned pairs of positions) of the best local alignment with affine gaps."""
+    n, m = len(a), len(b)
+    low = -(10**9)
+    h, e, f = ([[0 if k == 0 else low] * 1 + [0 if k == 0 else low] * m for _ in range(n + 1)] for k in range(3))
+    best, at = 0, (0, 0)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            e[i][j] = max(e[i][j - 1] - gap_extend, h[i][j - 1] - gap_open)
+            f[i][j] = max(f[i - 1][j] - gap_extend, h[i - 1][j] - gap_open)
+            h[i][j] = max(0, h[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), e[i][j], f[i][j])
+            if h[i][j] > best:
+                best, at = h[i][j], (i, j)
+    pairs, (i, j), state = [], at, "h"
+    while i and j and (state != "h" or h[i][j] > 0):
+        if state == "h":
+            if h[i][j] == h[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            else:
+                state = "e" if h[i][j] == e[i][j] else "f"
+        elif state == "e":
+            state = "h" if e[i][j] == h[i][j - 1] - gap_open else "e"
+            j -= 1
+        else:
+            state = "h" if f[i][j] == h[i - 1][j] - gap_open else "f"
+            i -= 1
+    return best, pairs[::-1]
+
+
+def test_local_alignments_as_one_by_one():
+    rng = random.Random(9)
+    primer = "ACGTTGCAAGGCTTACCGAT"
+    seqs = ["", "A", primer] + [mutated(rng, "".join(rng.choice("ACGT") for _ in range(8)) + primer, rng.randint(0, 9)) for _ in range(300)] + ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 50))) for _ in range(300)]
+    score, same, inserted = align.local_alignments(primer, seqs)
+    for k, s in enumerate(seqs):
+        best, pairs = plain_local_alignment(primer, s)
+        gaps = {q: y[1] - x[1] - 1 for x, y in zip(pairs, pairs[1:]) if y[1] - x[1] > 1 for q in [y[0]]}
+        assert best == score[k] and {i for i, j in pairs if primer[i] == s[j]} == set(np.flatnonzero(same[k]))
+        assert inserted[k].sum() == sum(gaps.values())
+
+
 def test_mispriming(spark):
     primer = "ACGTTGCAAGGCTTACCGAT"
-    assert mispriming.is_misprimed("GGGG" + primer + "TTTT", primer) and mispriming.is_misprimed("GG" + sequences.revcomp_text(primer), primer)
-    assert not mispriming.is_misprimed("GATTACAGATTACAGATTACAGATTACAGAT", primer)
+    seqs = ["GGGG" + primer + "TTTT", "GG" + sequences.revcomp_text(primer), "GATTACAGATTACAGATTACAGATTACAGAT", ""]
+    assert mispriming.are_misprimed(seqs, primer).tolist() == [True, True, False, False]
+    assert mispriming.are_misprimed([primer[:16] + "AA" + primer[16:] * 2], primer).tolist() == [False]  # two bases too many within the seed
     contigs = spark.createDataFrame([("c", "T" * 60 + primer + "G" * 60)], "contig string, seq string")
     placed = spark.createDataFrame([("bad", "c", 80, 81, "+"), ("good", "c", 5, 6, "-"), ("none", "z", 5, 6, "+")], "read_name string, chrom string, site_start long, site_end long, site_strand string")
     kept, bad = mispriming.split_misprimed(placed, mispriming.genome_chunks(contigs), primer)
