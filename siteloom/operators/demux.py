@@ -1,6 +1,6 @@
 """Demultiplexing: fuzzy lookup of barcodes.
 
-Barcodes are a small table (sample, barcode, ord); ord is the order of the file, the first match wins.
+Barcodes are a table (sample, barcode, ord); ord is the order of the file, the first match wins.
 Matching is substitutions only, case-insensitive, over the barcode's full length.
 """
 
@@ -9,47 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions.sequences import hamming, revcomp
-
-#: A barcode table beyond this isn't broadcast; no known kit comes near.
-MOST_BARCODES = 10_000
-
-
-def small(rows: DataFrame) -> DataFrame:
-    """rows, if there are at most MOST_BARCODES of them."""
-    if rows.limit(MOST_BARCODES + 1).count() > MOST_BARCODES:
-        raise ValueError(f"more than {MOST_BARCODES} barcodes")
-    return rows
-
+from siteloom.session import broadcast_if_small, numbered
 
 def check_barcodes(barcodes: DataFrame) -> None:
     """Ids are unique and hold no '-', sequences are unique."""
-    rows = small(barcodes).select("sample", F.upper("barcode").alias("barcode")).collect()
-    if any("-" in r.sample for r in rows):
+    rows = barcodes.select("sample", F.upper("barcode").alias("barcode"))
+    if rows.where(F.col("sample").contains("-")).limit(1).count():
         raise ValueError("barcode ids can't hold '-'")
     for what in ("sample", "barcode"):
-        if len({r[what] for r in rows}) < len(rows):
+        if rows.groupBy(what).count().where("count > 1").limit(1).count():
             raise ValueError(f"{what}s must be unique")
 
 
 def check_same_ids(a: DataFrame, b: DataFrame) -> None:
     """Both barcode tables list the same ids in the same order."""
-    ids = [[r.sample for r in x.orderBy("ord").select("sample").collect()] for x in (a, b)]
-    if ids[0] != ids[1]:
+    first, second = (numbered(x.select("sample", "ord"), "ord", "place").select("place", F.col("sample").alias(c)) for x, c in ((a, "a"), (b, "b")))
+    if first.join(second, "place", "full").where(~F.col("a").eqNullSafe(F.col("b"))).limit(1).count():
         raise ValueError("barcode files must list identical ids in one order")
 
 
-def match(reads: DataFrame, index: Column, barcodes: DataFrame, error_rate: float = 0.1, out: str = "sample") -> DataFrame:
-    """reads with `out`, the sample of the first barcode that the index matches, null if none does.
+def match(reads: DataFrame, index: Column, barcodes: DataFrame, error_rate: float = 0.1, out: str = "sample", order: str | None = None) -> DataFrame:
+    """reads with `out`, the sample of the first barcode that the index matches, null if none does; order: a column for that barcode's ord.
 
-    Exact for any rate: the index values are reduced to distinct ones before the small table is
-    joined, so each is compared with the barcodes of its length once.
+    Exact for any rate and any number of barcodes. Of e + 1 pieces of a barcode, e substitutions leave one whole, so index
+    and barcode meet on a piece at its place; of barcodes that match everything of their length only the first counts. Index values are
+    reduced to distinct ones before.
     """
     asked = reads.withColumn("__index", F.upper(index))
-    values = asked.select("__index").where("__index is not null").distinct()
-    codes = barcodes.select(F.upper("barcode").alias("__code"), F.col("sample").alias("__sample"), F.col("ord").alias("__ord"), F.length("barcode").alias("__len"))
-    met = values.withColumn("__len", F.length("__index")).join(F.broadcast(small(codes)), "__len").where(hamming(F.col("__index"), F.col("__code")) <= F.floor(F.col("__len") * error_rate))
-    first = met.groupBy("__index").agg(F.min_by("__sample", "__ord").alias(out))
-    return asked.join(first, "__index", "left").drop("__index")
+    edits = F.floor(F.length("__t") * error_rate).cast("int")
+    cut = lambda k, n: F.floor(k * F.length("__t") / n).cast("int")
+    n = F.col("__e") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.col("__e")), lambda k: F.struct(k.alias("k"), F.substr("__t", cut(k, n) + 1, cut(k + 1, n) - cut(k, n)).alias("p")))
+    keyed = lambda df: df.withColumn("__e", edits).withColumn("__len", F.length("__t")).withColumn("__key", F.explode(F.when(F.col("__e") < F.col("__len"), pieces).otherwise(F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("p"))))))
+    codes = barcodes.select(F.upper("barcode").alias("__t"), F.struct(F.col("ord").alias("o"), F.col("sample").alias("s")).alias("__first"))
+    whole = F.floor(F.length("__t") * error_rate) >= F.length("__t")
+    codes = codes.where(~whole).unionByName(codes.where(whole).groupBy(F.length("__t")).agg(F.min_by("__t", "__first").alias("__t"), F.min("__first").alias("__first")).select("__t", "__first"))
+    values = asked.select(F.col("__index").alias("__t")).where("__t is not null").distinct()
+    sides = keyed(values).select("__len", "__key", F.col("__t").alias("__index"), "__e"), broadcast_if_small(keyed(codes).select("__len", "__key", F.col("__t").alias("__code"), "__first"))
+    met = sides[0].join(sides[1], ["__len", "__key"]).where(hamming(F.col("__index"), F.col("__code")) <= F.col("__e"))
+    first = met.groupBy("__index").agg(F.min("__first").alias("__first"))
+    named = asked.join(first, "__index", "left").withColumn(out, F.col("__first.s"))
+    return (named.withColumn(order, F.col("__first.o")) if order else named).drop("__index", "__first")
 
 
 def header_index(header: Column) -> tuple[Column, Column]:
@@ -70,18 +70,16 @@ def index_demux(reads: DataFrame, first: Column, codes1: DataFrame, second: Colu
 def anchored(reads: DataFrame, seq: str, barcodes: DataFrame, error_rate: float, out: str, three_prime: bool = False) -> DataFrame:
     """reads with `out` for barcodes at the 5' end of seq, or for their reverse complements at the 3' end; any lengths."""
     codes = barcodes.withColumn("barcode", revcomp(F.col("barcode"))) if three_prime else barcodes
-    lengths = [r[0] for r in small(codes).select(F.length("barcode")).distinct().collect()]
     named, cols = reads, []
-    for n in sorted(lengths):
-        c = f"__{out}_{n}"
-        cols.append(c)
+    for n in sorted(r[0] for r in codes.select(F.length("barcode")).distinct().collect()):  # no more than a read has bases
+        c, o = f"__{out}_{n}", f"__{out}_{n}_ord"
+        cols.append((c, o))
         end = F.right(F.col(seq), F.lit(n)) if three_prime else F.substring(seq, 1, n)
-        named = match(named, F.when(F.length(seq) >= n, end), codes.where(F.length("barcode") == n), error_rate, c)
-    if len(cols) == 1:
-        return named.withColumnRenamed(cols[0], out)
-    order = {r["sample"]: r["ord"] for r in codes.select("sample", "ord").collect()}
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    return named.withColumn(out, F.least(*[F.when(F.col(c).isNotNull(), F.struct(rank[F.col(c)].alias("o"), F.col(c).alias("s"))) for c in cols])["s"]).drop(*cols)
+        named = match(named, F.when(F.length(seq) >= n, end), codes.where(F.length("barcode") == n), error_rate, c, o)
+    if not cols:
+        return named.withColumn(out, F.lit(None).cast("string"))
+    found = [F.when(F.col(c).isNotNull(), F.struct(F.col(o).alias("o"), F.col(c).alias("s"))) for c, o in cols]
+    return named.withColumn(out, (F.least(*found) if len(found) > 1 else found[0])["s"]).drop(*(c for pair in cols for c in pair))
 
 
 def inline_demux(reads: DataFrame, ltr: DataFrame | None, linker: DataFrame | None, error_rate: float = 0.1, keep_all: bool = False, seq1: str = "seq1", seq2: str | None = "seq2") -> DataFrame:
@@ -103,5 +101,5 @@ def inline_demux(reads: DataFrame, ltr: DataFrame | None, linker: DataFrame | No
 
 
 def renamed(reads: DataFrame, names: DataFrame, col: str = "sample") -> DataFrame:
-    """Samples by a small table (old, new); others keep their name."""
-    return reads.join(F.broadcast(small(names).select(F.col("old").alias(col), F.col("new").alias("__new"))), col, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")
+    """Samples by a table (old, new); others keep their name."""
+    return reads.join(broadcast_if_small(names.select(F.col("old").alias(col), F.col("new").alias("__new"))), col, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")

@@ -475,12 +475,29 @@ def test_long_reads_in_adapter_places():
     assert find_adapter([read], "ACGTACGTAC", 0.1).tolist() == [[0, 150_000, 150_010]]
 
 
-def test_too_many_barcodes(spark, monkeypatch):
-    monkeypatch.setattr(demux, "MOST_BARCODES", 2)
-    codes = spark.createDataFrame([(f"s{k}", "ACG" + "ACGT"[k], k) for k in range(3)], "sample string, barcode string, ord int")
-    reads = spark.createDataFrame([("r", "ACGTACGT")], "read_name string, seq1 string")
-    with pytest.raises(ValueError):
-        demux.anchored(reads, "seq1", codes, 0.1, "sample")
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.3, 1.0])
+def test_barcodes_by_brute_force(spark, monkeypatch, rate):
+    from siteloom import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 20)  # many codes are shuffled
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    codes = [(f"s{k}", w, k) for k, w in enumerate({word(rng.choice([5, 8, 11])) for _ in range(60)})]
+    index = [word(rng.choice([5, 8, 11])) for _ in range(80)] + [w.lower() for _, w, _ in codes[:20]] + [w[:2] + "T" + w[3:] for _, w, _ in codes[20:50]] + [None, ""]
+    near = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= int(len(b) * rate + 1e-9)
+    want = [next((s for s, w, _ in codes if i is not None and near(i.upper(), w)), None) for i in index]
+    df = spark.createDataFrame(list(enumerate(index)), "k int, i string")
+    got = demux.match(df, F.col("i"), spark.createDataFrame(codes, "sample string, barcode string, ord int"), rate)
+    assert [r.sample for r in got.orderBy("k").collect()] == want
+
+
+def test_anchored_barcodes_of_several_lengths(spark):
+    codes = spark.createDataFrame([("long", "ACGTAC", 1), ("short", "ACG", 0), ("other", "TTTTTTTT", 2)], "sample string, barcode string, ord int")
+    reads = spark.createDataFrame([("a", "ACGTACGG"), ("b", "TTTTTTTT"), ("c", "GG"), ("d", None)], "k string, seq1 string")
+    assert [r.sample for r in demux.anchored(reads, "seq1", codes, 0.0, "sample").orderBy("k").collect()] == ["short", "other", None, None]
+    with pytest.raises(ValueError, match="order"):
+        demux.check_same_ids(codes, codes.withColumn("ord", -F.col("ord")))
+    demux.check_same_ids(codes, codes)
 
 
 def test_umi_chain_beyond_a_hundred_steps(spark):
