@@ -54,7 +54,7 @@ def annotated_units(counts: DataFrame, placed: DataFrame, found: DataFrame | Non
 def run(alignments: DataFrame, p: Params, genome: DataFrame | None = None, features: DataFrame | None = None) -> Result:
     """All stages after alignment, of one sample. Empty inputs give empty tables.
 
-    genome: (contig, seq), for check_mispriming. features: (chrom, start, end, name), to annotate what was found.
+    genome: (contig, seq), or (contig, chunk, seq) as files.fasta_chunks gives it, for check_mispriming. features: (chrom, start, end, name), to annotate what was found.
     """
     if p.no_dedup:
         return Result(fragments=files.unfiltered_fragments(alignments))
@@ -71,7 +71,7 @@ def run(alignments: DataFrame, p: Params, genome: DataFrame | None = None, featu
     bad = None
     if p.check_mispriming:
         placed = sites.project_sites(kept, p.tsd, p.U3)
-        good, bad = mispriming.split_misprimed(placed, mispriming.genome_chunks(genome), p.ltr_primer, p.misprime_win)
+        good, bad = mispriming.split_misprimed(placed, genome if "chunk" in genome.columns else mispriming.genome_chunks(genome), p.ltr_primer, p.misprime_win)
         kept = good.select(*kept.columns)
     final, removed = finalpass.final_pass(checkpointed(kept), p.cluster_win, p.min_count, p.abundant_fc, p.umi_dedup_fp, p.low_confidence_fc)
     final = checkpointed(final)

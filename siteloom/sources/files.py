@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import itertools
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from siteloom.session import broadcast_if_small, ship
+from siteloom.session import broadcast_if_small, checkpointed
+from siteloom.sources import bam
+
+#: Lines of one bin of a FASTA file.
+LINE_BIN = 1 << 16
 
 BED = "chrom string, start long, end long, name string, score double, strand string"
 
@@ -56,13 +54,52 @@ def write_samples(reads: DataFrame, path: str) -> None:
     reads.write.partitionBy("sample").option("sep", "\t").csv(path, compression="gzip")
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rec, contig, off, value): sequence lines of FASTA with their record, the line number of its header, and the bases before them in it.
+
+    Headers and sums are carried over bins of lines, so neither a file nor a contig goes through one task.
+    """
+    at = _lines(spark, path).withColumn("__bin", F.floor(F.col("at") / LINE_BIN))
+    head = F.col("value").startswith(">")
+    at = at.withColumn("value", F.when(head, F.col("value")).otherwise(F.upper(F.trim("value")))).withColumn("n", F.when(head, 0).otherwise(F.length("value")).cast("long"))
+    within = Window.partitionBy("file", "__bin").orderBy("at")
+    at = at.withColumn("rec", F.max(F.when(head, F.col("at"))).over(within))
+    at = checkpointed(at.withColumn("up", F.sum("n").over(Window.partitionBy("file", "__bin", "rec").orderBy("at")) - F.col("n")))
+    bins = at.groupBy("file", "__bin").agg(F.max("rec").alias("last"), F.sum(F.when(F.col("rec").isNull(), F.col("n")).otherwise(0)).alias("open"), F.max_by("up", "at").alias("u"), F.max_by("n", "at").alias("m"))
+    across = Window.partitionBy("file").orderBy("__bin")  # a row for each LINE_BIN lines
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("from", F.last("last", ignorenulls=True).over(before)).withColumn("end", F.when(F.col("last").isNotNull(), F.col("u") + F.col("m")))
+    # of the record that is open where a bin begins: the bases in the bin where it began, and in whole bins since then
+    bins = bins.withColumn("part", F.count("last").over(before)).withColumn("more", F.sum(F.when(F.col("last").isNull(), F.col("open")).otherwise(0)).over(Window.partitionBy("file", "part").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)))
+    bins = bins.withColumn("begun", F.last("end", ignorenulls=True).over(before))
+    carried = bins.select("file", "__bin", "from", (F.coalesce("begun", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("carry"))
+    named = at.where(head).select("file", F.col("at").alias("rec"), F.regexp_extract("value", r"^>(\S*)", 1).alias("contig"))
+    full = at.join(broadcast_if_small(carried), ["file", "__bin"]).where(~head)
+    full = full.select("file", F.coalesce("rec", "from").alias("rec"), (F.col("up") + F.when(F.col("rec").isNull(), F.col("carry")).otherwise(0)).alias("off"), "n", "value").where("rec is not null")
+    return full.join(broadcast_if_small(named), ["file", "rec"])
+
+
+def fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 14) -> DataFrame:
+    """(contig, chunk, seq): contigs of FASTA files in upper case, cut in chunks of `size` bases; no contig is ever one row."""
+    lines = fasta_lines(spark, path).where("n > 0")
+    parts = lines.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("off") / size), F.floor((F.col("off") + F.col("n") - 1) / size))))
+    low = F.greatest(F.lit(0).cast("long"), F.col("chunk") * size - F.col("off"))
+    high = F.least(F.col("n"), (F.col("chunk") + 1) * size - F.col("off"))
+    piece = F.substr(F.col("value"), (low + 1).cast("int"), (high - low).cast("int"))
+    held = parts.groupBy("file", "contig", "chunk").agg(F.array_sort(F.collect_list(F.struct("off", piece.alias("s")))).alias("l"))  # size bases at most
+    return held.select("contig", "chunk", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("seq"))
+
+
+def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, length)"""
+    return fasta_lines(spark, path).groupBy("file", "rec", "contig").agg(F.max(F.col("off") + F.col("n")).alias("length")).select("contig", "length")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, ord, seq). Sequence lines of a record are put together; meant for records that fit in a row."""
-    lines = _lines(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.col("at")))
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    at = lines.withColumn("rec", F.max("head").over(w)).where("rec is not null")
-    got = at.groupBy("file", "rec").agg(F.max(F.when(F.col("at") == F.col("rec"), F.regexp_extract("value", r"^>(\S*)", 1))).alias("contig"), F.array_sort(F.collect_list(F.when(F.col("at") > F.col("rec"), F.struct("at", "value")))).alias("l"))
-    return got.select("contig", F.col("rec").alias("ord"), F.upper(F.array_join(F.transform("l", lambda x: F.trim(x["value"])), "")).alias("seq"))
+    """(contig, ord, seq) of records that fit in a row, such as barcodes or primers; a genome is read by fasta_chunks."""
+    lines = fasta_lines(spark, path)
+    got = lines.groupBy("file", "rec", "contig").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("l"))
+    return got.select("contig", F.col("rec").alias("ord"), F.array_join(F.transform("l", lambda x: x["value"]), "").alias("seq"))
 
 
 def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
@@ -103,72 +140,9 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     )
 
 
-# Fixed letters of number types in BAM, as struct names them.
-_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-
-
-def bam_lines(data: bytes) -> Iterator[str]:
-    """The records of a BAM file as lines of SAM text."""
-    raw = gzip.decompress(data)  # blocks of BGZF are members of a gzip file
-    if raw[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    many, at = struct.unpack_from("<i", raw, at)[0], at + 4
-    names = []
-    for _ in range(many):
-        n = struct.unpack_from("<i", raw, at)[0]
-        names.append(raw[at + 4 : at + 3 + n].decode())
-        at += 8 + n
-    name = lambda k: "*" if k < 0 else names[k]
-    while at < len(raw):
-        size, ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiiBBHHHiiii", raw, at)
-        end, here = at + 4 + size, at + 36
-        read = raw[here : here + n_name - 1].decode()
-        here += n_name
-        cigar = "".join(f"{v >> 4}{'MIDNSHP=X'[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", raw, here)) or "*"
-        here += 4 * n_ops
-        seq = "".join("=ACMGRSVTWYHKDBN"[b >> 4] + "=ACMGRSVTWYHKDBN"[b & 15] for b in raw[here : here + (n_seq + 1) // 2])[:n_seq] or "*"
-        here += (n_seq + 1) // 2
-        qual = "*" if n_seq == 0 or raw[here] == 255 else "".join(chr(q + 33) for q in raw[here : here + n_seq])
-        here += n_seq
-        tags = []
-        while here < end:
-            tag, kind = raw[here : here + 2].decode(), chr(raw[here + 2])
-            here += 3
-            if kind in "ZH":
-                stop = raw.index(0, here)
-                tags.append(f"{tag}:{kind}:{raw[here:stop].decode()}")
-                here = stop + 1
-            elif kind == "A":
-                tags.append(f"{tag}:A:{chr(raw[here])}")
-                here += 1
-            elif kind == "B":
-                sub, n = chr(raw[here]), struct.unpack_from("<i", raw, here + 1)[0]
-                values = struct.unpack_from(f"<{n}{_NUMBERS[sub]}", raw, here + 5)
-                tags.append(f"{tag}:B:{','.join(map(str, (sub, *values)))}")
-                here += 5 + struct.calcsize(f"<{n}{_NUMBERS[sub]}")
-            else:
-                tags.append(f"{tag}:{'f' if kind == 'f' else 'i'}:{struct.unpack_from('<' + _NUMBERS[kind], raw, here)[0]}")
-                here += struct.calcsize(_NUMBERS[kind])
-        yield "\t".join([read, str(flag), name(ref), str(pos + 1), str(mapq), cigar, "=" if mate == ref and mate >= 0 else name(mate), str(mate_pos + 1), str(tlen), seq, qual, *tags])
-        at = end
-
-
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files, as parse_sam gives them. A file is read by one task, so large inputs should be many files
-    (of less than 2 GB each, Spark's limit for a binary file)."""
-    ship(spark)
-
-    def lines(batches):
-        for pdf in batches:
-            for file, data in zip(pdf["path"], pdf["content"]):
-                rows = bam_lines(data)
-                at = 0
-                while some := list(itertools.islice(rows, 4096)):
-                    yield pd.DataFrame({"file": file, "at": range(at, at + len(some)), "value": some})
-                    at += len(some)
-
-    return parse_sam(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, at long, value string"))
+    """Alignments of BAM files, as parse_sam gives them. A file is read in splits (bam.py), in the order of its records."""
+    return parse_sam(bam.lines(spark, path))
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:

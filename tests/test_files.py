@@ -141,3 +141,56 @@ def test_bam(spark, tmp_path):
         ("a", "chr7", 9, 16, "+", 37, "ACGTNAC", "7", 0, -5, "AC", "GT"), ("b", "chr7", 99, 106, "-", 37, "ACGTACGT", "7", 0, -5, "AC", "GT"),
     ]
     assert [(c.op, c.len) for c in got[1].cigar] == [(4, 2), (0, 5), (2, 1), (0, 1)] and got[0].quals == [30] * 7
+
+
+def bgzf(data, size):
+    """Blocks of at most `size` bytes of data, and the empty one that ends a file."""
+    import zlib
+
+    out = b""
+    for at in [*range(0, len(data), size), len(data)]:
+        part = data[at : at + size]
+        pack = zlib.compressobj(wbits=-15)
+        body = pack.compress(part) + pack.flush()
+        out += struct.pack("<4BI2BH2B2H", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("block, split", [(300, 1000), (5000, 700), (65000, 1 << 20)])
+def test_bam_in_splits(spark, tmp_path, block, split):
+    import random
+
+    from siteloom.sources import bam
+
+    rng = random.Random(block)
+    raw = b"BAM\1" + struct.pack("<iii", 0, 2, 5) + b"chr7\0" + struct.pack("<ii", 1000, 5) + b"chr8\0" + struct.pack("<i", 99)
+    for k in range(400):
+        n, name = rng.choice([0, 7, 40, 900]), f"read{k}".encode()
+        body = struct.pack("<iiBBHHHiiii", rng.randint(-1, 1), k, len(name) + 1, 37, 0, 1, 0, n, -1, -1, 0) + name + b"\0" + struct.pack("<I", n << 4) + rng.randbytes((n + 1) // 2) + bytes([30] * n) + b"NMC\1"
+        raw += struct.pack("<i", len(body)) + body
+    (tmp_path / "x.bam").write_bytes(bgzf(raw, block))
+    got = bam.lines(spark, f"{tmp_path}/x.bam", split)
+    assert got.rdd.getNumPartitions() >= min(3, (tmp_path / "x.bam").stat().st_size // split)
+    assert [r.value.split("\t")[0] for r in got.orderBy("file", "at").collect()] == [f"read{k}" for k in range(400)]
+    whole = bam._whole(spark, f"{tmp_path}/x.bam").orderBy("at").collect()
+    assert [r.value for r in whole] == [r.value for r in got.orderBy("at").collect()]
+    (tmp_path / "cut.bam").write_bytes(bgzf(raw[:-3], block))
+    with pytest.raises(Exception, match="ends within"):
+        bam.lines(spark, f"{tmp_path}/cut.bam", 1 << 20).count()
+
+
+@pytest.mark.parametrize("lines, size, gz", [(2, 7, False), (3, 64, True), (1 << 16, 16, False)])
+def test_fasta_in_chunks(spark, tmp_path, monkeypatch, lines, size, gz):
+    import random
+
+    monkeypatch.setattr(files, "LINE_BIN", lines)
+    rng = random.Random(size)
+    seqs = {f"c{k}": "".join(rng.choice("ACGTacgtn") for _ in range(rng.choice([0, 1, 30, 200]))) for k in range(12)}
+    text = "; no record yet\n" + "".join(f">{c} about it\n" + "".join(s[at : at + 11] + "\n" for at in range(0, len(s), 11)) + ("\n" if len(s) == 30 else "") for c, s in seqs.items())
+    path = str(tmp_path / ("a.fa.gz" if gz else "a.fa"))
+    with (gzip.open if gz else open)(path, "wt") as f:
+        f.write(text)
+    got = files.fasta_chunks(spark, path, size).collect()
+    assert {(r.contig, r.chunk): r.seq for r in got} == {(c, k): s[k * size : (k + 1) * size].upper() for c, s in seqs.items() for k in range(-(-len(s) // size))}
+    assert {r.contig: r.length for r in files.contig_lengths(spark, path).collect()} == {c: len(s) for c, s in seqs.items() if s}
+    assert {r.contig: r.seq for r in files.read_fasta(spark, path).collect()} == {c: s.upper() for c, s in seqs.items() if s}
