@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from siteloom.functions.sequences import revcomp_text
 from siteloom.operators.crop import adapter_match
+from siteloom.session import checkpointed
 
 
 def sample_reads(reads: DataFrame, n: int, seed: int = 100) -> DataFrame:
@@ -73,3 +75,48 @@ def flanking(reads: DataFrame, target: str, seq: str = "seq1", size: int = 15, e
     """Shares of the bases next to the match."""
     met = adapter_match(reads, seq, [target], "__m", error_rate=error_rate).where("__m is not null")
     return shares(met.select(F.substring("__m.after", 1, size).alias("matched")), threshold)
+
+
+def _ends(reads: DataFrame, long_read: bool) -> list[tuple[str, str, bool]]:
+    """(end, column, whether it is read from the 3' side) of the ends that the reads have."""
+    if long_read:
+        return [("integrant", "seq1", False), ("linker", "seq1", True)]
+    return [("integrant", "seq1", False)] + ([("linker", "seq2", False)] if "seq2" in reads.columns else [])
+
+
+def end_variants(reads: DataFrame, ltr: str, linker: str | None = None, long_read: bool = False, sample: int | None = 10_000, error_rate: float = 0.3, threshold: float = 0.01, size: int = 15) -> DataFrame:
+    """(end, kind, sequence, share) of both ends of reads (seq1, and seq2 of pairs): what matched the LTR at the integrant end and the linker at the
+    other one (kind match; what is rarer than the threshold together as 'Other', also if that is nothing), and the `size` bases next to a match (kind adjoining; those of at least the threshold).
+
+    Long reads hold the linker's reverse complement at their 3' end; what stands next to it is before it. sample: reads that are
+    looked at (None: all). An end without any match gives no rows, nor does a linker end without linker.
+    """
+    held, out = reads if sample is None else sample_reads(reads, sample), None
+    for end, seq, last in _ends(reads, long_read):
+        target = ltr if end == "integrant" else linker
+        if target is None:
+            continue
+        met = adapter_match(held.select(seq), seq, [revcomp_text(target) if last else target], "__m", error_rate=error_rate, leftmost=last).where("__m is not null")
+        found = checkpointed(met.select("__m.matched", (F.right("__m.before", F.lit(size)) if last else F.substring("__m.after", 1, size)).alias("next")))
+        total = F.broadcast(found.agg(F.count("*").alias("t")).where("t > 0"))
+        counts = found.groupBy(F.col("matched").alias("sequence")).agg(F.count("*").alias("n")).crossJoin(total)  # one row
+        often = F.col("n") >= threshold * F.col("t")
+        match = counts.where(often).select("sequence", (F.col("n") / F.col("t")).alias("share")).unionByName(
+            total.crossJoin(counts.agg(F.coalesce(F.sum(F.when(~often, F.col("n"))), F.lit(0)).alias("o"))).select(F.lit("Other").alias("sequence"), (F.col("o") / F.col("t")).alias("share"))
+        )
+        beside = found.groupBy(F.col("next").alias("sequence")).agg(F.count("*").alias("n")).crossJoin(total).where(often).select("sequence", (F.col("n") / F.col("t")).alias("share"))
+        both = match.withColumn("kind", F.lit("match")).unionByName(beside.withColumn("kind", F.lit("adjoining"))).select(F.lit(end).alias("end"), "kind", "sequence", "share")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def end_consensus(reads: DataFrame, length: int = 100, sample: int | None = 10_000, threshold: float = 0.65, penalty: float = 1.5, peak: float = 0.9, long_read: bool = False) -> DataFrame:
+    """(end, raw, estimated): the consensus of the first `length` bases of both ends and its reliable part. The linker end of long
+    reads is the last bases of the read, given as their reverse complement; reads without seq2 have no linker end otherwise."""
+    held, rows = reads if sample is None else sample_reads(reads, sample), []
+    for end, seq, last in _ends(reads, long_read):
+        some = held.select(F.lpad(F.right(F.coalesce(seq, F.lit("")), F.lit(length)), length, "N").alias(seq)) if last else held
+        got = positional_consensus(some, seq, length, threshold).collect()  # `length` rows
+        raw, estimated = "".join(r.called for r in got), reliable("".join(r.called for r in got), [r.share for r in got], penalty, peak) if got else ""
+        rows.append((end, revcomp_text(raw), revcomp_text(estimated)) if last else (end, raw, estimated))
+    return reads.sparkSession.createDataFrame(rows, "end string, raw string, estimated string")

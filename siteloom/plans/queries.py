@@ -355,6 +355,25 @@ def variant_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.shares(a.reads(spark, sf_dir).select(F.substring("seq1", 1, 2).alias("matched")), 0.06).withColumn("share", F.round("share", 6))
 
 
+@query(f"""WITH {a.READS}, e AS (SELECT 'integrant' AS "end", 'short' AS mode, regexp_extract(seq1, '^(.*)(AC[ACGT]T)(.*)$', ['b', 'm', 'a']) AS x, false AS l FROM reads UNION ALL SELECT 'linker', 'short', regexp_extract(reverse(seq1), '^(.*)(GG[ACGT]A)(.*)$', ['b', 'm', 'a']), false FROM reads
+  UNION ALL SELECT 'integrant', 'long', regexp_extract(seq1, '^(.*)(AC[ACGT]T)(.*)$', ['b', 'm', 'a']), false FROM reads UNION ALL SELECT 'linker', 'long', regexp_extract(seq1, '^(.*?)(T[ACGT]CC)(.*)$', ['b', 'm', 'a']), true FROM reads),
+m AS (SELECT mode, "end", x.m AS matched, CASE WHEN l THEN right(x.b, 15) ELSE substr(x.a, 1, 15) END AS beside, count(*) OVER (PARTITION BY mode, "end") AS t FROM e WHERE x.m <> ''),
+k AS (SELECT mode, "end", 'match' AS kind, matched AS sequence, count(*) AS n, any_value(t) AS t FROM m GROUP BY ALL), o AS (SELECT mode, "end", 'match', 'Other', coalesce(sum(n) FILTER (n < 0.3 * t), 0), any_value(t) FROM k GROUP BY ALL),
+b AS (SELECT mode, "end", 'adjoining', beside, count(*) AS n, any_value(t) AS t FROM m GROUP BY ALL) SELECT mode, "end", kind, sequence, round(n / t, 6) AS share FROM (SELECT * FROM k WHERE n >= 0.3 * t UNION ALL SELECT * FROM o UNION ALL SELECT * FROM b WHERE n >= 0.3 * t)""")
+def end_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = a.reads(spark, sf_dir).withColumn("seq2", F.reverse("seq1"))
+    report = lambda long_read: consensus.end_variants(r, "ACNT", "GGNA", long_read, None, 0.0, 0.3)
+    both = report(False).withColumn("mode", F.lit("short")).unionByName(report(True).withColumn("mode", F.lit("long")))
+    return both.select("mode", "end", "kind", "sequence", F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH {a.READS}, e AS (SELECT 'integrant' AS "end", rpad(substr(seq1, 1, 36), 36, 'N') AS s, false AS l FROM reads UNION ALL SELECT 'linker', lpad(right(seq1, 36), 36, 'N'), true FROM reads),
+c AS (SELECT "end", l, i, substr(s, i, 1) AS base, count(*) AS n FROM e, (SELECT unnest(range(1, 37)) AS i) GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY "end", i) AS share, row_number() OVER (PARTITION BY "end", i ORDER BY n DESC, base) AS k FROM c),
+w AS (SELECT "end", l, string_agg(CASE WHEN share >= 0.3 THEN base ELSE 'N' END, '' ORDER BY i) AS s FROM r WHERE k = 1 GROUP BY ALL) SELECT "end", CASE WHEN l THEN reverse(translate(s, 'ACGTN', 'TGCAN')) ELSE s END AS raw FROM w""")
+def end_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.end_consensus(a.reads(spark, sf_dir), 36, None, 0.3, long_read=True).select("end", "raw")
+
+
 @query(f"""WITH {a.FRAGMENTS} SELECT chrom, {_PROJECT.split(", CASE")[0]}, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS site_strand, "end" - start AS length, count(*) AS n FROM fragments GROUP BY ALL""")
 def length_location_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abundance.length_matrix(sites_.project_sites(a.fragments(spark, sf_dir), tsd=5, u3=True))

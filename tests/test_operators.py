@@ -317,6 +317,20 @@ def seen_pairs(lengths, sites, more):
     return x * rng.choice([1, 2], x.shape, p=[1 - more, more])
 
 
+def test_both_ends(spark):
+    rows = [(f"r{k}", "ACGTACGTAC" + "GATTACA" * 3, "TTGGCCAATT" + "CCCCGGGGTTTTAAAA") for k in range(30)] + [(f"x{k}", "ACGTACGTAG" + "C" * 20, "TTGGCCAATT" + "G" * 20) for k in range(10)] + [("n", None, "AAAA")]
+    reads = spark.createDataFrame(rows, "read_name string, seq1 string, seq2 string")
+    got = {(r.end, r.kind, r.sequence): r.share for r in consensus.end_variants(reads, "ACGTACGTAC", "TTGGCCAATT", error_rate=0.1, threshold=0.3).collect()}
+    assert got == {("integrant", "match", "ACGTACGTAC"): 0.75, ("integrant", "match", "Other"): 0.25, ("integrant", "adjoining", ("GATTACA" * 3)[:15]): 0.75, ("linker", "match", "TTGGCCAATT"): 1.0, ("linker", "match", "Other"): 0.0, ("linker", "adjoining", "CCCCGGGGTTTTAAA"): 0.75}
+    long = reads.select("read_name", F.concat("seq1", F.lit(sequences.revcomp_text("TTGGCCAATT"))).alias("seq1"))
+    got = {(r.end, r.kind, r.sequence): r.share for r in consensus.end_variants(long, "ACGTACGTAC", "TTGGCCAATT", long_read=True, error_rate=0.0, threshold=0.2).collect()}
+    assert got["linker", "adjoining", ("GATTACA" * 3)[-15:]] == 0.75 and got["linker", "adjoining", "C" * 15] == 0.25 and got["linker", "match", "AATTGGCCAA"] == 1.0
+    assert consensus.end_variants(reads, "GGGGGGGGGGGGGGGGGG", None, error_rate=0.0).collect() == []
+    both = {r.end: (r.raw, r.estimated) for r in consensus.end_consensus(long, 10, long_read=True).collect()}
+    assert both["integrant"][0] == "ACGTACGTAC" and both["linker"][0] == "TTGGCCAATT"
+    assert [r.end for r in consensus.end_consensus(reads.select("read_name", "seq1"), 10).collect()] == ["integrant"]
+
+
 @pytest.mark.parametrize("lengths,sites,more", [(1, 1, 0), (30, 7, 0), (120, 40, 0.1)])
 def test_abundance_against_the_whole_matrix(lengths, sites, more):
     x = seen_pairs(lengths, sites, more)
