@@ -571,3 +571,29 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.concat(F.lit("MD:Z:"), "md"), tag("NM", "nm"), tag("XM", "xm"), tag("AS", "score"), tag("XS", "second"))
     files.write_text(spark.createDataFrame([("@HD\tVN:1.6",)], "value string").unionByName(al.select(line.alias("value"))), path)
     return files.read_sam(spark, path).select("read_name", "mate", "ref", "start", "end", "strand", "mapq", F.size("cigar").alias("operations"), "md", "nm", F.coalesce("xm", F.lit(-1)).alias("xm"), "score", F.coalesce("second", F.lit(-99)).alias("second"), "seq", "tlen", "primary")
+
+
+@query(f"""WITH {a.READS}, codes(sample, barcode, ord) AS (VALUES {_VALUES}), m AS (SELECT read_name, sample, row_number() OVER (PARTITION BY read_name ORDER BY ord) AS n FROM reads JOIN codes ON hamming(substr(seq1, 1, 4), barcode) <= 1), r AS (SELECT coalesce(sample, 'un known/x') AS sample, reads.* EXCLUDE (count) FROM reads LEFT JOIN (SELECT * FROM m WHERE n = 1) x USING (read_name))
+SELECT sample, 1 AS mate, read_name, seq1 AS seq, repeat('I', length(seq1)) AS qual FROM r UNION ALL SELECT sample, 2, read_name, reverse(seq1), repeat('J', length(seq1)) FROM r""")
+def sample_fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demultiplexed reads, written as FASTQ of each sample and mate, and read again."""
+    path = _folder(spark)
+    r = barcode_demux(spark, sf_dir).join(a.reads(spark, sf_dir).select("read_name", "seq1"), "read_name").withColumn("sample", F.coalesce("sample", F.lit("un known/x")))
+    files.write_sample_fastq(r.select("sample", "read_name", "seq1", F.expr("repeat('I', length(seq1))").alias("qual1"), F.reverse("seq1").alias("seq2"), F.expr("repeat('J', length(seq1))").alias("qual2")), path)
+    return files.read_sample_fastq(spark, path).select("sample", "mate", "read_name", "seq", "qual")
+
+
+@query("""WITH s AS (SELECT p_partkey, concat('part', p_partkey) AS nm, translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS x FROM part), l AS (SELECT nm, x AS a, reverse(x) AS b FROM s), c AS (SELECT nm, right(a, 20) AS ltr, right(b, 18) AS linker, concat('NN', substr(a, 3, 8)) AS lb, substr(b, 1, 10) AS kb, substr(a, 5, 8) AS i1 FROM l)
+SELECT nm, kind, seq, ltr, linker, concat('demux/', nm, '_Rltr.fq.gz') AS r1, concat('demux/', nm, '_Rlink.fq.gz') AS r2 FROM (SELECT *, 'ltr_barcode' AS kind, lb AS seq FROM c UNION ALL SELECT *, 'linker_barcode', kb FROM c UNION ALL SELECT *, 'index1', i1 FROM c)""")
+def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of all parts as samples, its vectors, and its barcodes and indices as FASTA."""
+    path = _folder(spark)
+    x = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
+    rows = a.table(spark, sf_dir, "part").select(F.concat_ws("\t", F.concat(F.lit("part "), F.col("p_partkey").cast("string")), x, F.reverse(x), F.concat(F.lit(" "), F.substring(x, 5, 8))).alias("value"))
+    rows.write.text(f"{path}/sheet")
+    sheet = setup.read_sheet(spark, f"{path}/sheet", indices=(4, 0), lengths=(20, 18), masks=(2, 0))
+    out = None
+    for kind in setup.write_sheet_fasta(sheet, f"{path}/fasta"):
+        got = files.read_fasta(spark, f"{path}/fasta/{kind}").select(F.col("contig").alias("nm"), F.lit(kind).alias("kind"), "seq")
+        out = got if out is None else out.unionByName(got)
+    return out.join(sheet.select("nm", "ltr", "linker", "r1", "r2"), "nm").select("nm", "kind", "seq", "ltr", "linker", "r1", "r2")

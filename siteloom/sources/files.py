@@ -1,28 +1,75 @@
-"""Sequence and interval files as DataFrames. Spark picks the codec by extension; paths are Spark paths."""
+"""Sequence and interval files as DataFrames; paths are Spark paths. Files are told by their first two bytes: where the name says otherwise, they are streamed."""
 
 from __future__ import annotations
 
+import gzip
+import io
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from siteloom.session import broadcast_if_small, checkpointed
+from siteloom.session import broadcast_if_small, checkpointed, ship
 from siteloom.sources import bam
 
+#: Files of one sample and mate, at most.
+FILES = 64
 #: Lines of one bin of a FASTA file.
 LINE_BIN = 1 << 16
 
 BED = "chrom string, start long, end long, name string, score double, strand string"
 
 
+def misnamed(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, bool]]]:
+    """(files as their names say, (file, compressed) of the others): whether a file is compressed by gzip tell its first two bytes, not its name.
+    Files on a system that only Spark's readers open are taken as named."""
+    ship(spark)
+
+    def look(batches):
+        for pdf in batches:
+            heads = []
+            for p in pdf["path"]:
+                try:
+                    with bam.opened(p) as f:
+                        heads.append(f.read(2) == b"\x1f\x8b")
+                except (OSError, ValueError):
+                    heads.append(None)
+            yield pdf[["path"]].assign(packed=pd.array(heads, "boolean"))
+
+    found = spark.read.format("binaryFile").load(path).select("path").mapInPandas(look, "path string, packed boolean").collect()  # a row for each file
+    odd = [(r.path, r.packed) for r in found if r.packed is not None and r.packed != r.path.endswith(".gz") and not r.path.endswith((".bz2", ".zst", ".lz4", ".snappy", ".deflate"))]
+    return [r.path for r in found if r.path not in {p for p, _ in odd}], odd
+
+
+def _streamed(spark: SparkSession, odd: list[tuple[str, bool]]) -> DataFrame:
+    """(file, at, value) of misnamed files, line by line, each in one task."""
+
+    def run(batches):
+        for pdf in batches:
+            for path, packed in zip(pdf["path"], pdf["packed"]):
+                with bam.opened(path) as f:
+                    rows, first = io.TextIOWrapper(gzip.GzipFile(fileobj=f) if packed else f, newline=None), 0
+                    while some := [line.rstrip("\n") for line in itertools.islice(rows, 4096)]:
+                        yield pd.DataFrame({"file": path, "at": range(first, first + len(some)), "value": some})
+                        first += len(some)
+
+    return spark.createDataFrame(odd, "path string, packed boolean").repartition(len(odd)).mapInPandas(run, "file string, at long, value string")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, value): lines with their number within the file.
 
     Lines are counted by split first, so a file that is read in several splits is numbered
     without passing through one task.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    named, odd = misnamed(spark, path)
+    if odd and not named:
+        return _streamed(spark, odd)
+    raw = spark.read.text(named if odd else path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     per = per.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return raw.join(broadcast_if_small(per.select("file", "block", "first", "up")), ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value")  # a row for each split
+    got = raw.join(broadcast_if_small(per.select("file", "block", "first", "up")), ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value")  # a row for each split
+    return got.unionByName(_streamed(spark, odd)) if odd else got
 
 
 def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -49,6 +96,25 @@ def write_fastq(reads: DataFrame, path: str, header: Column, seq: str = "seq1",
     one.select(F.concat(F.lit("@"), header, F.lit("\n"), seq, F.lit("\n+\n"), qual).alias("value")).write.text(path, compression="gzip")
 
 
+def write_sample_fastq(reads: DataFrame, path: str) -> None:
+    """Compressed FASTQ in a folder of each sample and mate (sample=.../mate=...), for demultiplexed reads (sample, read_name, seq1, qual1 and, of pairs, seq2, qual2).
+    Rows go to files by their sample and a part of their name, so that a sample of very many reads has several files, and both mates in one order."""
+    record = lambda k: F.concat(F.lit("@"), "read_name", F.lit("\n"), f"seq{k}", F.lit("\n+\n"), f"qual{k}")
+    mates = F.array(*[F.struct(F.lit(k).alias("mate"), record(k).alias("value")) for k in (1, 2) if f"seq{k}" in reads.columns])
+    rows = reads.repartition("sample", F.pmod(F.xxhash64("read_name"), F.lit(FILES))).sortWithinPartitions("sample", "read_name")
+    out = rows.select("sample", F.explode(mates).alias("m")).select("sample", F.col("m.mate").alias("mate"), F.col("m.value").alias("value"))
+    out.where("value is not null").write.partitionBy("sample", "mate").text(path, compression="gzip")
+
+
+def read_sample_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """read_fastq of such folders, with sample and mate."""
+    part = lambda c: F.regexp_extract("file", rf"/{c}=([^/]*)/", 1)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    got = read_fastq(spark, f"{path}/*/*")
+    # the folder's name has some letters encoded, and the path's once more
+    return got.select(decoded(decoded(part("sample"))).alias("sample"), part("mate").cast("int").alias("mate"), *got.columns)
+
+
 def write_samples(reads: DataFrame, path: str) -> None:
     """One folder of each sample."""
     reads.write.partitionBy("sample").option("sep", "\t").csv(path, compression="gzip")

@@ -194,3 +194,28 @@ def test_fasta_in_chunks(spark, tmp_path, monkeypatch, lines, size, gz):
     assert {(r.contig, r.chunk): r.seq for r in got} == {(c, k): s[k * size : (k + 1) * size].upper() for c, s in seqs.items() for k in range(-(-len(s) // size))}
     assert {r.contig: r.length for r in files.contig_lengths(spark, path).collect()} == {c: len(s) for c, s in seqs.items() if s}
     assert {r.contig: r.seq for r in files.read_fasta(spark, path).collect()} == {c: s.upper() for c, s in seqs.items() if s}
+
+
+def test_files_are_told_by_their_first_bytes(spark, tmp_path):
+    text = "".join(f"@r{k} x\nACGT\n+\nIIII\n" for k in range(9000))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "packed.fastq").write_bytes(gzip.compress(text.encode()))
+    (folder / "plain.fastq.gz").write_text(text)
+    (folder / "right.fastq.gz").write_bytes(gzip.compress(text.encode()))
+    (folder / "right.fastq").write_text(text)
+    assert sorted((p.rsplit("/")[-1], packed) for p, packed in files.misnamed(spark, str(folder))[1]) == [("packed.fastq", True), ("plain.fastq.gz", False)]
+    got = files.read_fastq(spark, str(folder)).groupBy("file").agg(F.count("*").alias("n"), F.max("record").alias("m"), F.min("seq").alias("s")).collect()
+    assert [(r.n, r.m, r.s) for r in got] == [(9000, 8999, "ACGT")] * 4
+    assert files.read_fastq(spark, str(folder / "packed.fastq")).count() == 9000
+
+
+def test_sheet_errors(spark, tmp_path):
+    (tmp_path / "sheet.txt").write_text("a b\tACGTACGTACGTACGT\t GGGGGGGGGGGGGGGG\n")
+    r = setup.read_sheet(spark, str(tmp_path / "sheet.txt"), lengths=(6, 5), barcode=5, masks=(9, 0), single=True).first()
+    assert (r.nm, r.ltr, r.ltr_barcode, r.linker, r.linker_barcode, r.index1, r.r1, r.r2) == ("ab", "GTACGT", "NNNNN", "GGGGG", "GGGGG", None, "demux/ab_Rltr.fq.gz", None)
+    with pytest.raises(Exception, match="shorter than 30"):
+        setup.read_sheet(spark, str(tmp_path / "sheet.txt")).collect()
+    with pytest.raises(ValueError):
+        setup.read_sheet(spark, str(tmp_path / "sheet.txt"), barcode=4)
+    assert setup.vector(setup.read_sheet(spark, str(tmp_path / "sheet.txt"), lengths=(6, 5), barcode=0), "ltr") == "GTACGT"
