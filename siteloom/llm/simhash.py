@@ -107,15 +107,15 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row whose id is null takes part with its fingerprint but is never a component's name, unless it
     has only such rows. Repeated rows stay; an empty table gives an empty one; other columns are left out. Texts of any
     length are read whole, CHUNK shingles at a time. Documents are reduced to (id, fingerprint) in the one
-    pass over texts; all further steps move only those.
+    pass over texts; all further steps move only those. An id column with the name of another one of the result lets that have underscores.
     """
-    docs = checkpointed(fingerprints(df, id_col, text_col, words))
-    reps = checkpointed(docs.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    docs = checkpointed(fingerprints(df.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__of")), "__doc", "__of", words))
+    reps = checkpointed(docs.groupBy("fp").agg(F.min("__doc").alias("rep")))
     links = connected_components(hamming_links(reps, radius))
     named = reps.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = named.join(least, "root").select("fp", "component_id")
-    return docs.join(found, "fp").select(id_col, "fp", "component_id")
+    return docs.join(found, "fp").select(F.col("__doc").alias(id_col), F.col("fp").alias(fresh([id_col], "fp")), F.col("component_id").alias(fresh([id_col], "component_id")))
 
 
 #: Least similarity (Jaccard) of the shingle sets of near copies, as a fraction.
