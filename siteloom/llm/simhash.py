@@ -487,8 +487,10 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = broadcast_if_small(marked.where("stay is null").select(F.col("id").alias(name), F.col("h").alias(hashed)))
     left = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     left = left.join(gone, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed)), "left_anti")
-    if marked.where("stay and n > 1").limit(1).count():  # repeated rows: only then texts are moved once more
-        left = left.dropDuplicates([id_col, own])
+    again = broadcast_if_small(marked.where("stay and n > 1").select(F.col("id").alias(name), F.col("h").alias(hashed)))
+    if again.limit(1).count():  # only the rows that repeat are shuffled
+        same = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, own]))
     return left.select(*df.columns)
 
 
