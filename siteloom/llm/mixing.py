@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from siteloom.llm.common import documents
+from siteloom.llm.common import documents, fresh
 from siteloom.session import broadcast_if_small, checkpointed
 
 #: Blocks of a source, and ranges of places within the block that is cut (a power of two).
@@ -111,16 +111,17 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     up = _after(within.join(ranges, ["s", "r"]), ["s"], ["p", "id"]).where("up - t < left")
     ends = up.groupBy("s").agg(F.max("p").alias("p"))
     ends = cut.select("s", "h", "b").join(ends, "s", "left")
-    rules = plan.join(ends, "s", "left").select(F.col("s").alias("__mix_s"), F.col("whole").alias("__mix_whole"), F.col("h").alias("__mix_h"), F.col("b").alias("__mix_b"), F.col("p").alias("__mix_p"))
+    of, whole, h, b, p, n = (fresh(df.columns, f"__mix_{c}") for c in ("s", "whole", "h", "b", "p", "n"))
+    rules = plan.join(ends, "s", "left").select(F.col("s").alias(of), F.col("whole").alias(whole), F.col("h").alias(h), F.col("b").alias(b), F.col("p").alias(p))
     kept = [c for c in df.columns if c not in ("__epoch", "__block", "__place")]
-    wide = df.withColumn("__mix_s", key).join(broadcast_if_small(rules), "__mix_s")
-    at = F.struct(F.xxhash64(F.lit(SEED + 1), "__mix_s", "__mix_whole", block).alias("h"), block.alias("b"))
-    end = F.struct(F.col("__mix_h").alias("h"), F.col("__mix_b").alias("b"))
-    taken = F.col("__mix_h").isNotNull() & ((at < end) | ((at == end) & (F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__mix_whole") <= F.col("__mix_p"))))
-    copies = F.col("__mix_whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
-    out = wide.withColumn("__mix_n", copies).where("__mix_n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+    wide = df.withColumn(of, key).join(broadcast_if_small(rules), of)
+    at = F.struct(F.xxhash64(F.lit(SEED + 1), of, whole, block).alias("h"), block.alias("b"))
+    end = F.struct(F.col(h).alias("h"), F.col(b).alias("b"))
+    taken = F.col(h).isNotNull() & ((at < end) | ((at == end) & (F.xxhash64(F.lit(SEED + 2), F.col(id_col), whole) <= F.col(p))))
+    copies = F.col(whole) + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
+    out = wide.withColumn(n, copies).where(F.col(n) > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     return out.select(
-        *kept, "__epoch", F.xxhash64(F.lit(SEED + 1), "__mix_s", "__epoch", block).alias("__block"), F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__epoch").alias("__place")
+        *kept, "__epoch", F.xxhash64(F.lit(SEED + 1), of, "__epoch", block).alias("__block"), F.xxhash64(F.lit(SEED + 2), F.col(id_col), "__epoch").alias("__place")
     )
 
 
