@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siteloom.llm.common import documents
+from siteloom.llm.common import documents, fresh
 from siteloom.session import checkpointed
 
 # Fixed patterns of the base kinds.
@@ -113,10 +113,11 @@ def secret_spans(df: DataFrame, id_cols: list[str], text_col: str = "text", leve
     base holds the pattern kinds assign, access and hex (leftmost, not overlapping within a kind,
     failing matches dropped); found holds these and the untested kinds random_<encoding>. A null or
     empty text has none; texts of any length are read whole. Repeated rows stay. An empty table gives an empty one.
-    Offsets are code points, ends exclusive. Other columns are left out.
+    Offsets are code points, ends exclusive. Other columns are left out. Id columns may have any name; base and found get underscores if one has theirs.
     """
-    text = F.col("__text")
-    docs = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    text, named = F.col("__text"), id_cols
+    id_cols = [f"__id{k}" for k in range(len(named))]
+    docs = df.select(*[F.col(c).alias(i) for c, i in zip(named, id_cols)], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     docs = _places(text, ASSIGN, docs, "__assign", 2)
     docs = _places(text, ACCESS, docs, "__access")
     docs = _places(text, HEX, docs, "__hexes")
@@ -136,7 +137,8 @@ def secret_spans(df: DataFrame, id_cols: list[str], text_col: str = "text", leve
     kept = tested.where((F.col("bin") < cut) & (F.col("bits") >= LEAST_BITS))
     kept = kept.groupBy("__row").agg(F.collect_list(F.struct("start", order.alias("ord"), F.concat(F.lit("random_"), "encoding").alias("kind"), "end")).alias("more"))  # of one text, as many as it holds
     found = docs.join(kept, "__row", "left")
-    return found.select(*id_cols, "base", F.expr("array_sort(concat(base, coalesce(more, array())))").alias("found"))
+    ids = [F.col(i).alias(c) for c, i in zip(named, id_cols)]
+    return found.select(*ids, F.col("base").alias(fresh(named, "base")), F.expr("array_sort(concat(base, coalesce(more, array())))").alias(fresh(named, "found")))
 
 
 def written(col: str) -> Column:
