@@ -121,7 +121,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     base = parsed(messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")))
     links = reply_links(base)
     places = walked(links).join(links, ["conv_id", "turn"], "left")
-    out = base.join(places, ["conv_id", "turn"], "left")
+    out = base.join(broadcast_if_small(places), ["conv_id", "turn"], "left")  # of messages that reply only: else no text moves
     return out.select(
         "conv_id", "turn", "role", "content", "n_quotes", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("position", F.lit(0)).alias("position"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "content", F.lit("\n")).alias("formatted"),
