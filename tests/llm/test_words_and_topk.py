@@ -202,3 +202,32 @@ def test_collocations_empty_and_exact(spark):
     assert collocations.collocations(spark.createDataFrame([(None, "en"), ("", None), ("once only", "en")], schema)).collect() == []
     long = spark.createDataFrame([("word pair " * 60_000, "en")], schema)
     assert [r["phrase"] for r in collocations.collocations(long, most_words=2).collect()] == ["word pair", "pair word"]
+
+
+# --- names that clash
+
+
+def test_clashing_names(spark):
+    from siteloom.llm import mixing, secrets, simhash
+
+    rows = [(1, "password: abcdefgh1 x", "a"), (2, "nothing here", "b"), (None, None, "a")]
+    for name in ("tokens", "base", "found", "text2", "__text"):
+        df = spark.createDataFrame(rows, f"`{name}` long, text string, source string")
+        got = secrets.secret_spans(df, [name]).collect()
+        assert {r[0]: len(r[1]) for r in got} == {1: 1, 2: 0, None: 0}
+    for name in ("fp", "rep", "component_id"):
+        df = spark.createDataFrame(rows + [(7, "nothing here", "c")], f"`{name}` long, text string, source string")
+        assert {r[0]: r[2] for r in simhash.simhash_groups(df, name).collect()} == {1: 1, 2: 2, 7: 2, None: None}
+    df = spark.createDataFrame([(k, "one two three", "ab"[k % 2], 7, 8) for k in range(6)], "doc_id long, text string, source string, __mix_n int, __mix_s int")
+    got = mixing.mix(df, max_repeats=2.0).collect()
+    assert {(r["__mix_n"], r["__mix_s"]) for r in got} == {(7, 8)} and {r.doc_id for r in got} == set(range(6))
+
+
+def test_simhash_groups_empty_and_long(spark, monkeypatch):
+    from siteloom.llm import simhash
+
+    assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    text = "ab cd ef gh " * 30
+    whole = simhash.fingerprint(text, 3)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.fingerprint(text, 3) == whole
