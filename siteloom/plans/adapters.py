@@ -110,3 +110,23 @@ def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("start") % 13 == 0, F.col("strand")).when(F.col("strand") == "-", "+").otherwise("-")
     b = a.where("start % 17 <> 0").withColumn("mate", F.lit(2)).withColumn("strand", other).withColumn("ref", F.when(F.col("end") % 19 == 0, "X").otherwise(F.col("ref"))).withColumn("start", F.col("start") + 40).withColumn("end", F.col("end") + 40)
     return a.unionByName(b.withColumn("mapq", F.col("mapq") % 7).withColumn("error", F.lit(0.05)))
+
+
+#: Invented sequences of a library's two ends, and a contaminant.
+LTR, LINKER, CONTAMINANT = "GTCATTGCACAGTC", "CCTATAGTGAGTCG", "GGATCTTGACCATTCAGGCA"
+
+
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads as they come from the machine: UMI, integrant end and genome in mate 1, UMI, linker and genome in mate 2. Some run through to the
+    other end, lack an end or a UMI, stand the other way round or begin with a contaminant."""
+    r = reads(spark, sf_dir)
+    key = F.substring("read_name", 2, 20).cast("long")
+    body = F.concat(F.when(key % 17 == 0, CONTAMINANT).otherwise(""), "seq1")
+    one = F.concat("ltr_umi", F.when(key % 7 == 0, "").otherwise("G"), F.when(key % 11 == 0, "").when(key % 5 == 0, LTR[:12]).otherwise(LTR), body, F.when(key % 2 == 0, F.translate(F.reverse(F.lit(LINKER)), "ACGT", "TGCA")).otherwise(""))
+    two = F.concat("ltr_umi", F.lit("C"), F.when(key % 13 == 0, "").otherwise(LINKER), F.translate(F.reverse(body), "ACGT", "TGCA"), F.when(key % 3 == 0, F.substr(F.translate(F.reverse(F.lit(LTR)), "ACGT", "TGCA"), F.lit(1), F.lit(7))).otherwise(""))
+    return r.select("read_name", one.alias("seq1"), F.repeat(F.lit("I"), F.length(one)).alias("qual1"), two.alias("seq2"), F.repeat(F.lit("J"), F.length(two)).alias("qual2"))
+
+
+RAW_PAIRS = f"""{READS}, keyed AS (SELECT *, CAST(substr(read_name, 2) AS BIGINT) AS key, concat(CASE WHEN CAST(substr(read_name, 2) AS BIGINT) % 17 = 0 THEN '{CONTAMINANT}' ELSE '' END, seq1) AS body FROM reads),
+raw_pairs AS (SELECT read_name, concat(ltr_umi, CASE WHEN key % 7 = 0 THEN '' ELSE 'G' END, CASE WHEN key % 11 = 0 THEN '' WHEN key % 5 = 0 THEN '{LTR[:12]}' ELSE '{LTR}' END, body, CASE WHEN key % 2 = 0 THEN reverse(translate('{LINKER}', 'ACGT', 'TGCA')) ELSE '' END) AS seq1,
+    concat(ltr_umi, 'C', CASE WHEN key % 13 = 0 THEN '' ELSE '{LINKER}' END, reverse(translate(body, 'ACGT', 'TGCA')), CASE WHEN key % 3 = 0 THEN substr(reverse(translate('{LTR}', 'ACGT', 'TGCA')), 1, 7) ELSE '' END) AS seq2 FROM keyed)"""

@@ -401,6 +401,75 @@ def adapter_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crop.crop(tagged, "GTCATTGCAC", min_frag_len=20, ltr_umi=(1, 0, None))
 
 
+_REV = lambda seq: f"reverse(translate({seq}, 'ACGT', 'TGCA'))"
+
+
+def _cut(seq: str, adapter: str) -> str:
+    """SQL for what is left of a read before an adapter at its 3' end, whole or at least 5 bases of its beginning, without errors."""
+    return f"(CASE WHEN strpos({seq}, {adapter}) > 0 THEN substr({seq}, 1, strpos({seq}, {adapter}) - 1) ELSE substr({seq}, 1, length({seq}) - coalesce(list_max([k FOR k IN range(5, length({adapter})) IF right({seq}, k) = substr({adapter}, 1, k)]), 0)) END)"
+
+
+_UMI = lambda before, n: f"lpad(right({before}, {n}), {n}, 'N')"
+
+
+@query(f"""WITH {a.RAW_PAIRS}, f AS (SELECT read_name, regexp_extract(seq1, '^(.*)({a.LTR})(.*)$', ['b', 'm', 'a']) AS x, seq2 FROM raw_pairs), g AS (SELECT read_name, x.b AS before, x.a AS s1, seq2 FROM f WHERE x.m <> '' AND length(x.a) >= 20),
+h AS (SELECT * FROM g WHERE list_min(flatten([[levenshtein(substr(s1, i, n), '{a.CONTAMINANT}') FOR n IN range(14, 27) IF i + n <= 31] FOR i IN range(1, 18)])) > 6),
+t AS (SELECT read_name, before, {_cut("s1", _REV(f"'{a.LINKER}'"))} AS s1, regexp_extract(seq2, '^(.*)({a.LINKER})(.*)$', ['b', 'm', 'a']) AS y FROM h), u AS (SELECT read_name, before, s1, y.b AS before2, y.a AS s2 FROM t WHERE length(s1) >= 20 AND y.m <> '' AND length(y.a) >= 20),
+w AS (SELECT read_name, s1 AS seq1, {_cut("s2", _REV(f"'{a.LTR}'"))} AS seq2, {_UMI("before", 2)} AS ltr_umi, {_UMI("before2", 2)} AS linker_umi FROM u)
+SELECT *, length(seq1) AS n1, length(seq2) AS n2, '{a.LTR}' AS ltr_match, '{a.LINKER}' AS linker_match FROM w WHERE length(seq2) >= 20 AND NOT contains(ltr_umi, 'N') AND NOT contains(linker_umi, 'N')""")
+def paired_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both mates cropped: integrant, contaminants, linker, what runs through, UMIs."""
+    got = crop.crop(a.raw_pairs(spark, sf_dir), a.LTR, a.LINKER, ltr_error_rate=0.0, linker_error_rate=0.0, min_frag_len=20, ltr_umi=(2, 0, None), linker_umi=(2, 0, "NN"), contaminants=[a.CONTAMINANT])
+    return got.select("read_name", "seq1", "seq2", "ltr_umi", "linker_umi", F.length("qual1").alias("n1"), F.length("qual2").alias("n2"), "ltr_match", "linker_match")
+
+
+_SHORTER = [a.LTR[:n] for n in (14, 13, 12, 11, 10)]
+
+
+@query(f"""WITH {a.RAW_PAIRS}, f AS (SELECT read_name, seq1, (list_filter(['{"', '".join(_SHORTER)}'], lambda x: contains(seq1, x)))[1] AS m FROM raw_pairs), g AS (SELECT read_name, m, length(seq1) - strpos(reverse(seq1), reverse(m)) + 1 AS e, seq1 FROM f WHERE m IS NOT NULL)
+SELECT read_name, substr(seq1, e + 1) AS seq1, length(seq1) - e AS n1, {_UMI("substr(seq1, 1, e - length(m))", 1)} AS ltr_umi, m AS ltr_match FROM g WHERE length(seq1) - e >= 20""")
+def truncated_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads whose integrant end may be cut short: the longest prefix of the ladder counts, with the errors that the shortest one allows."""
+    r = a.raw_pairs(spark, sf_dir).select("read_name", "seq1", "qual1")
+    got = crop.crop(r, a.LTR, ltr_error_rate=0.05, min_frag_len=20, ltr_umi=(1, 0, None), truncated=True, cap_error=True)
+    return got.select("read_name", "seq1", F.length("qual1").alias("n1"), "ltr_umi", "ltr_match")
+
+
+@query(f"""WITH {a.RAW_PAIRS}, p AS (SELECT read_name, CASE WHEN key2 % 2 = 0 THEN seq1 ELSE seq2 END AS seq1, CASE WHEN key2 % 2 = 0 THEN seq2 ELSE seq1 END AS seq2 FROM (SELECT *, CAST(substr(read_name, 3) AS BIGINT) // 3 AS key2 FROM raw_pairs)),
+b AS (SELECT 'pair' AS mode, read_name, seq1, seq2 FROM p UNION ALL SELECT 'pair', read_name, seq2, seq1 FROM p UNION ALL SELECT 'long', read_name, s, NULL FROM (SELECT read_name, unnest([s, {_REV("s")}]) AS s FROM (SELECT read_name, CASE WHEN seq1 < seq2 THEN seq1 ELSE {_REV("seq1")} END AS s FROM raw_pairs))),
+x AS (SELECT mode, read_name, seq2, regexp_extract(seq1, '^(.*)({a.LTR})(.*)$', ['b', 'm', 'a']) AS x FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY mode, read_name ORDER BY length(x.b) DESC) AS n FROM x WHERE x.m <> '' AND length(x.a) >= 20),
+c AS (SELECT mode, read_name, seq2, x.a AS s1, strpos(x.a, {_REV(f"'{a.LINKER}'")}) > 0 OR len([k FOR k IN range(5, 14) IF right(x.a, k) = substr({_REV(f"'{a.LINKER}'")}, 1, k)]) > 0 AS has, {_cut("x.a", _REV(f"'{a.LINKER}'"))} AS t1 FROM k WHERE n = 1),
+y AS (SELECT mode, read_name, t1 AS seq1, regexp_extract(seq2, '^(.*)({a.LINKER})(.*)$', ['b', 'm', 'a']) AS y FROM c WHERE length(t1) >= 20 AND (mode = 'pair' OR has))
+SELECT mode, read_name, seq1, CASE WHEN mode = 'pair' THEN {_cut("y.a", _REV(f"'{a.LTR}'"))} END AS seq2 FROM y WHERE mode = 'long' OR (y.m <> '' AND length(y.a) >= 20 AND length({_cut("y.a", _REV(f"'{a.LTR}'"))}) >= 20)""")
+def mixed_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mates that may stand the other way round, and long reads of either strand."""
+    raw = a.raw_pairs(spark, sf_dir)
+    turned = raw.withColumn("__k", F.floor(F.substring("read_name", 3, 20).cast("long") / 3) % 2 == 0)
+    pick = lambda x, y: F.when(F.col("__k"), F.col(x)).otherwise(F.col(y)).alias(x)
+    pairs = turned.select("read_name", pick("seq1", "seq2"), pick("qual1", "qual2"), pick("seq2", "seq1"), pick("qual2", "qual1"))
+    long = raw.select("read_name", F.when(F.col("seq1") < F.col("seq2"), F.col("seq1")).otherwise(revcomp(F.col("seq1"))).alias("seq1"), "qual1")
+    options = {"ltr_error_rate": 0.0, "linker_error_rate": 0.0, "min_frag_len": 20, "mixed": True}
+    one = crop.crop(pairs, a.LTR, a.LINKER, **options).select(F.lit("pair").alias("mode"), "read_name", "seq1", "seq2")
+    return one.unionByName(crop.crop(long, a.LTR, a.LINKER, long_read=True, **options).select(F.lit("long").alias("mode"), "read_name", "seq1", F.lit(None).cast("string").alias("seq2")))
+
+
+@query(f"""WITH {a.READS}, r AS (SELECT read_name, CASE WHEN family % 9 = 0 THEN NULL ELSE family END AS mm_group, concat('chr', ltr_umi) AS chrom, 100 * (family % 3) AS start, 100 * (family % 3) + 50 AS "end", CASE WHEN family % 2 = 0 THEN '+' ELSE '-' END AS strand, seq1, CASE WHEN ltr_umi = 'A' THEN 50 * count ELSE count END AS count FROM reads),
+p AS (SELECT mm_group, chrom, start, "end", strand, sum(count) AS c, count(*) AS n FROM r WHERE mm_group IS NOT NULL GROUP BY ALL), g AS (SELECT mm_group, sum(n) AS n, sum(c) AS t, count(*) AS k FROM p GROUP BY mm_group), able AS (SELECT p.*, count(*) OVER (PARTITION BY mm_group) AS many FROM p JOIN g USING (mm_group) WHERE g.n >= 6 AND 2 * g.k * p.c >= g.t)
+SELECT r.read_name, a.mm_group IS NOT NULL AS moved, CASE WHEN a.mm_group IS NOT NULL THEN 'multi_grouped' ELSE 'multi' END AS mapping_class, CASE WHEN a.many > 1 THEN 'one of several' ELSE coalesce(a.chrom, r.chrom) END AS chrom, CASE WHEN a.many IS NULL THEN r.start WHEN r.strand = '-' THEN r."end" - length(r.seq1) ELSE r.start END AS start,
+  CASE WHEN a.many IS NULL THEN r."end" WHEN r.strand = '-' THEN r."end" ELSE r.start + length(r.seq1) END AS "end" FROM r LEFT JOIN (SELECT * FROM able QUALIFY row_number() OVER (PARTITION BY mm_group ORDER BY chrom) = 1) a USING (mm_group)""")
+def group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of multimapping reads moved to one of their able places; which one of several is a seeded draw, so only that it is one of them is told."""
+    r = a.reads(spark, sf_dir)
+    f, u = F.col("family"), F.col("ltr_umi")
+    rows = r.select("read_name", F.when(f % 9 != 0, f).alias("mm_group"), F.concat(F.lit("chr"), u).alias("chrom"), (100 * (f % 3)).alias("start"), (100 * (f % 3) + 50).alias("end"), F.when(f % 2 == 0, "+").otherwise("-").alias("strand"), "seq1", F.when(u == "A", 50 * F.col("count")).otherwise(F.col("count")).alias("count"))
+    got = reassign.assign_groups(rows, 6)
+    able = rows.where("mm_group is not null").groupBy("mm_group", "chrom").agg(F.sum("count").alias("c")).withColumn("k", F.count("*").over(Window.partitionBy("mm_group"))).withColumn("t", F.sum("c").over(Window.partitionBy("mm_group"))).where(2 * F.col("k") * F.col("c") >= F.col("t"))
+    able = able.groupBy("mm_group").agg(F.collect_set("chrom").alias("able"))
+    moved = F.col("mapping_class") == "multi_grouped"
+    several = moved & (F.size("able") > 1) & F.array_contains("able", F.col("chrom"))
+    return got.join(able, "mm_group", "left").select("read_name", moved.alias("moved"), "mapping_class", F.when(several, "one of several").otherwise(F.col("chrom")).alias("chrom"), "start", "end")
+
+
 @query()
 def mispriming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _unique_reads(spark, sf_dir)
