@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siteloom.functions.sequences import revcomp, similarity
 from siteloom.operators.dedup import _merge, umi_clusters
-from siteloom.operators.graph import connected_components
+from siteloom.operators.graph import connected_components, in_order
 from siteloom.operators.neargroups import near_groups
-from siteloom.session import checkpointed
+from siteloom.session import broadcast_if_small, checkpointed, ship
 
 
 def kmers(seq: Column, k: int) -> Column:
@@ -153,3 +154,80 @@ def kmer_cosine(a: Column, b: Column, k: int = 4) -> Column:
     cosine = lambda p: F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), dot(p["x"], p["y"]) / F.sqrt(dot(p["x"], p["x"]) * dot(p["y"], p["y"]))).otherwise(0.0)
     # bound by a transformation of an array of one, so that k-mers aren't cut anew for each other one
     return F.get(F.transform(F.array(F.struct(kmers(a, k).alias("x"), kmers(b, k).alias("y"))), cosine), F.lit(0))
+
+
+#: Rows of one block of the sequences that share a k-mer, and the cosine below which two sequences are no candidates.
+COSINE_BLOCK, COSINE_LIMIT = 1024, 0.5
+
+
+def _nearest_in_tile(limit: float, top: int | None):
+    """(node, other, cosine) of the rows of a tile (node, part, s, feats array<struct<t, c>>): each row's `top` best of the other part, or, if there is one part only, of the same."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, part, s = (np.array(rows.column(c).to_pylist()) for c in ("node", "part", "s"))
+        feats = rows.column("feats").to_pylist()
+        names = {t: k for k, t in enumerate(sorted({f["t"] for r in feats for f in r}))}
+        x = np.zeros((len(node), len(names)))
+        for k, r in enumerate(feats):
+            for f in r:
+                x[k, names[f["t"]]] = f["c"]
+        square = (x * x).sum(1)
+        out: tuple[list, list, list] = ([], [], [])
+        across = len(np.unique(part)) > 1
+        for first in range(0, len(node), 256):
+            some = slice(first, first + 256)
+            cosine = (x[some] @ x.T) / np.sqrt(square[some, None] * square[None, :])
+            bad = part[some, None] == part[None, :] if across else node[some, None] == node[None, :]
+            cosine[bad | (cosine < limit)] = -1
+            for k, line in enumerate(cosine):
+                at = np.flatnonzero(line >= 0)
+                at = at[np.lexsort((s[at], -line[at]))][:top]
+                out[0].extend([node[first + k]] * len(at))
+                out[1].extend(node[at])
+                out[2].extend(line[at])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["node", "other", "cosine"])
+
+    return run
+
+
+def cosine_neighbours(df: DataFrame, keys: list[str], seq: str, limit: float = COSINE_LIMIT, top: int | None = 20, k: int = 4) -> DataFrame:
+    """(keys, s, t, cosine): for each distinct sequence s the `top` others of its keys (None: all) whose k-mer counts have the largest cosine with its own, at least `limit`.
+    Ties go to the smaller sequence; sequences shorter than k, and rows with a null key or sequence, have no neighbours.
+
+    Exact. K-mers are ordered from the rarest on; what follows the first ones of a sequence has a norm below limit of the whole, so two sequences that
+    reach the limit share one of these first ones. The sequences that share one are cut in blocks and meet in tiles of two blocks, of which only each one's best leave.
+    """
+    ship(df.sparkSession)
+    nodes = in_order(df.select(*keys, F.col(seq).alias("s")).where("s is not null").distinct(), ["s"], "node")
+    counts = nodes.select("node", F.explode(kmers(F.col("s"), k)).alias("t")).groupBy("node", "t").agg(F.count("*").alias("c"))
+    counts = checkpointed(counts)
+    often = counts.groupBy("t").agg(F.count("*").alias("f"))
+    held = counts.join(broadcast_if_small(often), "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "t", "c"))).alias("l"))  # the k-mers of a sequence
+    square = lambda l: F.aggregate(l, F.lit(0).cast("long"), lambda a, x: a + x["c"] * x["c"])
+    first = F.filter(F.transform("l", lambda x, i: F.struct(x["t"].alias("t"), square(F.slice("l", i + 1, F.size("l"))).alias("rest"))), lambda x: x["rest"] >= F.lit(limit * limit * (1 - 1e-12)) * F.col("all"))
+    held = checkpointed(nodes.join(held, "node").withColumn("all", square(F.col("l"))).select(*keys, "node", "s", F.transform("l", lambda x: F.struct(x["t"].alias("t"), x["c"].alias("c"))).alias("feats"), F.transform(first, lambda x: x["t"]).alias("first")))
+    met = held.select(*keys, "node", F.explode("first").alias("t"))
+    size = checkpointed(met.groupBy(*keys, "t").agg(F.ceil(F.count("*") / COSINE_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"))
+    dealt = met.join(size, [*keys, "t"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select(F.xxhash64(*keys, "t", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.col("own").alias("part"), "node")
+    sent = tiles.join(held.select("node", "s", "feats"), "node")
+    found = sent.groupBy("tile").applyInArrow(_nearest_in_tile(limit - 1e-12, top), "node long, other long, cosine double").distinct()  # two blocks at most
+    named = found.join(held.select("node", *keys, "s"), "node").join(held.select(F.col("node").alias("other"), *(F.col(c).alias(f"__{c}") for c in keys), F.col("s").alias("t")), "other")
+    for c in keys:  # tiles are told by a hash
+        named = named.where(F.col(c).eqNullSafe(F.col(f"__{c}")))
+    if top is not None:
+        named = named.withColumn("__n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "t"))).where(F.col("__n") <= top)
+    return named.select(*keys, "s", "t", "cosine")
+
+
+def neighbour_groups(df: DataFrame, keys: list[str], seq: str, seq_sim: float = 0.95, len_diff: int = 5, out: str = "seq_group", limit: float = COSINE_LIMIT, top: int | None = 20) -> DataFrame:
+    """sequence_groups, with candidates by the cosine of their k-mers: of each sequence only the `top` nearest are compared.
+
+    With all of them (top None) and a limit that no similar pair falls below, the groups are those of sequence_groups.
+    """
+    near = cosine_neighbours(df, keys, seq, limit, top)
+    alike = (F.abs(F.length("s") - F.length("t")) <= len_diff) & (similarity(F.col("s"), F.col("t")) >= seq_sim)
+    node = lambda c: F.struct(*keys, F.col(c).alias("s"))
+    parts = connected_components(near.where(alike).select(node("s").alias("src"), node("t").alias("dst")))
+    named = parts.select("node.*", F.col("component.s").alias(out)).withColumnRenamed("s", seq)
+    return df.join(named, [*keys, seq], "left").withColumn(out, F.coalesce(out, seq)).select(*df.columns, out)

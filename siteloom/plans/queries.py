@@ -470,6 +470,14 @@ def group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(able, "mm_group", "left").select("read_name", moved.alias("moved"), "mapping_class", F.when(several, "one of several").otherwise(F.col("chrom")).alias("chrom"), "start", "end")
 
 
+@query(f"""WITH {a.READS}, sq AS (SELECT DISTINCT family, seq1 AS s FROM reads), k AS (SELECT family, s, substr(s, i, 4) AS t, count(*) AS c FROM sq, range(1, 30) AS r(i) GROUP BY ALL), n AS (SELECT family, s, sum(c * c) AS q FROM k GROUP BY ALL),
+d AS (SELECT x.family, x.s, y.s AS t, sum(x.c * y.c) AS dot FROM k x JOIN k y ON x.family = y.family AND x.t = y.t AND x.s <> y.s GROUP BY ALL), c AS (SELECT d.*, dot / sqrt(a.q * b.q) AS cosine FROM d JOIN n a ON a.family = d.family AND a.s = d.s JOIN n b ON b.family = d.family AND b.s = d.t)
+SELECT family, s, t, round(cosine, 6) AS cosine FROM c WHERE cosine >= 0.8 - 1e-12 QUALIFY row_number() OVER (PARTITION BY family, s ORDER BY cosine DESC, t) <= 20""")
+def cosine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest sequences of each one by their 4-mers."""
+    return similarity.cosine_neighbours(a.reads(spark, sf_dir), ["family"], "seq1", 0.8).withColumn("cosine", F.round("cosine", 6))
+
+
 @query()
 def mispriming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _unique_reads(spark, sf_dir)

@@ -538,3 +538,29 @@ def test_suppression_as_the_walk(spark, fold, seed):
     got = finalpass.suppress(df, ["chrom", "strand"], 5, fold)
     assert sorted(map(tuple, got.collect())) == sorted(kept)
     assert finalpass.suppress(df.limit(0), ["chrom", "strand"], 5, fold).collect() == []
+
+
+@pytest.mark.parametrize("block, top, limit", [(1024, 20, 0.5), (7, 3, 0.3), (5, None, 0.7)])
+def test_cosine_neighbours_by_brute_force(spark, monkeypatch, block, top, limit):
+    monkeypatch.setattr(similarity, "COSINE_BLOCK", block)
+    rng = random.Random(block)
+    base = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(3)]
+    rows = [(mutated(rng, rng.choice(base), rng.randint(0, 12)), rng.choice("ab")) for _ in range(90)] + [("ACG", "a"), (None, "a")]
+    count = lambda s: {t: sum(s[i : i + 4] == t for i in range(len(s) - 3)) for t in {s[i : i + 4] for i in range(len(s) - 3)}}
+    dot = lambda x, y: sum(c * y.get(t, 0) for t, c in x.items())
+    want = set()
+    for key in "ab":
+        seqs = {s: count(s) for s, k in rows if k == key and s and len(s) > 3}
+        for s, x in seqs.items():
+            near = sorted((-dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5, t) for t, y in seqs.items() if t != s)
+            want |= {(key, s, t, round(-c, 9)) for c, t in [n for n in near if -n[0] >= limit][:top]}
+    df = spark.createDataFrame(rows, "seq string, grp string")
+    assert {(r.grp, r.s, r.t, round(r.cosine, 9)) for r in similarity.cosine_neighbours(df, ["grp"], "seq", limit, top).collect()} == want
+
+
+def test_neighbour_groups_as_the_exact_ones(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACGT") for _ in range(50)) for _ in range(6)]
+    df = spark.createDataFrame([(mutated(rng, rng.choice(base), rng.randint(0, 4)), "k") for _ in range(120)], "seq string, grp string")
+    groups = lambda f, **more: {(r.seq, r.seq_group) for r in f(df, ["grp"], "seq", 0.9, 5, **more).collect()}
+    assert groups(similarity.neighbour_groups, limit=0.4, top=None) == groups(similarity.sequence_groups)
