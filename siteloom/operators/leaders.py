@@ -6,6 +6,8 @@ leads is decided side by side: a sequence only has to wait for those before it t
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -85,12 +87,13 @@ def nearest_leaders(seqs: list[str], leaders: list[str], seq_sim: float) -> tupl
             continue
         cuts, place_of = np.unique([leaders[k][:n] for k in able], return_inverse=True)
         theirs = letters(cuts.tolist(), n)
+        order = [(len(leaders[k]), leaders[k]) for k in able]  # rising, and those after a sequence's own place go before it
         step = max(1, PAIRS // len(cuts))
         for first in range(0, len(own), step):
             some = own[first : first + step]
             mine = letters([seqs[k] for k in some], n)
             far = edits_within(np.repeat(mine, len(cuts), 0), np.tile(theirs, (len(some), 1)), most).reshape(len(some), -1)[:, place_of]
-            before = np.array([[(len(leaders[k]), leaders[k]) > (n, seqs[j]) for k in able] for j in some])
+            before = np.arange(len(able))[None, :] >= np.array([bisect_right(order, (n, seqs[j])) for j in some])[:, None]
             far = np.where(before, far, most + 1)
             at = far.argmin(1)  # the first of equal ones
             for j, a, d in zip(some, at, far[np.arange(len(some)), at]):
