@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from siteloom.functions.sequences import natural_key
 from siteloom.operators.intervals import runs
+from siteloom.session import numbered
 
 
 def peak_sites(counts: DataFrame, stranded: bool = False, alpha: float = 0.05) -> DataFrame:
@@ -50,3 +52,9 @@ def peaks(sites: DataFrame, window: int = 25, stranded: bool = False, least_site
     )
     kept = got.where((F.col("n_sites") >= least_sites) & (F.lit(stranded) | (F.col("has_plus") & F.col("has_minus"))))
     return kept.select("chrom", "start", "end", (F.col("one") if stranded else F.lit(".")).alias("strand"), "count", "n_sites", "apex", "apex_count")
+
+
+def named(found: DataFrame) -> DataFrame:
+    """Peaks with `name`, peak_1, peak_2, ... in the natural order of chromosomes, then by start and strand. They are sorted in ranges, not in one task."""
+    at = numbered(found, [natural_key(F.col("chrom")), "chrom", "start", "strand"], "__n")
+    return at.withColumn("name", F.concat(F.lit("peak_"), (F.col("__n") + 1).cast("string"))).drop("__n")

@@ -75,6 +75,13 @@ def unique_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.unique_fuzzy(a.fragments(spark, sf_dir))[0].select(*_COLS)
 
 
+@query(f"""WITH RECURSIVE {_GROUPS}, r AS (SELECT * REPLACE ('N' AS ltr_umi, 'N' AS linker_umi), {_SUM.format(k="chrom, strand, grp", o='count DESC, map_qual DESC, mean_qual DESC')} FROM grouped) SELECT {_KEPT} FROM r WHERE n = 1""")
+def no_umi_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments without UMIs: a tolerance group is one cluster."""
+    none = a.fragments(spark, sf_dir).withColumn("ltr_umi", F.lit("N")).withColumn("linker_umi", F.lit("N"))
+    return dedup.unique_fuzzy(none)[0].select(*_COLS)
+
+
 _PROJECT = """CASE WHEN strand = '-' THEN "end" - 4 - 1 ELSE start + 4 END AS site_start, CASE WHEN strand = '-' THEN "end" - 4 ELSE start + 4 + 1 END AS site_end, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS site_strand"""
 
 
@@ -170,6 +177,12 @@ def peaks_unstranded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.peaks(peaks.peak_sites(_event_counts(spark, sf_dir)), 25)
 
 
+@query(f"""WITH {_UNSTRANDED}, gr AS (SELECT *, sum(cut) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM lg), pk AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM gr GROUP BY chrom, g HAVING count(*) FILTER (good) > 2 AND bool_or(good AND plus) AND bool_or(good AND minus))
+SELECT concat('peak_', row_number() OVER (ORDER BY chrom, start)) AS name, chrom, start, "end" FROM pk""")
+def peaks_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.named(peaks.peaks(peaks.peak_sites(_event_counts(spark, sf_dir)), 25)).select("name", "chrom", "start", "end")
+
+
 @query(f"""WITH {_EVENTS}, st AS (SELECT chrom, CASE WHEN site_strand = '-' THEN site_end ELSE site_start END AS start, site_end AS "end", site_strand AS strand, fragments AS c FROM ec),
 lg AS (SELECT *, CASE WHEN start - lag("end") OVER w <= 25 AND strand = lag(strand) OVER w THEN 0 ELSE 1 END AS cut FROM st WINDOW w AS (PARTITION BY chrom ORDER BY start, CASE WHEN strand = '-' THEN 0 ELSE 1 END)),
 gr AS (SELECT *, sum(cut) OVER (PARTITION BY chrom ORDER BY start, CASE WHEN strand = '-' THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS g FROM lg)

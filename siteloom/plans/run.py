@@ -77,7 +77,7 @@ def run(alignments: DataFrame, p: Params, genome: DataFrame | None = None, featu
     final = checkpointed(final)
     placed = sites.project_sites(final, p.tsd, p.U3)
     counts = checkpointed(sites.site_counts(placed))
-    found = peaks.peaks(peaks.peak_sites(counts, p.stranded_peaks, p.peak_alpha), p.peak_win, p.stranded_peaks) if p.write_peaks else None
+    found = peaks.named(peaks.peaks(peaks.peak_sites(counts, p.stranded_peaks, p.peak_alpha), p.peak_win, p.stranded_peaks)) if p.write_peaks else None
     theta = checkpointed(abundance.abundance(placed)) if p.mle else None
     units = annotated_units(counts, placed, found, theta) if features is not None else None
     return Result(
@@ -134,7 +134,7 @@ def write_result(result: Result, path: str, compare: bool = True) -> None:
     files.write_duplicates(result.duplicates, f"{path}/removed/duplicates")
     if result.misprimed is not None:
         files.write_text(mispriming.misprimed_fasta(result.misprimed), f"{path}/removed/misprimed")
-    bed(result.peaks, "peaks/peaks", ["chrom", "start", "end", "count", "n_sites", "strand", "apex"])
+    bed(result.peaks, "peaks/peaks", ["chrom", "start", "end", "name", "count", "n_sites", "strand", "apex"])
     if compare:
         bed(result.overlaps, "comparisons/overlaps", ["chrom", "site_start", "site_end", "weight", "n_overlaps"], True)
         bed(result.nearest, "comparisons/nearest", ["chrom", "site_start", "site_end", "weight", "feature", "distance"], True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Most rows of a counted side that is broadcast.
 BROADCAST_ROWS = 200_000
@@ -39,14 +39,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: str | Column | list, name: str) -> DataFrame:
     """df with `name`, the place of each row in the order, from 0. Rows are sorted in ranges; only the sizes of partitions are collected."""
-    at = checkpointed(df.orderBy(order).withColumn(name, F.monotonically_increasing_id()))
+    at = checkpointed(df.orderBy(*(order if isinstance(order, list) else [order])).withColumn(name, F.monotonically_increasing_id()))
     part = F.shiftright(name, 33)
     up, first = 0, []
     for r in sorted(at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
         first.append((r.part, up))
         up += r.n
+    if not first:
+        return at
     starts = df.sparkSession.createDataFrame(first, "part long, first long")
     return at.withColumn("__part", part).join(F.broadcast(starts.withColumnRenamed("part", "__part")), "__part").withColumn(name, F.col("first") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "first")
 
