@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,33 @@ def test_scalars(spark):
     assert sequences.umi_pattern("NNATN") == "[ATGC]{2}AT[ATGC]{1}"
 
 
+def test_annotation_of_many_rows_at_few_places(spark):
+    """60,000 sites and 60,000 features of one bin: 3.6 billion pairs, if they met."""
+    s = spark.range(60_000).select(F.col("id").alias("site_id"), F.lit("a").alias("chrom"), (F.col("id") % 300).alias("site_start"), (F.col("id") % 300 + 1).alias("site_end"))
+    f = spark.range(60_000).select(F.lit("a").alias("chrom"), (F.col("id") % 200).alias("start"), (F.col("id") % 200 + 50).alias("end"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
+    began = time.time()
+    over = annotate.overlaps(s, f).groupBy("site_start", "n_overlaps").count().collect()
+    near = annotate.nearest(s, f).groupBy("site_start", "distance", "feature").count().collect()
+    assert time.time() - began < 60
+    assert sorted((r[0], r[1]) for r in over) == [(p, 300 * sum(x <= p < x + 50 for x in range(200))) for p in range(300)] and {r[2] for r in over} == {200}
+    first = lambda p: (0, max(0, p - 49)) if p < 249 else (p - 249 + 1, 199)
+    assert sorted((r[0], r[1], r[2]) for r in near) == [(p, first(p)[0], f"f{first(p)[1]:09d}") for p in range(300)] and {r[3] for r in near} == {200}
+
+
+def test_annotation_of_empty_and_turned_intervals(spark):
+    rng = random.Random(4)
+    s = [(k, rng.choice(["a", "b", None]), p, p + rng.choice([-5, -1, 0, 0, 1, 7])) for k in range(300) for p in [rng.randrange(-20, 60)]]
+    f = [(rng.choice(["a", "b", None]), p, p + rng.choice([-6, -1, 0, 0, 1, 2, 40]), f"f{k}") for k in range(80) for p in [rng.randrange(-20, 60)]]
+    sd, fd = spark.createDataFrame(s, "site_id long, chrom string, site_start long, site_end long"), spark.createDataFrame(f, "chrom string, start long, end long, name string")
+    over = {r.site_id: r.n_overlaps for r in annotate.overlaps(sd, fd, 16).collect()}
+    near = {r.site_id: (r.distance, r.feature) for r in annotate.nearest(sd, fd, 16).collect()}
+    for k, c, a, b in s:
+        own = [(x, y, n) for d, x, y, n in f if c is not None and d == c]
+        met = [o for o in own if a < o[1] and o[0] < b]
+        assert over[k] == len(met)
+        assert near[k] == (None, None) if not own else near[k] == (0, min(met)[2]) if met else near[k][1] is not None
+
+
 def test_annotation_by_brute_force(spark):
     rng = random.Random(9)
     s = [(k, rng.choice("ab"), p, p + 1) for k in range(200) for p in [rng.randrange(60000)]]
