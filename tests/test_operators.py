@@ -117,6 +117,23 @@ def test_scalars(spark):
     assert sequences.umi_pattern("NNATN") == "[ATGC]{2}AT[ATGC]{1}"
 
 
+def test_runs_of_rows_a_gap_apart(spark):
+    """Rows exactly a gap apart are of two runs, ones a microsecond nearer of one."""
+    from siteloom.streaming.dedup import gap_runs
+
+    rows = [("a", 0.0), ("a", 3600.0), ("a", 7199.0), ("b", 0.0), ("b", 3599.999999), ("b", 0.0)]
+    got = gap_runs(spark.createDataFrame(rows, "k string, t double").withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long"))), "ts", "3600 seconds", ["k"])
+    of = lambda c: F.unix_micros(c)
+    assert sorted(map(tuple, got.select("k", of("start"), of("end"), "n").collect())) == [("a", 0, 3_600_000_000, 1), ("a", 3_600_000_000, 10_799_000_000, 2), ("b", 0, 7_199_999_999, 3)]
+
+
+def test_first_round_of_very_frequent_sites(spark):
+    """The curvature of a site with very many fragments is below all doubles; its step goes to infinity, not to an error."""
+    cells = [("s", "a", 1, "+", length, n) for length, n in ((30, 40_000), (31, 40_000))] + [("s", "b", 1, "+", 30, 2)]
+    got = {r.chrom: r for r in abundance.first_round(spark.createDataFrame(cells, "sample string, chrom string, site_start long, site_strand string, length int, n long"), ["sample"]).collect()}
+    assert got["a"].next == float("inf") and 0 < got["a"].grad < 1e5 and 0 < got["b"].next < 100
+
+
 def test_annotation_of_many_rows_at_few_places(spark):
     """60,000 sites and 60,000 features of one bin: 3.6 billion pairs, if they met."""
     s = spark.range(60_000).select(F.col("id").alias("site_id"), F.lit("a").alias("chrom"), (F.col("id") % 300).alias("site_start"), (F.col("id") % 300 + 1).alias("site_end"))
