@@ -285,7 +285,10 @@ def first_round(cells: DataFrame, by: list[str] = []) -> DataFrame:
     lists = phi.groupBy(*by).agg(F.array_sort(F.collect_list("phi")).alias("phis"))  # one number for each length
     at = grad.join(F.broadcast(lists), by) if by else grad.crossJoin(F.broadcast(lists))
     bend = F.aggregate("phis", F.lit(0.0), lambda s, p: s + p * p / (F.exp(p * F.col("theta")) - 1))
-    return at.select(*by, *_PLACE, "theta", "grad", F.greatest(F.col("theta") + F.col("grad") / bend, F.lit(_EPS)).alias("next"))
+    # where all of exp(phi * theta) pass the doubles the curvature is zero, and the step as long as doubles can say
+    step = lambda b: F.when(b != 0, F.try_divide(F.col("grad"), b)).otherwise(F.col("grad") * F.lit(float("inf")))
+    bent = F.get(F.transform(F.array(bend), step), F.lit(0))
+    return at.select(*by, *_PLACE, "theta", "grad", F.greatest(F.col("theta") + bent, F.lit(_EPS)).alias("next"))
 
 
 def abundance(sites: DataFrame, by: str | None = None, rounds: int = MOST_ROUNDS) -> DataFrame:
