@@ -80,14 +80,14 @@ def _near_signatures(most: float, width: int):
     return opened
 
 
-def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits: int = 32, rows: int | None = None) -> DataFrame:
-    """(id_col, component): rows whose signatures differ in at most len * bits * (1 - hash_sim) / 2 bits, and chains of them;
+def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits: int = 32, rows: int | None = None, keep: list[str] = []) -> DataFrame:
+    """(id_col, keep, component): rows whose signatures differ in at most len * bits * (1 - hash_sim) / 2 bits, and chains of them;
     component is the smallest id. Signatures are of one length; rows without one are left out.
 
     Candidates meet in bands of `rows` values, by default as many as miss a pair at the limit with a chance of
     at most MISS; equal signatures are one node. The limit itself is exact, and no table of pairs is made.
     """
-    df = checkpointed(df.select(id_col, sig))  # signatures are costly, and the optimiser would make them anew for each use
+    df = checkpointed(df.select(id_col, *keep, sig))  # signatures are costly, and the optimiser would make them anew for each use
     nodes = df.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(id_col).alias("rep"))
     nodes = checkpointed(nodes.select("sig", "rep", F.monotonically_increasing_id().alias("node")))
     rows = rows or band_rows(hash_sim, nodes.agg(F.max(F.size("sig"))).first()[0] or 1)
@@ -97,7 +97,15 @@ def signature_groups(df: DataFrame, id_col: str, sig: str, hash_sim: float, bits
     named = nodes.join(links, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("rep").alias("component"))
     named = named.select("sig", "part").join(least, "part").select(F.col("sig").alias(sig), "component")
-    return df.join(named, sig).select(id_col, "component")
+    return df.join(named, sig).select(id_col, *keep, "component")
+
+
+def minhash_groups(df: DataFrame, id_col: str, seq: str, hash_sim: float, token: int = 4, window: int | None = None, num_perm: int = 128, bits: int = 32) -> DataFrame:
+    """(id_col, component): signature_groups of the MinHash signatures of sequences. A sequence is signed once, whatever number of rows have it; rows without tokens are left out."""
+    one = df.where(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("__seq")).agg(F.min(id_col).alias("__first"))
+    signed = minimizers(one, "__seq", token, window or token, "__tokens").withColumn("__sig", minhash(F.col("__tokens"), num_perm, bits))
+    parts = signature_groups(signed, "__first", "__sig", hash_sim, bits, keep=["__seq"])
+    return df.select(id_col, F.col(seq).alias("__seq")).join(parts, "__seq").select(id_col, "component")
 
 
 def compare_sequence(seq_sim: float) -> Column:
@@ -141,8 +149,8 @@ def multi_fuzzy(df: DataFrame, group: list[str], seq_sim: float = 0.95, len_diff
 
 def multi_dedup(df: DataFrame, seq_sim: float = 0.95, token: int = 4, window: int | None = None, num_perm: int = 128, len_diff: int = 5, frag_ratio: float = 2.0, hash_sim: float | None = None, bits: int = 32) -> tuple[DataFrame, DataFrame]:
     """multi_fuzzy within groups of MinHash signatures."""
-    named = checkpointed(minimizers(df.withColumn("__compare", compare_sequence(seq_sim)), "__compare", token, window or token, "__tokens").withColumn("__sig", minhash(F.col("__tokens"), num_perm, bits)).drop("__tokens", "__compare"))
-    parts = signature_groups(named, "read_name", "__sig", default_hash_similarity(seq_sim, token) if hash_sim is None else hash_sim, bits)
+    named = checkpointed(df.withColumn("__compare", compare_sequence(seq_sim)))
+    parts = minhash_groups(named, "read_name", "__compare", default_hash_similarity(seq_sim, token) if hash_sim is None else hash_sim, token, window, num_perm, bits)
     grouped = named.join(parts, "read_name", "left").withColumn("__coarse", F.coalesce("component", "read_name")).select(*df.columns, "__coarse")
     kept, dup = multi_fuzzy(grouped, ["__coarse"], seq_sim, len_diff, frag_ratio)
     return kept.select(*df.columns), dup

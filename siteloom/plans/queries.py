@@ -248,8 +248,7 @@ sg AS (SELECT family, s, i, min((a * x + b) % 4294967311) & 4294967295 AS v FROM
 rc(family, a, b) AS (SELECT family, s, s FROM sq UNION SELECT rc.family, rc.a, ed.b FROM rc JOIN ed ON rc.family = ed.family AND rc.b = ed.a), lo AS (SELECT rc.family, rc.a AS s, min(r.read_name) AS component FROM rc JOIN reads r ON r.family = rc.family AND r.seq1 = rc.b GROUP BY ALL)
 SELECT read_name, component FROM reads JOIN lo ON reads.family = lo.family AND reads.seq1 = lo.s""")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = similarity.minimizers(a.reads(spark, sf_dir), "seq1", 4, 4).withColumn("sig", similarity.minhash(F.col("tokens"), 128))
-    return similarity.signature_groups(signed, "read_name", "sig", similarity.default_hash_similarity(0.95, 4))
+    return similarity.minhash_groups(a.reads(spark, sf_dir), "read_name", "seq1", similarity.default_hash_similarity(0.95, 4), 4, 4, 128)
 
 
 @query(f"""WITH RECURSIVE {a.READS}, rk AS (SELECT *, {_SUM.format(k="ltr_umi, linker_umi, seq1, seq2", o='map_qual DESC, mean_qual DESC')} FROM reads), ex AS (SELECT * EXCLUDE (count, total, n), total AS count FROM rk WHERE n = 1),

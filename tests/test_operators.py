@@ -134,6 +134,18 @@ def test_first_round_of_very_frequent_sites(spark):
     assert got["a"].next == float("inf") and 0 < got["a"].grad < 1e5 and 0 < got["b"].next < 100
 
 
+def test_minhash_groups_sign_a_sequence_once(spark):
+    """120,000 rows of 40 sequences: signed row by row they take minutes."""
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACGT", k=32)) for _ in range(40)]
+    named = spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k long, seq string")
+    rows = spark.range(120_000).withColumn("k", F.col("id") % 41).join(F.broadcast(named), "k", "left").select("id", "seq").repartition(8)
+    began = time.time()
+    got = similarity.minhash_groups(rows, "id", "seq", 0.9).groupBy("component").count().collect()
+    assert time.time() - began < 40
+    assert sorted(map(tuple, got)) == [(k, len(range(k, 120_000, 41))) for k in range(40)]
+
+
 def test_annotation_of_many_rows_at_few_places(spark):
     """60,000 sites and 60,000 features of one bin: 3.6 billion pairs, if they met."""
     s = spark.range(60_000).select(F.col("id").alias("site_id"), F.lit("a").alias("chrom"), (F.col("id") % 300).alias("site_start"), (F.col("id") % 300 + 1).alias("site_end"))
