@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -64,14 +65,16 @@ def adapter_match(df: DataFrame, seq: str, adapters: list[str], out: str, **opti
         for batch in batches:
             for part in _slices(batch, seq):
                 reads = part.column(seq).to_pylist()
-                found: list = [None] * len(reads)
+                found = np.full((len(reads), 3), -1, np.int64)
                 for adapter in adapters:
-                    open_ = [k for k, r in enumerate(reads) if r and found[k] is None]
-                    for k, (n, a, b) in zip(open_, find_adapter([reads[k] for k in open_], adapter, **options).tolist() if open_ else []):
-                        if n >= 0:
-                            r = reads[k]
-                            found[k] = {"n_err": n, "start": a, "end": b, "before": r[:a], "matched": r[a:b], "after": r[b:]}
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, arrow.field(out).type)], schema=arrow)
+                    open_ = [k for k, (r, n) in enumerate(zip(reads, found[:, 0])) if r and n < 0]
+                    if open_:
+                        found[open_] = find_adapter([reads[k] for k in open_], adapter, **options)
+                cuts = [(r, s, e) if n >= 0 else ("", 0, 0) for r, (n, s, e) in zip(reads, found.tolist())]
+                cols = [*found.T, [r[:s] for r, s, _ in cuts], [r[s:e] for r, s, e in cuts], [r[e:] for r, _, e in cuts]]
+                kind = arrow.field(out).type
+                match = pa.StructArray.from_arrays([pa.array(c, kind.field(k).type) for k, c in enumerate(cols)], fields=list(kind), mask=pa.array(found[:, 0] < 0))
+                yield pa.RecordBatch.from_arrays([*part.columns, match], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

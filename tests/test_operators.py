@@ -146,6 +146,20 @@ def test_minhash_groups_sign_a_sequence_once(spark):
     assert sorted(map(tuple, got)) == [(k, len(range(k, 120_000, 41))) for k in range(40)]
 
 
+def test_adapters_without_errors_are_looked_up():
+    """The same as by the table of an alignment, which a doubtful letter in the adapter asks for, without making one for each of 200,000 reads."""
+    rng = random.Random(8)
+    adapter = "GTCATTGCACAGTC"
+    reads = ["".join(rng.choices("ACGT", k=rng.randrange(1, 60))) + rng.choice(["", adapter, adapter[: rng.randrange(14)], adapter + "AC" + adapter]) + rng.choice(["", "", "ACCA"]) for _ in range(2000)]
+    for options in ({}, {"leftmost": True}, {"three_prime": True, "min_overlap": 5, "leftmost": True}, {"three_prime": True}):
+        got = align.find_adapter(reads, adapter, 0.0, **options)
+        table = align.find_adapter([r.replace("G", "?") for r in reads], adapter.replace("G", "?"), 0.0, **options)
+        assert (got == table).all() and (got[:, 0] >= 0).any()
+    began = time.time()
+    assert (align.find_adapter(reads * 100, adapter, 0.0)[:, 0] == 0).sum() == 100 * sum(adapter in r for r in reads)
+    assert time.time() - began < 3
+
+
 def test_annotation_of_many_rows_at_few_places(spark):
     """60,000 sites and 60,000 features of one bin: 3.6 billion pairs, if they met."""
     s = spark.range(60_000).select(F.col("id").alias("site_id"), F.lit("a").alias("chrom"), (F.col("id") % 300).alias("site_start"), (F.col("id") % 300 + 1).alias("site_end"))
