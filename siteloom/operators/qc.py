@@ -120,10 +120,11 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def proper_pairs(alignments: DataFrame, remove: list[str] = []) -> DataFrame:
     """Mates of pairs that have one row of each mate on one reference and opposite strands; a removed chromosome takes both mates."""
+    # smallest and largest values, as distinct ones would be counted over a row for each of them
     names = alignments.groupBy("read_name").agg(
-        F.sum((F.col("mate") == 1).cast("int")).alias("n1"), F.sum((F.col("mate") == 2).cast("int")).alias("n2"), F.count_distinct("ref").alias("refs"), F.count_distinct("strand").alias("strands"), F.bool_or(F.col("ref").isin(remove) if remove else F.lit(False)).alias("out")
+        F.sum((F.col("mate") == 1).cast("int")).alias("n1"), F.sum((F.col("mate") == 2).cast("int")).alias("n2"), (F.min("ref") == F.max("ref")).alias("one_ref"), (F.min("strand") < F.max("strand")).alias("both_strands"), F.bool_or(F.col("ref").isin(remove) if remove else F.lit(False)).alias("out")
     )
-    return alignments.join(names.where("n1 = 1 and n2 = 1 and refs = 1 and strands = 2 and not out").select("read_name"), "read_name", "left_semi")
+    return alignments.join(names.where("n1 = 1 and n2 = 1 and one_ref and both_strands and not out").select("read_name"), "read_name", "left_semi")
 
 
 def first_records(alignments: DataFrame, order: str = "ord") -> DataFrame:

@@ -160,6 +160,14 @@ def test_adapters_without_errors_are_looked_up():
     assert time.time() - began < 3
 
 
+def test_proper_pairs_send_each_name_once(spark):
+    """Distinct counts would send three rows for each row of a name."""
+    rows = [("a", 1, "x", "+"), ("a", 2, "x", "-"), ("b", 1, "x", "+"), ("b", 2, "y", "-"), ("c", 1, "x", "+"), ("c", 2, "x", "+"), ("d", 1, None, "+"), ("d", 2, None, "-"), ("e", 1, "x", "+"), ("e", 1, "x", "-"), ("f", 1, "z", "+"), ("f", 2, "z", "-"), ("g", 1, "x", "-"), ("g", 2, None, "+")]
+    got = qc.proper_pairs(spark.createDataFrame(rows, "read_name string, mate int, ref string, strand string"), ["z"])
+    assert sorted(r.read_name for r in got.collect()) == ["a", "a", "g", "g"]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_annotation_of_many_rows_at_few_places(spark):
     """60,000 sites and 60,000 features of one bin: 3.6 billion pairs, if they met."""
     s = spark.range(60_000).select(F.col("id").alias("site_id"), F.lit("a").alias("chrom"), (F.col("id") % 300).alias("site_start"), (F.col("id") % 300 + 1).alias("site_end"))
