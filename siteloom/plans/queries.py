@@ -667,7 +667,7 @@ SELECT sample, 1 AS mate, read_name, seq1 AS seq, repeat('I', length(seq1)) AS q
 def sample_fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demultiplexed reads, written as FASTQ of each sample and mate, and read again."""
     path = _folder(spark)
-    r = barcode_demux(spark, sf_dir).join(a.reads(spark, sf_dir).select("read_name", "seq1"), "read_name").withColumn("sample", F.coalesce("sample", F.lit("un known/x")))
+    r = demux.index_demux(a.reads(spark, sf_dir), F.substring("seq1", 1, 4), _barcodes(spark), error_rate=0.25).withColumn("sample", F.coalesce("sample", F.lit("un known/x")))
     files.write_sample_fastq(r.select("sample", "read_name", "seq1", F.expr("repeat('I', length(seq1))").alias("qual1"), F.reverse("seq1").alias("seq2"), F.expr("repeat('J', length(seq1))").alias("qual2")), path)
     return files.read_sample_fastq(spark, path).select("sample", "mate", "read_name", "seq", "qual")
 

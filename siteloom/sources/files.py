@@ -5,11 +5,14 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from siteloom.session import broadcast_if_small, checkpointed, ship
+from siteloom.session import BROADCAST_ROWS, broadcast_if_small, checkpointed, ship
 from siteloom.sources import bam
 
 #: Files of one sample and mate, at most.
@@ -56,26 +59,74 @@ def _streamed(spark: SparkSession, odd: list[tuple[str, bool]]) -> DataFrame:
     return spark.createDataFrame(odd, "path string, packed boolean").repartition(len(odd)).mapInPandas(run, "file string, at long, value string")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): lines with their number within the file.
+def _split_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(file, at, value, up, n): lines with their number within the file, and of their split the lines before it in the file and its own. The rows of a
+    split lie in one partition, in order. And (up, n) of the splits.
 
     Lines are counted by split first, so a file that is read in several splits is numbered
     without passing through one task.
     """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    per = per.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    splits = checkpointed(per)  # a row for each split
+    few = splits.count() <= BROADCAST_ROWS
+    got = raw.join(F.broadcast(splits) if few else splits, ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value", "up", "n")
+    return got if few else got.sortWithinPartitions("file", "at"), splits.select("up", "n")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): lines with their number within the file."""
     named, odd = misnamed(spark, path)
     if odd and not named:
         return _streamed(spark, odd)
-    raw = spark.read.text(named if odd else path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    per = per.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    got = raw.join(broadcast_if_small(per.select("file", "block", "first", "up")), ["file", "block"]).select("file", (F.col("up") + F.col("id") - F.col("first")).alias("at"), "value")  # a row for each split
+    got = _split_lines(spark, named if odd else path)[0].select("file", "at", "value")
     return got.unionByName(_streamed(spark, odd)) if odd else got
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, record, header, seq, qual) of lines (file, at, value) in the order of their files; what the last record of a file lacks is null."""
+
+    def whole(rows: pa.Table, at: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        lines, end = rows.column("value"), np.append(start[1:], len(at))
+        line = lambda k: lines.take(pa.array(np.minimum(start + k, len(at) - 1), mask=start + k >= end)).combine_chunks()
+        return pa.RecordBatch.from_arrays([rows.column("file").take(pa.array(start)).combine_chunks(), pa.array(at[start] // 4), line(0), line(1), line(3)], names=["file", "record", "header", "seq", "qual"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        at = rows.column("at").to_numpy()
+        start = np.flatnonzero(at % 4 == 0)
+        held = rows.slice(start[-1])  # the last record may go on in the next batch: four lines at most
+        if len(start) > 1:
+            yield whole(rows.slice(0, start[-1]), at[: start[-1]], start[:-1])
+    if held is not None:
+        yield whole(held.combine_chunks(), held.column("at").to_numpy(), np.zeros(1, int))
+
+
+def _fastq_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, header, seq, qual). Lines are put together as they are read, without a sort or a shuffle; only the records that the end of a split cuts are gathered by their number."""
+    named, odd = misnamed(spark, path)
+    form = lambda df: df.select("file", "at", "value").mapInArrow(_records, "file string, record long, header string, seq string, qual string")
+    if odd and not named:
+        return form(_streamed(spark, odd))
+    lines, splits = _split_lines(spark, named if odd else path)
+    if splits.where("up % 4 <> 0 or (up + n) % 4 <> 0").limit(1).count():
+        record = F.floor(F.col("at") / 4)
+        cut = (record * 4 < F.col("up")) | (record * 4 + 4 > F.col("up") + F.col("n"))
+        ends = lines.where(cut).groupBy("file", record.alias("record")).agg(*[F.max(F.when(F.col("at") % 4 == k, F.col("value"))).alias(c) for k, c in ((0, "header"), (1, "seq"), (3, "qual"))])
+        got = form(lines.where(~cut)).unionByName(ends)
+    else:
+        got = form(lines)
+    return got.unionByName(form(_streamed(spark, odd))) if odd else got
+
+
 def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(file, record, read_name, comment, seq, qual). A number of lines that four doesn't divide is an error if strict."""
-    lines = _lines(spark, path)
-    got = lines.groupBy("file", F.floor(F.col("at") / 4).alias("record")).agg(*[F.max(F.when(F.col("at") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("header", "seq", "plus", "qual"))])
+    got = _fastq_lines(spark, path)
     bad = F.col("seq").isNull() | F.col("qual").isNull()
     if strict:  # a record that lacks a line stops the read
         got = got.withColumn("seq", F.when(bad, F.raise_error(F.lit("FASTQ: the number of lines is no multiple of four")).cast("string")).otherwise(F.col("seq")))

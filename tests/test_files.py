@@ -22,6 +22,31 @@ def test_fastq(spark, tmp_path):
         files.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
 
 
+def test_fastq_is_read_without_sorting_lines(spark, tmp_path):
+    """Records over Arrow batches, packed files of one task and the ends of splits; a record is put together where its lines are read."""
+    want = {f"r{k}": ("ACGT"[k % 4] * (1 + k % 90), "@I"[k % 2] * (1 + k % 90)) for k in range(30_000)}
+    text = lambda names: "".join(f"@{n} c\n{want[n][0]}\n+\n{want[n][1]}\n" for n in names)
+    names = list(want)
+    (tmp_path / "packed").mkdir()
+    for k in range(3):
+        (tmp_path / "packed" / f"{k}.fastq.gz").write_bytes(gzip.compress(text(names[k::3]).encode()))
+    (tmp_path / "plain.fastq").write_text(text(names))
+    read = files.read_fastq(spark, str(tmp_path / "packed"))
+    assert "Aggregate" not in read._jdf.queryExecution().executedPlan().toString()
+    assert {r.read_name: (r.seq, r.qual) for r in read.collect()} == want and read.count() == len(want)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_001)
+    try:
+        got = files.read_fastq(spark, str(tmp_path / "plain.fastq")).collect()
+        (tmp_path / "short.fastq").write_text(text(names) + "@last\nA\n")
+        with pytest.raises(Exception, match="four"):
+            files.read_fastq(spark, str(tmp_path / "short.fastq")).collect()
+        assert files.read_fastq(spark, str(tmp_path / "short.fastq"), strict=False).count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.read_name: (r.seq, r.qual) for r in got} == want and sorted(r.record for r in got) == list(range(len(want)))
+
+
 def test_fasta_bed_sam(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">s1 x\nACG\ntac\n>s2\nGGG\n")
     assert [(r.sample, r.barcode) for r in files.read_barcodes(spark, str(tmp_path / "a.fa")).orderBy("ord").collect()] == [("s1", "ACGTAC"), ("s2", "GGG")]
