@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import align, sequences
 from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, mispriming, peaks, qc, reassign, similarity, sites
 from siteloom.operators.graph import connected_components
+from siteloom.plans import adapters
 
 FRAG = "read_name string, chrom string, strand string, start long, end long, count long, ltr_umi string, linker_umi string, map_qual int, mean_qual double"
 
@@ -643,3 +644,12 @@ def test_neighbour_groups_as_the_exact_ones(spark):
     df = spark.createDataFrame([(mutated(rng, rng.choice(base), rng.randint(0, 4)), "k") for _ in range(120)], "seq string, grp string")
     groups = lambda f, **more: {(r.seq, r.seq_group) for r in f(df, ["grp"], "seq", 0.9, 5, **more).collect()}
     assert groups(similarity.neighbour_groups, limit=0.4, top=None) == groups(similarity.sequence_groups)
+
+
+def test_qualities_of_the_views_are_looked_up(spark):
+    """Also of keys and sizes that the rows of the table don't hold."""
+    rows = [(k, n) for k in [*range(0, 2300, 7), 10**12 + 3, -5, None] for n in (1, 30, 61, 89, 90, 95, 130)]
+    df = spark.createDataFrame(rows, "k long, n int").repartition(4)
+    one = adapters._quals(F.col("k"), F.col("n"))
+    old = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: ((i + F.col("k")) % (8 + F.col("k") % 30) + 3).cast("int"))
+    assert df.where(~one.eqNullSafe(old)).count() == 0 and df.where(one.isNotNull()).count() == len(rows)
