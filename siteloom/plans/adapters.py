@@ -83,6 +83,14 @@ def _quals(k, size):
     return F.when((k >= 0) & size.between(1, 90), cut).otherwise(F.transform(F.sequence(F.lit(1), size), lambda i: ((i + k) % m + 3).cast("int")))
 
 
+def quality_letters(k, size):
+    """The letters of _quals in SAM and FASTQ text, likewise a piece of a string, one for each divisor."""
+    texts = F.split(F.lit(" ".join("".join(chr(j % m + 36) for j in range(128)) for m in range(8, 38))), " ")
+    m = 8 + k % 30
+    cut = F.substr(F.get(texts, (m - 8).cast("int")), ((k + 1) % m + 1).cast("int"), size)
+    return F.when((k >= 0) & size.between(1, 90), cut).otherwise(F.array_join(F.transform(_quals(k, size), lambda q: F.char(q + 33)), ""))
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as alignments of two mates each."""
     line = table(spark, sf_dir, "lineitem")

@@ -657,7 +657,7 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.substr(F.lit("MIDNSHP=X"), c["op"] + 1, F.lit(1)))), "")
     tag = lambda name, c: F.concat(F.lit(f"{name}:i:"), F.col(c).cast("string"))
     line = F.concat_ws("\t", "read_name", flag.cast("string"), "ref", (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), cigar, F.lit("="), F.lit("0"), F.col("tlen").cast("string"), "seq",
-                       F.array_join(F.transform("quals", lambda q: F.char(q + 33)), ""), F.concat(F.lit("MD:Z:"), "md"), tag("NM", "nm"), tag("XM", "xm"), tag("AS", "score"), tag("XS", "second"))
+                       a.quality_letters(F.col("start"), (F.col("end") - F.col("start")).cast("int")), F.concat(F.lit("MD:Z:"), "md"), tag("NM", "nm"), tag("XM", "xm"), tag("AS", "score"), tag("XS", "second"))
     files.write_text(spark.createDataFrame([("@HD\tVN:1.6",)], "value string").unionByName(al.select(line.alias("value"))), path)
     return files.read_sam(spark, path).select("read_name", "mate", "ref", "start", "end", "strand", "mapq", F.size("cigar").alias("operations"), "md", "nm", F.coalesce("xm", F.lit(-1)).alias("xm"), "score", F.coalesce("second", F.lit(-99)).alias("second"), "seq", "tlen", "primary")
 

@@ -237,21 +237,39 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return parse_sam(_lines(spark, path))
 
 
+def _operations(cigar: Column) -> Column:
+    """(op, len) of each operation of a CIGAR. Where it holds nothing but numbers and letters in turn, it is cut at them; else what looks like operations is searched."""
+    letters, digits = "MIDNSHP=X", "0123456789"
+    spaced = F.translate(cigar, letters, " " * 9)
+    plain = (F.translate(cigar, letters + digits, "") == "") & spaced.endswith(" ") & ~F.concat(F.lit(" "), spaced).contains("  ")
+    kind = "array<struct<op:int,len:int>>"
+    cut = F.arrays_zip(F.split(F.translate(cigar, letters + digits, "012345678"), ""), F.split(F.rtrim(spaced), " ")).cast(kind)
+    searched = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda c: F.struct((F.instr(F.lit(letters), F.right(c, F.lit(1))) - 1).alias("op"), F.regexp_extract(c, "([0-9]+)", 1).cast("int").alias("len")))
+    return F.when(plain, cut).otherwise(searched.cast(kind))
+
+
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Alignments of lines (at, value) of SAM text: the columns that the QC operators read, and ord, primary, proper. Headers and unmapped records are left out."""
-    raw = lines.where(~F.col("value").startswith("@"))
-    f = F.split("value", "\t")
-    tag = lambda t: F.regexp_extract("value", rf"\t{t}:[A-Za-z]:([^\t]*)", 1)
-    number = lambda t: F.when(tag(t) != "", tag(t).cast("int"))
-    flag = F.get(f, F.lit(1)).cast("int")
-    bit = lambda b: flag.bitwiseAND(b) != 0
-    ops = F.transform(F.regexp_extract_all(F.get(f, F.lit(5)), F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda c: F.struct((F.instr(F.lit("MIDNSHP=X"), F.right(c, F.lit(1))) - 1).alias("op"), F.regexp_extract(c, "([0-9]+)", 1).cast("int").alias("len")))
+    """Alignments of lines (at, value) of SAM text: the columns that the QC operators read, and ord, primary, proper. Headers and unmapped records are left out.
+
+    A line is split once, and each tag is looked up once, behind the eleven fields.
+    """
+    number = lambda c: F.col(c).cast("int")
+    # the flag apart, so that lines are split after unmapped ones are gone
+    raw = lines.where(~F.col("value").startswith("@") & (F.get(F.split("value", "\t", 3), F.lit(1)).cast("int").bitwiseAND(4) == 0))
+    f, tags = F.col("f"), ("MD", "NM", "XM", "AS", "XS", "RX", "OX")
+    got = raw.select("at", F.split("value", "\t", 12).alias("f")).select("at", "f", F.concat(F.lit("\t"), F.get(f, F.lit(11))).alias("rest"))
+    # in steps, each of them small: where a tag begins, what stands there, its value
+    got = got.select("*", *[F.locate(f"\t{t}:", F.col("rest")).alias(f"at_{t}") for t in tags])
+    got = got.select("at", "f", *[F.when(F.col(f"at_{t}") > 0, F.substring_index(F.substr("rest", F.col(f"at_{t}") + 4), "\t", 1)).alias(f"is_{t}") for t in tags])
+    got = got.select("at", "f", *[F.when(F.col(f"is_{t}").rlike("(?s)^[A-Za-z]:."), F.substr(f"is_{t}", F.lit(3))).alias(f"_{t}") for t in tags])
+    got = got.select("*", F.get(f, F.lit(1)).cast("int").alias("flag"), _operations(F.get(f, F.lit(5))).alias("ops"))
+    bit = lambda b: F.col("flag").bitwiseAND(b) != 0
     start = F.get(f, F.lit(3)).cast("long") - 1
-    span = F.aggregate(ops, F.lit(0), lambda s, c: s + F.when(c["op"].isin(0, 2, 3, 7, 8), c["len"]).otherwise(0))
-    pair = lambda t, k: F.coalesce(F.get(F.split(F.when(tag(t) != "", tag(t)), "-", 2), F.lit(k)), F.lit("N"))
-    return raw.where(~bit(4)).select(
+    span = F.aggregate("ops", F.lit(0), lambda s, c: s + F.when(c["op"].isin(0, 2, 3, 7, 8), c["len"]).otherwise(0))
+    pair = lambda t, k: F.coalesce(F.get(F.split(f"_{t}", "-", 2), F.lit(k)), F.lit("N"))
+    return got.select(
         F.get(f, F.lit(0)).alias("read_name"), F.when(bit(128), 2).otherwise(1).alias("mate"), F.get(f, F.lit(2)).alias("ref"), start.alias("start"), (start + span).alias("end"), F.when(bit(16), "-").otherwise("+").alias("strand"),
-        F.get(f, F.lit(4)).cast("int").alias("mapq"), ops.alias("cigar"), F.when(tag("MD") != "", tag("MD")).alias("md"), number("NM").alias("nm"), number("XM").alias("xm"), number("AS").alias("score"), number("XS").alias("second"),
+        F.get(f, F.lit(4)).cast("int").alias("mapq"), F.col("ops").alias("cigar"), F.col("_MD").alias("md"), number("_NM").alias("nm"), number("_XM").alias("xm"), number("_AS").alias("score"), number("_XS").alias("second"),
         F.get(f, F.lit(9)).alias("seq"), F.transform(F.split(F.get(f, F.lit(10)), ""), lambda c: F.ascii(c) - 33).alias("quals"), F.get(f, F.lit(8)).cast("int").alias("tlen"),
         pair("RX", 0).alias("ltr_umi"), pair("RX", 1).alias("linker_umi"), pair("OX", 0).alias("ltr_match"), pair("OX", 1).alias("linker_match"), F.col("at").alias("ord"), (~bit(256) & ~bit(2048)).alias("primary"), bit(2).alias("proper"),
     )

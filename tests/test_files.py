@@ -244,3 +244,24 @@ def test_sheet_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         setup.read_sheet(spark, str(tmp_path / "sheet.txt"), barcode=4)
     assert setup.vector(setup.read_sheet(spark, str(tmp_path / "sheet.txt"), lengths=(6, 5), barcode=0), "ltr") == "GTACGT"
+
+
+def test_sam_tags_and_operations(spark):
+    """Tags stand behind the eleven fields only; a line is split once for all columns, no regular expression goes over whole lines."""
+    rows = [(1, "a\t0\tc\t5\t9\t3S20M\t=\t0\t50\tACGTAC\tNM:i:7\tXNM:i:1\tMD:Z:4\tNM:i:2\tXS:i:\tRX:Z:AC-GT"), (2, "b\t16\tc\t5\t9\t*\t=\t0\t50\tAC\t!I"), (3, "c\t4\tc\t5\t9\t5M\t=\t0\t50\tAC\t!I\tNM:i:1"),
+            (4, "d\t0\tc\t5\t9\tM5M\t=\t0\t50\tAC\t!I\tNM:5\tAS:i:-3"), (5, "e\t0\tc\t5\t9\t10M2D1I4N6=1X2H\t=\t0\t50\tAC\t!I"), (6, "f\t0\tc\t5\t9\t5Q7M\t=\t0\t50\tAC\t!I"), (7, "@CO\tx"), (8, "g")]
+    got = files.parse_sam(spark.createDataFrame(rows, "at long, value string"))
+    r = {x.read_name: x for x in got.collect()}
+    assert sorted(r) == ["a", "b", "d", "e", "f"] and [tuple(map(tuple, r[k].cigar)) for k in "abdef"] == [((4, 3), (0, 20)), (), ((0, 5),), ((0, 10), (2, 2), (1, 1), (3, 4), (7, 6), (8, 1), (5, 2)), ((0, 7),)]
+    assert (r["a"].nm, r["a"].md, r["a"].second, r["a"].ltr_umi, r["a"].linker_umi, r["a"].score) == (2, "4", None, "AC", "GT", None) and (r["d"].nm, r["d"].score, r["d"].ltr_umi) == (None, -3, "N")
+    assert [r[k].end - r[k].start for k in "abdef"] == [20, 0, 5, 23, 7] and r["b"].quals == [0, 40]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 2 and "regexp_extract(value" not in plan
+
+
+def test_quality_letters(spark):
+    """The letters are those of the view's qualities, whatever the size and the key."""
+    k, size = F.col("k"), F.col("size")
+    rows = spark.createDataFrame([(k, n) for k in (0, 1, 29, 30, 123456, -5) for n in (1, 30, 89, 90, 91, 130)], "k long, size int")
+    letters = F.array_join(F.transform(adapters._quals(k, size), lambda q: F.char(q + 33)), "")
+    assert rows.where(adapters.quality_letters(k, size).eqNullSafe(letters)).count() == 36
