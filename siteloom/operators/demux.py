@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions.sequences import hamming, revcomp
-from siteloom.session import broadcast_if_small, numbered
+from siteloom.session import broadcast_if_small, checkpointed, numbered
 
 def check_barcodes(barcodes: DataFrame) -> None:
     """Ids are unique and hold no '-', sequences are unique."""
@@ -33,7 +33,8 @@ def match(reads: DataFrame, index: Column, barcodes: DataFrame, error_rate: floa
 
     Exact for any rate and any number of barcodes. Of e + 1 pieces of a barcode, e substitutions leave one whole, so index
     and barcode meet on a piece at its place; of barcodes that match everything of their length only the first counts. Index values are
-    reduced to distinct ones before.
+    reduced to distinct ones before, and these materialised, with the barcode each of them has: reads are passed over once for the
+    values and once for the names, and not shuffled unless very many values match.
     """
     asked = reads.withColumn("__index", F.upper(index))
     edits = F.floor(F.length("__t") * error_rate).cast("int")
@@ -44,10 +45,10 @@ def match(reads: DataFrame, index: Column, barcodes: DataFrame, error_rate: floa
     codes = barcodes.select(F.upper("barcode").alias("__t"), F.struct(F.col("ord").alias("o"), F.col("sample").alias("s")).alias("__first"))
     whole = F.floor(F.length("__t") * error_rate) >= F.length("__t")
     codes = codes.where(~whole).unionByName(codes.where(whole).groupBy(F.length("__t")).agg(F.min_by("__t", "__first").alias("__t"), F.min("__first").alias("__first")).select("__t", "__first"))
-    values = asked.select(F.col("__index").alias("__t")).where("__t is not null").distinct()
+    values = checkpointed(asked.select(F.col("__index").alias("__t")).distinct()).where("__t is not null")  # else the test for nulls goes below, where it costs the index once more
     sides = keyed(values).select("__len", "__key", F.col("__t").alias("__index"), "__e"), broadcast_if_small(keyed(codes).select("__len", "__key", F.col("__t").alias("__code"), "__first"))
     met = sides[0].join(sides[1], ["__len", "__key"]).where(hamming(F.col("__index"), F.col("__code")) <= F.col("__e"))
-    first = met.groupBy("__index").agg(F.min("__first").alias("__first"))
+    first = broadcast_if_small(met.groupBy("__index").agg(F.min("__first").alias("__first")))
     named = asked.join(first, "__index", "left").withColumn(out, F.col("__first.s"))
     return (named.withColumn(order, F.col("__first.o")) if order else named).drop("__index", "__first")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from siteloom.functions.sequences import error_probability, extract_umi, natural_key, phred, revcomp
 from siteloom.operators import abundance, annotate, consensus, crop, dedup, demux, finalpass, leaders, mispriming, peaks, qc, reassign, similarity, sites as sites_
 from siteloom.plans import adapters as a
-from siteloom.session import checkpoint_dir
+from siteloom.session import checkpoint_dir, checkpointed
 from siteloom.sources import files, setup
 from siteloom.streaming.dedup import gap_runs
 
@@ -571,7 +571,7 @@ SELECT read_name, 'both' AS mode, a AS sample FROM p WHERE a = b UNION ALL SELEC
 UNION ALL SELECT rd.read_name, 'first', coalesce(f.sample, 'unknown') FROM rd LEFT JOIN f ON f.read_name = rd.read_name AND f.n = 1 UNION ALL SELECT rd.read_name, 'three', CASE WHEN t.sample = 's1' THEN 'renamed' ELSE coalesce(t.sample, 'unknown') END FROM rd LEFT JOIN t ON t.read_name = rd.read_name AND t.n = 1""")
 def inline_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline barcodes at both ends (paired, all combinations, linked in one read), at the first end, and at the 3' end with a renamed sample."""
-    r = a.reads(spark, sf_dir).select("read_name", "seq1", F.substring("seq1", 5, 100).alias("seq2"))
+    r = checkpointed(a.reads(spark, sf_dir).select("read_name", "seq1", F.substring("seq1", 5, 100).alias("seq2")))  # the view's hashes once, not wherever a mode looks at a read
     codes = _barcodes(spark)
     demux.check_barcodes(codes)
     demux.check_same_ids(codes, codes)

@@ -653,3 +653,16 @@ def test_qualities_of_the_views_are_looked_up(spark):
     one = adapters._quals(F.col("k"), F.col("n"))
     old = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: ((i + F.col("k")) % (8 + F.col("k") % 30) + 3).cast("int"))
     assert df.where(~one.eqNullSafe(old)).count() == 0 and df.where(one.isNotNull()).count() == len(rows)
+
+
+def test_matched_reads_are_not_shuffled(spark, monkeypatch):
+    """Of index values, matched ones are few: reads get their sample by a broadcast, in one pass; where too many match for that, by a join, with the same result."""
+    reads = spark.createDataFrame([(f"r{k}", s) for k, s in enumerate(["ACGTT", "ACGAT", "GGTTA", "nnnnn", "", None, "acgtc"])], "read_name string, seq1 string")
+    codes = spark.createDataFrame([("s1", "ACGT", 0), ("s2", "GGTT", 1)], "sample string, barcode string, ord int")
+    got = demux.match(reads, F.substring("seq1", 1, 4), codes, 0.25)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Aggregate" not in plan
+    want = {"r0": "s1", "r1": "s1", "r2": "s2", "r3": None, "r4": None, "r5": None, "r6": "s1"}
+    assert {r.read_name: r.sample for r in got.collect()} == want and got.columns == ["read_name", "seq1", "sample"]
+    monkeypatch.setattr("siteloom.session.BROADCAST_ROWS", 0)
+    assert {r.read_name: r.sample for r in demux.match(reads, F.substring("seq1", 1, 4), codes, 0.25).collect()} == want
