@@ -323,6 +323,7 @@ def sequence_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def multi_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.fragments(spark, sf_dir).join(a.reads(spark, sf_dir).select("read_name", "seq1", "seq2"), "read_name")
+    f = checkpointed(f.select("read_name", "chrom", "strand", "start", "end", "count", "map_qual", "seq1"))  # the views' join once, not for each look at the reads
     return reassign.reassign(f.where("map_qual < 4"), f.where("map_qual >= 4")).select("read_name", "chrom", "strand", "start", "end", "mapping_class")
 
 

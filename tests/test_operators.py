@@ -666,3 +666,14 @@ def test_matched_reads_are_not_shuffled(spark, monkeypatch):
     assert {r.read_name: r.sample for r in got.collect()} == want and got.columns == ["read_name", "seq1", "sample"]
     monkeypatch.setattr("siteloom.session.BROADCAST_ROWS", 0)
     assert {r.read_name: r.sample for r in demux.match(reads, F.substring("seq1", 1, 4), codes, 0.25).collect()} == want
+
+
+def test_relocation_compares_each_sequence_once(spark):
+    """Where a read goes depends on its sequence alone, whatever other rows have its name; sequences are compared once, in a table of distinct ones."""
+    cols = "read_name string, chrom string, strand string, start long, end long, count long, seq1 string"
+    unique = spark.createDataFrame([("u1", "chr2", "+", 100, 112, 1, "ACGTACGTACGT"), ("u2", "chr3", "-", 300, 312, 1, "TTTTACGTACGT")], cols)
+    rows = [("x", "chr1", "+", 1, 13, 1, "ACGTACGTACGT"), ("x", "chr1", "+", 1, 13, 1, "GGGGACGTACGT"), ("y", "chr1", "+", 5, 17, 1, "ACGTACGTACGT"), ("z", "chr1", "+", 7, 19, 1, "TTTTACGTACGT"), ("n", "chr1", "+", 7, 19, 1, None)]
+    got = reassign.relocate(spark.createDataFrame(rows, cols), reassign.prefix_index(unique, 4), 4, 0.95)
+    assert "levenshtein" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [("n", None, "chr1", 7, 19, "multi"), ("x", "ACGTACGTACGT", "chr2", 100, 112, "multi_relocated"), ("x", "GGGGACGTACGT", "chr1", 1, 13, "multi"), ("y", "ACGTACGTACGT", "chr2", 100, 112, "multi_relocated"), ("z", "TTTTACGTACGT", "chr3", 300, 312, "multi_relocated")]
+    assert sorted((r.read_name, r.seq1, r.chrom, r.start, r.end, r.mapping_class) for r in got.collect()) == want
